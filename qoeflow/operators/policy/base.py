@@ -27,9 +27,14 @@ class Policy:
         return S.discounted_state(stats, self.gamma, at_tick)
 
     def decide(self, state: DataFrame) -> DataFrame:
+        fn = self.decide_pandas
+
+        def per_group(pdf):
+            return fn(pdf)
+
         return (state.select("group_id", "decision", "score_sum", "n")
                 .groupBy("group_id")
-                .applyInPandas(self.decide_pandas, self.decision_schema))
+                .applyInPandas(per_group, self.decision_schema))
 
     def decide_pandas(self, pdf):  # pragma: no cover - abstract
         raise NotImplementedError

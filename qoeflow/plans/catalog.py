@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from qoeflow.functions import round4
 from qoeflow.operators import stats as S
-from qoeflow.operators.policy import DiscountedUCB, EpsilonGreedy
+from qoeflow.operators.policy import DiscountedUCB, EpsilonGreedy, Policy
 from qoeflow.plans import params as P
 from qoeflow.plans import views as V
 
@@ -59,3 +59,283 @@ def q_ucb_slots(spark, sf_dir):
     pol = ducb()
     dec = pol.decide(pol.state(_stats(spark, sf_dir)))
     return dec.select("group_id", F.array_join("slots", ":").alias("slots"))
+
+
+@query("decision_map")
+def q_decision_map(spark, sf_dir):
+    dm = S.decision_map(_stats(spark, sf_dir))
+    vals = F.map_values("dmap")
+    return dm.select(
+        "group_id",
+        F.array_join(F.array_sort(F.map_keys("dmap")), ",").alias("decisions"),
+        F.aggregate(vals, F.lit(0.0), lambda a, v: a + v["n"]).cast("bigint").alias("n_total"),
+        round4(F.aggregate(vals, F.lit(0.0), lambda a, v: a + v["score_sum"])).alias("score_total"))
+
+
+def _dstate(spark, sf_dir):
+    return S.discounted_state(_stats(spark, sf_dir), P.GAMMA)
+
+
+@query("group_means")
+def q_group_means(spark, sf_dir):
+    m = S.means(_dstate(spark, sf_dir))
+    return m.select("group_id", "decision", round4("mean").alias("mean"), round4("N").alias("N"))
+
+
+@query("state_merge")
+def q_state_merge(spark, sf_dir):
+    """Fold the last tick into the state at the tick before; equals A5 at T."""
+    st = _stats(spark, sf_dir)
+    T = S.last_tick(st)
+    old = S.discounted_state(st, P.GAMMA, at_tick=T - 1)
+    new = st.where(F.col("tick") == T)
+    m = S.merge_state(new, old, P.GAMMA)
+    return m.select("group_id", "decision", round4("score_sum").alias("score_sum"),
+                    round4("n").alias("n"))
+
+
+@query("ucb_index")
+def q_ucb_index(spark, sf_dir):
+    idx = ducb().index(_dstate(spark, sf_dir))
+    return idx.select("group_id", "decision", round4("mean").alias("mean"), round4("N").alias("N"),
+                      round4("ucb").alias("ucb"), F.col("rnk").cast("bigint").alias("rnk"))
+
+
+def eg_decisions(spark, sf_dir):
+    pol = egreedy()
+    return pol.decide(pol.state(_stats(spark, sf_dir)))
+
+
+@query("best_decision")
+def q_best_decision(spark, sf_dir):
+    d = eg_decisions(spark, sf_dir)
+    return d.select("group_id", "best", F.array_join("rest", ",").alias("rest"), "epsilon")
+
+
+@query("sliding_stats")
+def q_sliding_stats(spark, sf_dir):
+    w = S.windowed_stats(_stats(spark, sf_dir), P.EG_WINDOW_TICKS)
+    return w.select("group_id", "decision", "tick", round4("score_sum").alias("score_sum"),
+                    F.col("n").cast("bigint").alias("n"))
+
+
+@query("epsilon_export_lines")
+def q_epsilon_export(spark, sf_dir):
+    from qoeflow.sources.sinks import export_epsilon
+    lines = export_epsilon(eg_decisions(spark, sf_dir))
+    return lines.select("group_id", F.col("pos").cast("bigint").alias("pos"), "line")
+
+
+class GreedyMean(Policy):
+    """A user policy: discounted state, pure exploitation, in pandas."""
+    decision_schema = "group_id string, decision string"
+
+    def decide_pandas(self, pdf):
+        import pandas as pd
+        m = pdf["score_sum"] / pdf["n"].where(pdf["n"] > 0)
+        pdf = pdf.assign(m=m.fillna(0.0)).sort_values(["m", "decision"], ascending=[False, True])
+        return pd.DataFrame({"group_id": pdf["group_id"].iloc[:1], "decision": pdf["decision"].iloc[:1]})
+
+
+@query("custom_policy")
+def q_custom_policy(spark, sf_dir):
+    pol = GreedyMean(P.GAMMA)
+    return pol.decide(pol.state(_stats(spark, sf_dir)))
+
+
+def ucb_decisions(spark, sf_dir) -> DataFrame:
+    """V.decisions: UCB slot lists at a few snapshot ticks before the last."""
+    st = _stats(spark, sf_dir)
+    T = S.last_tick(st)
+    pol = ducb()
+    parts = [pol.decide(pol.state(st, at_tick=T - k)).withColumn("tick", (T - k).cast("bigint"))
+             for k in P.SNAPSHOT_BACK]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("latest_decision")
+def q_latest_decision(spark, sf_dir):
+    from qoeflow.sources.sinks import latest_decision
+    d = ucb_decisions(spark, sf_dir).withColumn("slots", F.array_join("slots", ":"))
+    return latest_decision(d, "tick", ["slots"])
+
+
+@query("format_decisions")
+def q_format_decisions(spark, sf_dir):
+    from qoeflow.operators.records import decode_decision, format_decision
+    d = ucb_decisions(spark, sf_dir)
+    msg = format_decision(d, P.ORIGIN)
+    dec = decode_decision(msg)
+    return dec.select("group_id", "tick", "message", "decoded_group",
+                      F.size("decoded_slots").cast("bigint").alias("n_slots"))
+
+
+# ----------------------------------------------------------- record plumbing
+def _parsed(spark, sf_dir):
+    from qoeflow.operators.records import parse_updates
+    good, _ = parse_updates(V.messages(spark, sf_dir), P.UPDATE_LABELS)
+    return good
+
+
+@query("parse_updates")
+def q_parse_updates(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    return p.select(F.get("fields", 0).cast("bigint").alias("event_id"), "group_id", "decision",
+                    round4("score").alias("score"))
+
+
+@query("project_labels")
+def q_project_labels(spark, sf_dir):
+    from qoeflow.operators.records import parse_messages, project_labels
+    p = parse_messages(V.messages(spark, sf_dir))
+    return p.select(F.col("seq").alias("event_id"), "group_id",
+                    project_labels(p, P.UPDATE_LABELS, P.REDUCED_LABELS).alias("update"))
+
+
+def _routed(spark, sf_dir):
+    from qoeflow.operators.records import route
+    return route(V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
+                 P.UPDATE_LABELS, P.REDUCED_LABELS)
+
+
+@query("route_topics")
+def q_route_topics(spark, sf_dir):
+    from qoeflow.operators.records import forward
+    r = _routed(spark, sf_dir)
+    fwd, rej = forward(r, V.clusters(spark, sf_dir), P.ME)
+    internal = r.where(F.col("topic") == "internal_groups").withColumn("address", F.lit(None).cast("string"))
+    out = internal.unionByName(fwd.select(*internal.columns))
+    return out.select(F.col("seq").alias("event_id"), "group_id", "cluster_id", "topic", "message", "address")
+
+
+@query("auto_subscribe")
+def q_auto_subscribe(spark, sf_dir):
+    from qoeflow.operators.exchange import auto_subscribe
+    r = _routed(spark, sf_dir)
+    return auto_subscribe(r.where(F.col("topic") == "external_groups"), P.ME)
+
+
+@query("feature_histogram")
+def q_feature_histogram(spark, sf_dir):
+    from qoeflow.operators.exchange import feature_histogram
+    from qoeflow.operators.records import parse_messages
+    p = parse_messages(V.messages(spark, sf_dir))
+    h = feature_histogram(p, P.SAMPLE_FRACTION, P.MANAGED_LABELS, P.SEED, key="seq")
+    return h.select(F.col("feature_idx").cast("bigint").alias("feature_idx"), "value", "n")
+
+
+@query("heartbeats")
+def q_heartbeats(spark, sf_dir):
+    from qoeflow.operators.exchange import heartbeats
+    r = _routed(spark, sf_dir).withColumn("tick", F.floor(F.unix_timestamp("ts") / P.TICK_S).cast("bigint"))
+    return heartbeats(r, "tick")
+
+
+@query("subscriber_sets")
+def q_subscriber_sets(spark, sf_dir):
+    from qoeflow.operators.exchange import parse_subscriptions, subscriber_sets
+    s = subscriber_sets(parse_subscriptions(V.subs(spark, sf_dir)))
+    return s.select("group_id", F.array_join("clusters", ",").alias("clusters"),
+                    F.size("clusters").cast("bigint").alias("n_clusters"))
+
+
+@query("decision_fanout")
+def q_decision_fanout(spark, sf_dir):
+    from qoeflow.operators.exchange import fan_out, parse_subscriptions
+    d = ucb_decisions(spark, sf_dir)
+    from qoeflow.sources.sinks import latest_decision
+    from qoeflow.operators.records import format_decision
+    latest = format_decision(latest_decision(d, "tick", ["slots"]), P.ORIGIN)
+    f = fan_out(latest, parse_subscriptions(V.subs(spark, sf_dir)), P.ME)
+    return f.select("group_id", "cluster_id", "message")
+
+
+# ------------------------------------------------------- grouping and serving
+def _requests(spark, sf_dir):
+    from qoeflow.operators.records import split_request
+    return split_request(V.requests(spark, sf_dir), V.N_REQUEST_FEATURES)
+
+
+@query("request_candidates")
+def q_request_candidates(spark, sf_dir):
+    from qoeflow.operators.records import available, drop_managed
+    r = _requests(spark, sf_dir)
+    return r.select("req_id",
+                    F.get("features", V.ASN_INDEX).alias("asn"),
+                    F.array_join(drop_managed(F.col("features"), P.MANAGED_LABELS), "\t").alias("head"),
+                    F.array_join("candidates", ",").alias("candidates"),
+                    F.size("candidates").cast("bigint").alias("n_candidates"),
+                    available(F.lit("view"), F.col("candidates")).alias("has_view"))
+
+
+def _leaves(spark, sf_dir):
+    from qoeflow.operators.rules import flatten_rules
+    return flatten_rules(V.rules(spark, sf_dir))
+
+
+@query("rule_flatten")
+def q_rule_flatten(spark, sf_dir):
+    lv = _leaves(spark, sf_dir)
+    return lv.select(
+        F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 3, "0")), ".").alias("path"),
+        F.array_join(F.transform("conds", lambda c: F.concat(c["f"].cast("string"), F.lit("="), c["k"])),
+                     ";").alias("conds"),
+        F.size("conds").cast("bigint").alias("n_conds"), "group_id")
+
+
+def _grouped_requests(spark, sf_dir, mode: str = "rules"):
+    from qoeflow.operators.rules import match_groups
+    r = _requests(spark, sf_dir)
+    asn = F.get("features", V.ASN_INDEX)
+    if mode == "asn":
+        return r.withColumn("group_id", asn).withColumn("matched", F.lit(False))
+    return match_groups(r, _leaves(spark, sf_dir), asn)
+
+
+@query("rule_match")
+def q_rule_match(spark, sf_dir):
+    return _grouped_requests(spark, sf_dir).select("req_id", "group_id", "matched")
+
+
+def _latest_slots(spark, sf_dir):
+    from qoeflow.sources.sinks import latest_decision
+    d = ucb_decisions(spark, sf_dir).withColumn(
+        "slots", F.concat(F.array_join("slots", ":"), F.lit(":")))
+    return latest_decision(d, "tick", ["slots"])
+
+
+@query("assign_slots")
+def q_assign_slots(spark, sf_dir):
+    from qoeflow.operators.assign import assign_slots
+    a = assign_slots(_grouped_requests(spark, sf_dir), _latest_slots(spark, sf_dir), P.SEED)
+    return a.select("req_id", "group_id", "decision", "source")
+
+
+@query("assign_epsilon")
+def q_assign_epsilon(spark, sf_dir):
+    from qoeflow.operators.assign import assign_epsilon
+    a = assign_epsilon(_grouped_requests(spark, sf_dir, "asn"), eg_decisions(spark, sf_dir), P.SEED)
+    return a.select("req_id", "group_id", "decision", "source")
+
+
+def weights(spark, sf_dir) -> DataFrame:
+    """D9 from the data: each decision's share of its group's updates."""
+    from pyspark.sql import Window
+    st = _stats(spark, sf_dir).groupBy("group_id", "decision").agg(F.sum("n").alias("n"))
+    tot = F.sum("n").over(Window.partitionBy("group_id"))
+    pos = F.row_number().over(Window.partitionBy("group_id").orderBy("decision"))
+    # percent rounded half-up with integer arithmetic (exact in every engine)
+    pct = F.expr("(200 * n + tot) div (2 * tot)")
+    return (st.withColumn("tot", tot)
+            .select("group_id", "decision", pos.alias("pos"),
+                    (pct.cast("decimal(5,0)") / 100).cast("decimal(5,2)").alias("p")))
+
+
+@query("assign_weighted")
+def q_assign_weighted(spark, sf_dir):
+    from qoeflow.operators.assign import assign_weighted
+    a = assign_weighted(_grouped_requests(spark, sf_dir, "asn"), weights(spark, sf_dir), P.SEED)
+    return a.select("req_id", "group_id", "decision", "source")

@@ -76,3 +76,260 @@ FROM dstate"""
 
 SQL["ucb_slots"] = with_(UPDATES, STATS, dstate(), ucb_rec(), recursive=True) + """
 SELECT group_id, slots FROM ucb"""
+
+SQL["decision_map"] = with_(UPDATES, STATS, """per_d AS (
+  SELECT group_id, decision, sum(score_sum) AS s, sum(n) AS n FROM stats GROUP BY group_id, decision)""") + """
+SELECT group_id, string_agg(decision, ',' ORDER BY decision) AS decisions,
+       CAST(sum(n) AS BIGINT) AS n_total, round(sum(s), 4) AS score_total
+FROM per_d GROUP BY group_id"""
+
+MEANS = """means AS (
+  SELECT group_id, decision, n, CASE WHEN n > 0 THEN score_sum / n ELSE 0 END AS mean,
+         sum(n) OVER (PARTITION BY group_id) AS NN
+  FROM dstate)"""
+
+SQL["group_means"] = with_(UPDATES, STATS, dstate(), MEANS) + """
+SELECT group_id, decision, round(mean, 4) AS mean, round(NN, 4) AS "N" FROM means"""
+
+SQL["state_merge"] = with_(UPDATES, STATS, dstate()) + """
+SELECT group_id, decision, round(score_sum, 4) AS score_sum, round(n, 4) AS n FROM dstate"""
+
+SQL["ucb_index"] = with_(UPDATES, STATS, dstate(), MEANS) + f"""
+SELECT group_id, decision, round(mean, 4) AS mean, round(NN, 4) AS "N", round(ucb, 4) AS ucb,
+       CAST(rank() OVER (PARTITION BY group_id ORDER BY ucb DESC, decision) AS BIGINT) AS rnk
+FROM (SELECT *, CASE WHEN n > 0 THEN mean + (CASE WHEN NN > 1 THEN {P.BONUS} * sqrt(2 * ln(NN))
+                 ELSE 0 END) / sqrt(n) ELSE 0 END AS ucb FROM means) u"""
+
+EG = f"""wstate AS (
+  SELECT group_id, decision, sum(score_sum) AS s, sum(n) AS n
+  FROM stats, (SELECT max(tick) AS T FROM stats) t
+  WHERE tick <= t.T AND tick > t.T - {P.EG_WINDOW_TICKS}
+  GROUP BY group_id, decision),
+eg AS (
+  SELECT group_id, decision,
+         first_value(decision) OVER (PARTITION BY group_id ORDER BY s / n DESC, decision) AS best
+  FROM wstate)"""
+
+SQL["best_decision"] = with_(UPDATES, STATS, EG) + f"""
+SELECT group_id, best,
+       coalesce(string_agg(CASE WHEN decision <> best THEN decision END, ',' ORDER BY decision), '') AS rest,
+       CAST({P.EPSILON} AS DOUBLE) AS epsilon
+FROM eg GROUP BY group_id, best"""
+
+SQL["sliding_stats"] = with_(UPDATES, STATS) + f"""
+SELECT group_id, decision, tick, round(sum(score_sum) OVER w, 4) AS score_sum,
+       CAST(sum(n) OVER w AS BIGINT) AS n
+FROM stats
+WINDOW w AS (PARTITION BY group_id, decision ORDER BY tick
+             RANGE BETWEEN {P.EG_WINDOW_TICKS - 1} PRECEDING AND CURRENT ROW)"""
+
+SQL["epsilon_export_lines"] = with_(UPDATES, STATS, EG) + f"""
+SELECT DISTINCT group_id, CAST(0 AS BIGINT) AS pos, CAST(CAST({P.EPSILON} AS DOUBLE) AS VARCHAR) AS line FROM eg
+UNION ALL SELECT DISTINCT group_id, CAST(1 AS BIGINT), best FROM eg
+UNION ALL SELECT group_id, CAST(1 + row_number() OVER (PARTITION BY group_id ORDER BY decision) AS BIGINT),
+                 decision FROM eg WHERE decision <> best"""
+
+SQL["custom_policy"] = with_(UPDATES, STATS, dstate(), MEANS) + """
+SELECT DISTINCT group_id,
+       first_value(decision) OVER (PARTITION BY group_id ORDER BY mean DESC, decision) AS decision
+FROM means"""
+
+LAST_T = "(SELECT max(tick) FROM stats)"
+
+
+def snapshots() -> list[str]:
+    ds = [dstate("stats", f"ds{k}", f"{LAST_T} - {k}") for k in P.SNAPSHOT_BACK]
+    union = " UNION ALL ".join(f"SELECT {LAST_T} - {k} AS snap, * FROM ds{k}" for k in P.SNAPSHOT_BACK)
+    return ds + [f"dsnap AS ({union})", ucb_rec("dsnap", "ucbs", "snap, group_id")]
+
+
+SQL["latest_decision"] = with_(UPDATES, STATS, *snapshots(), recursive=True) + """
+SELECT group_id, arg_max(slots, snap) AS slots, CAST(max(snap) AS BIGINT) AS tick
+FROM ucbs GROUP BY group_id"""
+
+SQL["format_decisions"] = with_(UPDATES, STATS, *snapshots(), recursive=True) + f"""
+SELECT group_id, CAST(snap AS BIGINT) AS tick,
+       concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS message,
+       group_id AS decoded_group, CAST(len(string_split(slots, ':')) AS BIGINT) AS n_slots
+FROM ucbs"""
+
+# ----------------------------------------------------------- record plumbing
+TAB = "chr(9)"
+COST_TXT = "CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR)"
+
+SQL["parse_updates"] = """
+SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS group_id, event_type AS decision,
+       round(-CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE), 4) AS score
+FROM events"""
+
+SQL["project_labels"] = f"""
+SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS group_id,
+       concat(event_type, {TAB}, {COST_TXT}) AS update
+FROM events"""
+
+ROUTED = f"""msg AS (
+  SELECT event_id, ts, CAST(user_id % 40 AS VARCHAR) AS group_id,
+         concat(event_type, {TAB}, {COST_TXT}) AS reduced
+  FROM events),
+routed AS (
+  SELECT m.*, coalesce('c' || CAST(n.n_regionkey AS VARCHAR), '{P.ME}') AS cluster_id
+  FROM msg m LEFT JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = m.group_id)"""
+
+SQL["route_topics"] = with_(ROUTED) + f"""
+SELECT event_id, group_id, cluster_id,
+       CASE WHEN cluster_id = '{P.ME}' THEN 'internal_groups' ELSE 'external_groups' END AS topic,
+       CAST(json_object('update', reduced, 'group_id', group_id, 'cluster_id', cluster_id) AS VARCHAR) AS message,
+       CASE WHEN cluster_id <> '{P.ME}' THEN lower(r.r_name) || ':9092' END AS address
+FROM routed LEFT JOIN region r ON 'c' || CAST(r.r_regionkey AS VARCHAR) = routed.cluster_id"""
+
+SQL["auto_subscribe"] = with_(ROUTED) + f"""
+SELECT group_id, arg_min(cluster_id, event_id) AS cluster_id, group_id || ';{P.ME}' AS message
+FROM routed WHERE cluster_id <> '{P.ME}' GROUP BY group_id"""
+
+SQL["feature_histogram"] = f"""
+WITH s AS (
+  SELECT * FROM events
+  WHERE CAST(concat('0x', substr(md5('{P.SEED}:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)
+        < {P.SAMPLE_FRACTION} * 4294967296.0),
+f AS (
+  SELECT 0 AS feature_idx, CAST(event_id AS VARCHAR) AS value FROM s
+  UNION ALL SELECT 1, json_extract_string(props, '$.k') FROM s
+  UNION ALL SELECT 2, CAST(user_id % 7 AS VARCHAR) FROM s)
+SELECT CAST(feature_idx AS BIGINT) AS feature_idx, value, count(*) AS n FROM f GROUP BY ALL"""
+
+SQL["heartbeats"] = with_(ROUTED) + f"""
+SELECT *, sum(n_records) OVER (PARTITION BY tick) AS n_batch FROM (
+  SELECT CAST(floor(epoch(ts) / {P.TICK_S}) AS BIGINT) AS tick, cluster_id,
+         count(*) AS n_records, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_ts
+  FROM routed GROUP BY ALL) h"""
+
+SUBS = """subs AS (
+  SELECT CAST(o_custkey % 150 AS VARCHAR) AS group_id,
+         'c' || CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 5 AS VARCHAR) AS cluster_id
+  FROM orders)"""
+
+SQL["subscriber_sets"] = with_(SUBS) + """
+SELECT group_id, string_agg(DISTINCT cluster_id, ',' ORDER BY cluster_id) AS clusters,
+       count(DISTINCT cluster_id) AS n_clusters
+FROM subs GROUP BY group_id"""
+
+LATEST = """latest AS (
+  SELECT group_id, arg_max(slots, snap) AS slots FROM ucbs GROUP BY group_id)"""
+
+SQL["decision_fanout"] = with_(UPDATES, STATS, *snapshots(), LATEST, SUBS, recursive=True) + f"""
+SELECT DISTINCT l.group_id, s.cluster_id, concat(l.group_id, ';', l.slots, ':', ';', '{P.ORIGIN}') AS message
+FROM latest l JOIN subs s ON s.group_id = l.group_id
+WHERE s.cluster_id <> '{P.ME}'"""
+
+# ------------------------------------------------------- grouping and serving
+CANDS_EVEN = ",".join(P.DECISION_TYPES[:4])
+CANDS_ALL = ",".join(P.DECISION_TYPES)
+
+SQL["request_candidates"] = f"""
+SELECT o_orderkey AS req_id, CAST(o_custkey % 150 AS VARCHAR) AS asn,
+       o_orderstatus || {TAB} || o_orderpriority AS head,
+       CASE WHEN o_orderkey % 2 = 0 THEN '{CANDS_EVEN}' ELSE '{CANDS_ALL}' END AS candidates,
+       CAST(CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 5 END AS BIGINT) AS n_candidates,
+       o_orderkey % 2 = 1 AS has_view
+FROM orders"""
+
+RULE_IDX = """st AS (SELECT DISTINCT o_orderstatus AS s FROM orders),
+si AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM st),
+cp AS (SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p FROM orders),
+pj AS (SELECT s, p, row_number() OVER (PARTITION BY s ORDER BY p) - 1
+               + CASE WHEN s = 'F' AND p > '3-MEDIUM'
+                       AND EXISTS (SELECT 1 FROM cp c2 WHERE c2.s = 'F' AND c2.p = '3-MEDIUM')
+                      THEN 1 ELSE 0 END AS j
+       FROM cp)"""
+
+
+def _lp(x: str) -> str:
+    return f"lpad(CAST({x} AS VARCHAR), 3, '0')"
+
+
+SQL["rule_flatten"] = with_(RULE_IDX) + f"""
+SELECT {_lp('i')} AS path, '0=P' AS conds, CAST(1 AS BIGINT) AS n_conds, 'P' AS group_id
+FROM si WHERE s = 'P'
+UNION ALL
+SELECT {_lp('si.i')} || '.' || {_lp('pj.j')}, '0=' || pj.s || ';1=' || pj.p, 2, pj.s || '-' || pj.p
+FROM pj JOIN si USING (s) WHERE pj.s <> 'P' AND (pj.p LIKE '1-%' OR pj.p LIKE '2-%')
+UNION ALL
+SELECT {_lp('si.i')} || '.' || {_lp('pj.j + 1')}, '0=F;1=3-MEDIUM', 2, 'F-3-MEDIUM-dup'
+FROM pj JOIN si USING (s) WHERE pj.s = 'F' AND pj.p = '3-MEDIUM'
+UNION ALL
+SELECT {_lp('si.i')} || '.' || {_lp('pj.j')} || '.' || {_lp('CASE WHEN m < 3 THEN m ELSE m - 1 END')},
+       '0=' || pj.s || ';1=' || pj.p || ';2=' || CAST(m AS VARCHAR), 3,
+       pj.s || '-' || pj.p || '-' || CAST(m AS VARCHAR)
+FROM pj JOIN si USING (s), (SELECT unnest([0, 1, 2, 4, 5, 6]) AS m) ms
+WHERE pj.s <> 'P' AND NOT (pj.p LIKE '1-%' OR pj.p LIKE '2-%')"""
+
+RULE_GROUP = """rq AS (
+  SELECT o_orderkey AS req_id, o_orderstatus AS s, o_orderpriority AS p, o_custkey % 7 AS m,
+         CAST(o_custkey % 150 AS VARCHAR) AS asn,
+         CASE WHEN o_orderkey % 2 = 0 THEN ['click', 'error', 'purchase', 'signup']
+              ELSE ['click', 'error', 'purchase', 'signup', 'view'] END AS candidates
+  FROM orders),
+grouped AS (
+  SELECT req_id, candidates, asn,
+         CASE WHEN s = 'P' THEN 'P'
+              WHEN p LIKE '1-%' OR p LIKE '2-%' THEN s || '-' || p
+              WHEN s = 'F' AND p = '3-MEDIUM' THEN 'F-3-MEDIUM-dup'
+              WHEN m <> 3 THEN s || '-' || p || '-' || CAST(m AS VARCHAR)
+              ELSE asn END AS group_id,
+         NOT (s <> 'P' AND NOT (p LIKE '1-%' OR p LIKE '2-%') AND NOT (s = 'F' AND p = '3-MEDIUM')
+              AND m = 3) AS matched
+  FROM rq)"""
+
+SQL["rule_match"] = with_(RULE_GROUP) + """
+SELECT req_id, group_id, matched FROM grouped"""
+
+
+def _h(tag: str, key: str = "req_id") -> str:
+    return (f"CAST(concat('0x', substr(md5('{P.SEED}:{tag}:' || CAST({key} AS VARCHAR)), 1, 8)) "
+            f"AS BIGINT)")
+
+
+FALLBACK = f"candidates[{_h('fallback')} % len(candidates) + 1]"
+
+
+def _finish(pick: str) -> str:
+    ok = f"(({pick}) IS NOT NULL AND ({pick}) NOT IN ('', '0') AND list_contains(candidates, {pick}))"
+    return (f"CASE WHEN {ok} THEN {pick} ELSE {FALLBACK} END AS decision, "
+            f"CASE WHEN {ok} THEN 'policy' ELSE 'fallback' END AS source")
+
+
+SQL["assign_slots"] = with_(UPDATES, STATS, *snapshots(), LATEST, RULE_GROUP, recursive=True) + f"""
+SELECT req_id, group_id, {_finish('pick')}
+FROM (SELECT g.*, CASE WHEN l.slots IS NOT NULL THEN
+                    string_split(l.slots, ':')[{_h('slot')} % len(string_split(l.slots, ':')) + 1] END AS pick
+      FROM grouped g LEFT JOIN latest l USING (group_id)) x"""
+
+SQL["assign_epsilon"] = with_(UPDATES, STATS, EG, RULE_GROUP) + f""",
+egd AS (
+  SELECT group_id, any_value(best) AS best,
+         coalesce(list(decision ORDER BY decision) FILTER (WHERE decision <> best), []) AS rest
+  FROM eg GROUP BY group_id)
+SELECT req_id, group_id, {_finish('pick')}
+FROM (SELECT g.req_id, g.candidates, g.asn AS group_id,
+             CASE WHEN e.best IS NULL THEN NULL
+                  WHEN len(e.rest) = 0 THEN e.best
+                  WHEN {_h('eps')} % 101 < CAST({P.EPSILON} AS DOUBLE) * 100
+                       THEN e.rest[{_h('explore')} % len(e.rest) + 1]
+                  ELSE e.best END AS pick
+      FROM grouped g LEFT JOIN egd e ON e.group_id = g.asn) x"""
+
+SQL["assign_weighted"] = with_(UPDATES, STATS, RULE_GROUP) + f""",
+wn AS (SELECT group_id, decision, sum(n) AS n FROM stats GROUP BY ALL),
+w AS (SELECT group_id, decision,
+             row_number() OVER (PARTITION BY group_id ORDER BY decision) AS pos,
+             (200 * n + sum(n) OVER (PARTITION BY group_id)) // (2 * sum(n) OVER (PARTITION BY group_id)) AS pct
+      FROM wn),
+wc AS (SELECT *, sum(pct) OVER (PARTITION BY group_id ORDER BY pos) AS cum100,
+              max(pos) OVER (PARTITION BY group_id) AS last_pos FROM w),
+rv AS (SELECT req_id, asn AS group_id, {_h('weighted')} % 101 AS v FROM grouped)
+SELECT rv.req_id, rv.group_id,
+       coalesce((SELECT decision FROM wc WHERE wc.group_id = rv.group_id AND wc.cum100 >= rv.v
+                 ORDER BY pos LIMIT 1),
+                (SELECT decision FROM wc WHERE wc.group_id = rv.group_id AND wc.pos = wc.last_pos)) AS decision,
+       CASE WHEN EXISTS (SELECT 1 FROM wc WHERE wc.group_id = rv.group_id) THEN 'weighted' ELSE 'none' END AS source
+FROM rv"""

@@ -144,7 +144,8 @@ def subs(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("seq"),
                     F.concat_ws(";", (F.col("o_custkey") % 150).cast("string"),
-                                F.concat(F.lit("c"), F.substring("o_orderpriority", 1, 1)))
+                                F.concat(F.lit("c"), (F.substring("o_orderpriority", 1, 1).cast("int") % 5)
+                                         .cast("string")))
                     .alias("value"))
 
 

@@ -14,6 +14,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     """Session with the settings the library assumes (UTC, AQE, no UI)."""
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
