@@ -52,3 +52,22 @@ def strip_chars(c, chars: str = TRIM_CHARS) -> Column:
 
 def round4(c) -> Column:
     return F.round(_c(c), 4)
+
+
+def scaled_units(c, digits: int) -> Column:
+    """A non-negative decimal amount with at most ``digits`` decimals as an
+    exact integer count of 10^-digits units."""
+    return F.round(_c(c) * (10 ** digits)).cast("bigint")
+
+
+def exact_mean4(units_sum: str, n: str, digits: int) -> Column:
+    """Mean of non-negative amounts rounded half-up to 4 places, exactly.
+
+    ``units_sum`` is the column name of the integer sum of
+    ``scaled_units(x, digits)``; integer arithmetic makes the result
+    independent of the summation order of doubles (many such means sit
+    exactly on a .5 at the fifth place).  Null when ``n`` is 0.
+    """
+    m = 10 ** (4 - digits)
+    q = F.expr(f"({units_sum} * {2 * m} + {n}) div (2 * {n})")
+    return F.when(F.col(n) > 0, q / F.lit(10000.0))

@@ -339,3 +339,127 @@ def q_assign_weighted(spark, sf_dir):
     from qoeflow.operators.assign import assign_weighted
     a = assign_weighted(_grouped_requests(spark, sf_dir, "asn"), weights(spark, sf_dir), P.SEED)
     return a.select("req_id", "group_id", "decision", "source")
+
+
+# ------------------------------------------------------------ replay analytics
+TRACE_FEATURES = ["ts_ms", "line_no", "group_id", "decision"]
+
+
+def _trace_lines(spark, sf_dir):
+    from qoeflow.sources.traces import trace_text
+    return trace_text(V.sessions(spark, sf_dir), TRACE_FEATURES)
+
+
+@query("trace_parse")
+def q_trace_parse(spark, sf_dir):
+    from qoeflow.sources.traces import read_traces
+    t = read_traces(_trace_lines(spark, sf_dir))
+    d = F.get("features", 3)
+    thr = F.element_at("load_map", d)
+    return t.select("line_no", "ts_s", d.alias("decision"),
+                    F.size("decision_map").cast("bigint").alias("n_decisions"),
+                    round4(F.element_at("decision_map", d)).alias("cost"),
+                    F.size(thr).cast("bigint").alias("n_thresholds"),
+                    F.array_max(F.transform(thr, lambda x: x["factor"])).alias("top_factor"))
+
+
+@query("trace_sort")
+def q_trace_sort(spark, sf_dir):
+    from qoeflow.sources.traces import sort_traces
+    return sort_traces(_trace_lines(spark, sf_dir)).select("line_no", "sort_pos")
+
+
+def _buckets(spark, sf_dir):
+    from qoeflow.operators.replay import with_buckets
+    return with_buckets(V.sessions(spark, sf_dir), P.SECOND_S, P.MINUTE_S)
+
+
+@query("requests_dense")
+def q_requests_dense(spark, sf_dir):
+    from qoeflow.operators.replay import requests_per_second
+    return requests_per_second(_buckets(spark, sf_dir))
+
+
+@query("sessions_per_minute")
+def q_sessions_per_minute(spark, sf_dir):
+    from qoeflow.operators.replay import sessions_per_minute
+    return sessions_per_minute(_buckets(spark, sf_dir))
+
+
+def _costed(b):
+    from qoeflow.operators.replay import adjusted_cost, load_share
+    return adjusted_cost(load_share(b))
+
+
+@query("load_share")
+def q_load_share(spark, sf_dir):
+    from qoeflow.operators.replay import load_share
+    ls = load_share(_buckets(spark, sf_dir))
+    return ls.select("line_no", "minute", "decision", round4("load").alias("load"))
+
+
+@query("load_adjusted_cost")
+def q_load_adjusted_cost(spark, sf_dir):
+    c = _costed(_buckets(spark, sf_dir))
+    return c.select("line_no", "decision", round4("load").alias("load"), "factor",
+                    round4("cost").alias("cost"))
+
+
+@query("avg_cost_per_second")
+def q_avg_cost_per_second(spark, sf_dir):
+    from qoeflow.operators.replay import cost_per_second
+    from qoeflow.functions import exact_mean4, scaled_units
+    b = _buckets(spark, sf_dir)
+    costed = _costed(b)
+    c = cost_per_second(b, costed)
+    # compare-friendly rounding: exact half-up mean of 4-decimal costs
+    u = costed.groupBy("second").agg(F.sum(scaled_units("cost", 4)).alias("_u"))
+    return (c.join(u, "second", "left")
+             .select("second", "sent", "succeeded", exact_mean4("_u", "succeeded", 4).alias("avg_cost")))
+
+
+@query("round_robin")
+def q_round_robin(spark, sf_dir):
+    from qoeflow.operators.failover import round_robin
+    r = round_robin(V.sessions(spark, sf_dir), P.N_FRONTENDS)
+    return r.select("line_no", F.col("url_idx").cast("bigint").alias("url_idx"), "mode", "chosen",
+                    round4("cost").alias("cost"))
+
+
+def _result_log(spark, sf_dir):
+    from qoeflow.sources.result_log import parse_result_log
+    return parse_result_log(V.result_log(spark, sf_dir))
+
+
+@query("cost_by_mode")
+def q_cost_by_mode(spark, sf_dir):
+    from qoeflow.functions import exact_mean4, scaled_units
+    log = _result_log(spark, sf_dir).withColumn("_u", scaled_units("cost", 2))
+    c = log.groupBy("url_idx", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum("_u").alias("_u"))
+    return c.select(F.col("url_idx").cast("bigint").alias("url_idx"), "mode", "n",
+                    exact_mean4("_u", "n", 2).alias("avg_cost"))
+
+
+def _block_means(spark, sf_dir):
+    from qoeflow.operators.failover import block_means
+    return block_means(_result_log(spark, sf_dir), P.BLOCK)
+
+
+@query("block_means")
+def q_block_means(spark, sf_dir):
+    m = _block_means(spark, sf_dir)
+    return m.select(F.col("url_idx").cast("bigint").alias("url_idx"), "block",
+                    round4("mean_cost").alias("mean_cost"))
+
+
+@query("block_zip")
+def q_block_zip(spark, sf_dir):
+    from qoeflow.operators.failover import block_zip
+    z = block_zip(_block_means(spark, sf_dir))
+    return z.select("block", round4("mean_a").alias("mean_a"), round4("mean_b").alias("mean_b"))
+
+
+@query("block_gap")
+def q_block_gap(spark, sf_dir):
+    from qoeflow.operators.failover import block_gap
+    return block_gap(_block_means(spark, sf_dir))

@@ -333,3 +333,111 @@ SELECT rv.req_id, rv.group_id,
                 (SELECT decision FROM wc WHERE wc.group_id = rv.group_id AND wc.pos = wc.last_pos)) AS decision,
        CASE WHEN EXISTS (SELECT 1 FROM wc WHERE wc.group_id = rv.group_id) THEN 'weighted' ELSE 'none' END AS source
 FROM rv"""
+
+# ------------------------------------------------------------ replay analytics
+DEC_IDX = "list_position(" + repr(P.DECISION_TYPES).replace('"', "'") + ", {d}) - 1"
+
+
+def dec_cost(d: str) -> str:
+    """Cost of decision ``d`` in a session's map: value * (1 + i/10), exact."""
+    return (f"CAST(CAST(value AS DECIMAL(12,2)) * CAST(1 + ({DEC_IDX.format(d=d)}) / 10 AS DECIMAL(2,1))"
+            f" AS DOUBLE)")
+
+
+SQL["trace_parse"] = f"""
+SELECT event_id AS line_no, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, event_type AS decision,
+       CAST({len(P.DECISION_TYPES)} AS BIGINT) AS n_decisions, round({dec_cost('event_type')}, 4) AS cost,
+       CAST(3 AS BIGINT) AS n_thresholds, 4.0::DOUBLE AS top_factor
+FROM events"""
+
+SQL["trace_sort"] = """
+SELECT event_id AS line_no,
+       row_number() OVER (ORDER BY CAST(CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS VARCHAR), event_id) AS sort_pos
+FROM events"""
+
+SESS = f"""sess AS (
+  SELECT event_id AS line_no, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, event_type AS decision,
+         event_type <> 'error' AS ok, value
+  FROM events),
+b AS (
+  SELECT *, (ts_s - (SELECT min(ts_s) FROM sess)) // {P.SECOND_S} AS second,
+            (ts_s - (SELECT min(ts_s) FROM sess)) // {P.MINUTE_S} AS minute
+  FROM sess),
+rps AS (
+  SELECT g.second, coalesce(c.sent, 0) AS sent, coalesce(c.succeeded, 0) AS succeeded
+  FROM (SELECT range AS second FROM range(0, (SELECT max(second) FROM b) + 1)) g
+  LEFT JOIN (SELECT second, count(*) AS sent, count(*) FILTER (WHERE ok) AS succeeded
+             FROM b GROUP BY second) c USING (second)),
+spm AS (SELECT minute, count(*) AS n_sessions FROM b GROUP BY minute),
+ls AS (
+  SELECT b.*, (row_number() OVER (PARTITION BY minute, decision ORDER BY ts_s, line_no))
+              / spm.n_sessions AS load
+  FROM b JOIN spm USING (minute) WHERE ok),
+costed AS (
+  SELECT *, CASE WHEN load > 0.3 THEN 4.0 WHEN load > 0.2 THEN 2.0 WHEN load > 0.1 THEN 1.5
+                 ELSE 1.0 END::DOUBLE AS factor
+  FROM ls)"""
+
+SQL["requests_dense"] = with_(SESS) + """
+SELECT CAST(second AS BIGINT) AS second, CAST(sent AS BIGINT) AS sent, CAST(succeeded AS BIGINT) AS succeeded
+FROM rps"""
+
+SQL["sessions_per_minute"] = with_(SESS) + """
+SELECT CAST(minute AS BIGINT) AS minute, n_sessions FROM spm"""
+
+SQL["load_share"] = with_(SESS) + """
+SELECT line_no, CAST(minute AS BIGINT) AS minute, decision, round(load, 4) AS load FROM ls"""
+
+SQL["load_adjusted_cost"] = with_(SESS) + f"""
+SELECT line_no, decision, round(load, 4) AS load, factor,
+       round(factor * {dec_cost('decision')}, 4) AS cost
+FROM costed"""
+
+def exact_mean4(units_sum: str, n: str, digits: int) -> str:
+    m = 10 ** (4 - digits)
+    return f"CASE WHEN {n} > 0 THEN (({units_sum}) * {2 * m} + {n}) // (2 * {n}) / 10000.0 END"
+
+
+SQL["avg_cost_per_second"] = with_(SESS) + f"""
+SELECT CAST(r.second AS BIGINT) AS second, CAST(r.sent AS BIGINT) AS sent,
+       CAST(r.succeeded AS BIGINT) AS succeeded,
+       {exact_mean4('coalesce(c.u, 0)', 'r.succeeded', 4)} AS avg_cost
+FROM rps r LEFT JOIN (SELECT second, sum(CAST(round(factor * {dec_cost('decision')} * 10000) AS BIGINT)) AS u
+                      FROM costed GROUP BY second) c USING (second)"""
+
+SQL["round_robin"] = f"""
+SELECT event_id AS line_no, event_id % {P.N_FRONTENDS} AS url_idx,
+       CASE WHEN event_type <> 'error' THEN 'online' ELSE 'local' END AS mode,
+       CASE WHEN event_type <> 'error' THEN event_type ELSE '{sorted(P.DECISION_TYPES)[2]}' END AS chosen,
+       round({dec_cost("CASE WHEN event_type <> 'error' THEN event_type ELSE '" + sorted(P.DECISION_TYPES)[2] + "' END")}, 4) AS cost
+FROM events"""
+
+RLOG = """rlog AS (
+  SELECT event_id AS line_no, event_id % 2 AS url_idx,
+         CASE WHEN event_type = 'error' THEN 'local' ELSE 'online' END AS mode,
+         CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS cost
+  FROM events)"""
+
+SQL["cost_by_mode"] = with_(RLOG) + f"""
+SELECT url_idx, mode, count(*) AS n,
+       {exact_mean4('sum(CAST(round(cost * 100) AS BIGINT))', 'count(*)', 2)} AS avg_cost
+FROM rlog GROUP BY ALL"""
+
+BLOCKS = with_(RLOG) + f""",
+bm AS (
+  SELECT url_idx, block, avg(cost) AS mean_cost
+  FROM (SELECT *, (row_number() OVER (PARTITION BY url_idx ORDER BY line_no) - 1) // {P.BLOCK} AS block
+        FROM rlog) o
+  GROUP BY url_idx, block HAVING count(*) = {P.BLOCK})"""
+
+SQL["block_means"] = BLOCKS + """
+SELECT url_idx, CAST(block AS BIGINT) AS block, round(mean_cost, 4) AS mean_cost FROM bm"""
+
+SQL["block_zip"] = BLOCKS + """
+SELECT CAST(a.block AS BIGINT) AS block, round(a.mean_cost, 4) AS mean_a, round(b.mean_cost, 4) AS mean_b
+FROM bm a JOIN bm b ON a.block = b.block AND a.url_idx = 0 AND b.url_idx = 1"""
+
+SQL["block_gap"] = BLOCKS + """
+SELECT count(*) FILTER (WHERE url_idx = 0) AS n_blocks_a, count(*) FILTER (WHERE url_idx = 1) AS n_blocks_b,
+       abs(count(*) FILTER (WHERE url_idx = 0) - count(*) FILTER (WHERE url_idx = 1)) AS gap
+FROM bm"""

@@ -170,6 +170,7 @@ def sessions(spark, sf_dir) -> DataFrame:
     return ev.select(
         F.col("event_id").alias("line_no"),
         (F.unix_timestamp("ts") * 1000).cast("bigint").alias("ts_ms"),
+        F.unix_timestamp("ts").cast("bigint").alias("ts_s"),
         F.col("user_id").cast("string").alias("group_id"),
         F.col("event_type").alias("decision"),
         dm.alias("decision_map"), lm.alias("load_map"),
