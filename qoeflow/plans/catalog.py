@@ -463,3 +463,66 @@ def q_block_zip(spark, sf_dir):
 def q_block_gap(spark, sf_dir):
     from qoeflow.operators.failover import block_gap
     return block_gap(_block_means(spark, sf_dir))
+
+
+@query("group_assignment_latest")
+def q_group_assignment_latest(spark, sf_dir):
+    from qoeflow.sources.feed import group_assignment
+    return group_assignment(V.assign_feed(spark, sf_dir), P.ME)
+
+
+@query("feed_rules_match")
+def q_feed_rules_match(spark, sf_dir):
+    """Rules taken from the mixed feed (not the direct view), then matched."""
+    from qoeflow.operators.rules import flatten_rules, match_groups
+    from qoeflow.sources.feed import latest_rules
+    leaves = flatten_rules(latest_rules(V.assign_feed(spark, sf_dir)))
+    r = _requests(spark, sf_dir)
+    return match_groups(r, leaves, F.get("features", V.ASN_INDEX)).select("req_id", "group_id", "matched")
+
+
+# ------------------------------------------------------------------ streaming
+@query("stream_state")
+def q_stream_state(spark, sf_dir):
+    """T1 streamed from files, read at the last tick (lazy decay); must
+    equal the batch closed form (discounted_state)."""
+    from qoeflow.streaming.jobs import decision_state_job
+    from qoeflow.streaming.state import decay_to
+    st = decision_state_job(spark, V.updates(spark, sf_dir), P.GAMMA)
+    d = decay_to(st, P.GAMMA, st.select(F.max("group_tick")).scalar())
+    return d.select("group_id", "decision", round4("score_sum").alias("score_sum"),
+                    round4("n").alias("n"), round4(S.mean_col()).alias("mean"), "last_tick")
+
+
+@query("ingest_routing")
+def q_ingest_routing(spark, sf_dir):
+    from qoeflow.streaming.jobs import ingest_job
+    t = ingest_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
+                   P.UPDATE_LABELS, P.REDUCED_LABELS)
+    return t.select("topic", "group_id", "cluster_id", "update")
+
+
+@query("topic_roundtrip")
+def q_topic_roundtrip(spark, sf_dir):
+    from qoeflow.operators.records import parse_updates
+    from qoeflow.streaming.jobs import topic_roundtrip_job
+    t = topic_roundtrip_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME)
+    good, _ = parse_updates(t, P.UPDATE_LABELS)
+    return good.select(F.get("fields", 0).cast("bigint").alias("event_id"), "topic", "group_id",
+                       "decision", round4("score").alias("score"))
+
+
+@query("multi_sink_counts")
+def q_multi_sink_counts(spark, sf_dir):
+    from qoeflow.streaming.jobs import multi_sink_job
+    return multi_sink_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
+                          P.UPDATE_LABELS, P.REDUCED_LABELS, P.SAMPLE_FRACTION, P.SEED)
+
+
+@query("late_rows")
+def q_late_rows(spark, sf_dir):
+    """Rows-only: windows emitted under a 1-day watermark from files in
+    shuffled time order (what is late depends on the file order)."""
+    from qoeflow.streaming.jobs import late_rows_job
+    out, dropped = late_rows_job(spark, V.updates(spark, sf_dir), "6 hours", "1 day")
+    return out.withColumn("dropped_late", F.lit(dropped).cast("bigint"))

@@ -441,3 +441,40 @@ SQL["block_gap"] = BLOCKS + """
 SELECT count(*) FILTER (WHERE url_idx = 0) AS n_blocks_a, count(*) FILTER (WHERE url_idx = 1) AS n_blocks_b,
        abs(count(*) FILTER (WHERE url_idx = 0) - count(*) FILTER (WHERE url_idx = 1)) AS gap
 FROM bm"""
+
+SQL["group_assignment_latest"] = f"""
+SELECT CAST(n_nationkey AS VARCHAR) AS group_id,
+       'c' || CAST(CASE WHEN n_nationkey % 2 = 0 THEN (n_regionkey + 1) % 5 ELSE n_regionkey END AS VARCHAR)
+         AS cluster_id
+FROM nation
+UNION ALL SELECT 'null', '{P.ME}'"""
+
+SQL["feed_rules_match"] = SQL["rule_match"]
+
+# ------------------------------------------------------------------ streaming
+SQL["stream_state"] = SQL["discounted_state"]
+
+SQL["ingest_routing"] = with_(ROUTED) + f"""
+SELECT 'upload' AS topic, CAST(NULL AS VARCHAR) AS group_id, CAST(NULL AS VARCHAR) AS cluster_id,
+       concat_ws({TAB}, CAST(event_id AS VARCHAR), json_extract_string(props, '$.k'),
+                 CAST(user_id % 7 AS VARCHAR), event_type, {COST_TXT}) AS update
+FROM events
+UNION ALL
+SELECT CASE WHEN cluster_id = '{P.ME}' THEN 'internal_groups' ELSE 'external_groups' END,
+       group_id, cluster_id, reduced
+FROM routed"""
+
+SQL["topic_roundtrip"] = with_(ROUTED) + """
+SELECT r.event_id, CASE WHEN r.cluster_id = '""" + P.ME + """' THEN 'internal_groups' ELSE 'external_groups' END AS topic,
+       r.group_id, e.event_type AS decision, round(-CAST(CAST(e.value AS DECIMAL(12,2)) AS DOUBLE), 4) AS score
+FROM routed r JOIN events e USING (event_id)"""
+
+SQL["multi_sink_counts"] = with_(ROUTED) + f"""
+SELECT 'upload' AS sink, count(*) AS n FROM events
+UNION ALL
+SELECT CASE WHEN cluster_id = '{P.ME}' THEN 'internal_groups' ELSE 'external_groups' END, count(*)
+FROM routed GROUP BY 1
+UNION ALL
+SELECT 'sample', count(*) FROM events
+WHERE CAST(concat('0x', substr(md5('{P.SEED}:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)
+      < {P.SAMPLE_FRACTION} * 4294967296.0"""
