@@ -42,9 +42,10 @@ class DiscountedUCB(Policy):
                 .select("group_id", "decision", "mean", "N", idx.alias("ucb"))
                 .withColumn("rnk", F.rank().over(w)))
 
-    def decide(self, state: DataFrame) -> DataFrame:
-        """K3: the slot list per group."""
-        per_group = state.groupBy("group_id").agg(
+    def decide(self, state: DataFrame, keys: list[str] | None = None) -> DataFrame:
+        """K3: the slot list per group (or per ``keys``, e.g. group and tick)."""
+        keys = keys or ["group_id"]
+        per_group = state.groupBy(*keys).agg(
             F.collect_list(F.struct(
                 F.col("decision").alias("d"),
                 S.mean_col().alias("mean"),
@@ -65,4 +66,4 @@ class DiscountedUCB(Policy):
               'N', (acc.N + 1D) * {g},
               'picks', concat(acc.picks, array({best}))),
             acc -> acc.picks)"""
-        return per_group.select("group_id", F.expr(expr).alias("slots"))
+        return per_group.select(*keys, F.expr(expr).alias("slots"))

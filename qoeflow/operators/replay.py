@@ -91,3 +91,94 @@ def cost_per_second(b: DataFrame, costed: DataFrame) -> DataFrame:
                .withColumn("avg_cost", F.when(F.col("succeeded") > 0,
                                               F.coalesce("_cost", F.lit(0.0)) / F.col("succeeded")))
                .drop("_cost"))
+
+
+# ------------------------------------------------------------ policy replay
+def state_history(stats: DataFrame, gamma: float, tick: str = "tick") -> DataFrame:
+    """A5 at every active tick of each (group, decision).
+
+    Between consecutive active ticks b' < b of a decision the state is
+    multiplied by gamma^(E(b) - E(b')), E = A + tick - G (see
+    ``stats.discounted_state``), then the tick's own sums are added.  The
+    recurrence is folded exactly with ``aggregate`` over the (group,
+    decision)'s sorted tick rows -- one entry per active tick, so the
+    array is bounded by the time horizon, not by the number of updates.
+    """
+    from pyspark.sql import Window
+    wg = Window.partitionBy("group_id").orderBy(tick)
+    wgd = Window.partitionBy("group_id", "decision").orderBy(tick)
+    s = (stats.withColumn("_G", F.dense_rank().over(wg))
+              .withColumn("_A", F.row_number().over(wgd))
+              .withColumn("_E", F.col("_A") + F.col(tick) - F.col("_G")))
+    hist = s.groupBy("group_id", "decision").agg(F.array_sort(F.collect_list(F.struct(
+        F.col(tick).alias("t"), F.col("_E").alias("e"), F.col("_A").alias("a"),
+        F.col("score_sum").cast("double").alias("s"), F.col("n").cast("double").alias("c")))).alias("h"))
+    g = repr(float(gamma))
+    fold = F.expr(f"""
+      aggregate(h, named_struct('e', CAST(NULL AS BIGINT), 's', 0D, 'c', 0D,
+                                'out', CAST(array() AS array<struct<t:bigint,e:bigint,a:bigint,s:double,c:double>>)),
+        (acc, x) -> named_struct(
+           'e', CAST(x.e AS BIGINT),
+           's', x.s + coalesce(pow({g}, x.e - acc.e), 0D) * acc.s,
+           'c', x.c + coalesce(pow({g}, x.e - acc.e), 0D) * acc.c,
+           'out', concat(acc.out, array(named_struct(
+               't', CAST(x.t AS BIGINT), 'e', CAST(x.e AS BIGINT), 'a', CAST(x.a AS BIGINT),
+               's', x.s + coalesce(pow({g}, x.e - acc.e), 0D) * acc.s,
+               'c', x.c + coalesce(pow({g}, x.e - acc.e), 0D) * acc.c)))),
+        acc -> acc.out)""")
+    return (hist.select("group_id", "decision", F.explode(fold).alias("x"))
+                .select("group_id", "decision", F.col("x.t").alias(tick), F.col("x.e").alias("e"),
+                        F.col("x.a").alias("a"), F.col("x.s").alias("score_sum"), F.col("x.c").alias("n")))
+
+
+def state_asof(history: DataFrame, stats: DataFrame, asks: DataFrame, gamma: float,
+               tick: str = "tick") -> DataFrame:
+    """State of every known decision of a group at tick T for each asked
+    (group_id, at) -- an as-of lookup (last active tick <= T) done as a
+    union + ``last(ignorenulls)`` window per (group, decision), then the
+    lazy decay gamma^(E(T) - E(b)) with E(T) = A(b) + T - G(T)."""
+    from pyspark.sql import Window
+    decs = history.select("group_id", "decision").distinct()
+    q = asks.join(decs, "group_id").select(
+        "group_id", "decision", F.col("at").alias(tick), F.lit(True).alias("_q"))
+    h = history.select("group_id", "decision", tick, F.lit(False).alias("_q"),
+                       F.struct("e", "a", "score_sum", "n").alias("_st"))
+    u = h.unionByName(q, allowMissingColumns=True)
+    w = (Window.partitionBy("group_id", "decision").orderBy(tick, "_q")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    u = u.withColumn("_last", F.last("_st", ignorenulls=True).over(w)).where(F.col("_q") & F.col("_last").isNotNull())
+    # G(T): number of active ticks of the group up to T, same as-of pattern
+    gt = stats.select("group_id", tick).distinct()
+    gq = asks.select("group_id", F.col("at").alias(tick), F.lit(True).alias("_q"))
+    gu = gt.withColumn("_q", F.lit(False)).withColumn("_one", F.lit(1)).unionByName(gq, allowMissingColumns=True)
+    wg = (Window.partitionBy("group_id").orderBy(tick, "_q").rowsBetween(Window.unboundedPreceding, 0))
+    gu = gu.withColumn("_G", F.sum(F.coalesce("_one", F.lit(0))).over(wg)).where("_q").select("group_id", tick, "_G")
+    j = u.join(gu, ["group_id", tick])
+    x = F.col("_last.a") + F.col(tick) - F.col("_G") - F.col("_last.e")
+    f = F.pow(F.lit(gamma), x)
+    return j.select("group_id", F.col(tick).alias("at"), "decision",
+                    (F.col("_last.score_sum") * f).alias("score_sum"), (F.col("_last.n") * f).alias("n"))
+
+
+def replay_policy(sessions: DataFrame, stats: DataFrame, policy, seed: str,
+                  tick: str = "tick") -> DataFrame:
+    """M2: each logged session is served the decision the policy had made
+    from the data up to the tick before (feedback at tick grain): the
+    group's slot list at T = tick - 1, a reproducible uniform draw, the
+    availability check against the session's decision map and the
+    fallback draw.  Returns the sessions with ``assigned`` and ``source``."""
+    from qoeflow.functions import draw_index, hash_u32
+    hist = state_history(stats, policy.gamma, tick)
+    asks = sessions.select("group_id", (F.col(tick) - 1).alias("at")).distinct()
+    st = state_asof(hist, stats, asks, policy.gamma, tick)
+    slots = policy.decide(st, keys=["group_id", "at"])
+    s = sessions.withColumn("at", F.col(tick) - 1).join(slots, ["group_id", "at"], "left")
+    cands = F.array_sort(F.map_keys("decision_map"))
+    u = hash_u32(F.lit(seed), F.lit("slot"), F.col("line_no"))
+    pick = F.when(F.col("slots").isNotNull(), F.element_at("slots", draw_index(u, F.size("slots"))))
+    ok = pick.isNotNull() & F.coalesce(F.array_contains(cands, pick), F.lit(False))
+    fb = F.element_at(cands, draw_index(hash_u32(F.lit(seed), F.lit("fallback"), F.col("line_no")),
+                                         F.size(cands)))
+    return (s.withColumn("assigned", F.when(ok, pick).otherwise(fb))
+             .withColumn("source", F.when(ok, F.lit("policy")).otherwise(F.lit("fallback")))
+             .drop("slots", "at"))

@@ -526,3 +526,30 @@ def q_late_rows(spark, sf_dir):
     from qoeflow.streaming.jobs import late_rows_job
     out, dropped = late_rows_job(spark, V.updates(spark, sf_dir), "6 hours", "1 day")
     return out.withColumn("dropped_late", F.lit(dropped).cast("bigint"))
+
+
+@query("policy_replay")
+def q_policy_replay(spark, sf_dir):
+    """M2: replay the logged sessions under per-tick DUCB decisions (made
+    from the updates up to the tick before), load-adjusted cost per second."""
+    from qoeflow.functions import exact_mean4, scaled_units
+    from qoeflow.operators.replay import adjusted_cost, cost_per_second, load_share, replay_policy
+    b = _buckets(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
+    served = replay_policy(b, _stats(spark, sf_dir), ducb(), P.SEED)
+    costed = adjusted_cost(load_share(served, decision="assigned"), decision="assigned")
+    c = cost_per_second(served, costed)
+    u = costed.groupBy("second").agg(F.sum(scaled_units("cost", 4)).alias("_u"),
+                                     F.count_if(F.col("source") == "policy").alias("n_policy"))
+    return (c.join(u, "second", "left")
+             .select("second", "sent", "succeeded",
+                     F.coalesce("n_policy", F.lit(0)).cast("bigint").alias("n_policy"),
+                     exact_mean4("_u", "succeeded", 4).alias("avg_cost")))
+
+
+@query("replay_assignments")
+def q_replay_assignments(spark, sf_dir):
+    """M2 detail: the decision each logged session gets under the policy."""
+    from qoeflow.operators.replay import replay_policy
+    b = V.sessions(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
+    served = replay_policy(b, _stats(spark, sf_dir), ducb(), P.SEED)
+    return served.select("line_no", "group_id", "tick", "assigned", "source")

@@ -478,3 +478,73 @@ UNION ALL
 SELECT 'sample', count(*) FROM events
 WHERE CAST(concat('0x', substr(md5('{P.SEED}:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)
       < {P.SAMPLE_FRACTION} * 4294967296.0"""
+
+# --------------------------------------------------------------- policy replay
+# Independent of the Spark fold: the state at T = tick - 1 is the closed
+# form summed over all earlier active ticks (a range join), then the
+# recursive slot loop keyed by (group, T).
+SORTED_TYPES = "[" + ", ".join(f"'{d}'" for d in sorted(P.DECISION_TYPES)) + "]"
+
+REPLAY = f"""ranks AS (
+  SELECT *, dense_rank() OVER (PARTITION BY group_id ORDER BY tick) AS rg,
+            row_number() OVER (PARTITION BY group_id, decision ORDER BY tick) AS ra
+  FROM stats),
+sessq AS (
+  SELECT event_id AS line_no, CAST(user_id AS VARCHAR) AS group_id,
+         CAST(floor(epoch(ts) / {P.TICK_S}) AS BIGINT) AS tick, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s,
+         event_type <> 'error' AS ok, value
+  FROM events),
+asks AS (SELECT DISTINCT group_id, tick - 1 AS ask_t FROM sessq),
+gcount AS (
+  SELECT a.group_id, a.ask_t, count(DISTINCT s.tick) AS gn
+  FROM asks a JOIN stats s ON s.group_id = a.group_id AND s.tick <= a.ask_t GROUP BY ALL),
+acount AS (
+  SELECT a.group_id, a.ask_t, s.decision, count(*) AS an
+  FROM asks a JOIN stats s ON s.group_id = a.group_id AND s.tick <= a.ask_t GROUP BY ALL),
+st_at AS (
+  SELECT a.group_id, a.ask_t, r.decision,
+         sum(r.score_sum * pow({G}, (ac.an - r.ra) + (a.ask_t - r.tick) - (gc.gn - r.rg))) AS score_sum,
+         sum(r.n * pow({G}, (ac.an - r.ra) + (a.ask_t - r.tick) - (gc.gn - r.rg))) AS n
+  FROM asks a
+  JOIN ranks r ON r.group_id = a.group_id AND r.tick <= a.ask_t
+  JOIN gcount gc ON gc.group_id = a.group_id AND gc.ask_t = a.ask_t
+  JOIN acount ac ON ac.group_id = a.group_id AND ac.ask_t = a.ask_t AND ac.decision = r.decision
+  GROUP BY a.group_id, a.ask_t, r.decision),
+{ucb_rec("st_at", "ucbr", "group_id, ask_t")},
+served AS (
+  SELECT s.*, CASE WHEN x.pick IS NOT NULL AND list_contains({SORTED_TYPES}, x.pick) THEN x.pick
+                   ELSE {SORTED_TYPES}[{_h('fallback', 's.line_no')} % {len(P.DECISION_TYPES)} + 1] END AS assigned,
+         CASE WHEN x.pick IS NOT NULL AND list_contains({SORTED_TYPES}, x.pick) THEN 'policy'
+              ELSE 'fallback' END AS source
+  FROM sessq s LEFT JOIN (
+    SELECT s2.line_no, string_split(u.slots, ':')[{_h('slot', 's2.line_no')} % len(string_split(u.slots, ':')) + 1] AS pick
+    FROM sessq s2 JOIN ucbr u ON u.group_id = s2.group_id AND u.ask_t = s2.tick - 1) x USING (line_no))"""
+
+SQL["replay_assignments"] = with_(UPDATES, STATS, REPLAY, recursive=True) + """
+SELECT line_no, group_id, tick, assigned, source FROM served"""
+
+SQL["policy_replay"] = with_(UPDATES, STATS, REPLAY, recursive=True) + f""",
+b AS (
+  SELECT *, (ts_s - (SELECT min(ts_s) FROM served)) // {P.SECOND_S} AS second,
+            (ts_s - (SELECT min(ts_s) FROM served)) // {P.MINUTE_S} AS minute
+  FROM served),
+rps AS (
+  SELECT g.second, coalesce(c.sent, 0) AS sent, coalesce(c.succeeded, 0) AS succeeded
+  FROM (SELECT range AS second FROM range(0, (SELECT max(second) FROM b) + 1)) g
+  LEFT JOIN (SELECT second, count(*) AS sent, count(*) FILTER (WHERE ok) AS succeeded
+             FROM b GROUP BY second) c USING (second)),
+spm AS (SELECT minute, count(*) AS n_sessions FROM b GROUP BY minute),
+ls AS (
+  SELECT b.*, (row_number() OVER (PARTITION BY minute, assigned ORDER BY ts_s, line_no)) / spm.n_sessions AS load
+  FROM b JOIN spm USING (minute) WHERE ok),
+costed AS (
+  SELECT *, CASE WHEN load > 0.3 THEN 4.0 WHEN load > 0.2 THEN 2.0 WHEN load > 0.1 THEN 1.5
+                 ELSE 1.0 END::DOUBLE AS factor
+  FROM ls)
+SELECT CAST(r.second AS BIGINT) AS second, CAST(r.sent AS BIGINT) AS sent,
+       CAST(r.succeeded AS BIGINT) AS succeeded, CAST(coalesce(c.n_policy, 0) AS BIGINT) AS n_policy,
+       {exact_mean4('coalesce(c.u, 0)', 'r.succeeded', 4)} AS avg_cost
+FROM rps r LEFT JOIN (
+  SELECT second, sum(CAST(round(factor * {dec_cost('assigned')} * 10000) AS BIGINT)) AS u,
+         count(*) FILTER (WHERE source = 'policy') AS n_policy
+  FROM costed GROUP BY second) c USING (second)"""
