@@ -52,18 +52,24 @@ class DiscountedUCB(Policy):
                 F.col("n").cast("double").alias("n"))).alias("items"),
             F.sum(F.col("n").cast("double")).alias("N0"))
         g = repr(float(self.gamma))
-        sc = lambda v: self._index_sql(f"{v}.mean", f"{v}.n", "acc.N")
-        # best = smallest name among the decisions with the highest index
-        best = (f"array_min(transform(filter(acc.items, p -> {sc('p')} = "
-                f"array_max(transform(acc.items, q -> {sc('q')}))), p -> p.d))")
+        bonus = f"CASE WHEN a.N > 1 THEN {self.bonus!r} * sqrt(2 * ln(a.N)) ELSE 0D END"
+        # Higher-order functions are interpreted, so every value is bound
+        # once per step: aggregate(array(v), acc, (acc, name) -> ...) is a
+        # 'let name = v'.  argmax is one pass: higher index, then smaller name.
         expr = f"""
           aggregate(sequence(1, {int(self.slots)}),
             named_struct('items', items, 'N', N0, 'picks', CAST(array() AS array<string>)),
-            (acc, i) -> named_struct(
-              'items', transform(acc.items, e -> named_struct(
-                  'd', e.d, 'mean', e.mean,
-                  'n', (e.n + CASE WHEN e.d = {best} THEN 1D ELSE 0D END) * {g})),
-              'N', (acc.N + 1D) * {g},
-              'picks', concat(acc.picks, array({best}))),
-            acc -> acc.picks)"""
+            (a, i) -> aggregate(array({bonus}), a, (a, b) ->
+              aggregate(array(transform(a.items, e -> named_struct(
+                          'd', e.d, 's', CASE WHEN e.n > 0 THEN e.mean + b / sqrt(e.n) ELSE 0D END))),
+                a, (a, sc) ->
+                aggregate(array(aggregate(sc, sc[0], (m, x) ->
+                            CASE WHEN x.s > m.s OR (x.s = m.s AND x.d < m.d) THEN x ELSE m END).d),
+                  a, (a, best) -> named_struct(
+                    'items', transform(a.items, e -> named_struct(
+                        'd', e.d, 'mean', e.mean,
+                        'n', (e.n + CASE WHEN e.d = best THEN 1D ELSE 0D END) * {g})),
+                    'N', (a.N + 1D) * {g},
+                    'picks', concat(a.picks, array(best)))))),
+            a -> a.picks)"""
         return per_group.select(*keys, F.expr(expr).alias("slots"))

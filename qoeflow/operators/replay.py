@@ -138,7 +138,7 @@ def state_asof(history: DataFrame, stats: DataFrame, asks: DataFrame, gamma: flo
     union + ``last(ignorenulls)`` window per (group, decision), then the
     lazy decay gamma^(E(T) - E(b)) with E(T) = A(b) + T - G(T)."""
     from pyspark.sql import Window
-    decs = history.select("group_id", "decision").distinct()
+    decs = stats.select("group_id", "decision").distinct()   # cheap: not the fold
     q = asks.join(decs, "group_id").select(
         "group_id", "decision", F.col("at").alias(tick), F.lit(True).alias("_q"))
     h = history.select("group_id", "decision", tick, F.lit(False).alias("_q"),

@@ -15,6 +15,8 @@ tables are small and are broadcast when Spark's size estimate allows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,23 @@ FROM r WHERE variant_get(node, '$.GroupName', 'string') IS NOT NULL
 """
 
 
-def flatten_rules(rules: DataFrame, col: str = "rules") -> DataFrame:
-    """Rule documents (doc_id, json text) -> one row per leaf."""
+def flatten_rules(rules: DataFrame, col: str = "rules", materialize: bool = True) -> DataFrame:
+    """Rule documents (doc_id, json text) -> one row per leaf.
+
+    A recursive CTE re-runs its iterations every time the plan executes;
+    the leaf table is small and read several times by ``match_groups``,
+    so it is materialised once with a reliable checkpoint (shared
+    checkpoint folder) unless ``materialize=False``.
+    """
+    from qoeflow.session import shared_dir
     spark = rules.sparkSession
-    name = f"_qoe_rules_{abs(hash(id(rules)))}"
+    name = f"_qoe_rules_{uuid.uuid4().hex[:12]}"
     rules.createOrReplaceTempView(name)
-    return spark.sql(FLATTEN_SQL.format(rules=col, src=name))
+    leaves = spark.sql(FLATTEN_SQL.format(rules=col, src=name))
+    if materialize:
+        shared_dir(spark)
+        leaves = leaves.checkpoint(eager=True)
+    return leaves
 
 
 def _key_of(field: int):
