@@ -553,3 +553,43 @@ def q_replay_assignments(spark, sf_dir):
     b = V.sessions(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
     served = replay_policy(b, _stats(spark, sf_dir), ducb(), P.SEED)
     return served.select("line_no", "group_id", "tick", "assigned", "source")
+
+
+@query("exchange_fanout_stream")
+def q_exchange_fanout_stream(spark, sf_dir):
+    """M5/J3/T5 streamed: subscriptions into a table, every decision
+    (all snapshots) fanned out to its group's subscribers but us."""
+    from qoeflow.operators.records import format_decision
+    from qoeflow.streaming.exchange import exchange_job
+    dec = format_decision(ucb_decisions(spark, sf_dir), P.ORIGIN).select("group_id", "tick", "message")
+    out = exchange_job(spark, V.subs(spark, sf_dir), dec, P.ME)
+    return out.select("group_id", "cluster_id", "tick", "message")
+
+
+@query("group_table_stream")
+def q_group_table_stream(spark, sf_dir):
+    """T6/A15 streamed: the feed folded into a versioned assignment table."""
+    from qoeflow.streaming.exchange import group_table_job
+    t = group_table_job(spark, V.assign_feed(spark, sf_dir), P.ME)
+    return t.select("group_id", "cluster_id")
+
+
+@query("latest_decision_stream")
+def q_latest_decision_stream(spark, sf_dir):
+    """S7 streamed: decisions merged into the latest-decision table."""
+    from qoeflow.streaming.exchange import latest_decision_job
+    d = ucb_decisions(spark, sf_dir).withColumn("slots", F.array_join("slots", ":"))
+    return latest_decision_job(spark, d).select("group_id", "slots", "tick")
+
+
+@query("sliding_stream")
+def q_sliding_stream(spark, sf_dir):
+    """T3 streamed: the tick ring per group, read at the last tick, then
+    the epsilon-greedy choice; equals best_decision."""
+    from qoeflow.streaming.exchange import window_ring_job
+    ring = window_ring_job(spark, V.updates(spark, sf_dir), P.EG_WINDOW_TICKS)
+    T = ring.select(F.max("tick")).scalar()
+    st = (ring.where(F.col("tick") > T - P.EG_WINDOW_TICKS)
+          .groupBy("group_id", "decision").agg(F.sum("score_sum").alias("score_sum"), F.sum("n").alias("n")))
+    d = egreedy().decide(st)
+    return d.select("group_id", "best", F.array_join("rest", ",").alias("rest"), "epsilon")

@@ -548,3 +548,13 @@ FROM rps r LEFT JOIN (
   SELECT second, sum(CAST(round(factor * {dec_cost('assigned')} * 10000) AS BIGINT)) AS u,
          count(*) FILTER (WHERE source = 'policy') AS n_policy
   FROM costed GROUP BY second) c USING (second)"""
+
+SQL["exchange_fanout_stream"] = with_(UPDATES, STATS, *snapshots(), SUBS, recursive=True) + f"""
+SELECT DISTINCT u.group_id, s.cluster_id, CAST(u.snap AS BIGINT) AS tick,
+       concat(u.group_id, ';', u.slots, ':', ';', '{P.ORIGIN}') AS message
+FROM ucbs u JOIN subs s ON s.group_id = u.group_id
+WHERE s.cluster_id <> '{P.ME}'"""
+
+SQL["group_table_stream"] = SQL["group_assignment_latest"]
+SQL["latest_decision_stream"] = SQL["latest_decision"]
+SQL["sliding_stream"] = SQL["best_decision"]
