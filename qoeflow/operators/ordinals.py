@@ -33,9 +33,12 @@ def ordinal_within(df: DataFrame, part: list[str], order: list[str], name: str =
                    n_parts: int | None = None) -> DataFrame:
     """Add a 1-based ordinal of each row within ``part`` ordered by ``order``."""
     spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared_dir(spark)
-    r = (df.repartitionByRange(n, *part, *order)
+    # Without an explicit count AQE may coalesce adjacent ranges to the
+    # advisory partition size -- order across partitions is kept.
+    ranged = (df.repartitionByRange(n_parts, *part, *order) if n_parts
+              else df.repartitionByRange(*part, *order))
+    r = (ranged
            .sortWithinPartitions(*part, *order)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_idx", F.monotonically_increasing_id())

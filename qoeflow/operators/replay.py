@@ -94,41 +94,64 @@ def cost_per_second(b: DataFrame, costed: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ policy replay
-def state_history(stats: DataFrame, gamma: float, tick: str = "tick") -> DataFrame:
+FOLD_OUT = "array<struct<t:bigint,e:bigint,a:bigint,s:double,c:double>>"
+
+
+def _fold_expr(arr: str, gamma: float) -> F.Column:
+    """Fold the recurrence S_i = s_i + gamma^(E_i - E_(i-1)) * S_(i-1) over a
+    sorted array of (t, e, a, s, c), returning every intermediate state."""
+    g = repr(float(gamma))
+    step = f"coalesce(pow({g}, x.e - acc.e), 0D)"
+    return F.expr(f"""
+      aggregate({arr}, named_struct('e', CAST(NULL AS BIGINT), 's', 0D, 'c', 0D,
+                                   'out', CAST(array() AS {FOLD_OUT})),
+        (acc, x) -> aggregate(array(named_struct('s', x.s + {step} * acc.s, 'c', x.c + {step} * acc.c)),
+          acc, (acc, v) -> named_struct(
+            'e', CAST(x.e AS BIGINT), 's', v.s, 'c', v.c,
+            'out', concat(acc.out, array(named_struct('t', CAST(x.t AS BIGINT), 'e', CAST(x.e AS BIGINT),
+                                                      'a', CAST(x.a AS BIGINT), 's', v.s, 'c', v.c))))),
+        acc -> acc.out)""")
+
+
+def state_history(stats: DataFrame, gamma: float, tick: str = "tick", chunk: int = 128) -> DataFrame:
     """A5 at every active tick of each (group, decision).
 
     Between consecutive active ticks b' < b of a decision the state is
     multiplied by gamma^(E(b) - E(b')), E = A + tick - G (see
     ``stats.discounted_state``), then the tick's own sums are added.  The
-    recurrence is folded exactly with ``aggregate`` over the (group,
-    decision)'s sorted tick rows -- one entry per active tick, so the
-    array is bounded by the time horizon, not by the number of updates.
+    recurrence is folded exactly with ``aggregate``, in two levels so no
+    array grows with the history: each (group, decision)'s ticks are cut
+    into chunks of ``chunk`` ticks and folded from zero; the chunk end
+    states are folded into carries; a row's state is its chunk partial plus
+    gamma^(E - E_prev_end) times the carry of the chunk before.
     """
     from pyspark.sql import Window
     wg = Window.partitionBy("group_id").orderBy(tick)
     wgd = Window.partitionBy("group_id", "decision").orderBy(tick)
     s = (stats.withColumn("_G", F.dense_rank().over(wg))
               .withColumn("_A", F.row_number().over(wgd))
-              .withColumn("_E", F.col("_A") + F.col(tick) - F.col("_G")))
-    hist = s.groupBy("group_id", "decision").agg(F.array_sort(F.collect_list(F.struct(
-        F.col(tick).alias("t"), F.col("_E").alias("e"), F.col("_A").alias("a"),
-        F.col("score_sum").cast("double").alias("s"), F.col("n").cast("double").alias("c")))).alias("h"))
-    g = repr(float(gamma))
-    fold = F.expr(f"""
-      aggregate(h, named_struct('e', CAST(NULL AS BIGINT), 's', 0D, 'c', 0D,
-                                'out', CAST(array() AS array<struct<t:bigint,e:bigint,a:bigint,s:double,c:double>>)),
-        (acc, x) -> named_struct(
-           'e', CAST(x.e AS BIGINT),
-           's', x.s + coalesce(pow({g}, x.e - acc.e), 0D) * acc.s,
-           'c', x.c + coalesce(pow({g}, x.e - acc.e), 0D) * acc.c,
-           'out', concat(acc.out, array(named_struct(
-               't', CAST(x.t AS BIGINT), 'e', CAST(x.e AS BIGINT), 'a', CAST(x.a AS BIGINT),
-               's', x.s + coalesce(pow({g}, x.e - acc.e), 0D) * acc.s,
-               'c', x.c + coalesce(pow({g}, x.e - acc.e), 0D) * acc.c)))),
-        acc -> acc.out)""")
-    return (hist.select("group_id", "decision", F.explode(fold).alias("x"))
-                .select("group_id", "decision", F.col("x.t").alias(tick), F.col("x.e").alias("e"),
-                        F.col("x.a").alias("a"), F.col("x.s").alias("score_sum"), F.col("x.c").alias("n")))
+              .withColumn("_E", F.col("_A") + F.col(tick) - F.col("_G"))
+              .withColumn("_k", F.floor((F.col("_A") - 1) / chunk).cast("bigint")))
+    rows = F.struct(F.col(tick).alias("t"), F.col("_E").alias("e"), F.col("_A").alias("a"),
+                    F.col("score_sum").cast("double").alias("s"), F.col("n").cast("double").alias("c"))
+    part = (s.groupBy("group_id", "decision", "_k").agg(F.array_sort(F.collect_list(rows)).alias("h"))
+             .select("group_id", "decision", "_k", F.explode(_fold_expr("h", gamma)).alias("x")))
+    # chunk ends -> carries: state at the end of every chunk
+    ends = part.groupBy("group_id", "decision", "_k").agg(F.max_by("x", "x.t").alias("x"))
+    carry = (ends.groupBy("group_id", "decision")
+             .agg(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("x.t").alias("t"),
+                                                       F.col("x.e").alias("e"), F.col("x.a").alias("a"),
+                                                       F.col("x.s").alias("s"), F.col("x.c").alias("c"))))
+                  .alias("h")))
+    carry = carry.select("group_id", "decision", F.posexplode(_fold_expr("h", gamma)).alias("_k", "y"))
+    carry = carry.select("group_id", "decision", (F.col("_k") + 1).cast("bigint").alias("_k"),
+                         F.col("y.e").alias("_pe"), F.col("y.s").alias("_ps"), F.col("y.c").alias("_pc"))
+    j = part.join(carry, ["group_id", "decision", "_k"], "left")
+    f = F.coalesce(F.pow(F.lit(gamma), F.col("x.e") - F.col("_pe")), F.lit(0.0))
+    return j.select("group_id", "decision", F.col("x.t").alias(tick), F.col("x.e").alias("e"),
+                    F.col("x.a").alias("a"),
+                    (F.col("x.s") + f * F.coalesce("_ps", F.lit(0.0))).alias("score_sum"),
+                    (F.col("x.c") + f * F.coalesce("_pc", F.lit(0.0))).alias("n"))
 
 
 def state_asof(history: DataFrame, stats: DataFrame, asks: DataFrame, gamma: float,

@@ -534,8 +534,12 @@ def q_policy_replay(spark, sf_dir):
     from the updates up to the tick before), load-adjusted cost per second."""
     from qoeflow.functions import exact_mean4, scaled_units
     from qoeflow.operators.replay import adjusted_cost, cost_per_second, load_share, replay_policy
+    from qoeflow.session import shared_dir
     b = _buckets(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
-    served = replay_policy(b, _stats(spark, sf_dir), ducb(), P.SEED)
+    shared_dir(spark)
+    # served sessions feed two branches (all sessions, successful ones):
+    # materialise once instead of replaying the policy twice
+    served = replay_policy(b, _stats(spark, sf_dir), ducb(), P.SEED).checkpoint(eager=True)
     costed = adjusted_cost(load_share(served, decision="assigned"), decision="assigned")
     c = cost_per_second(served, costed)
     u = costed.groupBy("second").agg(F.sum(scaled_units("cost", 4)).alias("_u"),
