@@ -40,6 +40,12 @@ def _stats(spark, sf_dir):
     return S.tick_stats(V.updates(spark, sf_dir))
 
 
+def _last_tick(spark, sf_dir):
+    """Latest tick as a scalar subquery over the raw updates (a one-column
+    partial max), rather than over the aggregated tick stats."""
+    return V.updates(spark, sf_dir).select(F.max("tick")).scalar()
+
+
 # ---------------------------------------------------------------- policies
 @query("tick_stats")
 def q_tick_stats(spark, sf_dir):
@@ -49,7 +55,7 @@ def q_tick_stats(spark, sf_dir):
 
 @query("discounted_state")
 def q_discounted_state(spark, sf_dir):
-    st = S.discounted_state(_stats(spark, sf_dir), P.GAMMA)
+    st = _dstate(spark, sf_dir)
     return st.select("group_id", "decision", round4("score_sum").alias("score_sum"),
                      round4("n").alias("n"), round4(S.mean_col()).alias("mean"), "last_tick")
 
@@ -57,7 +63,7 @@ def q_discounted_state(spark, sf_dir):
 @query("ucb_slots")
 def q_ucb_slots(spark, sf_dir):
     pol = ducb()
-    dec = pol.decide(pol.state(_stats(spark, sf_dir)))
+    dec = pol.decide(pol.state(_stats(spark, sf_dir), at_tick=_last_tick(spark, sf_dir)))
     return dec.select("group_id", F.array_join("slots", ":").alias("slots"))
 
 
@@ -73,7 +79,7 @@ def q_decision_map(spark, sf_dir):
 
 
 def _dstate(spark, sf_dir):
-    return S.discounted_state(_stats(spark, sf_dir), P.GAMMA)
+    return S.discounted_state(_stats(spark, sf_dir), P.GAMMA, at_tick=_last_tick(spark, sf_dir))
 
 
 @query("group_means")
@@ -86,7 +92,7 @@ def q_group_means(spark, sf_dir):
 def q_state_merge(spark, sf_dir):
     """Fold the last tick into the state at the tick before; equals A5 at T."""
     st = _stats(spark, sf_dir)
-    T = S.last_tick(st)
+    T = _last_tick(spark, sf_dir)
     old = S.discounted_state(st, P.GAMMA, at_tick=T - 1)
     new = st.where(F.col("tick") == T)
     m = S.merge_state(new, old, P.GAMMA)
@@ -103,7 +109,7 @@ def q_ucb_index(spark, sf_dir):
 
 def eg_decisions(spark, sf_dir):
     pol = egreedy()
-    return pol.decide(pol.state(_stats(spark, sf_dir)))
+    return pol.decide(pol.state(_stats(spark, sf_dir), at_tick=_last_tick(spark, sf_dir)))
 
 
 @query("best_decision")
@@ -146,7 +152,7 @@ def q_custom_policy(spark, sf_dir):
 def ucb_decisions(spark, sf_dir) -> DataFrame:
     """V.decisions: UCB slot lists at a few snapshot ticks before the last."""
     st = _stats(spark, sf_dir)
-    T = S.last_tick(st)
+    T = _last_tick(spark, sf_dir)
     pol = ducb()
     parts = [pol.decide(pol.state(st, at_tick=T - k)).withColumn("tick", (T - k).cast("bigint"))
              for k in P.SNAPSHOT_BACK]
