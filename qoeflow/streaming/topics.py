@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def broker_list(hosts: str, port: int = 9092) -> str:
+    """'h1,h2' -> 'h1:9092,h2:9092' (the reference's replace(",", ":9092,"))."""
+    return hosts.replace(",", f":{port},") + f":{port}"
+
+
 def read_topic(spark: SparkSession, fmt: str, options: dict, schema: str | None = None) -> DataFrame:
     """A string topic as a stream of ``value`` rows.
 
