@@ -198,7 +198,7 @@ f AS (
 SELECT CAST(feature_idx AS BIGINT) AS feature_idx, value, count(*) AS n FROM f GROUP BY ALL"""
 
 SQL["heartbeats"] = with_(ROUTED) + f"""
-SELECT *, sum(n_records) OVER (PARTITION BY tick) AS n_batch FROM (
+SELECT *, CAST(sum(n_records) OVER (PARTITION BY tick) AS BIGINT) AS n_batch FROM (
   SELECT CAST(floor(epoch(ts) / {P.TICK_S}) AS BIGINT) AS tick, cluster_id,
          count(*) AS n_records, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_ts
   FROM routed GROUP BY ALL) h"""
