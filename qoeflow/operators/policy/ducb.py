@@ -42,9 +42,19 @@ class DiscountedUCB(Policy):
                 .select("group_id", "decision", "mean", "N", idx.alias("ucb"))
                 .withColumn("rnk", F.rank().over(w)))
 
-    def decide(self, state: DataFrame, keys: list[str] | None = None) -> DataFrame:
-        """K3: the slot list per group (or per ``keys``, e.g. group and tick)."""
+    def decide(self, state: DataFrame, keys: list[str] | None = None,
+               engine: str = "catalyst") -> DataFrame:
+        """K3: the slot list per group (or per ``keys``, e.g. group and tick).
+
+        ``engine='catalyst'`` runs the loop as one higher-order-function
+        expression (no Python); ``engine='arrow'`` runs the same arithmetic
+        vectorised with numpy over whole Arrow batches of keys -- for
+        millions of keys (decisions per group and tick in a replay) where
+        interpreted lambdas cost hundreds of microseconds per key.
+        """
         keys = keys or ["group_id"]
+        if engine == "arrow":
+            return self._decide_arrow(state, keys)
         per_group = state.groupBy(*keys).agg(
             F.collect_list(F.struct(
                 F.col("decision").alias("d"),
@@ -73,3 +83,54 @@ class DiscountedUCB(Policy):
                     'picks', concat(a.picks, array(best)))))),
             a -> a.picks)"""
         return per_group.select(*keys, F.expr(expr).alias("slots"))
+
+    def _decide_arrow(self, state: DataFrame, keys: list[str]) -> DataFrame:
+        items = state.groupBy(*keys).agg(
+            F.array_sort(F.collect_list(F.struct(
+                F.col("decision").alias("d"), S.mean_col().alias("m"),
+                F.col("n").cast("double").alias("n")))).alias("_it"),
+            F.sum(F.col("n").cast("double")).alias("N0"))
+        items = items.select(*keys, "N0", F.col("_it.d").alias("_d"), F.col("_it.m").alias("_m"),
+                             F.col("_it.n").alias("_n"))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields
+                           if f.name in keys) + ", slots array<string>"
+        gamma, slots, bonus = float(self.gamma), int(self.slots), float(self.bonus)
+
+        def run(batches):
+            import numpy as np
+            import pandas as pd
+            for pdf in batches:
+                b = len(pdf)
+                if b == 0:
+                    continue
+                lens = pdf["_d"].map(len).to_numpy()
+                k = int(lens.max())
+                rows = np.repeat(np.arange(b), lens)
+                cols = np.concatenate([np.arange(x) for x in lens])
+                names = np.full((b, k), None, dtype=object)
+                mean = np.zeros((b, k))
+                n = np.full((b, k), np.nan)
+                names[rows, cols] = np.concatenate(pdf["_d"].to_numpy())
+                mean[rows, cols] = np.concatenate(pdf["_m"].to_numpy()).astype(float)
+                n[rows, cols] = np.concatenate(pdf["_n"].to_numpy()).astype(float)
+                pad = np.isnan(n)
+                N = pdf["N0"].to_numpy(dtype=float).copy()
+                picks = np.zeros((b, slots), dtype=np.int64)
+                ar = np.arange(b)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    for j in range(slots):
+                        big = N > 1
+                        bon = np.where(big, bonus * np.sqrt(2 * np.log(np.where(big, N, 2.0))), 0.0)
+                        pos = n > 0
+                        sc = np.where(pos, mean + bon[:, None] / np.sqrt(np.where(pos, n, 1.0)), 0.0)
+                        sc[pad] = -np.inf
+                        best = np.argmax(sc, axis=1)    # first max = smallest name (sorted)
+                        picks[:, j] = best
+                        n[ar, best] += 1.0
+                        N = (N + 1.0) * gamma
+                        n *= gamma
+                out = pdf[keys].copy()
+                out["slots"] = list(names[ar[:, None], picks])
+                yield out
+
+        return items.mapInPandas(run, schema)

@@ -194,7 +194,12 @@ def replay_policy(sessions: DataFrame, stats: DataFrame, policy, seed: str,
     hist = state_history(stats, policy.gamma, tick)
     asks = sessions.select("group_id", (F.col(tick) - 1).alias("at")).distinct()
     st = state_asof(hist, stats, asks, policy.gamma, tick)
-    slots = policy.decide(st, keys=["group_id", "at"])
+    # one decision per (group, tick): millions of keys at scale -> the
+    # vectorised engine when the policy offers one
+    try:
+        slots = policy.decide(st, keys=["group_id", "at"], engine="arrow")
+    except TypeError:
+        slots = policy.decide(st, keys=["group_id", "at"])
     s = sessions.withColumn("at", F.col(tick) - 1).join(slots, ["group_id", "at"], "left")
     cands = F.array_sort(F.map_keys("decision_map"))
     u = hash_u32(F.lit(seed), F.lit("slot"), F.col("line_no"))

@@ -154,3 +154,21 @@ def test_state_history_chunks_equal_recurrence(spark, chunk):
         # loop_state runs to the group's last tick <= r.tick, which is r.tick here
         assert r.score_sum == pytest.approx(want[0], rel=1e-9)
         assert r.n == pytest.approx(want[1], rel=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ucb_arrow_engine_equals_catalyst(spark, seed):
+    rnd = random.Random(200 + seed)
+    state = []
+    for g in range(40):
+        for d in rnd.sample(["p", "q", "r", "s", "t"], rnd.randint(1, 5)):
+            n = rnd.choice([0.0, 0.2, 1.0, rnd.uniform(0.5, 30)])
+            state.append((str(g), g % 3, d, -rnd.uniform(0, 50) * n, n))
+    state.append(("tie", 0, "b", -2.0, 1.0))
+    state.append(("tie", 0, "a", -2.0, 1.0))
+    df = spark.createDataFrame(state, "group_id string, t int, decision string, score_sum double, n double")
+    pol = DiscountedUCB(0.8, 10, 1000.0)
+    a = {(r.group_id, r.t): r.slots for r in pol.decide(df, ["group_id", "t"]).collect()}
+    b = {(r.group_id, r.t): r.slots for r in pol.decide(df, ["group_id", "t"], engine="arrow").collect()}
+    assert a == b
+    assert a[("tie", 0)][0] == "a"
