@@ -51,7 +51,13 @@ def strip_chars(c, chars: str = TRIM_CHARS) -> Column:
 
 
 def round4(c) -> Column:
-    return F.round(_c(c), 4)
+    """Round half-up to 4 places through DECIMAL(38,12).
+
+    Rounding a double directly differs between engines at exact halves
+    (Spark rounds its shortest decimal string, others the binary value);
+    going through a 12-place decimal first makes every engine round the
+    same decimal number."""
+    return F.round(_c(c).cast("decimal(38,12)"), 4).cast("double")
 
 
 def scaled_units(c, digits: int) -> Column:

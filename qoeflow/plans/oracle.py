@@ -67,11 +67,11 @@ def with_(*ctes: str, recursive: bool = False) -> str:
 
 
 SQL["tick_stats"] = with_(UPDATES, STATS) + """
-SELECT group_id, decision, tick, round(score_sum, 4) AS score_sum, n FROM stats"""
+SELECT group_id, decision, tick, CAST(round(CAST(score_sum AS DECIMAL(38,12)), 4) AS DOUBLE) AS score_sum, n FROM stats"""
 
 SQL["discounted_state"] = with_(UPDATES, STATS, dstate()) + """
-SELECT group_id, decision, round(score_sum, 4) AS score_sum, round(n, 4) AS n,
-       round(CASE WHEN n > 0 THEN score_sum / n ELSE 0 END, 4) AS mean, last_tick
+SELECT group_id, decision, CAST(round(CAST(score_sum AS DECIMAL(38,12)), 4) AS DOUBLE) AS score_sum, CAST(round(CAST(n AS DECIMAL(38,12)), 4) AS DOUBLE) AS n,
+       CAST(round(CAST(CASE WHEN n > 0 THEN score_sum / n ELSE 0 END AS DECIMAL(38,12)), 4) AS DOUBLE) AS mean, last_tick
 FROM dstate"""
 
 SQL["ucb_slots"] = with_(UPDATES, STATS, dstate(), ucb_rec(), recursive=True) + """
@@ -80,7 +80,7 @@ SELECT group_id, slots FROM ucb"""
 SQL["decision_map"] = with_(UPDATES, STATS, """per_d AS (
   SELECT group_id, decision, sum(score_sum) AS s, sum(n) AS n FROM stats GROUP BY group_id, decision)""") + """
 SELECT group_id, string_agg(decision, ',' ORDER BY decision) AS decisions,
-       CAST(sum(n) AS BIGINT) AS n_total, round(sum(s), 4) AS score_total
+       CAST(sum(n) AS BIGINT) AS n_total, CAST(round(CAST(sum(s) AS DECIMAL(38,12)), 4) AS DOUBLE) AS score_total
 FROM per_d GROUP BY group_id"""
 
 MEANS = """means AS (
@@ -89,13 +89,13 @@ MEANS = """means AS (
   FROM dstate)"""
 
 SQL["group_means"] = with_(UPDATES, STATS, dstate(), MEANS) + """
-SELECT group_id, decision, round(mean, 4) AS mean, round(NN, 4) AS "N" FROM means"""
+SELECT group_id, decision, CAST(round(CAST(mean AS DECIMAL(38,12)), 4) AS DOUBLE) AS mean, CAST(round(CAST(NN AS DECIMAL(38,12)), 4) AS DOUBLE) AS "N" FROM means"""
 
 SQL["state_merge"] = with_(UPDATES, STATS, dstate()) + """
-SELECT group_id, decision, round(score_sum, 4) AS score_sum, round(n, 4) AS n FROM dstate"""
+SELECT group_id, decision, CAST(round(CAST(score_sum AS DECIMAL(38,12)), 4) AS DOUBLE) AS score_sum, CAST(round(CAST(n AS DECIMAL(38,12)), 4) AS DOUBLE) AS n FROM dstate"""
 
 SQL["ucb_index"] = with_(UPDATES, STATS, dstate(), MEANS) + f"""
-SELECT group_id, decision, round(mean, 4) AS mean, round(NN, 4) AS "N", round(ucb, 4) AS ucb,
+SELECT group_id, decision, CAST(round(CAST(mean AS DECIMAL(38,12)), 4) AS DOUBLE) AS mean, CAST(round(CAST(NN AS DECIMAL(38,12)), 4) AS DOUBLE) AS "N", CAST(round(CAST(ucb AS DECIMAL(38,12)), 4) AS DOUBLE) AS ucb,
        CAST(rank() OVER (PARTITION BY group_id ORDER BY ucb DESC, decision) AS BIGINT) AS rnk
 FROM (SELECT *, CASE WHEN n > 0 THEN mean + (CASE WHEN NN > 1 THEN {P.BONUS} * sqrt(2 * ln(NN))
                  ELSE 0 END) / sqrt(n) ELSE 0 END AS ucb FROM means) u"""
@@ -117,7 +117,7 @@ SELECT group_id, best,
 FROM eg GROUP BY group_id, best"""
 
 SQL["sliding_stats"] = with_(UPDATES, STATS) + f"""
-SELECT group_id, decision, tick, round(sum(score_sum) OVER w, 4) AS score_sum,
+SELECT group_id, decision, tick, CAST(round(CAST(sum(score_sum) OVER w AS DECIMAL(38,12)), 4) AS DOUBLE) AS score_sum,
        CAST(sum(n) OVER w AS BIGINT) AS n
 FROM stats
 WINDOW w AS (PARTITION BY group_id, decision ORDER BY tick
@@ -159,7 +159,7 @@ COST_TXT = "CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR)"
 
 SQL["parse_updates"] = """
 SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS group_id, event_type AS decision,
-       round(-CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE), 4) AS score
+       CAST(round(CAST(-CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS DECIMAL(38,12)), 4) AS DOUBLE) AS score
 FROM events"""
 
 SQL["project_labels"] = f"""
@@ -346,7 +346,7 @@ def dec_cost(d: str) -> str:
 
 SQL["trace_parse"] = f"""
 SELECT event_id AS line_no, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, event_type AS decision,
-       CAST({len(P.DECISION_TYPES)} AS BIGINT) AS n_decisions, round({dec_cost('event_type')}, 4) AS cost,
+       CAST({len(P.DECISION_TYPES)} AS BIGINT) AS n_decisions, CAST(round(CAST({dec_cost('event_type')} AS DECIMAL(38,12)), 4) AS DOUBLE) AS cost,
        CAST(3 AS BIGINT) AS n_thresholds, 4.0::DOUBLE AS top_factor
 FROM events"""
 
@@ -386,11 +386,11 @@ SQL["sessions_per_minute"] = with_(SESS) + """
 SELECT CAST(minute AS BIGINT) AS minute, n_sessions FROM spm"""
 
 SQL["load_share"] = with_(SESS) + """
-SELECT line_no, CAST(minute AS BIGINT) AS minute, decision, round(load, 4) AS load FROM ls"""
+SELECT line_no, CAST(minute AS BIGINT) AS minute, decision, CAST(round(CAST(load AS DECIMAL(38,12)), 4) AS DOUBLE) AS load FROM ls"""
 
 SQL["load_adjusted_cost"] = with_(SESS) + f"""
-SELECT line_no, decision, round(load, 4) AS load, factor,
-       round(factor * {dec_cost('decision')}, 4) AS cost
+SELECT line_no, decision, CAST(round(CAST(load AS DECIMAL(38,12)), 4) AS DOUBLE) AS load, factor,
+       CAST(round(CAST(factor * {dec_cost('decision')} AS DECIMAL(38,12)), 4) AS DOUBLE) AS cost
 FROM costed"""
 
 def exact_mean4(units_sum: str, n: str, digits: int) -> str:
@@ -409,7 +409,7 @@ SQL["round_robin"] = f"""
 SELECT event_id AS line_no, event_id % {P.N_FRONTENDS} AS url_idx,
        CASE WHEN event_type <> 'error' THEN 'online' ELSE 'local' END AS mode,
        CASE WHEN event_type <> 'error' THEN event_type ELSE '{sorted(P.DECISION_TYPES)[2]}' END AS chosen,
-       round({dec_cost("CASE WHEN event_type <> 'error' THEN event_type ELSE '" + sorted(P.DECISION_TYPES)[2] + "' END")}, 4) AS cost
+       CAST(round(CAST({dec_cost("CASE WHEN event_type <> 'error' THEN event_type ELSE '" + sorted(P.DECISION_TYPES)[2] + "' END")} AS DECIMAL(38,12)), 4) AS DOUBLE) AS cost
 FROM events"""
 
 RLOG = """rlog AS (
@@ -431,10 +431,10 @@ bm AS (
   GROUP BY url_idx, block HAVING count(*) = {P.BLOCK})"""
 
 SQL["block_means"] = BLOCKS + """
-SELECT url_idx, CAST(block AS BIGINT) AS block, round(mean_cost, 4) AS mean_cost FROM bm"""
+SELECT url_idx, CAST(block AS BIGINT) AS block, CAST(round(CAST(mean_cost AS DECIMAL(38,12)), 4) AS DOUBLE) AS mean_cost FROM bm"""
 
 SQL["block_zip"] = BLOCKS + """
-SELECT CAST(a.block AS BIGINT) AS block, round(a.mean_cost, 4) AS mean_a, round(b.mean_cost, 4) AS mean_b
+SELECT CAST(a.block AS BIGINT) AS block, CAST(round(CAST(a.mean_cost AS DECIMAL(38,12)), 4) AS DOUBLE) AS mean_a, CAST(round(CAST(b.mean_cost AS DECIMAL(38,12)), 4) AS DOUBLE) AS mean_b
 FROM bm a JOIN bm b ON a.block = b.block AND a.url_idx = 0 AND b.url_idx = 1"""
 
 SQL["block_gap"] = BLOCKS + """
@@ -466,7 +466,7 @@ FROM routed"""
 
 SQL["topic_roundtrip"] = with_(ROUTED) + """
 SELECT r.event_id, CASE WHEN r.cluster_id = '""" + P.ME + """' THEN 'internal_groups' ELSE 'external_groups' END AS topic,
-       r.group_id, e.event_type AS decision, round(-CAST(CAST(e.value AS DECIMAL(12,2)) AS DOUBLE), 4) AS score
+       r.group_id, e.event_type AS decision, CAST(round(CAST(-CAST(CAST(e.value AS DECIMAL(12,2)) AS DOUBLE) AS DECIMAL(38,12)), 4) AS DOUBLE) AS score
 FROM routed r JOIN events e USING (event_id)"""
 
 SQL["multi_sink_counts"] = with_(ROUTED) + f"""

@@ -157,3 +157,14 @@ def test_fallback_when_unavailable(spark):
     assert out[1] == ("x", "policy")
     assert out[2] == ("x", "fallback")       # decided 'z' is not a candidate
     assert out[3] == ("x", "fallback")       # no decision for the group
+
+
+def test_round4_agrees_with_duckdb_on_halves(spark):
+    import duckdb
+    vals = [14 / 320, 3 / 800, 0.00625, -2.34565, 1.00005, 123456.78905, 0.1 + 0.2, 2.5e-5]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in vals], "v double")
+           .select(__import__("qoeflow.functions", fromlist=["round4"]).round4("v").alias("x")).collect()]
+    con = duckdb.connect()
+    want = [con.execute("SELECT CAST(round(CAST(?::DOUBLE AS DECIMAL(38,12)), 4) AS DOUBLE)", [v]).fetchone()[0]
+            for v in vals]
+    assert got == want
