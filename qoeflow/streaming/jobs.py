@@ -41,6 +41,9 @@ def stage_files(df: DataFrame, path: str, order: str, n_files: int, fmt: str = "
     write per slice, so file times follow the order and a file stream
     with maxFilesPerTrigger=1 replays the data in order).  The bounds are
     one scalar aggregate; no data goes through the driver."""
+    from qoeflow.session import shared_dir
+    shared_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)          # compute the input once, not once per slice
     bounds = df.select(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
@@ -50,7 +53,8 @@ def stage_files(df: DataFrame, path: str, order: str, n_files: int, fmt: str = "
         part = df.where((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step))
         if cols:
             part = part.select(*cols)
-        part.coalesce(1).write.mode("append").format(fmt).save(path)
+        # one file per slice; repartition (not coalesce) keeps the upstream parallel
+        part.repartition(1).write.mode("append").format(fmt).save(path)
 
 
 def decision_state_job(spark: SparkSession, updates: DataFrame, gamma: float,
