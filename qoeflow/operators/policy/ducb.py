@@ -98,7 +98,6 @@ class DiscountedUCB(Policy):
 
         def run(batches):
             import numpy as np
-            import pandas as pd
             for pdf in batches:
                 b = len(pdf)
                 if b == 0:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qoeflow.operators import stats as S
 from qoeflow.operators.policy.base import Policy
 
 

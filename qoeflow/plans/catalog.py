@@ -9,14 +9,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qoeflow.functions import round4
+from qoeflow.functions import exact_mean4, round4, scaled_units
 from qoeflow.operators import stats as S
+from qoeflow.operators.assign import assign_epsilon, assign_slots, assign_weighted
+from qoeflow.operators.exchange import (
+    auto_subscribe, fan_out, feature_histogram, heartbeats, parse_subscriptions,
+    subscriber_sets,
+)
+from qoeflow.operators.failover import block_gap, block_means, block_zip, round_robin
 from qoeflow.operators.policy import DiscountedUCB, EpsilonGreedy, Policy
+from qoeflow.operators.records import (
+    available, decode_decision, drop_managed, format_decision, forward, parse_messages,
+    parse_updates, project_labels, route, split_request,
+)
+from qoeflow.operators.replay import (
+    adjusted_cost, cost_per_second, load_share, replay_policy, requests_per_second,
+    sessions_per_minute, with_buckets,
+)
+from qoeflow.operators.rules import flatten_rules, match_groups
 from qoeflow.plans import params as P
 from qoeflow.plans import views as V
+from qoeflow.session import shared_dir
+from qoeflow.sources.feed import group_assignment, latest_rules
+from qoeflow.sources.result_log import parse_result_log
+from qoeflow.sources.sinks import export_epsilon, latest_decision
+from qoeflow.sources.traces import read_traces, sort_traces, trace_text
+from qoeflow.streaming.exchange import (
+    exchange_job, group_table_job, latest_decision_job, window_ring_job,
+)
+from qoeflow.streaming.jobs import (
+    decision_state_job, ingest_job, late_rows_job, multi_sink_job, topic_roundtrip_job,
+)
+from qoeflow.streaming.state import decay_to
+
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -127,7 +155,6 @@ def q_sliding_stats(spark, sf_dir):
 
 @query("epsilon_export_lines")
 def q_epsilon_export(spark, sf_dir):
-    from qoeflow.sources.sinks import export_epsilon
     lines = export_epsilon(eg_decisions(spark, sf_dir))
     return lines.select("group_id", F.col("pos").cast("bigint").alias("pos"), "line")
 
@@ -164,14 +191,12 @@ def ucb_decisions(spark, sf_dir) -> DataFrame:
 
 @query("latest_decision")
 def q_latest_decision(spark, sf_dir):
-    from qoeflow.sources.sinks import latest_decision
     d = ucb_decisions(spark, sf_dir).withColumn("slots", F.array_join("slots", ":"))
     return latest_decision(d, "tick", ["slots"])
 
 
 @query("format_decisions")
 def q_format_decisions(spark, sf_dir):
-    from qoeflow.operators.records import decode_decision, format_decision
     d = ucb_decisions(spark, sf_dir)
     msg = format_decision(d, P.ORIGIN)
     dec = decode_decision(msg)
@@ -181,7 +206,6 @@ def q_format_decisions(spark, sf_dir):
 
 # ----------------------------------------------------------- record plumbing
 def _parsed(spark, sf_dir):
-    from qoeflow.operators.records import parse_updates
     good, _ = parse_updates(V.messages(spark, sf_dir), P.UPDATE_LABELS)
     return good
 
@@ -195,21 +219,18 @@ def q_parse_updates(spark, sf_dir):
 
 @query("project_labels")
 def q_project_labels(spark, sf_dir):
-    from qoeflow.operators.records import parse_messages, project_labels
     p = parse_messages(V.messages(spark, sf_dir))
     return p.select(F.col("seq").alias("event_id"), "group_id",
                     project_labels(p, P.UPDATE_LABELS, P.REDUCED_LABELS).alias("update"))
 
 
 def _routed(spark, sf_dir):
-    from qoeflow.operators.records import route
     return route(V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
                  P.UPDATE_LABELS, P.REDUCED_LABELS)
 
 
 @query("route_topics")
 def q_route_topics(spark, sf_dir):
-    from qoeflow.operators.records import forward
     r = _routed(spark, sf_dir)
     fwd, rej = forward(r, V.clusters(spark, sf_dir), P.ME)
     internal = r.where(F.col("topic") == "internal_groups").withColumn("address", F.lit(None).cast("string"))
@@ -219,15 +240,12 @@ def q_route_topics(spark, sf_dir):
 
 @query("auto_subscribe")
 def q_auto_subscribe(spark, sf_dir):
-    from qoeflow.operators.exchange import auto_subscribe
     r = _routed(spark, sf_dir)
     return auto_subscribe(r.where(F.col("topic") == "external_groups"), P.ME)
 
 
 @query("feature_histogram")
 def q_feature_histogram(spark, sf_dir):
-    from qoeflow.operators.exchange import feature_histogram
-    from qoeflow.operators.records import parse_messages
     p = parse_messages(V.messages(spark, sf_dir))
     h = feature_histogram(p, P.SAMPLE_FRACTION, P.MANAGED_LABELS, P.SEED, key="seq")
     return h.select(F.col("feature_idx").cast("bigint").alias("feature_idx"), "value", "n")
@@ -235,14 +253,12 @@ def q_feature_histogram(spark, sf_dir):
 
 @query("heartbeats")
 def q_heartbeats(spark, sf_dir):
-    from qoeflow.operators.exchange import heartbeats
     r = _routed(spark, sf_dir).withColumn("tick", F.floor(F.unix_timestamp("ts") / P.TICK_S).cast("bigint"))
     return heartbeats(r, "tick")
 
 
 @query("subscriber_sets")
 def q_subscriber_sets(spark, sf_dir):
-    from qoeflow.operators.exchange import parse_subscriptions, subscriber_sets
     s = subscriber_sets(parse_subscriptions(V.subs(spark, sf_dir)))
     return s.select("group_id", F.array_join("clusters", ",").alias("clusters"),
                     F.size("clusters").cast("bigint").alias("n_clusters"))
@@ -250,10 +266,7 @@ def q_subscriber_sets(spark, sf_dir):
 
 @query("decision_fanout")
 def q_decision_fanout(spark, sf_dir):
-    from qoeflow.operators.exchange import fan_out, parse_subscriptions
     d = ucb_decisions(spark, sf_dir)
-    from qoeflow.sources.sinks import latest_decision
-    from qoeflow.operators.records import format_decision
     latest = format_decision(latest_decision(d, "tick", ["slots"]), P.ORIGIN)
     f = fan_out(latest, parse_subscriptions(V.subs(spark, sf_dir)), P.ME)
     return f.select("group_id", "cluster_id", "message")
@@ -261,13 +274,11 @@ def q_decision_fanout(spark, sf_dir):
 
 # ------------------------------------------------------- grouping and serving
 def _requests(spark, sf_dir):
-    from qoeflow.operators.records import split_request
     return split_request(V.requests(spark, sf_dir), V.N_REQUEST_FEATURES)
 
 
 @query("request_candidates")
 def q_request_candidates(spark, sf_dir):
-    from qoeflow.operators.records import available, drop_managed
     r = _requests(spark, sf_dir)
     return r.select("req_id",
                     F.get("features", V.ASN_INDEX).alias("asn"),
@@ -278,7 +289,6 @@ def q_request_candidates(spark, sf_dir):
 
 
 def _leaves(spark, sf_dir):
-    from qoeflow.operators.rules import flatten_rules
     return flatten_rules(V.rules(spark, sf_dir))
 
 
@@ -293,7 +303,6 @@ def q_rule_flatten(spark, sf_dir):
 
 
 def _grouped_requests(spark, sf_dir, mode: str = "rules"):
-    from qoeflow.operators.rules import match_groups
     r = _requests(spark, sf_dir)
     asn = F.get("features", V.ASN_INDEX)
     if mode == "asn":
@@ -307,7 +316,6 @@ def q_rule_match(spark, sf_dir):
 
 
 def _latest_slots(spark, sf_dir):
-    from qoeflow.sources.sinks import latest_decision
     d = ucb_decisions(spark, sf_dir).withColumn(
         "slots", F.concat(F.array_join("slots", ":"), F.lit(":")))
     return latest_decision(d, "tick", ["slots"])
@@ -315,21 +323,18 @@ def _latest_slots(spark, sf_dir):
 
 @query("assign_slots")
 def q_assign_slots(spark, sf_dir):
-    from qoeflow.operators.assign import assign_slots
     a = assign_slots(_grouped_requests(spark, sf_dir), _latest_slots(spark, sf_dir), P.SEED)
     return a.select("req_id", "group_id", "decision", "source")
 
 
 @query("assign_epsilon")
 def q_assign_epsilon(spark, sf_dir):
-    from qoeflow.operators.assign import assign_epsilon
     a = assign_epsilon(_grouped_requests(spark, sf_dir, "asn"), eg_decisions(spark, sf_dir), P.SEED)
     return a.select("req_id", "group_id", "decision", "source")
 
 
 def weights(spark, sf_dir) -> DataFrame:
     """D9 from the data: each decision's share of its group's updates."""
-    from pyspark.sql import Window
     st = _stats(spark, sf_dir).groupBy("group_id", "decision").agg(F.sum("n").alias("n"))
     tot = F.sum("n").over(Window.partitionBy("group_id"))
     pos = F.row_number().over(Window.partitionBy("group_id").orderBy("decision"))
@@ -342,7 +347,6 @@ def weights(spark, sf_dir) -> DataFrame:
 
 @query("assign_weighted")
 def q_assign_weighted(spark, sf_dir):
-    from qoeflow.operators.assign import assign_weighted
     a = assign_weighted(_grouped_requests(spark, sf_dir, "asn"), weights(spark, sf_dir), P.SEED)
     return a.select("req_id", "group_id", "decision", "source")
 
@@ -352,13 +356,11 @@ TRACE_FEATURES = ["ts_ms", "line_no", "group_id", "decision"]
 
 
 def _trace_lines(spark, sf_dir):
-    from qoeflow.sources.traces import trace_text
     return trace_text(V.sessions(spark, sf_dir), TRACE_FEATURES)
 
 
 @query("trace_parse")
 def q_trace_parse(spark, sf_dir):
-    from qoeflow.sources.traces import read_traces
     t = read_traces(_trace_lines(spark, sf_dir))
     d = F.get("features", 3)
     thr = F.element_at("load_map", d)
@@ -371,35 +373,29 @@ def q_trace_parse(spark, sf_dir):
 
 @query("trace_sort")
 def q_trace_sort(spark, sf_dir):
-    from qoeflow.sources.traces import sort_traces
     return sort_traces(_trace_lines(spark, sf_dir)).select("line_no", "sort_pos")
 
 
 def _buckets(spark, sf_dir):
-    from qoeflow.operators.replay import with_buckets
     return with_buckets(V.sessions(spark, sf_dir), P.SECOND_S, P.MINUTE_S)
 
 
 @query("requests_dense")
 def q_requests_dense(spark, sf_dir):
-    from qoeflow.operators.replay import requests_per_second
     return requests_per_second(_buckets(spark, sf_dir))
 
 
 @query("sessions_per_minute")
 def q_sessions_per_minute(spark, sf_dir):
-    from qoeflow.operators.replay import sessions_per_minute
     return sessions_per_minute(_buckets(spark, sf_dir))
 
 
 def _costed(b):
-    from qoeflow.operators.replay import adjusted_cost, load_share
     return adjusted_cost(load_share(b))
 
 
 @query("load_share")
 def q_load_share(spark, sf_dir):
-    from qoeflow.operators.replay import load_share
     ls = load_share(_buckets(spark, sf_dir))
     return ls.select("line_no", "minute", "decision", round4("load").alias("load"))
 
@@ -413,8 +409,6 @@ def q_load_adjusted_cost(spark, sf_dir):
 
 @query("avg_cost_per_second")
 def q_avg_cost_per_second(spark, sf_dir):
-    from qoeflow.operators.replay import cost_per_second
-    from qoeflow.functions import exact_mean4, scaled_units
     b = _buckets(spark, sf_dir)
     costed = _costed(b)
     c = cost_per_second(b, costed)
@@ -426,20 +420,17 @@ def q_avg_cost_per_second(spark, sf_dir):
 
 @query("round_robin")
 def q_round_robin(spark, sf_dir):
-    from qoeflow.operators.failover import round_robin
     r = round_robin(V.sessions(spark, sf_dir), P.N_FRONTENDS)
     return r.select("line_no", F.col("url_idx").cast("bigint").alias("url_idx"), "mode", "chosen",
                     round4("cost").alias("cost"))
 
 
 def _result_log(spark, sf_dir):
-    from qoeflow.sources.result_log import parse_result_log
     return parse_result_log(V.result_log(spark, sf_dir))
 
 
 @query("cost_by_mode")
 def q_cost_by_mode(spark, sf_dir):
-    from qoeflow.functions import exact_mean4, scaled_units
     log = _result_log(spark, sf_dir).withColumn("_u", scaled_units("cost", 2))
     c = log.groupBy("url_idx", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum("_u").alias("_u"))
     return c.select(F.col("url_idx").cast("bigint").alias("url_idx"), "mode", "n",
@@ -447,7 +438,6 @@ def q_cost_by_mode(spark, sf_dir):
 
 
 def _block_means(spark, sf_dir):
-    from qoeflow.operators.failover import block_means
     return block_means(_result_log(spark, sf_dir), P.BLOCK)
 
 
@@ -460,28 +450,23 @@ def q_block_means(spark, sf_dir):
 
 @query("block_zip")
 def q_block_zip(spark, sf_dir):
-    from qoeflow.operators.failover import block_zip
     z = block_zip(_block_means(spark, sf_dir))
     return z.select("block", round4("mean_a").alias("mean_a"), round4("mean_b").alias("mean_b"))
 
 
 @query("block_gap")
 def q_block_gap(spark, sf_dir):
-    from qoeflow.operators.failover import block_gap
     return block_gap(_block_means(spark, sf_dir))
 
 
 @query("group_assignment_latest")
 def q_group_assignment_latest(spark, sf_dir):
-    from qoeflow.sources.feed import group_assignment
     return group_assignment(V.assign_feed(spark, sf_dir), P.ME)
 
 
 @query("feed_rules_match")
 def q_feed_rules_match(spark, sf_dir):
     """Rules taken from the mixed feed (not the direct view), then matched."""
-    from qoeflow.operators.rules import flatten_rules, match_groups
-    from qoeflow.sources.feed import latest_rules
     leaves = flatten_rules(latest_rules(V.assign_feed(spark, sf_dir)))
     r = _requests(spark, sf_dir)
     return match_groups(r, leaves, F.get("features", V.ASN_INDEX)).select("req_id", "group_id", "matched")
@@ -492,8 +477,6 @@ def q_feed_rules_match(spark, sf_dir):
 def q_stream_state(spark, sf_dir):
     """T1 streamed from files, read at the last tick (lazy decay); must
     equal the batch closed form (discounted_state)."""
-    from qoeflow.streaming.jobs import decision_state_job
-    from qoeflow.streaming.state import decay_to
     st = decision_state_job(spark, V.updates(spark, sf_dir), P.GAMMA)
     d = decay_to(st, P.GAMMA, st.select(F.max("group_tick")).scalar())
     return d.select("group_id", "decision", round4("score_sum").alias("score_sum"),
@@ -502,7 +485,6 @@ def q_stream_state(spark, sf_dir):
 
 @query("ingest_routing")
 def q_ingest_routing(spark, sf_dir):
-    from qoeflow.streaming.jobs import ingest_job
     t = ingest_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
                    P.UPDATE_LABELS, P.REDUCED_LABELS)
     return t.select("topic", "group_id", "cluster_id", "update")
@@ -510,8 +492,6 @@ def q_ingest_routing(spark, sf_dir):
 
 @query("topic_roundtrip")
 def q_topic_roundtrip(spark, sf_dir):
-    from qoeflow.operators.records import parse_updates
-    from qoeflow.streaming.jobs import topic_roundtrip_job
     t = topic_roundtrip_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME)
     good, _ = parse_updates(t, P.UPDATE_LABELS)
     return good.select(F.get("fields", 0).cast("bigint").alias("event_id"), "topic", "group_id",
@@ -520,7 +500,6 @@ def q_topic_roundtrip(spark, sf_dir):
 
 @query("multi_sink_counts")
 def q_multi_sink_counts(spark, sf_dir):
-    from qoeflow.streaming.jobs import multi_sink_job
     return multi_sink_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
                           P.UPDATE_LABELS, P.REDUCED_LABELS, P.SAMPLE_FRACTION, P.SEED)
 
@@ -529,7 +508,6 @@ def q_multi_sink_counts(spark, sf_dir):
 def q_late_rows(spark, sf_dir):
     """Rows-only: windows emitted under a 1-day watermark from files in
     shuffled time order (what is late depends on the file order)."""
-    from qoeflow.streaming.jobs import late_rows_job
     out, dropped = late_rows_job(spark, V.updates(spark, sf_dir), "6 hours", "1 day")
     return out.withColumn("dropped_late", F.lit(dropped).cast("bigint"))
 
@@ -538,9 +516,6 @@ def q_late_rows(spark, sf_dir):
 def q_policy_replay(spark, sf_dir):
     """M2: replay the logged sessions under per-tick DUCB decisions (made
     from the updates up to the tick before), load-adjusted cost per second."""
-    from qoeflow.functions import exact_mean4, scaled_units
-    from qoeflow.operators.replay import adjusted_cost, cost_per_second, load_share, replay_policy
-    from qoeflow.session import shared_dir
     b = _buckets(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
     shared_dir(spark)
     # served sessions feed two branches (all sessions, successful ones):
@@ -559,7 +534,6 @@ def q_policy_replay(spark, sf_dir):
 @query("replay_assignments")
 def q_replay_assignments(spark, sf_dir):
     """M2 detail: the decision each logged session gets under the policy."""
-    from qoeflow.operators.replay import replay_policy
     b = V.sessions(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
     served = replay_policy(b, _stats(spark, sf_dir), ducb(), P.SEED)
     return served.select("line_no", "group_id", "tick", "assigned", "source")
@@ -569,8 +543,6 @@ def q_replay_assignments(spark, sf_dir):
 def q_exchange_fanout_stream(spark, sf_dir):
     """M5/J3/T5 streamed: subscriptions into a table, every decision
     (all snapshots) fanned out to its group's subscribers but us."""
-    from qoeflow.operators.records import format_decision
-    from qoeflow.streaming.exchange import exchange_job
     dec = format_decision(ucb_decisions(spark, sf_dir), P.ORIGIN).select("group_id", "tick", "message")
     out = exchange_job(spark, V.subs(spark, sf_dir), dec, P.ME)
     return out.select("group_id", "cluster_id", "tick", "message")
@@ -579,7 +551,6 @@ def q_exchange_fanout_stream(spark, sf_dir):
 @query("group_table_stream")
 def q_group_table_stream(spark, sf_dir):
     """T6/A15 streamed: the feed folded into a versioned assignment table."""
-    from qoeflow.streaming.exchange import group_table_job
     t = group_table_job(spark, V.assign_feed(spark, sf_dir), P.ME)
     return t.select("group_id", "cluster_id")
 
@@ -587,7 +558,6 @@ def q_group_table_stream(spark, sf_dir):
 @query("latest_decision_stream")
 def q_latest_decision_stream(spark, sf_dir):
     """S7 streamed: decisions merged into the latest-decision table."""
-    from qoeflow.streaming.exchange import latest_decision_job
     d = ucb_decisions(spark, sf_dir).withColumn("slots", F.array_join("slots", ":"))
     return latest_decision_job(spark, d).select("group_id", "slots", "tick")
 
@@ -596,7 +566,6 @@ def q_latest_decision_stream(spark, sf_dir):
 def q_sliding_stream(spark, sf_dir):
     """T3 streamed: the tick ring per group, read at the last tick, then
     the epsilon-greedy choice; equals best_decision."""
-    from qoeflow.streaming.exchange import window_ring_job
     ring = window_ring_job(spark, V.updates(spark, sf_dir), P.EG_WINDOW_TICKS)
     T = ring.select(F.max("tick")).scalar()
     st = (ring.where(F.col("tick") > T - P.EG_WINDOW_TICKS)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qoeflow.functions import epoch_seconds, tick_of
+from qoeflow.functions import tick_of
 from qoeflow.plans import params as P
 
 
@@ -187,4 +187,4 @@ def result_log(spark, sf_dir) -> DataFrame:
 
 
 __all__ = ["table", "updates", "messages", "assign", "clusters", "assign_feed", "requests",
-           "rules", "subs", "sessions", "result_log", "epoch_seconds"]
+           "rules", "subs", "sessions", "result_log"]
