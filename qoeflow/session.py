@@ -31,14 +31,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (HDFS/S3/...).  Only when it is unset --
-    tests, local runs -- do we fall back to a fresh local folder and
-    register it, so ``DataFrame.checkpoint()`` works too.
+    On a cluster this must be set (HDFS/S3/...) and an unset value is an
+    error.  Only for a ``local[...]`` master (tests, local runs) do we fall
+    back to a fresh local folder and register it, so
+    ``DataFrame.checkpoint()`` works too.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                               "(HDFS/S3/...); a machine-local folder is not safe on a cluster")
         d = tempfile.mkdtemp(prefix="qoeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

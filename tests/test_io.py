@@ -60,3 +60,18 @@ def test_merge_latest_versions(spark):
     assert got == {"g": ("c:", 2), "h": ("x:", 1)}
     sinks.merge_latest(b1, d, 1)                      # replaying a batch is idempotent
     assert spark.read.parquet(out).count() == 2
+
+
+def test_result_log_order_survives_splits(spark):
+    d = _tmp()
+    with open(os.path.join(d, "big.csv"), "w") as f:
+        for i in range(20000):
+            f.write(f"{i % 2},online,{i}.25\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")     # force many splits
+    try:
+        log = read_result_log(spark, d)
+        rows = log.orderBy("line_no").select("cost").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.cost for r in rows] == [i + 0.25 for i in range(20000)]
