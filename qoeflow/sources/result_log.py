@@ -16,15 +16,6 @@ def parse_result_log(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_result_log(spark: SparkSession, path: str) -> DataFrame:
-    """Read log files with their line order.
-
-    Text has no row order, but a split is read front to back: line order
-    is (file, split start, position in the task), which stays right when
-    large files are split or small ones packed into one task."""
-    from qoeflow.operators.ordinals import ordinal_within
-    df = (spark.read.text(path)
-          .withColumn("_file", F.col("_metadata.file_path"))
-          .withColumn("_split", F.col("_metadata.file_block_start"))
-          .withColumn("_pos", F.monotonically_increasing_id()))
-    df = ordinal_within(df, [], ["_file", "_split", "_pos"], "line_no").drop("_file", "_split", "_pos")
-    return parse_result_log(df)
+    """Read log files with their line order (see ``sources.lines``)."""
+    from qoeflow.sources.lines import read_lines
+    return parse_result_log(read_lines(spark, path))

@@ -79,3 +79,9 @@ def sort_traces(lines: DataFrame, value: str = "value", numeric: bool = False,
     key = key.cast("bigint") if numeric else key
     k = lines.withColumn("_key", key)
     return ordinal_within(k, [], ["_key", line_no], "sort_pos").drop("_key")
+
+
+def read_trace_files(spark, path: str) -> DataFrame:
+    """S3 from files: trace lines with their line numbers, parsed."""
+    from qoeflow.sources.lines import read_lines
+    return read_traces(read_lines(spark, path))

@@ -75,3 +75,17 @@ def test_result_log_order_survives_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r.cost for r in rows] == [i + 0.25 for i in range(20000)]
+
+
+def test_trace_files_sort_and_parse(spark):
+    from qoeflow.sources.lines import read_lines
+    from qoeflow.sources.traces import read_trace_files, sort_traces
+    d = _tmp()
+    with open(os.path.join(d, "t.txt"), "w") as f:
+        f.write("2000\tx\tDecisionMap\ta,1\tLoadMap\ta,0.1;2\n")
+        f.write("1000\ty\tDecisionMap\ta,2\tLoadMap\ta,0.1;2\n")
+        f.write("999\tz\tDecisionMap\ta,3\tLoadMap\ta,0.1;2\n")
+    t = {r.line_no: r.decision_map["a"] for r in read_trace_files(spark, d).collect()}
+    assert t == {1: 1.0, 2: 2.0, 3: 3.0}
+    pos = {r.line_no: r.sort_pos for r in sort_traces(read_lines(spark, d)).collect()}
+    assert pos == {2: 1, 1: 2, 3: 3}          # text order: '1000' < '2000' < '999'
