@@ -39,38 +39,45 @@ def _fold(gamma: float):
             st = {d: [s, n, t] for d, s, n, t in zip(decs, sums, ns, dl)}
         else:
             g_last, st, late = None, {}, 0
-        parts = [p for p in pdfs]
-        batch = pd.concat(parts) if parts else pd.DataFrame(columns=["decision", "cost", "tick"])
-        agg = (batch.assign(score=-batch["cost"])
-               .groupby(["tick", "decision"], sort=True)
-               .agg(s=("score", "sum"), c=("score", "size")).reset_index())
-        for t, rows in agg.groupby("tick", sort=True):
-            t = int(t)
+        # the group's rows of this micro-batch, summed per (tick, decision)
+        acc: dict[tuple[int, str], list[float]] = {}
+        for p in pdfs:
+            for t, d, c in zip(p["tick"].tolist(), p["decision"].tolist(), p["cost"].tolist()):
+                a = acc.get((t, d))
+                if a is None:
+                    acc[(t, d)] = [-c, 1.0]
+                else:
+                    a[0] -= c
+                    a[1] += 1.0
+        for (t, d), (s, c) in sorted(acc.items()):
             if g_last is not None and t < g_last:
-                late += int(rows["c"].sum())
+                late += int(c)
                 continue
             if g_last is not None and t > g_last:
                 f = gamma ** (t - g_last - 1)
-                for v in st.values():
-                    v[0] *= f
-                    v[1] *= f
-            for d, s, c in zip(rows["decision"], rows["s"], rows["c"]):
-                old = st.get(d)
-                if old is None:
-                    st[d] = [float(s), float(c), t]
-                elif old[2] == t:
-                    old[0] += float(s)
-                    old[1] += float(c)
-                else:
-                    st[d] = [float(s) + gamma * old[0], float(c) + gamma * old[1], t]
-            g_last = t
+                if f != 1.0:
+                    for v in st.values():
+                        v[0] *= f
+                        v[1] *= f
+                g_last = t
+            elif g_last is None:
+                g_last = t
+            old = st.get(d)
+            if old is None:
+                st[d] = [s, c, t]
+            elif old[2] == t:
+                old[0] += s
+                old[1] += c
+            else:
+                st[d] = [s + gamma * old[0], c + gamma * old[1], t]
         decs = sorted(st)
-        state.update((g_last, decs, [st[d][0] for d in decs], [st[d][1] for d in decs],
-                      [st[d][2] for d in decs], late))
-        yield pd.DataFrame({"group_id": [key[0]] * len(decs), "decision": decs,
-                            "score_sum": [st[d][0] for d in decs], "n": [st[d][1] for d in decs],
-                            "last_tick": [st[d][2] for d in decs],
-                            "group_tick": [g_last] * len(decs), "late": [late] * len(decs)})
+        sums = [st[d][0] for d in decs]
+        ns = [st[d][1] for d in decs]
+        dl = [st[d][2] for d in decs]
+        state.update((g_last, decs, sums, ns, dl, late))
+        k = len(decs)
+        yield pd.DataFrame({"group_id": [key[0]] * k, "decision": decs, "score_sum": sums, "n": ns,
+                            "last_tick": dl, "group_tick": [g_last] * k, "late": [late] * k})
     return fn
 
 
