@@ -90,20 +90,29 @@ RING_STATE = "ticks array<bigint>, decisions array<string>, sums array<double>,
 
 def _ring(length: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ring: dict[tuple[int, str], list] = {}
         if state.exists:
-            t, d, s, n = state.get
-            old = pd.DataFrame({"tick": t, "decision": d, "s": s, "c": n})
-        else:
-            old = pd.DataFrame({"tick": pd.Series([], dtype="int64"), "decision": pd.Series([], dtype=object),
-                                "s": pd.Series([], dtype="float64"), "c": pd.Series([], dtype="int64")})
-        parts = [p.assign(s=-p["cost"], c=1)[["tick", "decision", "s", "c"]] for p in pdfs]
-        cur = pd.concat([old] + parts).groupby(["tick", "decision"], as_index=False).agg(s=("s", "sum"), c=("c", "sum"))
-        keep = cur[cur["tick"] > cur["tick"].max() - length] if len(cur) else cur
-        state.update((keep["tick"].astype("int64").tolist(), keep["decision"].tolist(),
-                      keep["s"].astype(float).tolist(), keep["c"].astype("int64").tolist()))
-        yield pd.DataFrame({"group_id": key[0], "tick": keep["tick"].astype("int64"),
-                            "decision": keep["decision"], "score_sum": keep["s"].astype(float),
-                            "n": keep["c"].astype("int64")})
+            for t, d, s, n in zip(*state.get):
+                ring[(t, d)] = [s, n]
+        for p in pdfs:
+            for t, d, c in zip(p["tick"].tolist(), p["decision"].tolist(), p["cost"].tolist()):
+                a = ring.get((t, d))
+                if a is None:
+                    ring[(t, d)] = [-c, 1]
+                else:
+                    a[0] -= c
+                    a[1] += 1
+        if ring:
+            top = max(t for t, _ in ring)
+            ring = {k: v for k, v in ring.items() if k[0] > top - length}
+        keys = sorted(ring)
+        ticks = [k[0] for k in keys]
+        decs = [k[1] for k in keys]
+        sums = [float(ring[k][0]) for k in keys]
+        ns = [int(ring[k][1]) for k in keys]
+        state.update((ticks, decs, sums, ns))
+        yield pd.DataFrame({"group_id": [key[0]] * len(keys), "tick": ticks, "decision": decs,
+                            "score_sum": sums, "n": ns})
     return fn
 
 
