@@ -50,3 +50,26 @@ def test_late_ticks_are_counted_not_applied(spark):
 
 def test_broker_list():
     assert broker_list("a,b") == "a:9092,b:9092"
+
+
+def test_spool_source_reads_once_and_deletes(spark):
+    import os
+    from qoeflow.streaming.topics import spool_source
+    base = scratch_path(spark, "t-spool")
+    os.makedirs(f"{base}/spool")
+    for i in range(3):
+        with open(f"{base}/spool/q{i}.json", "w") as f:
+            f.write('{"update":"%d\\tx\\t1","group_id":"g"}\n' % i)
+    src = spool_source(spark, f"{base}/spool", max_files=1, clean="delete")
+    run_available_now(src, batch_sink(f"{base}/out"), f"{base}/ckpt")
+    assert spark.read.parquet(f"{base}/out").count() == 3
+    # a restart reads nothing twice (file-source log in the checkpoint)
+    run_available_now(spool_source(spark, f"{base}/spool", clean="delete"), batch_sink(f"{base}/out"),
+                      f"{base}/ckpt")
+    assert spark.read.parquet(f"{base}/out").count() == 3
+    import time
+    for _ in range(50):                     # deletion happens asynchronously after commit
+        if not [f for f in os.listdir(f"{base}/spool") if f.endswith(".json")]:
+            break
+        time.sleep(0.2)
+    assert len([f for f in os.listdir(f"{base}/spool") if f.endswith(".json")]) <= 1
