@@ -572,3 +572,12 @@ def q_sliding_stream(spark, sf_dir):
           .groupBy("group_id", "decision").agg(F.sum("score_sum").alias("score_sum"), F.sum("n").alias("n")))
     d = egreedy().decide(st)
     return d.select("group_id", "best", F.array_join("rest", ",").alias("rest"), "epsilon")
+
+
+@query("decision_loop_stream")
+def q_decision_loop_stream(spark, sf_dir):
+    """The reference's decision loop: each micro-batch is a tick; state
+    merged per batch, every group's slot list written per batch."""
+    from qoeflow.streaming.loop import decision_loop_job
+    d = decision_loop_job(spark, V.messages(spark, sf_dir), P.UPDATE_LABELS, ducb(), P.ORIGIN)
+    return d.select("group_id", F.array_join("slots", ":").alias("slots"), "message", "tick")

@@ -558,3 +558,18 @@ WHERE s.cluster_id <> '{P.ME}'"""
 SQL["group_table_stream"] = SQL["group_assignment_latest"]
 SQL["latest_decision_stream"] = SQL["latest_decision"]
 SQL["sliding_stream"] = SQL["best_decision"]
+
+# The decision loop: ticks are the micro-batches, i.e. the 6 staged slices
+# of the messages in event_id order.
+LOOP_SLICES = 6
+SQL["decision_loop_stream"] = with_(f"""bounds AS (
+  SELECT min(event_id) AS lo, (max(event_id) - min(event_id)) // {LOOP_SLICES} + 1 AS step FROM events)""",
+    """updates AS (
+  SELECT CAST(user_id % 40 AS VARCHAR) AS group_id, event_type AS decision,
+         CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS cost,
+         (event_id - bounds.lo) // bounds.step AS tick
+  FROM events, bounds)""", STATS,
+    dstate(at=f"{LOOP_SLICES - 1}"), ucb_rec(), recursive=True) + f"""
+SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS message,
+       CAST({LOOP_SLICES - 1} AS BIGINT) AS tick
+FROM ucb"""
