@@ -76,11 +76,11 @@ def weighted_lists(weights: DataFrame) -> DataFrame:
 def assign_weighted(requests: DataFrame, weights: DataFrame, seed: str, key: str = "req_id") -> DataFrame:
     """K7: walk the list subtracting p*100 from rand(0,100) until <= 0; else last."""
     lists = weighted_lists(weights)
-    j = requests.join(lists, "group_id", "left")
-    v = F.pmod(hash_u32(F.lit(seed), F.lit("weighted"), F.col(key)), F.lit(101))
-    hit = F.filter("_w", lambda e: e["cum100"] >= v)
+    j = requests.join(lists, "group_id", "left").withColumn(
+        "_v", F.pmod(hash_u32(F.lit(seed), F.lit("weighted"), F.col(key)), F.lit(101)))
+    hit = F.filter("_w", lambda e: e["cum100"] >= F.col("_v"))
     pick = F.when(F.size(hit) > 0, F.get(hit, 0)["decision"]) \
             .otherwise(F.element_at("_w", -1)["decision"])
     return (j.withColumn("decision", F.when(F.col("_w").isNotNull(), pick))
              .withColumn("source", F.when(F.col("_w").isNotNull(), F.lit("weighted")).otherwise(F.lit("none")))
-             .drop("_w"))
+             .drop("_w", "_v"))

@@ -25,9 +25,13 @@ class EpsilonGreedy(Policy):
         xs = state.groupBy("group_id").agg(
             F.collect_list(F.struct(F.col("decision").alias("d"),
                                     (F.col("score_sum") / F.col("n")).alias("m"))).alias("xs"))
-        top = F.array_max(F.transform("xs", lambda x: x["m"]))
-        best = F.array_min(F.transform(F.filter("xs", lambda x: x["m"] == top), lambda x: x["d"]))
+        # values used inside lambdas are projected first: an outer expression
+        # in a lambda body is re-evaluated on every call
+        xs = xs.select("group_id", "xs", F.array_max(F.transform("xs", lambda x: x["m"])).alias("_top"))
+        xs = xs.select("group_id", "xs", F.array_min(F.transform(
+            F.filter("xs", lambda x: x["m"] == F.col("_top")), lambda x: x["d"])).alias("best"))
         return xs.select(
-            "group_id", best.alias("best"),
-            F.array_sort(F.filter(F.transform("xs", lambda x: x["d"]), lambda d: d != best)).alias("rest"),
+            "group_id", "best",
+            F.array_sort(F.filter(F.transform("xs", lambda x: x["d"]), lambda d: d != F.col("best")))
+            .alias("rest"),
             F.lit(float(self.epsilon)).alias("epsilon"))

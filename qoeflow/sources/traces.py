@@ -33,39 +33,54 @@ def _strip(c):
     return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
-def _last_wins(entries):
-    """Keep the last entry per key (Python dict semantics; Spark maps
-    reject duplicate keys)."""
-    return F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(1))),
-        lambda x: x["k"] == e["k"]) | (i + 1 == F.size(entries)))
+def _keys(entries_text):
+    """Keys of tab-separated 'key,value' entries (native regex, no lambda)."""
+    return F.regexp_extract_all(entries_text, F.lit("(?:^|\t)([^,\t]*),"), 1)
+
+
+def _values(entries_text):
+    return F.regexp_extract_all(entries_text, F.lit(",([^\t]*)"), 1)
+
+
+# Duplicate keys keep the last value (Python dict semantics; Spark maps
+# reject duplicate keys): on the reversed entries the first occurrence is
+# the last one, and ``array_distinct`` keeps first occurrences.
+
+
+PAIR_TYPE = "array<struct<threshold:double,factor:double>>"
 
 
 def read_traces(lines: DataFrame, value: str = "value") -> DataFrame:
-    """S3: parse trace text into features, decision_map and load_map."""
+    """S3: parse trace text into features, decision_map and load_map.
+
+    Entry splitting uses native regular-expression and array functions.
+    The intermediate arrays are separate projections: an outer expression
+    referenced inside a lambda would otherwise be re-evaluated on every
+    lambda call."""
     parts = F.split(F.col(value), "DecisionMap", 2)
     feature = F.get(parts, 0)
     info = F.split(_strip(F.get(parts, 1)), "LoadMap", 2)
-    dstr, lstr = _strip(F.get(info, 0)), _strip(F.get(info, 1))
-    dents = F.transform(F.split(dstr, "\t"), lambda x: F.struct(
-        F.get(F.split(x, ","), 0).alias("k"), F.get(F.split(x, ","), 1).try_cast("double").alias("v")))
-    lents = F.transform(F.split(lstr, "\t"), lambda x: F.struct(
-        F.get(F.split(x, ","), 0).alias("k"),
-        F.split(F.get(F.split(x, ","), 1), ";").alias("v")))
-
-    def pairs(vals):
-        return F.transform(F.sequence(F.lit(0), F.floor(F.size(vals) / 2).cast("int") - 1),
-                           lambda i: F.struct(F.get(vals, i * 2).try_cast("double").alias("threshold"),
-                                              F.get(vals, i * 2 + 1).try_cast("double").alias("factor")))
-    out = (lines.withColumn("_dents", _last_wins(dents)).withColumn("_lents", _last_wins(lents))
-           .withColumn("features", F.split(F.regexp_replace(feature, "\t$", ""), "\t"))
-           .withColumn("ts_s", F.floor(F.substring_index(feature, "\t", 1).cast("bigint") / 1000)
-                       .cast("bigint"))
-           .withColumn("decision_map", F.map_from_entries(F.transform(
-               "_dents", lambda e: F.struct(e["k"], e["v"]))))
-           .withColumn("load_map", F.map_from_entries(F.transform(
-               "_lents", lambda e: F.struct(e["k"], pairs(e["v"])))))
-           .drop("_dents", "_lents"))
+    step1 = lines.select("*", feature.alias("_f"), _strip(F.get(info, 0)).alias("_d"),
+                         _strip(F.get(info, 1)).alias("_l"))
+    step2 = step1.select(
+        "*", F.reverse(_keys(F.col("_d"))).alias("_dk"),
+        F.reverse(_values(F.col("_d"))).try_cast("array<double>").alias("_dv"),
+        F.reverse(_keys(F.col("_l"))).alias("_lk"),
+        F.reverse(_values(F.col("_l"))).alias("_lv"))
+    step3 = step2.select("*", F.array_distinct("_dk").alias("_ddk"), F.array_distinct("_lk").alias("_ldk"))
+    pair = lambda v: F.arrays_zip(
+        F.regexp_extract_all(v, F.lit("([^;]+);([^;]+)"), 1).try_cast("array<double>"),
+        F.regexp_extract_all(v, F.lit("([^;]+);([^;]+)"), 2).try_cast("array<double>")).cast(PAIR_TYPE)
+    out = step3.select(
+        *[c for c in lines.columns],
+        F.split(F.regexp_replace("_f", "\t$", ""), "\t").alias("features"),
+        F.floor(F.substring_index("_f", "\t", 1).cast("bigint") / 1000).cast("bigint").alias("ts_s"),
+        F.map_from_arrays(F.reverse("_ddk"), F.reverse(F.transform(
+            "_ddk", lambda k: F.get(F.col("_dv"), F.array_position("_dk", k).cast("int") - 1))))
+        .alias("decision_map"),
+        F.map_from_arrays(F.reverse("_ldk"), F.reverse(F.transform(
+            "_ldk", lambda k: pair(F.get(F.col("_lv"), F.array_position("_lk", k).cast("int") - 1)))))
+        .alias("load_map"))
     return out
 
 
