@@ -19,9 +19,11 @@ from qoeflow.operators.ordinals import ordinal_within
 
 
 def with_buckets(sessions: DataFrame, second_s: int = 1, minute_s: int = 60,
-                 ts_s: str = "ts_s") -> DataFrame:
-    """P10: 'second' and 'minute' since the trace start."""
-    start = sessions.select(F.min(ts_s)).scalar()
+                 ts_s: str = "ts_s", start: Column | None = None) -> DataFrame:
+    """P10: 'second' and 'minute' since the trace start (a scalar subquery
+    unless ``start`` is given)."""
+    if start is None:
+        start = sessions.select(F.min(ts_s)).scalar()
     rel = F.col(ts_s) - start
     return (sessions.withColumn("second", F.floor(rel / second_s).cast("bigint"))
                     .withColumn("minute", F.floor(rel / minute_s).cast("bigint")))

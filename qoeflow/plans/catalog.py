@@ -69,9 +69,19 @@ def _stats(spark, sf_dir):
 
 
 def _last_tick(spark, sf_dir):
-    """Latest tick as a scalar subquery over the raw updates (a one-column
-    partial max), rather than over the aggregated tick stats."""
-    return V.updates(spark, sf_dir).select(F.max("tick")).scalar()
+    """Latest tick, computed once as a literal: max(ts) is one aggregate over
+    one column (answered from parquet footers when aggregate pushdown is
+    on).  A scalar subquery referenced in several expressions is executed
+    once per reference (Spark does not reuse it here)."""
+    from qoeflow.functions import tick_of
+    mx = V.table(spark, sf_dir, "events").agg(F.max("ts").alias("m"))
+    return F.lit(mx.select(tick_of("m", P.TICK_S)).first()[0]).cast("bigint")
+
+
+def _trace_start(spark, sf_dir):
+    """First second of the trace, once, as a literal (same reasoning)."""
+    mn = V.table(spark, sf_dir, "events").agg(F.min("ts").alias("m"))
+    return F.lit(mn.select(F.unix_timestamp("m")).first()[0]).cast("bigint")
 
 
 # ---------------------------------------------------------------- policies
@@ -377,7 +387,8 @@ def q_trace_sort(spark, sf_dir):
 
 
 def _buckets(spark, sf_dir):
-    return with_buckets(V.sessions(spark, sf_dir), P.SECOND_S, P.MINUTE_S)
+    return with_buckets(V.sessions(spark, sf_dir), P.SECOND_S, P.MINUTE_S,
+                        start=_trace_start(spark, sf_dir))
 
 
 @query("requests_dense")
