@@ -34,12 +34,12 @@ class DiscountedUCB(Policy):
     def index(self, state: DataFrame) -> DataFrame:
         """K4: first-step index per (group, decision) and its rank."""
         from pyspark.sql import Window
-        m = S.means(state)
+        m = state.select("group_id", "decision", F.col("n").cast("double").alias("n_d"),
+                         S.mean_col().alias("mean"),
+                         F.sum(F.col("n").cast("double")).over(Window.partitionBy("group_id")).alias("N"))
         idx = F.expr(self._index_sql("mean", "n_d", "N"))
         w = Window.partitionBy("group_id").orderBy(F.col("ucb").desc(), F.col("decision"))
-        return (m.join(state.select("group_id", "decision", F.col("n").alias("n_d")),
-                       ["group_id", "decision"])
-                .select("group_id", "decision", "mean", "N", idx.alias("ucb"))
+        return (m.select("group_id", "decision", "mean", "N", idx.alias("ucb"))
                 .withColumn("rnk", F.rank().over(w)))
 
     def decide(self, state: DataFrame, keys: list[str] | None = None,
