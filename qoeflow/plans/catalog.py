@@ -512,7 +512,8 @@ def q_topic_roundtrip(spark, sf_dir):
 @query("multi_sink_counts")
 def q_multi_sink_counts(spark, sf_dir):
     return multi_sink_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
-                          P.UPDATE_LABELS, P.REDUCED_LABELS, P.SAMPLE_FRACTION, P.SEED)
+                          P.UPDATE_LABELS, P.REDUCED_LABELS, P.SAMPLE_FRACTION, P.SEED,
+                          managed=P.MANAGED_LABELS)
 
 
 @query("late_rows")

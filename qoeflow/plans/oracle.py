@@ -475,9 +475,16 @@ UNION ALL
 SELECT CASE WHEN cluster_id = '{P.ME}' THEN 'internal_groups' ELSE 'external_groups' END, count(*)
 FROM routed GROUP BY 1
 UNION ALL
-SELECT 'sample', count(*) FROM events
-WHERE CAST(concat('0x', substr(md5('{P.SEED}:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)
-      < {P.SAMPLE_FRACTION} * 4294967296.0"""
+SELECT 'sample', count(*) FROM (
+  SELECT DISTINCT sl, idx, v FROM (
+    SELECT (event_id - (SELECT min(event_id) FROM events))
+             // ((SELECT max(event_id) - min(event_id) FROM events) // 4 + 1) AS sl,
+           CAST(event_id AS VARCHAR) AS f0, json_extract_string(props, '$.k') AS f1,
+           CAST(user_id % 7 AS VARCHAR) AS f2
+    FROM events
+    WHERE CAST(concat('0x', substr(md5('{P.SEED}:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)
+          < {P.SAMPLE_FRACTION} * 4294967296.0) s,
+  LATERAL (VALUES (0, s.f0), (1, s.f1), (2, s.f2)) AS t(idx, v)) h"""
 
 # --------------------------------------------------------------- policy replay
 # Independent of the Spark fold: the state at T = tick - 1 is the closed

@@ -119,12 +119,12 @@ def topic_roundtrip_job(spark: SparkSession, messages: DataFrame, assign: DataFr
 
 def multi_sink_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me: str,
                    labels: list[str], keep: list[str], fraction: float, seed: str,
-                   n_files: int = 4) -> DataFrame:
+                   n_files: int = 4, managed: int = 2) -> DataFrame:
     """One input, several outputs per micro-batch (upload, processing
-    topics, 1% sample, heartbeat), the batch cached once and each output
-    written idempotently under its batch id.  Returns the written rows'
-    counts per sink."""
-    from qoeflow.operators.exchange import sample_filter
+    topics, sampled feature histogram, heartbeat), the batch cached once and
+    each output written idempotently under its batch id.  Returns the
+    written rows' counts per sink."""
+    from qoeflow.operators.exchange import feature_histogram
     from qoeflow.operators.records import route
     from qoeflow.streaming.topics import spool_source
     base = scratch_path(spark, "multi-sink")
@@ -138,8 +138,12 @@ def multi_sink_job(spark: SparkSession, messages: DataFrame, assign: DataFrame,
             outs = {
                 "upload": r.select(F.get_json_object("value", "$.update").alias("value")),
                 "processing": r.select("topic", F.col("message").alias("value")),
-                "sample": r.withColumn("_k", F.get(F.col("fields"), 0))
-                           .where(sample_filter(fraction, seed, "_k")).select("value"),
+                # A6/R2 per batch: histogram of the sampled updates' features,
+                # published as 'index;value;count'
+                "sample": feature_histogram(r.withColumn("_k", F.get(F.col("fields"), 0)), fraction,
+                                            managed, seed, key="_k")
+                          .select(F.concat_ws(";", F.col("feature_idx").cast("string"), "value",
+                                              F.col("n").cast("string")).alias("value")),
                 "heartbeat": r.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_records"))
                               .withColumn("batch_id", F.lit(batch_id)),
             }
