@@ -52,7 +52,7 @@ def last_tick(stats: DataFrame, tick: str = "tick") -> Column:
 
 
 def discounted_state(stats: DataFrame, gamma: float, at_tick=None,
-                     tick: str = "tick") -> DataFrame:
+                     tick: str = "tick", keys: list[str] | None = None) -> DataFrame:
     """Gamma-discounted (score_sum, n) per (group, decision) at tick T.
 
     Per tick the reference applies: decision active -> new + gamma*old;
@@ -62,20 +62,23 @@ def discounted_state(stats: DataFrame, gamma: float, at_tick=None,
     decision, G = active ticks of the group.  One window pass over tick
     rows and one aggregate; no iteration and no dense tick grid.
     ``at_tick`` defaults to the latest tick of the input (every group is
-    reported, idle ones decayed to T).
+    reported, idle ones decayed to T).  It may also be a column of the rows
+    (with ``keys`` naming the extra key, e.g. several snapshot ticks at
+    once: ``keys=["snap", "group_id"]``, ``at_tick=F.col("snap")``).
     """
+    keys = keys or [G]
     T = last_tick(stats, tick) if at_tick is None else (
         at_tick if isinstance(at_tick, Column) else F.lit(at_tick))
-    s = stats.where(F.col(tick) <= T)
-    wg = Window.partitionBy(G).orderBy(tick)
-    wgd = Window.partitionBy(G, D).orderBy(tick)
+    s = stats.where(F.col(tick) <= T).withColumn("_T", T)
+    wg = Window.partitionBy(*keys).orderBy(tick)
+    wgd = Window.partitionBy(*keys, D).orderBy(tick)
     s = (s.withColumn("_G", F.dense_rank().over(wg))
-          .withColumn("_GT", F.max("_G").over(Window.partitionBy(G)))
+          .withColumn("_GT", F.max("_G").over(Window.partitionBy(*keys)))
           .withColumn("_A", F.row_number().over(wgd))
-          .withColumn("_AT", F.count(F.lit(1)).over(Window.partitionBy(G, D))))
-    x = (F.col("_AT") - F.col("_A")) + (T - F.col(tick)) - (F.col("_GT") - F.col("_G"))
+          .withColumn("_AT", F.count(F.lit(1)).over(Window.partitionBy(*keys, D))))
+    x = (F.col("_AT") - F.col("_A")) + (F.col("_T") - F.col(tick)) - (F.col("_GT") - F.col("_G"))
     w = F.pow(F.lit(gamma), x)
-    return (s.groupBy(G, D)
+    return (s.groupBy(*keys, D)
             .agg(F.sum(F.col("score_sum") * w).alias("score_sum"),
                  F.sum(F.col("n") * w).alias("n"),
                  F.max(tick).alias("last_tick")))

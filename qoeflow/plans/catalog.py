@@ -187,16 +187,15 @@ def q_custom_policy(spark, sf_dir):
 
 
 def ucb_decisions(spark, sf_dir) -> DataFrame:
-    """V.decisions: UCB slot lists at a few snapshot ticks before the last."""
-    st = _stats(spark, sf_dir)
+    """V.decisions: UCB slot lists at a few snapshot ticks before the last,
+    in one pass: the snapshot ticks are exploded onto the tick rows and
+    become an extra partition key (no per-snapshot rescans)."""
     T = _last_tick(spark, sf_dir)
+    st = _stats(spark, sf_dir).withColumn(
+        "snap", F.explode(F.array(*[(T - k).cast("bigint") for k in P.SNAPSHOT_BACK])))
     pol = ducb()
-    parts = [pol.decide(pol.state(st, at_tick=T - k)).withColumn("tick", (T - k).cast("bigint"))
-             for k in P.SNAPSHOT_BACK]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    state = S.discounted_state(st, pol.gamma, at_tick=F.col("snap"), keys=["snap", "group_id"])
+    return pol.decide(state, keys=["snap", "group_id"]).withColumnRenamed("snap", "tick")
 
 
 @query("latest_decision")
