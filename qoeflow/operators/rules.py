@@ -56,37 +56,51 @@ def flatten_rules(rules: DataFrame, col: str = "rules", materialize: bool = True
     return leaves
 
 
-def _key_of(field: int):
-    """The key a leaf requires for ``field`` (one-arg lambda: a two-arg
-    lambda would receive the element index)."""
-    return F.get(F.filter("conds", lambda c: c["f"] == F.lit(field)), 0)["k"]
+# Leaf tables up to this many rows are broadcast to the sessions (a leaf
+# row is a few short strings); larger ones are joined by shuffle.
+MAX_BROADCAST_LEAVES = 200_000
 
 
 def match_groups(sessions: DataFrame, leaves: DataFrame, default, features: str = "features",
                  key: str = "req_id") -> DataFrame:
     """Group of each session = leaf with the greatest path among
-    those whose conditions all hold; else ``default`` (a Column)."""
-    sigs = [tuple(r.sig) for r in leaves.select(
-        F.array_sort(F.transform("conds", lambda c: c["f"])).alias("sig")).distinct().collect()]
-    s = sessions.select(key, features)
-    matches = None
-    for sig in sigs:
-        if not sig:
-            continue
-        lv = leaves.where(F.array_sort(F.transform("conds", lambda c: c["f"])) == F.array(*map(F.lit, sig)))
-        lv = lv.select("path", "group_id", *[_key_of(f).alias(f"_k{f}") for f in sig])
-        cond = None
-        for f in sig:
-            c = F.get(s[features], f) == lv[f"_k{f}"]
-            cond = c if cond is None else cond & c
-        m = s.join(lv, cond, "inner").select(key, "path", "group_id")
-        matches = m if matches is None else matches.unionByName(m)
+    those whose conditions all hold; else ``default`` (a Column).
+
+    One pass over the sessions: each session becomes one row per distinct
+    condition-field signature (e.g. {0}, {0,1}, {0,1,2}) carrying its
+    feature values at those fields as an array; a left equi-join on
+    (signature, key array) against the leaves finds every match, and
+    ``max_by(group, path)`` per session keeps the last rule.  The per-
+    session rows sit in one partition, so the partial aggregate collapses
+    them before the single shuffle.  No cross join, no all-pairs.
+    """
+    sig_of = F.transform(F.array_sort("conds"), lambda c: c["f"])
+    keys_of = F.transform(F.array_sort("conds"), lambda c: c["k"])
+    # metadata only: one row per signature with its leaf count
+    sig_rows = leaves.groupBy(sig_of.alias("sig")).count().collect()
+    sigs = sorted({tuple(r.sig) for r in sig_rows})
+    n_leaves = sum(r["count"] for r in sig_rows)
     root = leaves.where(F.size("conds") == 0).select(F.max_by("group_id", "path")).scalar()
-    if matches is None:
+    cols = [c for c in sessions.columns if c not in ("group_id", "matched")]
+    sigs = [s for s in sigs if s]
+    if not sigs:
         return (sessions.withColumn("matched", root.isNotNull())
                         .withColumn("group_id", F.coalesce(root, default)))
-    best = matches.groupBy(key).agg(F.max_by("group_id", "path").alias("_rule_group"))
-    out = sessions.join(best, key, "left")
+    index = {s: i for i, s in enumerate(sigs)}
+    lv = leaves.where(F.size("conds") > 0).select(
+        F.element_at(F.create_map(*[x for s, i in index.items()
+                                    for x in (F.array(*map(F.lit, s)), F.lit(i))]), sig_of).alias("_sig"),
+        keys_of.alias("_keys"), "path", F.col("group_id").alias("_rule_group"))
+    if n_leaves <= MAX_BROADCAST_LEAVES:
+        lv = F.broadcast(lv)      # size checked above; larger rule sets shuffle-join
+    probes = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_sig"), F.array(*[F.get(F.col(features), f) for f in s]).alias("_keys"))
+        for s, i in index.items()]))
+    ex = sessions.select(*cols, probes.alias("_p")).select(*cols, "_p._sig", "_p._keys")
+    hit = ex.join(lv, ["_sig", "_keys"], "left")
+    best = hit.groupBy(key).agg(F.max_by("_rule_group", "path").alias("_rule_group"),
+                                F.any_value(F.struct(*[c for c in cols if c != key])).alias("_s"))
+    out = best.select(key, *[F.col(f"_s.{c}").alias(c) for c in cols if c != key], "_rule_group")
     return (out.withColumn("matched", F.col("_rule_group").isNotNull() | root.isNotNull())
                .withColumn("group_id", F.coalesce("_rule_group", root, default))
                .drop("_rule_group"))
