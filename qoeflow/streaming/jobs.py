@@ -25,10 +25,18 @@ def batch_sink(out: str, partition_by: list[str] | None = None):
     return sink
 
 
+def start_stream(df: DataFrame, sink, checkpoint: str, mode: str = "append",
+                 trigger: dict | None = None):
+    """Start ``df`` into a foreachBatch ``sink``.  ``trigger`` sets the pace
+    (T2), e.g. ``{"processingTime": "2 seconds"}`` like the reference's
+    decision interval; default: process what is available and stop."""
+    return (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def run_available_now(df: DataFrame, sink, checkpoint: str, timeout_s: int = 900,
                       mode: str = "append"):
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    q = start_stream(df, sink, checkpoint, mode)
     q.awaitTermination(timeout_s)
     progress = q.recentProgress
     q.stop()

@@ -29,7 +29,7 @@ from qoeflow.operators.policy import DiscountedUCB
 from qoeflow.operators.records import format_decision, parse_updates
 from qoeflow.session import scratch_path
 from qoeflow.streaming.exchange import latest_version
-from qoeflow.streaming.jobs import run_available_now, stage_files
+from qoeflow.streaming.jobs import run_available_now, stage_files, start_stream
 from qoeflow.streaming.topics import spool_source
 
 
@@ -52,6 +52,17 @@ def decision_loop_sink(base: str, labels: list[str], policy: DiscountedUCB, orig
     return sink
 
 
+def decision_loop(updates: DataFrame, base: str, labels: list[str], policy: DiscountedUCB,
+                  origin: str, trigger: dict | None = None):
+    """Start the decision loop on any stream of update messages (a
+    ``value`` column): a spool folder, or a topic via
+    ``topics.read_topic(spark, "kafka", {...})``.  State, decisions and
+    rejects are versioned under ``base`` (a shared folder); returns the
+    running query."""
+    return start_stream(updates.select("value"), decision_loop_sink(base, labels, policy, origin),
+                        f"{base}/ckpt", trigger=trigger)
+
+
 def decision_loop_job(spark: SparkSession, messages: DataFrame, labels: list[str],
                       policy: DiscountedUCB, origin: str, n_files: int = 6) -> DataFrame:
     """Spool of update messages -> per-tick state and decisions; returns

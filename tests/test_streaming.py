@@ -73,3 +73,23 @@ def test_spool_source_reads_once_and_deletes(spark):
             break
         time.sleep(0.2)
     assert len([f for f in os.listdir(f"{base}/spool") if f.endswith(".json")]) <= 1
+
+
+def test_decision_loop_with_processing_time_trigger(spark):
+    import os
+    from qoeflow.operators.policy import DiscountedUCB
+    from qoeflow.streaming.loop import decision_loop
+    from qoeflow.streaming.topics import spool_source
+    base = scratch_path(spark, "t-loop")
+    os.makedirs(f"{base}/spool")
+    with open(f"{base}/spool/a.json", "w") as f:
+        for i, (g, d, c) in enumerate([("g", "x", 1.0), ("g", "y", 3.0), ("h", "x", 2.0)]):
+            f.write('{"update":"%d\\t%s\\t%s","group_id":"%s"}\n' % (i, d, c, g))
+    q = decision_loop(spool_source(spark, f"{base}/spool"), f"{base}/loop", ["Id", "decision", "socre"],
+                      DiscountedUCB(0.8, 4, 1000.0), "From: t", trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    dec = {r.group_id: r.slots for r in spark.read.parquet(f"{base}/loop/decisions").collect()}
+    assert set(dec) == {"g", "h"} and len(dec["g"]) == 4 and dec["h"] == ["x"] * 4
