@@ -130,3 +130,24 @@ def drop_managed(features: Column, managed: int) -> Column:
 def available(decision: Column, candidates: Column) -> Column:
     """The decision is usable and among the candidates."""
     return ~is_empty(decision) & F.coalesce(F.array_contains(candidates, decision), F.lit(False))
+
+
+EPSILON_SCHEMA = "random array<string>, best string, epsilon double"
+
+
+def format_epsilon(decisions: DataFrame, origin: str) -> DataFrame:
+    """D8: 'group;{"random":[..],"best":..,"epsilon":..};From: origin'."""
+    body = F.to_json(F.struct(F.col("rest").alias("random"), "best", "epsilon"))
+    return decisions.withColumn("message", F.concat_ws(";", F.col("group_id"), body, F.lit(origin)))
+
+
+def parse_epsilon(df: DataFrame, message: str = "message") -> DataFrame:
+    """D8 back to columns.  The JSON body is the text between the first and
+    the last ';' (group ids hold no ';', the origin follows the last one)."""
+    m = F.col(message)
+    body = F.expr(f"substring({message}, instr({message}, ';') + 1, "
+                  f"length({message}) - instr({message}, ';') - length(substring_index({message}, ';', -1)) - 1)")
+    j = F.from_json(body, EPSILON_SCHEMA)
+    return df.select(F.substring_index(m, ";", 1).alias("group_id"), j["best"].alias("best"),
+                     F.coalesce(j["random"], F.array().cast("array<string>")).alias("rest"),
+                     j["epsilon"].alias("epsilon"))

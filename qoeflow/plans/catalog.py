@@ -22,8 +22,8 @@ from qoeflow.operators.exchange import (
 from qoeflow.operators.failover import block_gap, block_means, block_zip, round_robin
 from qoeflow.operators.policy import DiscountedUCB, EpsilonGreedy, Policy
 from qoeflow.operators.records import (
-    available, decode_decision, drop_managed, format_decision, forward, parse_messages,
-    parse_updates, project_labels, route, split_request,
+    available, decode_decision, drop_managed, format_decision, format_epsilon, forward,
+    parse_epsilon, parse_messages, parse_updates, project_labels, route, split_request,
 )
 from qoeflow.operators.replay import (
     adjusted_cost, cost_per_second, load_share, replay_policy, requests_per_second,
@@ -165,7 +165,10 @@ def q_sliding_stats(spark, sf_dir):
 
 @query("epsilon_export_lines")
 def q_epsilon_export(spark, sf_dir):
-    lines = export_epsilon(eg_decisions(spark, sf_dir))
+    """S8 after the D8 message round trip: decisions -> JSON messages ->
+    parsed -> ordered lines (epsilon, best, random...)."""
+    msgs = format_epsilon(eg_decisions(spark, sf_dir), P.ORIGIN)
+    lines = export_epsilon(parse_epsilon(msgs))
     return lines.select("group_id", F.col("pos").cast("bigint").alias("pos"), "line")
 
 

@@ -210,3 +210,13 @@ def test_watermark_drops_late_rows(spark):
     # input = emitted + still open + late.
     assert got == [(1704067200, 20)]
     assert dropped == 40 - 20 - 20 == 0
+
+
+def test_epsilon_message_roundtrip(spark):
+    dec = spark.createDataFrame([("g", "a", ["b", "c"], 0.9), ("h", "x", [], 0.5)],
+                                "group_id string, best string, rest array<string>, epsilon double")
+    msgs = R.format_epsilon(dec, "From: c0")
+    assert msgs.where("group_id = 'g'").first().message == \
+        'g;{"random":["b","c"],"best":"a","epsilon":0.9};From: c0'
+    back = {r.group_id: (r.best, r.rest, r.epsilon) for r in R.parse_epsilon(msgs).collect()}
+    assert back == {"g": ("a", ["b", "c"], 0.9), "h": ("x", [], 0.5)}
