@@ -61,6 +61,21 @@ def assign_epsilon(requests: DataFrame, eg: DataFrame, seed: str, key: str = "re
     return _finish(j, pick, seed, key).drop("best", "rest", "epsilon")
 
 
+def format_weights(weights: DataFrame) -> DataFrame:
+    """The weighted decision file of each group as ordered lines
+    'decision;probability'."""
+    return weights.select("group_id", "pos",
+                          F.concat_ws(";", "decision", F.col("p").cast("string")).alias("line"))
+
+
+def parse_weights(lines: DataFrame) -> DataFrame:
+    """D9 lines back to (group_id, pos, decision, p DECIMAL); bad lines dropped."""
+    parts = F.split(F.col("line"), ";")
+    return (lines.select("group_id", "pos", F.get(parts, 0).alias("decision"),
+                         F.get(parts, 1).try_cast("decimal(5,2)").alias("p"))
+                 .where(F.col("decision").isNotNull() & F.col("p").isNotNull()))
+
+
 def weighted_lists(weights: DataFrame) -> DataFrame:
     """D9 -> per group the ordered list with cumulative percentages.
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from qoeflow.functions import exact_mean4, round4, scaled_units
 from qoeflow.operators import stats as S
-from qoeflow.operators.assign import assign_epsilon, assign_slots, assign_weighted
+from qoeflow.operators.assign import (
+    assign_epsilon, assign_slots, assign_weighted, format_weights, parse_weights,
+)
 from qoeflow.operators.exchange import (
     auto_subscribe, fan_out, feature_histogram, heartbeats, parse_subscriptions,
     subscriber_sets,
@@ -359,7 +361,9 @@ def weights(spark, sf_dir) -> DataFrame:
 
 @query("assign_weighted")
 def q_assign_weighted(spark, sf_dir):
-    a = assign_weighted(_grouped_requests(spark, sf_dir, "asn"), weights(spark, sf_dir), P.SEED)
+    # through the D9 text form: decision files as 'decision;probability' lines
+    w = parse_weights(format_weights(weights(spark, sf_dir)))
+    a = assign_weighted(_grouped_requests(spark, sf_dir, "asn"), w, P.SEED)
     return a.select("req_id", "group_id", "decision", "source")
 
 
