@@ -599,3 +599,15 @@ def q_decision_loop_stream(spark, sf_dir):
     from qoeflow.streaming.loop import decision_loop_job
     d = decision_loop_job(spark, V.messages(spark, sf_dir), P.UPDATE_LABELS, ducb(), P.ORIGIN)
     return d.select("group_id", F.array_join("slots", ":").alias("slots"), "message", "tick")
+
+
+@query("stream_state_lazy")
+def q_stream_state_lazy(spark, sf_dir):
+    """T1 on transformWithStateInPandas with per-decision map state and
+    lazy idle decay; read at the last tick it equals the closed form."""
+    from qoeflow.streaming.jobs import decision_state_lazy_job
+    from qoeflow.streaming.keyed_state import read_state
+    rows = decision_state_lazy_job(spark, V.updates(spark, sf_dir), P.GAMMA)
+    st = read_state(rows, P.GAMMA, rows.select(F.max("group_tick")).scalar())
+    return st.select("group_id", "decision", round4("score_sum").alias("score_sum"),
+                     round4("n").alias("n"), round4(S.mean_col()).alias("mean"), "last_tick")

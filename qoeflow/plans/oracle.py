@@ -580,3 +580,5 @@ SQL["decision_loop_stream"] = with_(f"""bounds AS (
 SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS message,
        CAST({LOOP_SLICES - 1} AS BIGINT) AS tick
 FROM ucb"""
+
+SQL["stream_state_lazy"] = SQL["discounted_state"]

@@ -202,3 +202,30 @@ def late_rows_job(spark: SparkSession, updates: DataFrame, width: str, lateness:
 def json_of(progress) -> dict:
     import json
     return json.loads(progress.json) if hasattr(progress, "json") else dict(progress)
+
+
+def decision_state_lazy_job(spark: SparkSession, updates: DataFrame, gamma: float,
+                            n_files: int = 6) -> DataFrame:
+    """T1 with ``transformWithStateInPandas`` (RocksDB state store): stage
+    the updates as an ordered file stream, run it, return the emitted rows
+    (``streaming.keyed_state.read_state`` turns them into the state)."""
+    from qoeflow.streaming.keyed_state import ROCKSDB, decision_stream_lazy
+    base = scratch_path(spark, "decision-state-lazy")
+    src = updates.select("group_id", "decision", "cost", "tick")
+    stage_files(src, f"{base}/in", "tick", n_files)
+    stream = (spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{base}/in"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)        # read when the query starts; restored right after
+    try:
+        q = start_stream(decision_stream_lazy(stream, gamma), batch_sink(f"{base}/out"),
+                         f"{base}/ckpt", mode="update")
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+    q.awaitTermination(900)
+    q.stop()
+    return spark.read.parquet(f"{base}/out")

@@ -93,3 +93,20 @@ def test_decision_loop_with_processing_time_trigger(spark):
         q.stop()
     dec = {r.group_id: r.slots for r in spark.read.parquet(f"{base}/loop/decisions").collect()}
     assert set(dec) == {"g", "h"} and len(dec["g"]) == 4 and dec["h"] == ["x"] * 4
+
+
+def test_lazy_keyed_state_equals_batch(spark):
+    from qoeflow.streaming.jobs import decision_state_lazy_job
+    from qoeflow.streaming.keyed_state import read_state
+    rows = [("g", "a", 1.0, 0), ("g", "b", 2.0, 0), ("h", "a", 5.0, 0), ("g", "a", 1.0, 1),
+            ("g", "b", 3.0, 1), ("g", "a", 4.0, 1), ("g", "a", 1.0, 3), ("g", "b", 1.0, 4),
+            ("h", "b", 2.0, 4), ("g", "a", 2.0, 6), ("k", "z", 1.0, 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = decision_state_lazy_job(spark, df, 0.8, n_files=4)
+    got = {(r.group_id, r.decision): (r.score_sum, r.n)
+           for r in read_state(out, 0.8, F.lit(6)).collect()}
+    want = {(r.group_id, r.decision): (r.score_sum, r.n)
+            for r in S.discounted_state(S.tick_stats(df), 0.8, at_tick=6).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == pytest.approx(want[k][1])
