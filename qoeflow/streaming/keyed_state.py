@@ -44,7 +44,11 @@ class LazyDecayProcessor(StatefulProcessor):
                 a = acc.setdefault((t, d), [0.0, 0.0])
                 a[0] -= c
                 a[1] += 1.0
-        out = []
+        # one state read and one write per touched decision
+        cache: dict[str, list] = {}
+        for d in {d for _, d in acc}:
+            v = self.dec.getValue((d,))          # None when absent
+            cache[d] = list(v) if v is not None else None
         for (t, d), (s, c) in sorted(acc.items()):
             if g_last is not None and t < g_last:
                 late += int(c)
@@ -54,28 +58,25 @@ class LazyDecayProcessor(StatefulProcessor):
             elif t > g_last:
                 idle += t - g_last - 1
                 g_last = t
-            k = (d,)
-            if self.dec.containsKey(k):
-                os_, on, d_last, idle_at = self.dec.getValue(k)
-                f = g ** (idle - idle_at)
-                if d_last == t:
-                    ns, nn = os_ * f + s, on * f + c
-                else:
-                    ns, nn = s + g * os_ * f, c + g * on * f
-            else:
+            old = cache[d]
+            if old is None:
                 ns, nn = s, c
-            self.dec.updateValue(k, (ns, nn, t, idle))
-            out.append((d, ns, nn, t, idle))
+            else:
+                f = g ** (idle - old[3])
+                if old[2] == t:
+                    ns, nn = old[0] * f + s, old[1] * f + c
+                else:
+                    ns, nn = s + g * old[0] * f, c + g * old[1] * f
+            cache[d] = [ns, nn, t, idle]
+        out = [(d, *v) for d, v in cache.items() if v is not None]
+        for d, ns, nn, t, i in out:
+            self.dec.updateValue((d,), (ns, nn, t, i))
         self.grp.update((g_last, idle, late))
         if out:
             d, s_, n_, t_, i_ = zip(*out)
-            frame = pd.DataFrame({"group_id": key[0], "decision": d, "score_sum": s_, "n": n_,
-                                  "last_tick": t_, "idle_at": i_})
-            # keep the newest write per decision of this batch
-            frame = frame.groupby("decision", as_index=False).last()
-            frame["group_tick"], frame["group_idle"], frame["late"] = g_last, idle, late
-            yield frame[["group_id", "decision", "score_sum", "n", "last_tick", "idle_at",
-                         "group_tick", "group_idle", "late"]]
+            yield pd.DataFrame({"group_id": key[0], "decision": d, "score_sum": s_, "n": n_,
+                                "last_tick": t_, "idle_at": i_, "group_tick": g_last,
+                                "group_idle": idle, "late": late})
 
     def close(self) -> None:
         pass
