@@ -3,13 +3,19 @@
 A policy turns tick statistics into per-group state (``state``) and state
 into a decision per group (``decide``).  Built-in policies implement both
 as DataFrame expressions.  A custom policy may instead implement
-``decide_pandas(pdf) -> pdf`` on one group's state rows (bounded by the
-decision catalogue); it then runs through ``applyInPandas``.
+
+* ``decide_pandas(pdf) -> pdf`` on one group's state rows (bounded by the
+  decision catalogue), run through ``applyInPandas``; or
+* ``decide_batch(pdf) -> pdf`` on a batch of groups, one row per group
+  with list columns ``decisions``, ``score_sums``, ``ns`` -- run through
+  ``mapInPandas`` over Arrow batches, so millions of groups cost a few
+  calls per partition instead of one call per group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from qoeflow.operators import stats as S
 
@@ -27,6 +33,14 @@ class Policy:
         return S.discounted_state(stats, self.gamma, at_tick)
 
     def decide(self, state: DataFrame) -> DataFrame:
+        if type(self).decide_batch is not Policy.decide_batch:
+            lists = (state.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct(
+                "decision", F.col("score_sum").cast("double").alias("s"),
+                F.col("n").cast("double").alias("n")))).alias("_x"))
+                .select("group_id", F.col("_x.decision").alias("decisions"),
+                        F.col("_x.s").alias("score_sums"), F.col("_x.n").alias("ns")))
+            fb = self.decide_batch
+            return lists.mapInPandas(lambda it: (fb(pdf) for pdf in it), self.decision_schema)
         fn = self.decide_pandas
 
         def per_group(pdf):
@@ -38,3 +52,6 @@ class Policy:
 
     def decide_pandas(self, pdf):  # pragma: no cover - abstract
         raise NotImplementedError
+
+    def decide_batch(self, pdf):  # pragma: no cover - optional
+        raise NotImplementedError

@@ -172,3 +172,31 @@ def test_ucb_arrow_engine_equals_catalyst(spark, seed):
     b = {(r.group_id, r.t): r.slots for r in pol.decide(df, ["group_id", "t"], engine="arrow").collect()}
     assert a == b
     assert a[("tie", 0)][0] == "a"
+
+
+def test_policy_plugin_batch_and_per_group_agree(spark):
+    import numpy as np
+    import pandas as pd
+    from qoeflow.operators.policy import Policy
+
+    class PerGroup(Policy):
+        def decide_pandas(self, pdf):
+            m = (pdf["score_sum"] / pdf["n"]).to_numpy()
+            order = np.lexsort((pdf["decision"].to_numpy(), -m))
+            return pd.DataFrame({"group_id": pdf["group_id"].iloc[:1],
+                                 "decision": [pdf["decision"].to_numpy()[order[0]]]})
+
+    class Batched(Policy):
+        def decide_batch(self, pdf):
+            best = []
+            for ds, ss, ns in zip(pdf["decisions"], pdf["score_sums"], pdf["ns"]):
+                m = np.asarray(ss) / np.asarray(ns)
+                best.append(ds[int(np.argmax(m))])     # lists are sorted by name: ties -> smallest
+            return pd.DataFrame({"group_id": pdf["group_id"], "decision": best})
+
+    rnd = random.Random(5)
+    rows = [(str(g), d, -rnd.choice([1.0, 2.0, 3.0]), 1.0) for g in range(50) for d in "pqr"]
+    st = spark.createDataFrame(rows, "group_id string, decision string, score_sum double, n double")
+    a = {r.group_id: r.decision for r in PerGroup().decide(st).collect()}
+    b = {r.group_id: r.decision for r in Batched().decide(st).collect()}
+    assert a == b and len(a) == 50
