@@ -111,3 +111,77 @@ def test_running_load_share_matches_counters(spark, sess):
             want[i] = run[(m, d)] / total[m]
     assert got.keys() == want.keys()
     assert all(math.isclose(got[k], want[k]) for k in want)
+
+
+def _tree(draw, depth):
+    if depth == 0 or draw(st.booleans()) and depth < 3:
+        return {"GroupName": draw(st.sampled_from(["A", "B", "C", "D", "E"]))}
+    field = draw(st.integers(0, 2))
+    keys = draw(st.lists(st.sampled_from(["0", "1", "2"]), min_size=1, max_size=3))  # duplicates allowed
+    return {"Field": str(field), "Table": [{"Key": k, "Rule": _tree(draw, depth - 1)} for k in keys]}
+
+
+@st.composite
+def rule_trees(draw):
+    return {"Field": "0", "Table": [{"Key": k, "Rule": _tree(draw, 2)}
+                                    for k in draw(st.lists(st.sampled_from(["0", "1", "2"]), min_size=1,
+                                                           max_size=3))]}
+
+
+def run_rules(node, feats, out):
+    """Nested ifs in document order; the last executed assignment wins."""
+    if "Field" in node:
+        for e in node["Table"]:
+            if feats[int(node["Field"])] == e["Key"]:
+                out = run_rules(e["Rule"], feats, out)
+        return out
+    return node["GroupName"]
+
+
+@SETTINGS
+@given(rule_trees())
+def test_rule_matching_matches_nested_ifs(spark, tree):
+    import itertools
+    import json
+    from qoeflow.operators.rules import flatten_rules, match_groups
+    leaves = flatten_rules(spark.createDataFrame([(1, json.dumps(tree))], "doc_id long, rules string"))
+    combos = list(itertools.product("012", repeat=3))
+    req = spark.createDataFrame([(i, list(c)) for i, c in enumerate(combos)],
+                                "req_id long, features array<string>")
+    got = {r.req_id: r.group_id for r in match_groups(req, leaves, F.lit("dflt")).collect()}
+    for i, c in enumerate(combos):
+        assert got[i] == (run_rules(tree, c, None) or "dflt")
+
+
+@SETTINGS
+@given(st.lists(st.lists(st.tuples(st.sampled_from("ghij"), st.sampled_from(["c1", "c2", "c3"])),
+                         min_size=0, max_size=4), min_size=1, max_size=4))
+def test_group_assignment_matches_map_puts(spark, msgs):
+    import json
+    from qoeflow.sources.feed import group_assignment
+    feed = spark.createDataFrame(
+        [(i, json.dumps({"GroupAssignment": [{"GroupName": g, "Cluster": c} for g, c in m]}))
+         for i, m in enumerate(msgs)], "seq long, value string")
+    want = {"null": "c0"}
+    for m in msgs:
+        for g, c in m:
+            want[g] = c
+    got = {r.group_id: r.cluster_id for r in group_assignment(feed, "c0").collect()}
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 99)), min_size=1, max_size=6),
+       st.lists(st.tuples(st.sampled_from("abc"),
+                          st.lists(st.tuples(st.integers(1, 9), st.integers(1, 9)), min_size=1, max_size=3)),
+                min_size=1, max_size=4))
+def test_trace_parse_matches_dict_semantics(spark, dmap, lmap):
+    from qoeflow.sources.traces import read_traces
+    dtxt = "\t".join(f"{k},{v}" for k, v in dmap)
+    ltxt = "\t".join(f"{k}," + ";".join(f"{t / 10};{f}" for t, f in ps) for k, ps in lmap)
+    line = f"12345\tfeat\tDecisionMap\t{dtxt}\tLoadMap\t{ltxt}\n"
+    t = read_traces(spark.createDataFrame([(0, line)], "line_no long, value string")).first()
+    assert t.decision_map == {k: float(v) for k, v in dict(dmap).items()}
+    want = {k: [(x / 10, float(f)) for x, f in ps] for k, ps in dict(lmap).items()}
+    assert {k: [(p.threshold, p.factor) for p in v] for k, v in t.load_map.items()} == want
+    assert t.ts_s == 12
