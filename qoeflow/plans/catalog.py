@@ -611,3 +611,13 @@ def q_stream_state_lazy(spark, sf_dir):
     st = read_state(rows, P.GAMMA, rows.select(F.max("group_tick")).scalar())
     return st.select("group_id", "decision", round4("score_sum").alias("score_sum"),
                      round4("n").alias("n"), round4(S.mean_col()).alias("mean"), "last_tick")
+
+
+@query("assign_stream")
+def q_assign_stream(spark, sf_dir):
+    """M1 online: requests as a stream, served per micro-batch against the
+    newest decision table; equals the batch assignment."""
+    from qoeflow.streaming.exchange import serve_job
+    out = serve_job(spark, V.requests(spark, sf_dir), _latest_slots(spark, sf_dir), _leaves(spark, sf_dir),
+                    V.ASN_INDEX, V.N_REQUEST_FEATURES, P.SEED)
+    return out.select("req_id", "group_id", "decision", "source")

@@ -582,3 +582,4 @@ SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS
 FROM ucb"""
 
 SQL["stream_state_lazy"] = SQL["discounted_state"]
+SQL["assign_stream"] = SQL["assign_slots"]

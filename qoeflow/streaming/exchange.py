@@ -171,3 +171,35 @@ def window_ring_job(spark: SparkSession, updates: DataFrame, length_ticks: int,
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("group_id").agg(F.max("batch_id").alias("batch_id"))
     return out.join(last, ["group_id", "batch_id"]).drop("batch_id")
+
+
+def serve_sink(decisions_table: str, leaves: DataFrame, default_feature: int, n_features: int,
+               seed: str, out: str):
+    """M1 online: each micro-batch of requests is grouped by the rules,
+    joined with the newest decision table (re-read per batch) and served."""
+    from qoeflow.operators.assign import assign_slots
+    from qoeflow.operators.records import split_request
+    from qoeflow.operators.rules import match_groups
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        latest = latest_version(spark, decisions_table)
+        req = split_request(df, n_features)
+        grouped = match_groups(req, leaves, F.get("features", default_feature))
+        served = assign_slots(grouped, latest, seed)
+        (served.select("req_id", "group_id", "decision", "source").write.mode("overwrite")
+         .parquet(f"{out}/batch_id={batch_id}"))
+    return sink
+
+
+def serve_job(spark: SparkSession, requests: DataFrame, latest: DataFrame, leaves: DataFrame,
+              default_feature: int, n_features: int, seed: str, n_files: int = 3) -> DataFrame:
+    """Write the decision table as a version, stream the requests through
+    ``serve_sink``, return every response."""
+    base = scratch_path(spark, "serve")
+    latest.write.mode("overwrite").parquet(f"{base}/decisions/v=0")
+    stage_files(requests, f"{base}/in", "req_id", n_files)
+    s = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run_available_now(s, serve_sink(f"{base}/decisions", leaves, default_feature, n_features, seed,
+                                    f"{base}/out"), f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
