@@ -621,3 +621,13 @@ def q_assign_stream(spark, sf_dir):
     out = serve_job(spark, V.requests(spark, sf_dir), _latest_slots(spark, sf_dir), _leaves(spark, sf_dir),
                     V.ASN_INDEX, V.N_REQUEST_FEATURES, P.SEED)
     return out.select("req_id", "group_id", "decision", "source")
+
+
+@query("ingest_decide_stream")
+def q_ingest_decide_stream(spark, sf_dir):
+    """M4 -> T1: spool -> topic routing -> decision loop on this cluster's
+    topic -> newest slot list per owned group."""
+    from qoeflow.streaming.loop import ingest_then_decide_job
+    d = ingest_then_decide_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
+                               P.UPDATE_LABELS, P.REDUCED_LABELS, ducb(), P.ORIGIN)
+    return d.select("group_id", F.array_join("slots", ":").alias("slots"), "message")

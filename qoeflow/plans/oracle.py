@@ -583,3 +583,10 @@ FROM ucb"""
 
 SQL["stream_state_lazy"] = SQL["discounted_state"]
 SQL["assign_stream"] = SQL["assign_slots"]
+
+SQL["ingest_decide_stream"] = with_(ROUTED, """updates AS (
+  SELECT r.group_id, e.event_type AS decision, CAST(CAST(e.value AS DECIMAL(12,2)) AS DOUBLE) AS cost,
+         CAST(0 AS BIGINT) AS tick
+  FROM routed r JOIN events e USING (event_id)
+  WHERE r.cluster_id = '""" + P.ME + """')""", STATS, dstate(at="0"), ucb_rec(), recursive=True) + f"""
+SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS message FROM ucb"""

@@ -81,7 +81,7 @@ def decision_state_job(spark: SparkSession, updates: DataFrame, gamma: float,
 
 
 def ingest_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me: str,
-               labels: list[str], keep: list[str], n_files: int = 4) -> DataFrame:
+               labels: list[str], keep: list[str], n_files: int = 4, return_path: bool = False):
     """M4: spool folder -> upload topic (raw update) + processing topic
     (reduced update, cluster, internal/external) -> file topic sink."""
     from qoeflow.operators.records import route
@@ -103,7 +103,7 @@ def ingest_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me:
 
     raw = lines.withColumn("_upd_raw", F.get_json_object("value", "$.update"))
     run_available_now(raw, sink, f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/topics")
+    return f"{base}/topics" if return_path else spark.read.parquet(f"{base}/topics")
 
 
 def topic_roundtrip_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me: str,

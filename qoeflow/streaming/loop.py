@@ -74,3 +74,22 @@ def decision_loop_job(spark: SparkSession, messages: DataFrame, labels: list[str
     run_available_now(src, decision_loop_sink(base, labels, policy, origin), f"{base}/ckpt")
     d = spark.read.parquet(f"{base}/decisions")
     return latest_decision(d.select("group_id", "slots", "message", "tick"), "tick", ["slots", "message"])
+
+
+def ingest_then_decide_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me: str,
+                           labels: list[str], keep: list[str], policy: DiscountedUCB,
+                           origin: str) -> DataFrame:
+    """M4 -> T1 through a topic folder: the ingest stream routes the spool
+    to topic folders; the decision loop streams the ``internal_groups``
+    topic (this cluster's groups, reduced updates) and decides.  All of the
+    topic's files are one micro-batch here, i.e. one tick."""
+    from qoeflow.sources.sinks import latest_decision
+    from qoeflow.streaming.jobs import ingest_job
+    topics = ingest_job(spark, messages, assign, me, labels, keep, return_path=True)
+    schema = spark.read.parquet(topics).drop("topic", "batch_id").schema
+    internal = spark.readStream.schema(schema).parquet(f"{topics}/*/topic=internal_groups")
+    base = scratch_path(spark, "ingest-decide")
+    run_available_now(internal.select("value"), decision_loop_sink(base, keep, policy, origin),
+                      f"{base}/ckpt")
+    d = spark.read.parquet(f"{base}/decisions")
+    return latest_decision(d.select("group_id", "slots", "message", "tick"), "tick", ["slots", "message"])
