@@ -631,3 +631,13 @@ def q_ingest_decide_stream(spark, sf_dir):
     d = ingest_then_decide_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME,
                                P.UPDATE_LABELS, P.REDUCED_LABELS, ducb(), P.ORIGIN)
     return d.select("group_id", F.array_join("slots", ":").alias("slots"), "message")
+
+
+@query("stream_slots")
+def q_stream_slots(spark, sf_dir):
+    """Snapshot of every group at the last tick from the streamed state
+    (idle groups decayed on read), then the slot decisions; equals ucb_slots."""
+    st = decision_state_job(spark, V.updates(spark, sf_dir), P.GAMMA)
+    snap = decay_to(st, P.GAMMA, st.select(F.max("group_tick")).scalar())
+    dec = ducb().decide(snap.select("group_id", "decision", "score_sum", "n"))
+    return dec.select("group_id", F.array_join("slots", ":").alias("slots"))
