@@ -23,12 +23,14 @@ from qoeflow.operators.records import available
 
 
 def _fallback(df: DataFrame, seed: str, key: str) -> Column:
+    """Uniform pick among the candidates; null when there are none."""
     u = hash_u32(F.lit(seed), F.lit("fallback"), F.col(key))
-    return F.element_at("candidates", draw_index(u, F.size("candidates")))
+    n = F.size("candidates")
+    return F.when(n > 0, F.element_at("candidates", draw_index(u, F.greatest(n, F.lit(1)))))
 
 
 def _finish(df: DataFrame, picked: Column, seed: str, key: str) -> DataFrame:
-    ok = available(picked, F.col("candidates"))
+    ok = available(F.col("_picked"), F.col("candidates"))
     return (df.withColumn("_picked", picked)
               .withColumn("source", F.when(ok, F.lit("policy")).otherwise(F.lit("fallback")))
               .withColumn("decision", F.when(ok, F.col("_picked")).otherwise(_fallback(df, seed, key)))

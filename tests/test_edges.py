@@ -220,3 +220,10 @@ def test_epsilon_message_roundtrip(spark):
         'g;{"random":["b","c"],"best":"a","epsilon":0.9};From: c0'
     back = {r.group_id: (r.best, r.rest, r.epsilon) for r in R.parse_epsilon(msgs).collect()}
     assert back == {"g": ("a", ["b", "c"], 0.9), "h": ("x", [], 0.5)}
+
+
+def test_no_candidates_gives_null_not_error(spark):
+    req = spark.createDataFrame([(1, "g", [])], "req_id long, group_id string, candidates array<string>")
+    latest = spark.createDataFrame([("g", "a:")], "group_id string, slots string")
+    r = A.assign_slots(req, latest, "s").first()
+    assert r.decision is None and r.source == "fallback"
