@@ -35,8 +35,17 @@ def hash_u32(*parts) -> Column:
 
 
 def draw_index(u: Column, n) -> Column:
-    """1-based index of a uniform pick among ``n`` items from draw ``u``."""
-    return (F.pmod(u, _c(n) if not isinstance(n, int) else F.lit(n)) + 1).cast("int")
+    """1-based index of a uniform pick among ``n`` items from draw ``u``
+    (``n`` < 1 is treated as 1, so no division by zero under ANSI mode)."""
+    n = _c(n) if not isinstance(n, int) else F.lit(n)
+    return (F.pmod(u, F.greatest(n, F.lit(1))) + 1).cast("int")
+
+
+def pick(arr, u: Column) -> Column:
+    """Uniform pick from an array with draw ``u``; null for a null or empty
+    array (``get`` never raises on a bad index)."""
+    a = _c(arr)
+    return F.get(a, draw_index(u, F.size(a)) - 1)
 
 
 def is_empty(c) -> Column:

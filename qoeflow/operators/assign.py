@@ -18,15 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qoeflow.functions import draw_index, hash_u32, strip_chars
+from qoeflow.functions import hash_u32, pick, strip_chars
 from qoeflow.operators.records import available
 
 
 def _fallback(df: DataFrame, seed: str, key: str) -> Column:
     """Uniform pick among the candidates; null when there are none."""
-    u = hash_u32(F.lit(seed), F.lit("fallback"), F.col(key))
-    n = F.size("candidates")
-    return F.when(n > 0, F.element_at("candidates", draw_index(u, F.greatest(n, F.lit(1)))))
+    return pick("candidates", hash_u32(F.lit(seed), F.lit("fallback"), F.col(key)))
 
 
 def _finish(df: DataFrame, picked: Column, seed: str, key: str) -> DataFrame:
@@ -41,10 +39,8 @@ def assign_slots(requests: DataFrame, latest: DataFrame, seed: str, key: str = "
     """K5 + K8: uniform pick from the group's slot string 'd1:...:dk:'."""
     d = latest.select("group_id", F.split(strip_chars(F.col("slots")), ":").alias("_slots"))
     j = requests.join(d, "group_id", "left")
-    u = hash_u32(F.lit(seed), F.lit("slot"), F.col(key))
-    pick = F.when(F.col("_slots").isNotNull(),
-                  F.element_at("_slots", draw_index(u, F.size("_slots"))))
-    return _finish(j, pick, seed, key).drop("_slots")
+    choice = pick("_slots", hash_u32(F.lit(seed), F.lit("slot"), F.col(key)))
+    return _finish(j, choice, seed, key).drop("_slots")
 
 
 def assign_epsilon(requests: DataFrame, eg: DataFrame, seed: str, key: str = "req_id") -> DataFrame:
@@ -54,13 +50,12 @@ def assign_epsilon(requests: DataFrame, eg: DataFrame, seed: str, key: str = "re
     decision with no ``rest`` always gives ``best``."""
     j = requests.join(eg.select("group_id", "best", "rest", "epsilon"), "group_id", "left")
     r = F.pmod(hash_u32(F.lit(seed), F.lit("eps"), F.col(key)), F.lit(101))
-    u = hash_u32(F.lit(seed), F.lit("explore"), F.col(key))
-    explore = F.element_at("rest", draw_index(u, F.size("rest")))
-    pick = (F.when(F.col("best").isNull(), F.lit(None))
-             .when(F.size("rest") == 0, F.col("best"))
-             .when(r < F.col("epsilon") * 100, explore)
-             .otherwise(F.col("best")))
-    return _finish(j, pick, seed, key).drop("best", "rest", "epsilon")
+    explore = pick("rest", hash_u32(F.lit(seed), F.lit("explore"), F.col(key)))
+    choice = (F.when(F.col("best").isNull(), F.lit(None))
+               .when(F.coalesce(F.size("rest"), F.lit(0)) <= 0, F.col("best"))
+               .when(r < F.col("epsilon") * 100, explore)
+               .otherwise(F.col("best")))
+    return _finish(j, choice, seed, key).drop("best", "rest", "epsilon")
 
 
 def format_weights(weights: DataFrame) -> DataFrame:
@@ -97,7 +92,7 @@ def assign_weighted(requests: DataFrame, weights: DataFrame, seed: str, key: str
         "_v", F.pmod(hash_u32(F.lit(seed), F.lit("weighted"), F.col(key)), F.lit(101)))
     hit = F.filter("_w", lambda e: e["cum100"] >= F.col("_v"))
     pick = F.when(F.size(hit) > 0, F.get(hit, 0)["decision"]) \
-            .otherwise(F.element_at("_w", -1)["decision"])
+            .otherwise(F.get("_w", F.size("_w") - 1)["decision"])
     return (j.withColumn("decision", F.when(F.col("_w").isNotNull(), pick))
              .withColumn("source", F.when(F.col("_w").isNotNull(), F.lit("weighted")).otherwise(F.lit("none")))
              .drop("_w", "_v"))

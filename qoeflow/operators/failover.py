@@ -19,7 +19,7 @@ def round_robin(sessions: DataFrame, n_frontends: int, line_no: str = "line_no",
     """W4 + K9: frontend = line_no mod n; failed -> local fallback
     (``local_pos``-th decision in sorted key order, last if fewer)."""
     keys = F.array_sort(F.map_keys("decision_map"))
-    local = F.element_at(keys, F.least(F.lit(local_pos), F.size(keys)))
+    local = F.get(keys, F.least(F.lit(local_pos), F.size(keys)) - 1)   # null if the map is empty
     chosen = F.when(F.col(ok), F.col(decision)).otherwise(local)
     return (sessions.withColumn("url_idx", F.pmod(F.col(line_no), F.lit(n_frontends)).cast("int"))
                     .withColumn("mode", F.when(F.col(ok), "online").otherwise("local"))

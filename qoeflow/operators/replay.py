@@ -190,7 +190,7 @@ def replay_policy(sessions: DataFrame, stats: DataFrame, policy, seed: str,
     group's slot list at T = tick - 1, a reproducible uniform draw, the
     availability check against the session's decision map and the
     fallback draw.  Returns the sessions with ``assigned`` and ``source``."""
-    from qoeflow.functions import draw_index, hash_u32
+    from qoeflow.functions import hash_u32, pick
     hist = state_history(stats, policy.gamma, tick)
     asks = sessions.select("group_id", (F.col(tick) - 1).alias("at")).distinct()
     st = state_asof(hist, stats, asks, policy.gamma, tick)
@@ -202,11 +202,9 @@ def replay_policy(sessions: DataFrame, stats: DataFrame, policy, seed: str,
         slots = policy.decide(st, keys=["group_id", "at"])
     s = sessions.withColumn("at", F.col(tick) - 1).join(slots, ["group_id", "at"], "left")
     cands = F.array_sort(F.map_keys("decision_map"))
-    u = hash_u32(F.lit(seed), F.lit("slot"), F.col("line_no"))
-    pick = F.when(F.col("slots").isNotNull(), F.element_at("slots", draw_index(u, F.size("slots"))))
-    ok = pick.isNotNull() & F.coalesce(F.array_contains(cands, pick), F.lit(False))
-    fb = F.element_at(cands, draw_index(hash_u32(F.lit(seed), F.lit("fallback"), F.col("line_no")),
-                                         F.size(cands)))
-    return (s.withColumn("assigned", F.when(ok, pick).otherwise(fb))
+    s = s.withColumn("_pick", pick("slots", hash_u32(F.lit(seed), F.lit("slot"), F.col("line_no"))))
+    ok = F.col("_pick").isNotNull() & F.coalesce(F.array_contains(cands, F.col("_pick")), F.lit(False))
+    fb = pick(cands, hash_u32(F.lit(seed), F.lit("fallback"), F.col("line_no")))
+    return (s.withColumn("assigned", F.when(ok, F.col("_pick")).otherwise(fb))
              .withColumn("source", F.when(ok, F.lit("policy")).otherwise(F.lit("fallback")))
-             .drop("slots", "at"))
+             .drop("slots", "at", "_pick"))

@@ -74,7 +74,7 @@ def read_traces(lines: DataFrame, value: str = "value") -> DataFrame:
     out = step3.select(
         *[c for c in lines.columns],
         F.split(F.regexp_replace("_f", "\t$", ""), "\t").alias("features"),
-        F.floor(F.substring_index("_f", "\t", 1).cast("bigint") / 1000).cast("bigint").alias("ts_s"),
+        F.floor(F.substring_index("_f", "\t", 1).try_cast("bigint") / 1000).cast("bigint").alias("ts_s"),
         F.map_from_arrays(F.reverse("_ddk"), F.reverse(F.transform(
             "_ddk", lambda k: F.get(F.col("_dv"), F.array_position("_dk", k).cast("int") - 1))))
         .alias("decision_map"),
@@ -91,7 +91,7 @@ def sort_traces(lines: DataFrame, value: str = "value", numeric: bool = False,
     ties in line order.  Adds ``sort_pos`` (a distributed range sort plus
     offsets, no single-task window)."""
     key = F.substring_index(F.col(value), "\t", 1)
-    key = key.cast("bigint") if numeric else key
+    key = key.try_cast("bigint") if numeric else key
     k = lines.withColumn("_key", key)
     return ordinal_within(k, [], ["_key", line_no], "sort_pos").drop("_key")
 

@@ -227,3 +227,22 @@ def test_no_candidates_gives_null_not_error(spark):
     latest = spark.createDataFrame([("g", "a:")], "group_id string, slots string")
     r = A.assign_slots(req, latest, "s").first()
     assert r.decision is None and r.source == "fallback"
+
+
+def test_ansi_safe_edges(spark):
+    from qoeflow.sources.traces import read_traces, sort_traces
+    # empty decision map: the local fallback is null, not an index error
+    s = spark.createDataFrame([(0, "x", False, {})], "line_no long, decision string, ok boolean, "
+                              "decision_map map<string,double>")
+    r = FO.round_robin(s, 2).first()
+    assert r.chosen is None and r.mode == "local"
+    # non-numeric trace time: null time, and the numeric sort still runs
+    lines = spark.createDataFrame([(0, "abc\tDecisionMap\ta,1\tLoadMap\ta,0.1;2"), (1, "5\tx")],
+                                  "line_no long, value string")
+    assert read_traces(lines).orderBy("line_no").first().ts_s is None
+    assert sort_traces(lines, numeric=True).count() == 2
+    # epsilon decision without a rest list
+    eg = spark.createDataFrame([("g", "a", None, 0.9)],
+                               "group_id string, best string, rest array<string>, epsilon double")
+    req = spark.createDataFrame([(1, "g", ["a"])], "req_id long, group_id string, candidates array<string>")
+    assert A.assign_epsilon(req, eg, "s").first().decision == "a"
