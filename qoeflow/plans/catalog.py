@@ -227,7 +227,7 @@ def _parsed(spark, sf_dir):
 @query("parse_updates")
 def q_parse_updates(spark, sf_dir):
     p = _parsed(spark, sf_dir)
-    return p.select(F.get("fields", 0).cast("bigint").alias("event_id"), "group_id", "decision",
+    return p.select(F.get("fields", 0).try_cast("bigint").alias("event_id"), "group_id", "decision",
                     round4("score").alias("score"))
 
 
@@ -511,7 +511,7 @@ def q_ingest_routing(spark, sf_dir):
 def q_topic_roundtrip(spark, sf_dir):
     t = topic_roundtrip_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), P.ME)
     good, _ = parse_updates(t, P.UPDATE_LABELS)
-    return good.select(F.get("fields", 0).cast("bigint").alias("event_id"), "topic", "group_id",
+    return good.select(F.get("fields", 0).try_cast("bigint").alias("event_id"), "topic", "group_id",
                        "decision", round4("score").alias("score"))
 
 
