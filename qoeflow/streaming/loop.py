@@ -33,7 +33,11 @@ from qoeflow.streaming.jobs import run_available_now, stage_files, start_stream
 from qoeflow.streaming.topics import spool_source
 
 
-def decision_loop_sink(base: str, labels: list[str], policy: DiscountedUCB, origin: str):
+def decision_loop_sink(base: str, labels: list[str], policy: DiscountedUCB, origin: str,
+                       topic: tuple[str, str, dict] | None = None):
+    """``topic`` = (name, format, options) also publishes the decision
+    messages, e.g. ("decision", "kafka", {"kafka.bootstrap.servers": ...});
+    a file format writes one folder per batch id under options["path"]."""
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         good, bad = parse_updates(df, labels)
@@ -49,17 +53,25 @@ def decision_loop_sink(base: str, labels: list[str], policy: DiscountedUCB, orig
         cur = spark.read.parquet(f"{base}/state/v={batch_id}")
         dec = format_decision(policy.decide(cur), origin).withColumn("tick", F.lit(batch_id).cast("bigint"))
         dec.write.mode("overwrite").parquet(f"{base}/decisions/batch_id={batch_id}")
+        if topic:
+            name, fmt, opts = topic
+            msgs = spark.read.parquet(f"{base}/decisions/batch_id={batch_id}").select(
+                F.lit(name).alias("topic"), F.col("message").alias("value"))
+            if fmt == "kafka":
+                msgs.write.format("kafka").options(**opts).save()
+            else:
+                msgs.write.mode("overwrite").format(fmt).save(f"{opts['path']}/batch_id={batch_id}")
     return sink
 
 
 def decision_loop(updates: DataFrame, base: str, labels: list[str], policy: DiscountedUCB,
-                  origin: str, trigger: dict | None = None):
+                  origin: str, trigger: dict | None = None, topic: tuple[str, str, dict] | None = None):
     """Start the decision loop on any stream of update messages (a
     ``value`` column): a spool folder, or a topic via
     ``topics.read_topic(spark, "kafka", {...})``.  State, decisions and
     rejects are versioned under ``base`` (a shared folder); returns the
     running query."""
-    return start_stream(updates.select("value"), decision_loop_sink(base, labels, policy, origin),
+    return start_stream(updates.select("value"), decision_loop_sink(base, labels, policy, origin, topic),
                         f"{base}/ckpt", trigger=trigger)
 
 

@@ -86,13 +86,16 @@ def test_decision_loop_with_processing_time_trigger(spark):
         for i, (g, d, c) in enumerate([("g", "x", 1.0), ("g", "y", 3.0), ("h", "x", 2.0)]):
             f.write('{"update":"%d\\t%s\\t%s","group_id":"%s"}\n' % (i, d, c, g))
     q = decision_loop(spool_source(spark, f"{base}/spool"), f"{base}/loop", ["Id", "decision", "socre"],
-                      DiscountedUCB(0.8, 4, 1000.0), "From: t", trigger={"processingTime": "1 second"})
+                      DiscountedUCB(0.8, 4, 1000.0), "From: t", trigger={"processingTime": "1 second"},
+                      topic=("decision", "json", {"path": f"{base}/topic"}))
     try:
         q.processAllAvailable()
     finally:
         q.stop()
     dec = {r.group_id: r.slots for r in spark.read.parquet(f"{base}/loop/decisions").collect()}
     assert set(dec) == {"g", "h"} and len(dec["g"]) == 4 and dec["h"] == ["x"] * 4
+    published = {r.value for r in spark.read.json(f"{base}/topic").collect()}
+    assert "h;x:x:x:x:;From: t" in published
 
 
 def test_lazy_keyed_state_equals_batch(spark):
