@@ -641,3 +641,15 @@ def q_stream_slots(spark, sf_dir):
     snap = decay_to(st, P.GAMMA, st.select(F.max("group_tick")).scalar())
     dec = ducb().decide(snap.select("group_id", "decision", "score_sum", "n"))
     return dec.select("group_id", F.array_join("slots", ":").alias("slots"))
+
+
+@query("stream_state_timed")
+def q_stream_state_timed(spark, sf_dir):
+    """T1 + T8 with event-time timers: idle groups are re-emitted, decayed, as
+    the watermark advances; read at the last tick it equals the closed form."""
+    from qoeflow.streaming.jobs import decision_state_lazy_job
+    from qoeflow.streaming.keyed_state import read_state
+    rows = decision_state_lazy_job(spark, V.updates(spark, sf_dir), P.GAMMA, timed_tick_s=P.TICK_S)
+    st = read_state(rows, P.GAMMA, rows.select(F.max("group_tick")).scalar())
+    return st.select("group_id", "decision", round4("score_sum").alias("score_sum"),
+                     round4("n").alias("n"), round4(S.mean_col()).alias("mean"), "last_tick")

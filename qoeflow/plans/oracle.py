@@ -591,3 +591,4 @@ SQL["ingest_decide_stream"] = with_(ROUTED, """updates AS (
   WHERE r.cluster_id = '""" + P.ME + """')""", STATS, dstate(at="0"), ucb_rec(), recursive=True) + f"""
 SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS message FROM ucb"""
 SQL["stream_slots"] = SQL["ucb_slots"]
+SQL["stream_state_timed"] = SQL["discounted_state"]

@@ -205,11 +205,11 @@ def json_of(progress) -> dict:
 
 
 def decision_state_lazy_job(spark: SparkSession, updates: DataFrame, gamma: float,
-                            n_files: int = 6) -> DataFrame:
+                            n_files: int = 6, timed_tick_s: int | None = None) -> DataFrame:
     """T1 with ``transformWithStateInPandas`` (RocksDB state store): stage
     the updates as an ordered file stream, run it, return the emitted rows
     (``streaming.keyed_state.read_state`` turns them into the state)."""
-    from qoeflow.streaming.keyed_state import ROCKSDB, decision_stream_lazy
+    from qoeflow.streaming.keyed_state import ROCKSDB, decision_stream_lazy, decision_stream_timed
     base = scratch_path(spark, "decision-state-lazy")
     src = updates.select("group_id", "decision", "cost", "tick")
     stage_files(src, f"{base}/in", "tick", n_files)
@@ -219,8 +219,9 @@ def decision_state_lazy_job(spark: SparkSession, updates: DataFrame, gamma: floa
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKSDB)        # read when the query starts; restored right after
     try:
-        q = start_stream(decision_stream_lazy(stream, gamma), batch_sink(f"{base}/out"),
-                         f"{base}/ckpt", mode="update")
+        op = (decision_stream_timed(stream, gamma, timed_tick_s) if timed_tick_s
+              else decision_stream_lazy(stream, gamma))
+        q = start_stream(op, batch_sink(f"{base}/out"), f"{base}/ckpt", mode="update")
     finally:
         if before is None:
             spark.conf.unset(key)

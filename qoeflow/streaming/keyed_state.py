@@ -31,6 +31,7 @@ class LazyDecayProcessor(StatefulProcessor):
         self.gamma = gamma
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.grp = handle.getValueState("grp", "g_last bigint, idle bigint, late bigint")
         self.dec = handle.getMapState("dec", "decision string",
                                       "s double, n double, d_last bigint, idle_at bigint")
@@ -82,6 +83,54 @@ class LazyDecayProcessor(StatefulProcessor):
         pass
 
 
+class TimedDecayProcessor(LazyDecayProcessor):
+    """T8 with event-time timers: after its input, a group arms one timer at
+    the start of the tick after its last active tick.  When the watermark
+    passes it the group is idle: every decision is emitted decayed to the
+    watermark's tick, and the timer is re-armed for the next tick -- so idle
+    groups keep publishing fresh (decayed) state as event time advances."""
+
+    def __init__(self, gamma: float, tick_s: int):
+        super().__init__(gamma)
+        self.tick_ms = tick_s * 1000
+
+    def _arm(self, tick: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer((tick + 1) * self.tick_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from super().handleInputRows(key, rows, timerValues)
+        if self.grp.exists():
+            self._arm(self.grp.get()[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        g_last, idle, late = self.grp.get()
+        T = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // self.tick_ms
+        v_idle = idle + (T - g_last)          # every tick after g_last up to T was idle
+        rows = [(d[0], s_ * self.gamma ** (v_idle - ia), n_ * self.gamma ** (v_idle - ia), dl)
+                for d, (s_, n_, dl, ia) in self.dec.iterator()]
+        self._arm(T)
+        if rows:
+            d, s_, n_, dl = zip(*rows)
+            # values already decayed to T: idle_at = group_idle = v_idle, group_tick = T
+            yield pd.DataFrame({"group_id": key[0], "decision": d, "score_sum": s_, "n": n_,
+                                "last_tick": dl, "idle_at": v_idle, "group_tick": T,
+                                "group_idle": v_idle, "late": late})
+
+
+def decision_stream_timed(updates: DataFrame, gamma: float, tick_s: int) -> DataFrame:
+    """T1 + T8: like ``decision_stream_lazy`` plus idle emission driven by an
+    event-time watermark on the tick start (no extra lateness: ticks arrive
+    in order).  Rows at or before the watermark are dropped by Spark before
+    the processor sees them (so tick 0 = the epoch never enters)."""
+    src = (updates.select("group_id", "decision", "cost", "tick")
+           .withColumn("ts_tick", F.timestamp_seconds(F.col("tick") * tick_s))
+           .withWatermark("ts_tick", "0 seconds"))
+    return src.groupBy("group_id").transformWithStateInPandas(
+        TimedDecayProcessor(gamma, tick_s), OUT_SCHEMA, "Update", "EventTime")
+
+
 def decision_stream_lazy(updates: DataFrame, gamma: float) -> DataFrame:
     """Updates stream (group_id, decision, cost, tick) -> the decisions
     each micro-batch wrote, with the group's tick and idle count."""
@@ -107,4 +156,5 @@ def read_state(rows: DataFrame, gamma: float, at_tick: Column, batch: str = "bat
                     (F.col("n") * f).alias("n"), "last_tick", "group_tick")
 
 
-__all__ = ["LazyDecayProcessor", "decision_stream_lazy", "read_state", "ROCKSDB"]
+__all__ = ["LazyDecayProcessor", "TimedDecayProcessor", "decision_stream_lazy",
+           "decision_stream_timed", "read_state", "ROCKSDB"]

@@ -113,3 +113,28 @@ def test_lazy_keyed_state_equals_batch(spark):
     assert set(got) == set(want)
     for k in want:
         assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == pytest.approx(want[k][1])
+
+
+def test_timers_emit_idle_groups(spark):
+    from qoeflow.streaming.jobs import decision_state_lazy_job
+    from qoeflow.streaming.keyed_state import read_state
+    b = 1000      # ticks away from the epoch: event time 0 is never after the initial watermark
+    rows = [("g", "a", 1.0, b), ("h", "a", 4.0, b), ("h", "b", 2.0, b),
+            ("g", "a", 2.0, b + 2), ("g", "b", 1.0, b + 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = decision_state_lazy_job(spark, df, 0.8, n_files=3, timed_tick_s=10)
+    h = out.where("group_id = 'h'")
+    # h was active only at tick b; as event time moved on it was re-emitted, decayed
+    assert h.where(f"group_tick > {b}").count() >= 2
+    got = {(r.group_id, r.decision): (r.score_sum, r.n)
+           for r in read_state(out, 0.8, F.lit(b + 5)).collect()}
+    want = {(r.group_id, r.decision): (r.score_sum, r.n)
+            for r in S.discounted_state(S.tick_stats(df), 0.8, at_tick=b + 5).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == pytest.approx(want[k][1])
+    for r in h.collect():      # every idle emission carries the decayed state at its tick
+        t = r.group_tick - b
+        if t > 0:
+            base = {"a": -4.0, "b": -2.0}[r.decision]
+            assert r.score_sum == pytest.approx(base * 0.8 ** t)
