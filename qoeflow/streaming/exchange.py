@@ -34,9 +34,11 @@ def subscriptions_stream(subs: DataFrame, table: str, checkpoint: str):
     """T5/J5: 'group;cluster' messages -> distinct pairs appended to a
     table (the dedup state holds one key per distinct pair)."""
     from qoeflow.operators.exchange import parse_subscriptions
+    from qoeflow.streaming.jobs import session_conf, state_partitions
     pairs = parse_subscriptions(subs).dropDuplicates(["group_id", "cluster_id"])
-    return (pairs.writeStream.format("parquet").option("path", table)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with session_conf(subs.sparkSession, state_partitions(subs.sparkSession)):
+        return (pairs.writeStream.format("parquet").option("path", table)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def fanout_sink(subs_table: str, me: str, out: str):

@@ -25,18 +25,49 @@ def batch_sink(out: str, partition_by: list[str] | None = None):
     return sink
 
 
+class session_conf:
+    """Set session confs for the duration of a ``with`` block (restored
+    after).  A streaming query clones the session when it starts, so confs
+    read at start -- the state partition count, the state store provider --
+    can be set for one query without changing the caller's session."""
+
+    def __init__(self, spark: SparkSession, confs: dict):
+        self.spark, self.confs, self.before = spark, confs, {}
+
+    def __enter__(self):
+        for k, v in self.confs.items():
+            self.before[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *exc):
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+
+
+def state_partitions(spark: SparkSession) -> dict:
+    """Shuffle/state partitions for a job's stateful stream: the cluster's
+    cores (fixed in the checkpoint at the first start)."""
+    return {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+
+
 def start_stream(df: DataFrame, sink, checkpoint: str, mode: str = "append",
-                 trigger: dict | None = None):
+                 trigger: dict | None = None, confs: dict | None = None):
     """Start ``df`` into a foreachBatch ``sink``.  ``trigger`` sets the pace
     (T2), e.g. ``{"processingTime": "2 seconds"}`` like the reference's
-    decision interval; default: process what is available and stop."""
-    return (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    decision interval; default: process what is available and stop.
+    ``confs`` apply to this query only (see ``session_conf``)."""
+    with session_conf(df.sparkSession, confs or {}):
+        return (df.writeStream.outputMode(mode).foreachBatch(sink)
+                .option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def run_available_now(df: DataFrame, sink, checkpoint: str, timeout_s: int = 900,
                       mode: str = "append"):
-    q = start_stream(df, sink, checkpoint, mode)
+    q = start_stream(df, sink, checkpoint, mode, confs=state_partitions(df.sparkSession))
     q.awaitTermination(timeout_s)
     progress = q.recentProgress
     q.stop()
@@ -174,15 +205,18 @@ def late_rows_job(spark: SparkSession, updates: DataFrame, width: str, lateness:
     windows and the number of rows dropped as late (query progress)."""
     base = scratch_path(spark, "late")
     key = F.col(order) if order else F.pmod(F.xxhash64("event_id"), F.lit(1000))
-    src = (updates.select(F.col("ts").cast("timestamp").alias("ts"), "decision", key.alias("_shuffle")))
+    # the instant of a TIMESTAMP_NTZ read as UTC, whatever the session time zone
+    src = (updates.select(F.timestamp_seconds(F.unix_timestamp("ts")).alias("ts"), "decision",
+                          key.alias("_shuffle")))
     stage_files(src, f"{base}/in", "_shuffle", n_files, cols=["ts", "decision"])
     stream = (spark.readStream.schema("ts timestamp, decision string").option("maxFilesPerTrigger", 1)
               .parquet(f"{base}/in"))
     agg = (stream.withWatermark("ts", lateness)
            .groupBy(F.window("ts", width).alias("w"), "decision").agg(F.count(F.lit(1)).alias("n"))
            .select(F.unix_timestamp("w.start").alias("window_start"), "decision", "n"))
-    q = (agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    with session_conf(spark, state_partitions(spark)):
+        q = (agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination(900)
     progress = [json_of(x) for x in q.recentProgress]
     q.stop()
@@ -215,18 +249,10 @@ def decision_state_lazy_job(spark: SparkSession, updates: DataFrame, gamma: floa
     stage_files(src, f"{base}/in", "tick", n_files)
     stream = (spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
               .parquet(f"{base}/in"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)        # read when the query starts; restored right after
-    try:
-        op = (decision_stream_timed(stream, gamma, timed_tick_s) if timed_tick_s
-              else decision_stream_lazy(stream, gamma))
-        q = start_stream(op, batch_sink(f"{base}/out"), f"{base}/ckpt", mode="update")
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    op = (decision_stream_timed(stream, gamma, timed_tick_s) if timed_tick_s
+          else decision_stream_lazy(stream, gamma))
+    confs = {**state_partitions(spark), "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    q = start_stream(op, batch_sink(f"{base}/out"), f"{base}/ckpt", mode="update", confs=confs)
     q.awaitTermination(900)
     q.stop()
     return spark.read.parquet(f"{base}/out")
