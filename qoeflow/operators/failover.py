@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qoeflow.operators.ordinals import ordinal_within
+from qoeflow.operators.ordinals import ordinal_by_number
 
 
 def round_robin(sessions: DataFrame, n_frontends: int, line_no: str = "line_no",
@@ -34,8 +34,9 @@ def cost_by_mode(log: DataFrame) -> DataFrame:
 
 
 def block_means(log: DataFrame, block: int, src: str = "url_idx", line_no: str = "line_no") -> DataFrame:
-    """W2 + A12: mean of every ``block`` consecutive records per source."""
-    o = ordinal_within(log, [src], [line_no], "_ord")
+    """W2 + A12: mean of every ``block`` consecutive records per source
+    (line numbers are unique integers: arithmetic buckets, no checkpoint)."""
+    o = ordinal_by_number(log, [src], line_no, "_ord")
     return (o.withColumn("block", F.floor((F.col("_ord") - 1) / block).cast("bigint"))
              .groupBy(src, "block").agg(F.avg("cost").alias("mean_cost"), F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") == block).drop("_n"))

@@ -49,3 +49,23 @@ def ordinal_within(df: DataFrame, part: list[str], order: list[str], name: str =
     out = r.join(runs.select("_pid", *part, "_first", "_off"), ["_pid", *part], "inner")
     return (out.withColumn(name, (F.col("_off") + F.col("_idx") - F.col("_first") + 1).cast("bigint"))
                .drop("_pid", "_idx", "_first", "_off"))
+
+
+def ordinal_by_number(df: DataFrame, part: list[str], key: str, name: str = "ord",
+                      bucket: int = 1 << 16) -> DataFrame:
+    """Ordinal within ``part`` ordered by a unique integer ``key`` (e.g. a
+    line number), without a checkpoint.
+
+    Buckets are arithmetic (``key div bucket``), so every evaluation cuts the
+    rows the same way; a bucket holds at most ``bucket`` rows of a part
+    because the key is unique, so a hot part spreads over many buckets.
+    Counts per (part, bucket) -- a small table -- give running offsets;
+    ``row_number`` inside each (part, bucket) gives the rest."""
+    b = df.withColumn("_b", F.floor(F.col(key) / bucket).cast("bigint"))
+    counts = b.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*part).orderBy("_b") if part else Window.orderBy("_b")
+    offs = counts.select(*part, "_b", (F.sum("_cnt").over(w) - F.col("_cnt")).alias("_off"))
+    rn = F.row_number().over(Window.partitionBy(*part, "_b").orderBy(key))
+    return (b.join(offs, [*part, "_b"], "inner")
+             .withColumn(name, (F.col("_off") + rn).cast("bigint"))
+             .drop("_b", "_off"))

@@ -185,3 +185,16 @@ def test_trace_parse_matches_dict_semantics(spark, dmap, lmap):
     want = {k: [(x / 10, float(f)) for x, f in ps] for k, ps in dict(lmap).items()}
     assert {k: [(p.threshold, p.factor) for p in v] for k, v in t.load_map.items()} == want
     assert t.ts_s == 12
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 10**6)), min_size=1, max_size=300,
+                unique_by=lambda x: x[1]), st.sampled_from([1, 7, 1 << 16]))
+def test_ordinal_by_number_equals_row_number(spark, rows, bucket):
+    from pyspark.sql import Window
+    from qoeflow.operators.ordinals import ordinal_by_number
+    df = spark.createDataFrame(rows, "src int, line_no long")
+    got = {r.line_no: r.ord for r in ordinal_by_number(df, ["src"], "line_no", bucket=bucket).collect()}
+    want = {r.line_no: r.o for r in df.select("line_no", F.row_number().over(
+        Window.partitionBy("src").orderBy("line_no")).alias("o")).collect()}
+    assert got == want
