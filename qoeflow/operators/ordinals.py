@@ -60,7 +60,13 @@ def ordinal_by_number(df: DataFrame, part: list[str], key: str, name: str = "ord
     rows the same way; a bucket holds at most ``bucket`` rows of a part
     because the key is unique, so a hot part spreads over many buckets.
     Counts per (part, bucket) -- a small table -- give running offsets;
-    ``row_number`` inside each (part, bucket) gives the rest."""
+    ``row_number`` inside each (part, bucket) gives the rest.
+
+    The key must be dense, like line numbers: the counts table has one row
+    per non-empty bucket, about rows / ``bucket`` for dense keys.  Sparse
+    keys (timestamps in microseconds, hashes) would give a bucket per row
+    and a hot part's offset window would hold all its rows -- use
+    ``ordinal_within`` for those."""
     b = df.withColumn("_b", F.floor(F.col(key) / bucket).cast("bigint"))
     counts = b.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*part).orderBy("_b") if part else Window.orderBy("_b")
