@@ -25,16 +25,16 @@ def _query(sql: str | None = None):
 
 @_query("""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
-                                      x -> x <> '') AS words FROM documents),
+                                      lambda x: x <> '') AS words FROM documents),
 win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS key
         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)),
 least AS (SELECT key, min(doc_id) AS lo FROM win GROUP BY key),
-hit AS (SELECT doc_id, list(i) AS at FROM win JOIN least USING (key) WHERE lo < doc_id GROUP BY doc_id),
-gone AS (SELECT doc_id, list_distinct(flatten(list_transform(at, i -> range(i, i + 13)))) AS pos FROM hit),
+hit AS (SELECT doc_id, list(i) AS starts FROM win JOIN least USING (key) WHERE lo < doc_id GROUP BY doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 13)))) AS pos FROM hit),
 kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(pos), 0) AS n_removed,
                 CASE WHEN pos IS NULL THEN words ELSE
                   list_transform(list_filter(list_zip(words, range(1, len(words) + 1)),
-                                             z -> NOT list_contains(pos, z[2])), z -> z[1]) END AS kept
+                                             lambda z: NOT list_contains(pos, z[2])), lambda z: z[1]) END AS kept
          FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, n_removed::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM kept""")
