@@ -6,8 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from qoeflow.llm.common import table
+from qoeflow.llm import secret_scan
+from qoeflow.llm.common import scratch, table
+from qoeflow.llm.decontaminate import leaks
+from qoeflow.llm.simhash import simhash_components
 from qoeflow.llm.substring_dedup import substring_dedup
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +44,57 @@ SELECT doc_id, n_words, n_removed::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM kept""")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+_ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"\']?\\x20*[:=]\\x20*[\"\']?([A-Za-z0-9+/_.=-]+)"
+
+
+def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one rule: running lengths of the gaps and matches."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, beg, beg + length(hit) AS fin FROM (
+      SELECT doc_id, hit, (sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (
+               PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS beg
+      FROM (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit,
+                   unnest(gaps[1:len(hits)]) AS gap
+            FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS gaps
+                  FROM docs)
+            WHERE len(hits) > 0)
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    WHERE length(regexp_extract(hit, '{p}', {group})) >= {least}"""
+
+
+@_query(f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_sql_spans("assign", _ASSIGN, 2, 6)}
+      UNION ALL {_sql_spans("access", "AKIA[A-Z0-9]+", 0, 20)}
+      UNION ALL {_sql_spans("hex", "[0-9a-f]+", 0, 24)}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || beg || ':' || fin, ',' ORDER BY beg,
+                        CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END) AS spans
+      FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN g USING (doc_id)""")
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = secret_scan.update_ledger(spark, docs, scratch(spark, "ledger"), new=True)
+    found = secret_scan.findings(docs, ledger)
+
+    def n(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    spans = secret_scan.span_list(F.col("spans"))
+    return found.select(F.col("id").alias("doc_id"), n("assign"), n("access"), n("hex"),
+                        F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@_query()
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
