@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from qoeflow.llm import secret_scan
 from qoeflow.llm.common import scratch, table
 from qoeflow.llm.decontaminate import leaks
+from qoeflow.llm.packing import pack
 from qoeflow.llm.simhash import simhash_components
 from qoeflow.llm.substring_dedup import substring_dedup
+from qoeflow.llm.token_files import token_round_trip
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +100,13 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+@_query()
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op9_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"))
