@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from qoeflow.llm import secret_scan
 from qoeflow.llm.common import scratch, table
 from qoeflow.llm.decontaminate import leaks
+from qoeflow.llm.language_id import language_id
 from qoeflow.llm.packing import pack
 from qoeflow.llm.simhash import simhash_components
 from qoeflow.llm.substring_dedup import substring_dedup
@@ -110,3 +111,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op10_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
