@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qoeflow.llm import secret_scan
+from qoeflow.llm import hnsw, secret_scan
 from qoeflow.llm.common import scratch, table
 from qoeflow.llm.decontaminate import leaks
 from qoeflow.llm.language_id import language_id
@@ -116,3 +116,8 @@ def op9_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op10_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op1_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
