@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qoeflow.llm import hnsw, secret_scan
+from qoeflow.llm import hnsw, quality, secret_scan, warc
 from qoeflow.llm.common import scratch, table
 from qoeflow.llm.decontaminate import leaks
 from qoeflow.llm.language_id import language_id
@@ -121,3 +121,47 @@ def op10_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op1_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@_query()
+def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def _sql_text(html: str) -> str:
+    for pattern, to in warc.TEXT_STEPS:
+        lit = "chr(10)" if to == "\n" else "'" + to.replace("'", "''") + "'"
+        p = pattern.replace("'", "''").replace("\n", "\\n")
+        html = f"regexp_replace({html}, '{p}', {lit}, 'g')"
+    return html
+
+
+def _sql_urn(*parts: str) -> str:
+    h = f"md5(concat_ws('|', {', '.join(parts)}))"
+    cut = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {cut} || '>'"
+
+
+@_query(f"""
+WITH r AS (SELECT page_id, url, coalesce(html, '') AS p,
+                  {_sql_urn("'response'", "coalesce(page_id::VARCHAR, '')", "coalesce(url, '')",
+                            "sha256(coalesce(html, ''))")} AS rid FROM pages),
+t AS (SELECT *, {_sql_text("p")} AS txt FROM r),
+b AS (SELECT page_id, url, p, rid, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type,
+             txt AS block FROM t
+      UNION ALL
+      SELECT page_id, url, p, rid, 'metadata', 'application/warc-fields', array_to_string(list_concat(
+          ['title: ' || regexp_replace(regexp_extract(p, '{warc.TITLE}', 1), '[\x20\x09-\x0D]+', ' ', 'g'),
+           'language: ' || regexp_extract(p, '{warc.LANG}', 1), 'text-length: ' || strlen(txt),
+           'text-digest: sha256:' || sha256(txt), 'conversion-record: ' || {_sql_urn("'conversion'", "rid")},
+           'source-header: Content-Type: text/html; charset=utf-8', 'source-header: Content-Length: ' || strlen(p)],
+          list_transform(regexp_extract_all(p, '{warc.LINK}', 1), lambda u: 'outlink: ' || u)),
+          chr(13) || chr(10)) || chr(13) || chr(10) FROM t)
+SELECT page_id, record_type, {_sql_urn("record_type", "rid")} AS record_id, rid AS refers_to, url AS target_uri,
+       '{warc.EPOCH}' AS date, 'sha256:' || sha256(p) AS source_digest, content_type,
+       strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, block
+FROM b""")
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return records.withColumnRenamed("source_id", "page_id")

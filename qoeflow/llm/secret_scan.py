@@ -155,3 +155,17 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
                 F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
                          F.lit(mark)).alias("out"))))
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int")))).otherwise(text)
+
+
+def mask(docs: DataFrame, ledger: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text",
+         mark: str = "[secret]") -> DataFrame:
+    """``docs`` with what the ledger found in their texts replaced by ``mark``;
+    texts without findings and all other columns stay as they are."""
+    found = findings(docs, ledger, rules, id_col, text_col).filter(F.size("spans") > 0)
+    spans = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
+    # as in ``findings``, copies of one blob are spread over salted keys
+    spans = spans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = (docs.withColumn("__blob", blob_id(text_col))
+             .withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")))
+    hidden = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__spans"), mark))
+    return (keyed.join(spans, ["__blob", "__salt"], "left").withColumn(text_col, hidden).select(*docs.columns))
