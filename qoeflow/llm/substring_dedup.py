@@ -9,9 +9,10 @@ edges.
 
 Which symbols of a window cannot depend on what surrounds it follows from the
 window alone: its first and last run are left out, and in each pair round a
-first symbol that is a right one and a last symbol that is a left one.  The
-highest-level symbol that remains (smallest hash on ties) is the window's
-anchor; a window without one is its own anchor.  Equal windows have equal
+first symbol that is a right one and a last symbol that is a left one.  Of
+the symbols of round ``ANCHOR_ROUND`` that remain (else of the last round that
+leaves any) the longest two neighbours are the window's anchor; a window that
+has none left is its own.  Equal windows have equal
 anchors.
 
 Spark stages, all on one exchange of the texts by bucket (a hash of the row):
@@ -47,16 +48,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qoeflow.llm.common import U64, mix64, seeded, signed, unsigned
-from qoeflow.llm.words import Poly, word_hashes
+from qoeflow.llm.common import U64, blocks, mix64, seeded, signed, unsigned
+from qoeflow.llm.words import BLOCK, Poly, word_hashes
 
 #: Bytes of text in a bucket: what one task call holds.
 BUCKET_BYTES = 6 << 20
-#: Words parsed at once.
-UNIT_WORDS = 120_000
+#: Words of a long text parsed at once.
+UNIT_WORDS = 200_000
+#: Round whose symbols are anchors: up to 4 words long, and few windows have
+#: nothing left inside.
+ANCHOR_ROUND = 2
 #: Rounds whose symbols verify long repeats (a round names about a quarter of
-#: the symbols away, so these are about 30, 100 and 300 words long).
-HIGH = (12, 16, 20)
+#: the symbols away, so these are about 60 and 240 words long).
+HIGH = (14, 19)
 
 _ROUND = seeded(64, 21)
 _WINDOW = [Poly(201), Poly(202)]
@@ -67,15 +71,15 @@ class Parsed:
     """Recompression of some units of words: window anchors and hashes, and the
     high-level symbols."""
 
-    def __init__(self, h1, h2, unit_of, n: int):
+    def __init__(self, h1, h2, unit_of, n: int, anchors: bool):
         """h1, h2: word hashes; unit_of: number of each word's unit,
-        ascending; n: words of a window."""
+        ascending; n: words of a window; anchors: whether they are wanted."""
         m = len(h1)
         p1, p2 = _WINDOW[0].prefix(h1), _WINDOW[1].prefix(h2)
         at = np.arange(max(m - n + 1, 0))
         self.start = at = at[unit_of[at] == unit_of[at + n - 1]] if m >= n else at[:0]
         self.a = _WINDOW[0].ranges(p1, at, at + n)
-        self.b = _WINDOW[1].ranges(p2, at, at + n)
+        self.b = _WINDOW[1].ranges(p2, at, at + n) >> U64(32)
         # round 0: runs
         new = np.ones(m, bool)
         new[1:] = (h1[1:] != h1[:-1]) | (unit_of[1:] != unit_of[:-1])
@@ -87,7 +91,7 @@ class Parsed:
         run = np.cumsum(new) - 1
         lo, hi = run[at] + 1, run[at + n - 1]
         anchor = self.a ^ U64(1)
-        live = np.flatnonzero(lo < hi)
+        live = np.flatnonzero(lo < hi) if anchors else at[:0]
         lo, hi = lo[live], hi[live]
         self.high: list[tuple] = []
         for k in range(1, max(HIGH) + 1):
@@ -95,65 +99,66 @@ class Parsed:
             pair = np.zeros(len(sym), bool)
             pair[:-1] = ~right[:-1] & right[1:] & (unit[1:] == unit[:-1])
             if len(live):
-                lo2 = lo + right[lo]
-                hi2 = hi - ~right[hi - 1]
-                gone = lo2 >= hi2
-                if gone.any():          # this round leaves nothing: anchor from the level so far
-                    g_lo, g_hi = lo[gone], hi[gone]
-                    best = sym[g_lo]
-                    for j in range(1, int((g_hi - g_lo).max())):
-                        more = g_lo + j < g_hi
-                        best[more] = np.minimum(best[more], sym[g_lo[more] + j])
-                    anchor[live[gone]] = mix64(best + U64(k))
+                lo2, hi2 = lo + right[lo], hi - ~right[hi - 1]
+                gone = lo2 >= hi2       # this round leaves nothing inside the window
+                if gone.any():
+                    anchor[live[gone]] = _choose(sym, en - st, lo[gone], hi[gone]) + U64(k - 1)
                     live, lo2, hi2 = live[~gone], lo2[~gone], hi2[~gone]
             keep = np.ones(len(sym), bool)
             keep[1:] = ~pair[:-1]
             left = np.flatnonzero(pair)
-            sym = sym.copy()
+            sym, en = sym.copy(), en.copy()
             sym[left] = mix64(sym[left] * U64(5) + mix64(sym[left + 1] + _ROUND[k]))
+            en[left] = en[left + 1]
             if len(live):
                 index = np.cumsum(keep) - 1
                 lo, hi = index[lo2], index[hi2 - 1] + 1
-            en = en.copy()
-            en[left] = en[left + 1]
             sym, st, en, unit = sym[keep], st[keep], en[keep], unit[keep]
+            if k == ANCHOR_ROUND:
+                if len(live):
+                    anchor[live] = _choose(sym, en - st, lo, hi) + U64(k)
+                live = live[:0]
             if k in HIGH:
                 long = np.flatnonzero(en - st >= n)
                 s, e = st[long], en[long]
                 self.high.append((sym[long] + U64(k), _WINDOW[1].ranges(p2, s, e), s, e))
-        if len(live):                   # cannot happen for windows of a few words
-            anchor[live] = mix64(sym[lo] + U64(64))
         self.anchor = anchor
 
 
-def _units(texts, n: int):
-    """Batches of at most about ``UNIT_WORDS`` words: (rows, word offsets in
-    them, Parsed).  A longer text gives several units that overlap by n-1
-    words; what a window gives does not depend on where a unit ends."""
-    pend, total = [], 0
-
-    def parse(pend):
-        h1 = np.concatenate([p[2] for p in pend])
-        h2 = np.concatenate([p[3] for p in pend])
-        sizes = [len(p[2]) for p in pend]
-        unit_of = np.repeat(np.arange(len(pend)), sizes)
-        return ([p[0] for p in pend], [p[1] for p in pend], np.cumsum([0, *sizes[:-1]]), unit_of,
-                Parsed(h1, h2, unit_of, n))
-
-    for row, text in enumerate(texts):
-        h1, h2 = word_hashes(text or b"")
-        for off in range(0, max(len(h1) - n + 1, 0), UNIT_WORDS):
-            part = slice(off, off + UNIT_WORDS + n - 1)
-            if pend and total + len(h1[part]) > UNIT_WORDS:
-                yield parse(pend)
-                pend, total = [], 0
-            pend.append((row, off, h1[part], h2[part]))
-            total += len(h1[part])
-    if pend:
-        yield parse(pend)
+def _choose(sym, size, lo, hi) -> np.ndarray:
+    """Of the neighbouring symbols in [lo, hi) of each window the longest pair,
+    among equals that with the smallest hash (neighbouring windows mostly
+    choose the same); a lone symbol where there is no pair."""
+    two = np.append(mix64(sym[:-1] * U64(9) + mix64(sym[1:])), sym[-1:])
+    long = np.append(size[:-1] + size[1:], size[-1:])
+    rank = (U64(255) - np.minimum(long, 255).astype(U64) << U64(56)) | (two >> U64(8))
+    at, best = lo.copy(), rank[lo]
+    for j in range(1, int((hi - lo).max(initial=0)) - 1):
+        more = np.flatnonzero(lo + j + 1 < hi)
+        r = rank[lo[more] + j]
+        win = r < best[more]
+        best[more[win]] = r[win]
+        at[more[win]] = lo[more[win]] + j
+    return mix64(np.where(hi - lo > 1, two[at], sym[at]))
+
+
+def _units(texts, n: int, anchors: bool = True):
+    """Blocks of texts, as (row of each word, first word of the block within
+    its row, Parsed).  A longer text comes alone and in parts that overlap by
+    n-1 words; what a window gives does not depend on where a part ends."""
+    for first, end in blocks([len(t or b"") + 1 for t in texts], BLOCK):
+        data = [t or b"" for t in texts[first:end]]
+        edge = np.cumsum([0] + [len(t) + 1 for t in data])
+        start, (h1, h2) = word_hashes(b"\n".join(data))
+        row = np.repeat(np.arange(first, end), np.diff(np.searchsorted(start, edge)))
+        step = len(h1) if end - first > 1 else UNIT_WORDS
+        for off in range(0, max(len(h1) - n + 1, 0), max(step, 1)):
+            part = slice(off, off + step + n - 1)
+            yield row[part], off, Parsed(h1[part], h2[part], row[part], n, anchors)
 
 
 _NO_ID = np.iinfo(np.int64).max
+_NO_ROWS = np.zeros(0, np.int64), np.zeros(0, bool), []
 
 
 def _columns(t: pa.Table):
@@ -162,8 +167,8 @@ def _columns(t: pa.Table):
     return np.array([_NO_ID if i is None else i for i in ids], np.int64), known, t.column("text").to_pylist()
 
 
-def _least(a, b, doc, bucket) -> pa.Table:
-    """Distinct (a, b) with their smallest and largest doc."""
+def _least(kind, bucket, a, b, doc) -> pa.Table:
+    """Distinct (a, b) with their smallest doc and how far the largest is above."""
     order = np.lexsort((b, a))
     a, b, doc = a[order], b[order], doc[order]
     first = np.ones(len(a), bool)
@@ -172,32 +177,40 @@ def _least(a, b, doc, bucket) -> pa.Table:
     lo = np.minimum.reduceat(doc, at) if len(at) else doc
     hi = np.maximum.reduceat(doc, at) if len(at) else doc
     return pa.table({"a": signed(a[at]), "b": signed(b[at]), "bucket": np.full(len(at), bucket, np.int64),
-                     "lo": lo.astype(np.int64), "hi": hi.astype(np.int64)})
+                     "lo": lo.astype(np.int64), "more": (hi - lo).astype(np.int64),
+                     "kind": np.full(len(at), kind, np.int64)})
 
 
-_KEYS = "a long, b long, bucket long, lo long, hi long"
+ANCHOR, HIGH_SYMBOL, WINDOW = 0, 1, 2
+_KEYS = "a long, b long, bucket long, lo long, more long, kind long"
 
 
 def _reveal(n: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         doc, known, texts = _columns(t)
-        parts = []
-        for rows, _, _, unit_of, p in _units(texts, n):
-            ids, ok = doc[rows], known[rows]
-            w = unit_of[p.start]
+        parts, high = [], []
+        for row, _, p in _units(texts, n):
+            w = row[p.start]
             keep = np.ones(len(w), bool)     # neighbours mostly share their anchor
             keep[1:] = (p.anchor[1:] != p.anchor[:-1]) | (w[1:] != w[:-1])
-            keep &= ok[w]
-            parts.append((p.anchor[keep], np.zeros(int(keep.sum()), U64), ids[w[keep]]))
+            keep &= known[w]
+            parts.append((p.anchor[keep], np.zeros(int(keep.sum()), U64), doc[w[keep]]))
             for a, b, s, _ in p.high:
-                u = unit_of[s]
-                parts.append((a[ok[u]], b[ok[u]] | U64(1), ids[u[ok[u]]]))
-        a, b, d = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, (U64, U64, np.int64)[i])
-                   for i in range(3))
-        return _least(a, b, d, key[0].as_py())
+                u = row[s]
+                high.append((a[known[u]], b[known[u]], doc[u[known[u]]]))
+        anchors = _least(ANCHOR, key[0].as_py(), *_joined(parts))
+        # of an anchor it only matters whether a second document has it
+        many = pa.array((anchors.column("more").to_numpy() > 0).astype(np.int64))
+        anchors = anchors.set_column(3, "lo", pa.array(np.zeros(len(many), np.int64))).set_column(4, "more", many)
+        return pa.concat_tables([anchors, _least(HIGH_SYMBOL, key[0].as_py(), *_joined(high))])
     return run
 
 
+def _joined(parts):
+    return (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, (U64, U64, np.int64)[i])
+            for i in range(3))
+
+
 class _Table:
     """Exact lookup of (a, b) pairs: smallest doc_id, or _NO_ID."""
 
@@ -216,77 +229,70 @@ class _Table:
         return out
 
 
-def _shared(t: pa.Table):
-    a, b = unsigned(t.column("a").to_numpy()), unsigned(t.column("b").to_numpy())
-    lo = t.column("lo").to_numpy()
-    high = b != _NONE
-    return np.sort(a[~high]), _Table(a[high], b[high], lo[high])
+def _of_kind(t: pa.Table, kind: int) -> _Table:
+    t = t.filter(pa.array(t.column("kind").to_numpy() == kind))
+    return _Table(unsigned(t.column("a").to_numpy()), unsigned(t.column("b").to_numpy()), t.column("lo").to_numpy())
 
 
-def _settled(p: Parsed, high: _Table, unit_of, ids) -> np.ndarray:
+def _settled(p: Parsed, high: _Table, row, doc) -> np.ndarray:
     """For each word, how far a high-level symbol of a smaller document reaches
     that starts at or before it."""
-    reach = np.zeros(len(unit_of) + 1, np.int64)
+    reach = np.zeros(len(row) + 1, np.int64)
     for a, b, s, e in p.high:
-        hit = high.get(a, b | U64(1)) < ids[unit_of[s]]
-        np.maximum.at(reach, s[hit], e[hit])
+        hit = high.get(a, b) < doc[row[s]]
+        reach[s[hit]] = np.maximum(reach[s[hit]], e[hit])
     return np.maximum.accumulate(reach)
 
 
 def _verify(n: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table, shared: pa.Table) -> pa.Table:
-        doc, known, texts = _columns(t) if t.num_rows else (np.zeros(0, np.int64), np.zeros(0, bool), [])
+        doc, known, texts = _columns(t) if t.num_rows else _NO_ROWS
         parts = []
-        if shared.num_rows:
-            anchors, high = _shared(shared)
-            for rows, _, _, unit_of, p in _units(texts, n):
-                ids, ok = doc[rows], known[rows]
-                w = unit_of[p.start]
-                want = ok[w] & (_settled(p, high, unit_of, ids)[p.start] < p.start + n)
-                if len(anchors):
-                    at = np.minimum(np.searchsorted(anchors, p.anchor), len(anchors) - 1)
-                    want &= anchors[at] == p.anchor
-                else:
-                    want[:] = False
-                parts.append((p.a[want], p.b[want], ids[w[want]]))
-        a, b, d = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, (U64, U64, np.int64)[i])
-                   for i in range(3))
-        return _least(a, b, d, key[0].as_py())
+        if not shared.num_rows:
+            return shared.select(["a", "b", "bucket", "lo", "more", "kind"])
+        anchors, high = np.sort(_of_kind(shared, ANCHOR).a), _of_kind(shared, HIGH_SYMBOL)
+        for row, _, p in _units(texts if len(anchors) else [], n):
+            w = row[p.start]
+            at = np.minimum(np.searchsorted(anchors, p.anchor), len(anchors) - 1)
+            want = (known[w] & (anchors[at] == p.anchor)
+                    & (_settled(p, high, row, doc)[p.start] < p.start + n))
+            parts.append((p.a[want], p.b[want], doc[w[want]]))
+        # what is settled already is needed again by the last step
+        kept = shared.filter(pa.array((shared.column("kind").to_numpy() == HIGH_SYMBOL)
+                                      & (shared.column("more").to_numpy() > 0)))
+        return pa.concat_tables([_least(WINDOW, key[0].as_py(), *_joined(parts)),
+                                 kept.select(["a", "b", "bucket", "lo", "more", "kind"])])
     return run
 
 
 def _remove(n: int, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table, found: pa.Table) -> pa.Table:
-        doc, known, texts = _columns(t) if t.num_rows else (np.zeros(0, np.int64), np.zeros(0, bool), [])
-        drop: dict[int, list] = {}
+        doc, known, texts = _columns(t) if t.num_rows else _NO_ROWS
+        gone: dict[int, np.ndarray] = {}     # row -> its removed words' numbers
         if found.num_rows:
-            kind = found.column("kind").to_numpy()
-            table = found.select(["a", "b", "lo"])
-            high = _shared(table.filter(pa.array(kind == 0)))[1]
-            w_t = table.filter(pa.array(kind == 1))
-            windows = _Table(unsigned(w_t.column("a").to_numpy()), unsigned(w_t.column("b").to_numpy()),
-                             w_t.column("lo").to_numpy())
-            for rows, offs, begin, unit_of, p in _units(texts, n):
-                ids, ok = doc[rows], known[rows]
-                w = unit_of[p.start]
-                hit = ok[w] & ((windows.get(p.a, p.b) < ids[w])
-                               | (_settled(p, high, unit_of, ids)[p.start] >= p.start + n))
-                for u in np.unique(w[hit]):
-                    drop.setdefault(rows[u], []).append(p.start[hit & (w == u)] - begin[u] + offs[u])
+            high, windows = _of_kind(found, HIGH_SYMBOL), _of_kind(found, WINDOW)
+            for row, off, p in _units(texts, n, anchors=False):
+                w = row[p.start]
+                hit = p.start[known[w] & ((windows.get(p.a, p.b) < doc[w])
+                                          | (_settled(p, high, row, doc)[p.start] >= p.start + n))]
+                d = np.zeros(len(row) + 1, np.int64)
+                d[hit] += 1
+                d[hit + n] -= 1
+                under = np.flatnonzero(np.cumsum(d[:-1]))
+                for u in np.unique(row[under]).tolist():
+                    base = int(np.searchsorted(row, u)) - off
+                    mine = under[np.searchsorted(row[under], u):np.searchsorted(row[under], u, "right")] - base
+                    gone[u] = np.append(gone[u], mine) if u in gone else mine
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
         for row, text in enumerate(texts):
             words = (text or b"").split()
-            removed = 0
-            if row in drop:
-                at = np.concatenate(drop[row])
-                d = np.zeros(len(words) + 1, np.int64)
-                np.add.at(d, at, 1)
-                np.add.at(d, at + n, -1)
-                stay = np.cumsum(d[:-1]) == 0
+            kept, removed = words, 0
+            if row in gone:
+                stay = np.ones(len(words), bool)
+                stay[gone[row]] = False
                 removed = len(words) - int(stay.sum())
-                kept = b" ".join(compress(words, stay.tolist()))
-            else:
-                kept = b" ".join(words)
+                kept = compress(words, stay.tolist())
+            kept = b" ".join(kept)
             out["doc_id"].append(int(doc[row]) if known[row] else None)
             out["n_words"].append(len(words))
             out["n_removed"].append(removed)
@@ -308,15 +314,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_buckets = max(1, math.ceil(size / bucket_bytes))
     d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).alias("bucket"), "doc_id",
                  F.col("text").cast("binary").alias("text"))
-    by_key = Window.partitionBy("a", "b")
+    by_key = Window.partitionBy("a", "b", "kind")
+    least, top = F.min("lo").over(by_key), F.max(F.col("lo") + F.col("more")).over(by_key)
+    # more: how far the bucket's largest doc_id is above the smallest of all
+    above = (F.col("lo") + F.col("more") - F.col("least")).alias("more")
     names = d.groupBy("bucket").applyInArrow(_reveal(n), _KEYS)
-    shared = (names.withColumn("g_lo", F.min("lo").over(by_key)).withColumn("g_hi", F.max("hi").over(by_key))
-              .filter("g_lo < g_hi").select("a", "b", "bucket", F.col("g_lo").alias("lo"), "hi"))
-    windows = (d.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_verify(n), _KEYS)
-               .withColumn("g_lo", F.min("lo").over(by_key)).filter("g_lo < hi")
-               .select("a", "b", "bucket", F.col("g_lo").alias("lo"), F.lit(1).alias("kind")))
-    found = windows.unionByName(shared.filter("b <> 0 and lo < hi")
-                                .select("a", "b", "bucket", "lo", F.lit(0).alias("kind")))
+    shared = (names.select("*", least.alias("least"), top.alias("top"), F.count(F.lit(1)).over(by_key).alias("held"))
+              .filter(f"least < top or kind = {ANCHOR} and held > 1")
+              .select("a", "b", "bucket", F.col("least").alias("lo"), above, "kind"))
+    found = (d.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_verify(n), _KEYS)
+             .select("*", least.alias("least")).select("a", "b", "bucket", F.col("least").alias("lo"), above, "kind")
+             .filter("more > 0"))
     out = d.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(
         _remove(n, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")

@@ -18,6 +18,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+_CUTS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
 class Poly:
     """Prefix-sum polynomial hash of ranges of a uint64 array."""
 
@@ -55,24 +58,27 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def word_hashes(data: bytes) -> list[np.ndarray]:
-    """Two hashes per word; the text is worked off in blocks cut at spaces."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Start byte and two hashes of each word; the text is worked off in
+    blocks cut at spaces."""
+    starts: list[np.ndarray] = []
     out: list[list[np.ndarray]] = [[] for _ in BYTES]
     at = 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
         if end < len(data):
-            cut = max(data.rfind(b, at, end) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            cut = max(data.rfind(b, at, end) for b in _CUTS)
             if cut > at:
                 end = cut
             else:                     # one word longer than a block
-                nxt = [p for p in (data.find(b, end) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-                       if p >= 0]
-                end = min(nxt, default=len(data))
+                end = min((p for p in (data.find(b, end) for b in _CUTS) if p >= 0), default=len(data))
         part = data[at:end]
         start, stop = spans(part)
         codes = np.frombuffer(part, np.uint8)
+        starts.append(start + at)
         for o, (values, poly) in zip(out, BYTES):
             o.append(poly.ranges(poly.prefix(values[codes]), start, stop))
         at = end
-    return [np.concatenate(o) if o else np.zeros(0, U64) for o in out]
+    if not starts:
+        return np.zeros(0, np.int64), [np.zeros(0, U64) for _ in BYTES]
+    return np.concatenate(starts), [np.concatenate(o) for o in out]
