@@ -46,7 +46,7 @@ WORDS, SHAPES, META = 1 << 15, 1 << 10, 1 << 9
 #: Tenths of the words that repeat the word before, and of distinct words.
 TENTHS = 11
 TEXT_WIDTH = WORDS + SHAPES + 2 * TENTHS
-STEPS = 150
+STEPS = 250
 
 _VALUES, _POLY = seeded(256, 51), Poly(501)
 _PUNCT = np.zeros(256, bool)
@@ -129,15 +129,18 @@ class Sparse:
         return Sparse(new[self.rows[ok]], self.cols[ok], self.vals[ok], len(pick), self.width)
 
 
-def logistic(x: Sparse, y, weight, penalty: float = 1e-3, steps: int = STEPS, rate: float = 0.1):
-    """Weights and bias; classes weigh alike (Adam, L2 penalty)."""
-    w, m, v = np.zeros(x.width + 1), 0.0, 0.0
-    share = np.where(y > 0, 0.5 / max(weight[y > 0].sum(), 1e-9), 0.5 / max(weight[y == 0].sum(), 1e-9)) * weight
+def logistic(x: Sparse, y, penalty: float = 1e-3, steps: int = STEPS):
+    """Weights and bias; both classes weigh alike (accelerated gradient steps
+    of the length that the largest row allows, L2 penalty)."""
+    w = ahead = np.zeros(x.width + 1)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y == 0).sum(), 1))
+    norms = np.bincount(x.rows, x.vals * x.vals, x.n) + 1
+    rate = 1 / (0.25 * float((share * norms).sum()) + penalty)
     for t in range(1, steps + 1):
-        g = share * (_sigmoid(x.dot(w[:-1]) + w[-1]) - y)
-        full = np.append(x.back(g) + penalty * w[:-1], g.sum())
-        m, v = 0.9 * m + 0.1 * full, 0.99 * v + 0.01 * full * full
-        w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
+        g = share * (_sigmoid(x.dot(ahead[:-1]) + ahead[-1]) - y)
+        new = ahead - rate * np.append(x.back(g) + penalty * ahead[:-1], g.sum())
+        ahead = new + (t - 1) / (t + 2) * (new - w)
+        w = new
     return w
 
 
@@ -198,7 +201,7 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool: np.ndarray, empty:
         test = fit = known
     given = [(fit, y[fit]), (fit, y[fit])]        # rows and labels of the text and the metadata view
     for r in range(ROUNDS + 1):
-        w = [logistic(x.take(rows), lab, np.ones(len(rows))) for x, (rows, lab) in zip((text, meta), given)]
+        w = [logistic(x.take(rows), lab) for x, (rows, lab) in zip((text, meta), given)]
         head = Head(text=w[0], meta=w[1], platt=((1.0, 0.0), (1.0, 0.0)))
         raw = head.views(text, meta)
         head.platt = tuple(tuple(calibrate(raw[test, i:i + 1], y[test])) for i in range(2))
