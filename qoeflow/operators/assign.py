@@ -66,13 +66,21 @@ def format_weights(weights: DataFrame) -> DataFrame:
 
 
 def parse_weights(lines: DataFrame) -> DataFrame:
-    """D9 lines back to (group_id, pos, decision, p DECIMAL); bad lines dropped."""
+    """D9 lines back to (group_id, pos, decision, p); ``weight_rejects`` has the
+    other lines.  Probabilities keep up to 12 decimals, as an exact DECIMAL, so
+    running sums do not depend on their order."""
     parts = F.split(F.col("line"), ";")
     return (lines.select("group_id", "pos", F.get(parts, 0).alias("decision"),
-                         F.get(parts, 1).try_cast("decimal(5,2)").alias("p"))
+                         F.get(parts, 1).try_cast("decimal(15,12)").alias("p"))
                  .where(F.col("decision").isNotNull() & F.col("p").isNotNull()))
 
 
+def weight_rejects(lines: DataFrame) -> DataFrame:
+    """Lines without a decision and a probability, as they came."""
+    p = F.get(F.split(F.col("line"), ";"), 1).try_cast("decimal(15,12)")
+    return lines.where(p.isNull())
+
+
 def weighted_lists(weights: DataFrame) -> DataFrame:
     """D9 -> per group the ordered list with cumulative percentages.
 

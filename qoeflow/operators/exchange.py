@@ -18,10 +18,16 @@ from qoeflow.operators.records import drop_managed
 
 
 def parse_subscriptions(df: DataFrame, value: str = "value") -> DataFrame:
-    """P7: 'group;cluster' -> (group_id, cluster_id); malformed rows dropped."""
+    """P7: 'group;cluster' -> (group_id, cluster_id); ``subscription_rejects``
+    has the other messages."""
     parts = F.split(F.col(value), ";")
-    return (df.select(F.get(parts, 0).alias("group_id"), F.get(parts, 1).alias("cluster_id"))
-              .where(F.col("group_id").isNotNull() & F.col("cluster_id").isNotNull()))
+    return (df.where(F.size(parts) > 1)
+              .select(F.get(parts, 0).alias("group_id"), F.get(parts, 1).alias("cluster_id")))
+
+
+def subscription_rejects(df: DataFrame, value: str = "value") -> DataFrame:
+    """Messages that name no cluster, as they came."""
+    return df.where(F.coalesce(F.size(F.split(F.col(value), ";")) <= 1, F.lit(True)))
 
 
 def subscriber_sets(subs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qoeflow.functions import exact_mean4, scaled_units
 from qoeflow.operators.ordinals import ordinal_by_number
 
 
@@ -28,14 +29,21 @@ def round_robin(sessions: DataFrame, n_frontends: int, line_no: str = "line_no",
 
 
 def cost_by_mode(log: DataFrame) -> DataFrame:
-    """Outcome count and mean cost per (frontend, mode)."""
-    return log.groupBy("url_idx", "mode").agg(F.count(F.lit(1)).alias("n"),
-                                              F.avg("cost").alias("avg_cost"))
+    """Outcome count and mean cost per (frontend, mode); costs have two
+    decimals, so the mean is exact to four places (integer sums)."""
+    sums = log.groupBy("url_idx", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum(scaled_units("cost", 2)).alias("_u"))
+    return sums.select("url_idx", "mode", "n", exact_mean4("_u", "n", 2).alias("avg_cost"))
+
+
+def two_series(log: DataFrame, src: str = "url_idx") -> DataFrame:
+    """The report's two series: frontend 0, and every other one together."""
+    return log.withColumn(src, F.when(F.col(src) == 0, F.lit(0)).otherwise(F.lit(1)).cast(log.schema[src].dataType))
 
 
 def block_means(log: DataFrame, block: int, src: str = "url_idx", line_no: str = "line_no") -> DataFrame:
     """W2 + A12: mean of every ``block`` consecutive records per source
-    (line numbers are unique integers: arithmetic buckets, no checkpoint)."""
+    (line numbers are unique integers: arithmetic buckets, no checkpoint).
+    For the report of more than two frontends pass ``two_series(log)``."""
     o = ordinal_by_number(log, [src], line_no, "_ord")
     return (o.withColumn("block", F.floor((F.col("_ord") - 1) / block).cast("bigint"))
              .groupBy(src, "block").agg(F.avg("cost").alias("mean_cost"), F.count(F.lit(1)).alias("_n"))
@@ -44,10 +52,10 @@ def block_means(log: DataFrame, block: int, src: str = "url_idx", line_no: str =
 
 def block_zip(means: DataFrame, a: int = 0, b: int = 1, src: str = "url_idx") -> DataFrame:
     """K-th block of source a with k-th block of source b, cut to the
-    shorter series (inner join on the block number)."""
-    x = means.where(F.col(src) == a).select("block", F.col("mean_cost").alias("mean_a"))
-    y = means.where(F.col(src) == b).select("block", F.col("mean_cost").alias("mean_b"))
-    return x.join(y, "block", "inner")
+    shorter series: one pass, blocks that both have."""
+    one = lambda k: F.max(F.when(F.col(src) == k, F.col("mean_cost")))
+    return (means.where(F.col(src).isin(a, b)).groupBy("block").agg(one(a).alias("mean_a"), one(b).alias("mean_b"))
+            .where("mean_a is not null and mean_b is not null"))
 
 
 def block_gap(means: DataFrame, a: int = 0, b: int = 1, src: str = "url_idx") -> DataFrame:

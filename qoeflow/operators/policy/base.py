@@ -1,20 +1,30 @@
 """The policy plug-in.
 
-A policy turns tick statistics into per-group state (``state``) and state
-into a decision per group (``decide``).  Built-in policies implement both
-as DataFrame expressions.  A custom policy may instead implement
+A policy is all that the decision loop and the replay know of deciding:
+
+* ``state(stats)``: tick statistics -> state per (group, decision);
+* ``advance(new, old, tick)``: the loop's merge of one tick's sums into the
+  previous state, and ``current(state, tick)``: what to decide on from it;
+* ``state_at(stats, asks)``: the state at every asked (group, tick) of a replay;
+* ``decide(state, keys)``: one decision per group (or per ``keys``);
+* ``message(decisions, origin)``: decisions as published text;
+* ``pick(decision, seed, key)``: what a request or session gets from one.
+
+Built-in policies implement ``decide`` as DataFrame expressions.  A custom
+policy may instead implement
 
 * ``decide_pandas(pdf) -> pdf`` on one group's state rows (bounded by the
   decision catalogue), run through ``applyInPandas``; or
 * ``decide_batch(pdf) -> pdf`` on a batch of groups, one row per group
-  with list columns ``decisions``, ``score_sums``, ``ns`` -- run through
-  ``mapInPandas`` over Arrow batches, so millions of groups cost a few
-  calls per partition instead of one call per group.
+  with list columns ``decisions``, ``score_sums``, ``ns``, returning one row
+  for each in the same order -- run through ``mapInPandas`` over Arrow
+  batches, so millions of groups cost a few calls per partition instead of
+  one call per group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qoeflow.operators import stats as S
@@ -32,23 +42,64 @@ class Policy:
             return S.window_state(stats, self.window_ticks, at_tick)
         return S.discounted_state(stats, self.gamma, at_tick)
 
-    def decide(self, state: DataFrame) -> DataFrame:
+    def advance(self, new: DataFrame, old: DataFrame | None, tick: int) -> DataFrame:
+        """State after the sums ``new`` (group_id, decision, score_sum, n) of
+        one more tick: discounted sums, or the rows of the window's ticks."""
+        new = new.select("group_id", "decision", F.col("score_sum").cast("double").alias("score_sum"),
+                         F.col("n").cast("double").alias("n"))
+        if not self.window_ticks:
+            return new if old is None else S.merge_state(new, old, self.gamma)
+        new = new.withColumn("tick", F.lit(tick).cast("bigint"))
+        return new if old is None else old.where(F.col("tick") > tick - self.window_ticks).unionByName(new)
+
+    def current(self, state: DataFrame) -> DataFrame:
+        """(group_id, decision, score_sum, n) of an ``advance``d state."""
+        if not self.window_ticks:
+            return state
+        return state.groupBy("group_id", "decision").agg(F.sum("score_sum").alias("score_sum"), F.sum("n").alias("n"))
+
+    def state_at(self, stats: DataFrame, asks: DataFrame, tick: str = "tick") -> DataFrame:
+        """State at every asked (group_id, at), with the column ``at``."""
+        if self.window_ticks:
+            need = asks.select("group_id", "at", F.explode(F.sequence(
+                F.col("at") - (self.window_ticks - 1), F.col("at"))).alias(tick))
+            return (need.join(stats, ["group_id", tick]).groupBy("group_id", "at", "decision")
+                    .agg(F.sum("score_sum").alias("score_sum"), F.sum("n").alias("n")))
+        from qoeflow.operators.replay import state_asof, state_history
+        return state_asof(state_history(stats, self.gamma, tick), stats, asks, self.gamma, tick)
+
+    def decide(self, state: DataFrame, keys: list[str] | None = None) -> DataFrame:
+        keys = keys or ["group_id"]
+        extra = [k for k in keys if k != "group_id"]
+        schema = self.decision_schema + "".join(f", {k} {state.schema[k].dataType.simpleString()}" for k in extra)
         if type(self).decide_batch is not Policy.decide_batch:
-            lists = (state.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct(
+            lists = (state.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
                 "decision", F.col("score_sum").cast("double").alias("s"),
                 F.col("n").cast("double").alias("n")))).alias("_x"))
-                .select("group_id", F.col("_x.decision").alias("decisions"),
+                .select(*keys, F.col("_x.decision").alias("decisions"),
                         F.col("_x.s").alias("score_sums"), F.col("_x.n").alias("ns")))
             fb = self.decide_batch
-            return lists.mapInPandas(lambda it: (fb(pdf) for pdf in it), self.decision_schema)
+
+            def batches(it):
+                for pdf in it:
+                    yield fb(pdf.drop(columns=extra)).assign(**{k: pdf[k].to_numpy() for k in extra})
+            return lists.mapInPandas(batches, schema)
         fn = self.decide_pandas
 
         def per_group(pdf):
-            return fn(pdf)
+            return fn(pdf.drop(columns=extra)).assign(**{k: pdf[k].iloc[0] for k in extra})
+
+        return (state.select(*keys, "decision", "score_sum", "n").groupBy(*keys)
+                .applyInPandas(per_group, schema))
+
+    def message(self, decisions: DataFrame, origin: str) -> DataFrame:
+        """``message``: 'group;decision;origin'."""
+        return decisions.withColumn("message", F.concat_ws(";", "group_id", "decision", F.lit(origin)))
 
-        return (state.select("group_id", "decision", "score_sum", "n")
-                .groupBy("group_id")
-                .applyInPandas(per_group, self.decision_schema))
+    def pick(self, decision: Column, seed: str, key: str) -> Column:
+        """The choice for one row (identified by column ``key``) from a struct
+        of the decision's columns."""
+        return decision["decision"]
 
     def decide_pandas(self, pdf):  # pragma: no cover - abstract
         raise NotImplementedError

@@ -12,9 +12,11 @@ group (the decision catalogue), never raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qoeflow.functions import hash_u32
+from qoeflow.functions import pick as pick_of
 from qoeflow.operators import stats as S
 from qoeflow.operators.policy.base import Policy
 
@@ -42,16 +44,18 @@ class DiscountedUCB(Policy):
                 .withColumn("rnk", F.rank().over(w)))
 
     def decide(self, state: DataFrame, keys: list[str] | None = None,
-               engine: str = "catalyst") -> DataFrame:
+               engine: str | None = None) -> DataFrame:
         """K3: the slot list per group (or per ``keys``, e.g. group and tick).
 
         ``engine='catalyst'`` runs the loop as one higher-order-function
         expression (no Python); ``engine='arrow'`` runs the same arithmetic
         vectorised with numpy over whole Arrow batches of keys -- for
-        millions of keys (decisions per group and tick in a replay) where
-        interpreted lambdas cost hundreds of microseconds per key.
+        millions of keys (decisions per group and tick in a replay, where it
+        is the default) interpreted lambdas cost hundreds of microseconds
+        per key.
         """
         keys = keys or ["group_id"]
+        engine = engine or ("arrow" if "at" in keys else "catalyst")
         if engine == "arrow":
             return self._decide_arrow(state, keys)
         per_group = state.groupBy(*keys).agg(
@@ -132,3 +136,11 @@ class DiscountedUCB(Policy):
                 yield out
 
         return items.mapInPandas(run, schema)
+
+    def message(self, decisions: DataFrame, origin: str) -> DataFrame:
+        from qoeflow.operators.records import format_decision
+        return format_decision(decisions, origin)
+
+    def pick(self, decision: Column, seed: str, key: str) -> Column:
+        """K5: a uniform pick of the slots."""
+        return pick_of(decision["slots"], hash_u32(F.lit(seed), F.lit("slot"), F.col(key)))

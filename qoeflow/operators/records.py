@@ -71,8 +71,17 @@ def project_labels(df: DataFrame, labels: list[str], keep: list[str],
     return F.array_join(F.array(*[F.get(F.col(fields), i) for i in idx]), "\t")
 
 
+def split_messages(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Messages that can be routed, and the rejects: JSON that cannot be read
+    or names no group or update."""
+    p = parse_messages(df, value)
+    bad = F.col("group_id").isNull() | F.col("fields").isNull()
+    return p.where(~bad).select(*df.columns), p.where(bad).select(*df.columns)
+
+
 def lookup_cluster(df: DataFrame, assign: DataFrame, me: str) -> DataFrame:
-    """Group -> cluster, absent -> this cluster; group 'null' is ours.
+    """Group -> cluster, absent -> this cluster.  (Group 'null' is ours
+    unless assigned, which the same default gives.)
 
     ``assign`` is one row per group; it is broadcast only when Spark's
     size estimate is under the broadcast threshold (AQE decides), else
@@ -80,14 +89,14 @@ def lookup_cluster(df: DataFrame, assign: DataFrame, me: str) -> DataFrame:
     """
     a = assign.select("group_id", F.col("cluster_id").alias("_assigned"))
     j = df.drop("cluster_id").join(a, "group_id", "left")
-    cl = F.when(F.col("group_id") == "null", F.lit(me)).otherwise(F.coalesce("_assigned", F.lit(me)))
-    return j.withColumn("cluster_id", cl).drop("_assigned")
+    return j.withColumn("cluster_id", F.coalesce("_assigned", F.lit(me))).drop("_assigned")
 
 
 def route(df: DataFrame, assign: DataFrame, me: str, labels: list[str],
           keep: list[str]) -> DataFrame:
-    """Pick the topic and enrich the message for processing."""
-    r = lookup_cluster(parse_messages(df), assign, me)
+    """Pick the topic and enrich the message for processing.
+    Messages that cannot be read belong to no topic: see ``split_messages``."""
+    r = lookup_cluster(parse_messages(split_messages(df)[0]), assign, me)
     reduced = project_labels(r, labels, keep)
     topic = F.when(F.col("cluster_id") == F.lit(me), "internal_groups").otherwise("external_groups")
     return (r.withColumn("reduced", reduced).withColumn("topic", topic)

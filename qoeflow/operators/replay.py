@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qoeflow.functions import exact_mean4, scaled_units
 from qoeflow.operators.ordinals import ordinal_within
 
 
@@ -84,15 +85,14 @@ def adjusted_cost(df: DataFrame, decision: str = "decision", use_load: bool = Tr
     return df.withColumn("factor", fac).withColumn("cost", F.col("factor") * base)
 
 
-def cost_per_second(b: DataFrame, costed: DataFrame) -> DataFrame:
+def cost_per_second(b: DataFrame, costed: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     """Cost sum / succeeded per second on the dense grid (null when a
-    second had no success)."""
-    per = costed.groupBy("second").agg(F.sum("cost").alias("_cost"))
+    second had no success).  Costs count in units of 10^-4, so the mean is
+    exact to four places; ``extra`` aggregates of ``costed`` come along."""
+    per = costed.groupBy("second").agg(F.sum(scaled_units("cost", 4)).alias("_u"), *(extra or []))
     rps = requests_per_second(b)
-    return (rps.join(per, "second", "left")
-               .withColumn("avg_cost", F.when(F.col("succeeded") > 0,
-                                              F.coalesce("_cost", F.lit(0.0)) / F.col("succeeded")))
-               .drop("_cost"))
+    return (rps.join(per, "second", "left").withColumn("_u", F.coalesce("_u", F.lit(0)))
+               .withColumn("avg_cost", exact_mean4("_u", "succeeded", 4)).drop("_u"))
 
 
 # ------------------------------------------------------------ policy replay
@@ -187,24 +187,18 @@ def replay_policy(sessions: DataFrame, stats: DataFrame, policy, seed: str,
                   tick: str = "tick") -> DataFrame:
     """M2: each logged session is served the decision the policy had made
     from the data up to the tick before (feedback at tick grain): the
-    group's slot list at T = tick - 1, a reproducible uniform draw, the
+    group's decision at T = tick - 1, the policy's reproducible pick, the
     availability check against the session's decision map and the
     fallback draw.  Returns the sessions with ``assigned`` and ``source``."""
     from qoeflow.functions import hash_u32, pick
-    hist = state_history(stats, policy.gamma, tick)
     asks = sessions.select("group_id", (F.col(tick) - 1).alias("at")).distinct()
-    st = state_asof(hist, stats, asks, policy.gamma, tick)
-    # one decision per (group, tick): millions of keys at scale -> the
-    # vectorised engine when the policy offers one
-    try:
-        slots = policy.decide(st, keys=["group_id", "at"], engine="arrow")
-    except TypeError:
-        slots = policy.decide(st, keys=["group_id", "at"])
-    s = sessions.withColumn("at", F.col(tick) - 1).join(slots, ["group_id", "at"], "left")
+    dec = policy.decide(policy.state_at(stats, asks, tick), keys=["group_id", "at"])
+    dec = dec.select("group_id", "at", F.struct(*[c for c in dec.columns if c not in ("group_id", "at")]).alias("_dec"))
+    s = sessions.withColumn("at", F.col(tick) - 1).join(dec, ["group_id", "at"], "left")
     cands = F.array_sort(F.map_keys("decision_map"))
-    s = s.withColumn("_pick", pick("slots", hash_u32(F.lit(seed), F.lit("slot"), F.col("line_no"))))
+    s = s.withColumn("_pick", policy.pick(F.col("_dec"), seed, "line_no"))
     ok = F.col("_pick").isNotNull() & F.coalesce(F.array_contains(cands, F.col("_pick")), F.lit(False))
     fb = pick(cands, hash_u32(F.lit(seed), F.lit("fallback"), F.col("line_no")))
     return (s.withColumn("assigned", F.when(ok, F.col("_pick")).otherwise(fb))
              .withColumn("source", F.when(ok, F.lit("policy")).otherwise(F.lit("fallback")))
-             .drop("slots", "at", "_pick"))
+             .drop("_dec", "at", "_pick"))

@@ -8,9 +8,11 @@ then means: among the leaves whose conditions all hold, take the one with
 the greatest path.
 
 Matching is one equi-join per distinct condition-field signature (e.g.
-{0}, {0,1}, {0,1,2}): the session's features at those fields are joined
-to the leaves' keys.  No cross join and no all-pairs expansion; the rule
-tables are small and are broadcast when Spark's size estimate allows.
+{0}, {0,1}, {0,1,2}): the leaves of a signature are reduced to the greatest
+path per key array, and the session's features at those fields are joined to
+them.  A session meets at most one leaf per signature, so sessions are neither
+multiplied nor regrouped; the leaf tables are written once, so Spark knows
+their size and broadcasts the small ones.  No cross join.
 """
 
 from __future__ import annotations
@@ -42,65 +44,51 @@ def flatten_rules(rules: DataFrame, col: str = "rules", materialize: bool = True
 
     A recursive CTE re-runs its iterations every time the plan executes;
     the leaf table is small and read several times by ``match_groups``,
-    so it is materialised once with a reliable checkpoint (shared
-    checkpoint folder) unless ``materialize=False``.
+    so it is written once below the shared folder (unless
+    ``materialize=False``), which also gives Spark its size.  Spark's own
+    recursion limits (``spark.sql.cteRecursionLevelLimit`` and
+    ``...RowLimit``) raise on documents that are deeper or larger.
     """
-    from qoeflow.session import shared_dir
+    from qoeflow.session import scratch_path
     spark = rules.sparkSession
     name = f"_qoe_rules_{uuid.uuid4().hex[:12]}"
     rules.createOrReplaceTempView(name)
     leaves = spark.sql(FLATTEN_SQL.format(rules=col, src=name))
     if materialize:
-        shared_dir(spark)
-        leaves = leaves.checkpoint(eager=True)
+        path = scratch_path(spark, "rules")
+        leaves.write.parquet(path)
+        leaves = spark.read.schema(leaves.schema).parquet(path)
     return leaves
 
 
-# Leaf tables up to this many rows are broadcast to the sessions (a leaf
-# row is a few short strings); larger ones are joined by shuffle.
-MAX_BROADCAST_LEAVES = 200_000
-
-
-def match_groups(sessions: DataFrame, leaves: DataFrame, default, features: str = "features",
-                 key: str = "req_id") -> DataFrame:
+def match_groups(sessions: DataFrame, leaves: DataFrame, default, features: str = "features") -> DataFrame:
     """Group of each session = leaf with the greatest path among
     those whose conditions all hold; else ``default`` (a Column).
 
-    One pass over the sessions: each session becomes one row per distinct
-    condition-field signature (e.g. {0}, {0,1}, {0,1,2}) carrying its
-    feature values at those fields as an array; a left equi-join on
-    (signature, key array) against the leaves finds every match, and
-    ``max_by(group, path)`` per session keeps the last rule.  The per-
-    session rows sit in one partition, so the partial aggregate collapses
-    them before the single shuffle.  No cross join, no all-pairs.
+    Per condition-field signature, one left equi-join of the session's values
+    at those fields with that signature's best leaf per key array.  Rows keep
+    their number and need no key of their own (repeated ids stay repeated).
+    Only the signatures and the root leaf's group, a few values, reach the
+    driver.
     """
     sig_of = F.transform(F.array_sort("conds"), lambda c: c["f"])
     keys_of = F.transform(F.array_sort("conds"), lambda c: c["k"])
-    # metadata only: one row per signature with its leaf count
-    sig_rows = leaves.groupBy(sig_of.alias("sig")).count().collect()
-    sigs = sorted({tuple(r.sig) for r in sig_rows})
-    n_leaves = sum(r["count"] for r in sig_rows)
-    root = leaves.where(F.size("conds") == 0).select(F.max_by("group_id", "path")).scalar()
-    cols = [c for c in sessions.columns if c not in ("group_id", "matched")]
-    sigs = [s for s in sigs if s]
-    if not sigs:
-        return (sessions.withColumn("matched", root.isNotNull())
-                        .withColumn("group_id", F.coalesce(root, default)))
-    index = {s: i for i, s in enumerate(sigs)}
-    lv = leaves.where(F.size("conds") > 0).select(
-        F.element_at(F.create_map(*[x for s, i in index.items()
-                                    for x in (F.array(*map(F.lit, s)), F.lit(i))]), sig_of).alias("_sig"),
-        keys_of.alias("_keys"), "path", F.col("group_id").alias("_rule_group"))
-    if n_leaves <= MAX_BROADCAST_LEAVES:
-        lv = F.broadcast(lv)      # size checked above; larger rule sets shuffle-join
-    probes = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_sig"), F.array(*[F.get(F.col(features), f) for f in s]).alias("_keys"))
-        for s, i in index.items()]))
-    ex = sessions.select(*cols, probes.alias("_p")).select(*cols, "_p._sig", "_p._keys")
-    hit = ex.join(lv, ["_sig", "_keys"], "left")
-    best = hit.groupBy(key).agg(F.max_by("_rule_group", "path").alias("_rule_group"),
-                                F.any_value(F.struct(*[c for c in cols if c != key])).alias("_s"))
-    out = best.select(key, *[F.col(f"_s.{c}").alias(c) for c in cols if c != key], "_rule_group")
-    return (out.withColumn("matched", F.col("_rule_group").isNotNull() | root.isNotNull())
-               .withColumn("group_id", F.coalesce("_rule_group", root, default))
-               .drop("_rule_group"))
+    by_sig = leaves.select(sig_of.alias("_sig"), keys_of.alias("_keys"),
+                           F.struct("path", F.col("group_id").alias("g")).alias("_leaf"))
+    sigs = sorted(tuple(r["_sig"]) for r in by_sig.select("_sig").distinct().collect())
+    root = by_sig.where(F.size("_sig") == 0).agg(F.max("_leaf").alias("x")).first()["x"]
+    out = sessions.drop("group_id", "matched")
+    hits = []
+    for i, sig in enumerate(s for s in sigs if s):
+        best = (by_sig.where(F.col("_sig") == F.array(*map(F.lit, sig)))
+                .groupBy(F.col("_keys").alias(f"_k{i}")).agg(F.max("_leaf").alias(f"_hit{i}")))
+        out = (out.withColumn(f"_k{i}", F.array(*[F.get(F.col(features), f) for f in sig]))
+               .join(best, f"_k{i}", "left").drop(f"_k{i}"))
+        hits.append(f"_hit{i}")
+    found = F.greatest(*hits) if len(hits) > 1 else F.col(hits[0]) if hits else None
+    rule = found["g"] if hits else F.lit(None).cast("string")
+    # a path below the root is greater than the root's empty one
+    top = F.lit(root["g"] if root else None).cast("string")
+    return (out.withColumn("matched", F.coalesce(rule, top).isNotNull())
+               .withColumn("group_id", F.coalesce(rule, top, default))
+               .select(*[c for c in sessions.columns if c not in ("group_id", "matched")], "matched", "group_id"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qoeflow.functions import exact_mean4, round4, scaled_units
+from qoeflow.functions import hash_u32, round4
 from qoeflow.operators import stats as S
 from qoeflow.operators.assign import (
     assign_epsilon, assign_slots, assign_weighted, format_weights, parse_weights,
@@ -21,11 +21,13 @@ from qoeflow.operators.exchange import (
     auto_subscribe, fan_out, feature_histogram, heartbeats, parse_subscriptions,
     subscriber_sets,
 )
-from qoeflow.operators.failover import block_gap, block_means, block_zip, round_robin
+from qoeflow.operators.failover import (
+    block_gap, block_means, block_zip, cost_by_mode, round_robin, two_series,
+)
 from qoeflow.operators.policy import DiscountedUCB, EpsilonGreedy, Policy
 from qoeflow.operators.records import (
     available, decode_decision, drop_managed, format_decision, format_epsilon, forward,
-    parse_epsilon, parse_messages, parse_updates, project_labels, route, split_request,
+    parse_epsilon, parse_messages, parse_updates, project_labels, read_label_config, route, split_request,
 )
 from qoeflow.operators.replay import (
     adjusted_cost, cost_per_second, load_share, replay_policy, requests_per_second,
@@ -34,16 +36,17 @@ from qoeflow.operators.replay import (
 from qoeflow.operators.rules import flatten_rules, match_groups
 from qoeflow.plans import params as P
 from qoeflow.plans import views as V
-from qoeflow.session import shared_dir
+from qoeflow.session import scratch_path
 from qoeflow.sources.feed import group_assignment, latest_rules
-from qoeflow.sources.result_log import parse_result_log
-from qoeflow.sources.sinks import export_epsilon, latest_decision
+from qoeflow.sources.lines import read_lines
+from qoeflow.sources.result_log import parse_result_log, read_result_log
+from qoeflow.sources.sinks import export_epsilon, latest_decision, write_series
 from qoeflow.sources.traces import read_traces, sort_traces, trace_text
 from qoeflow.streaming.exchange import (
-    exchange_job, group_table_job, latest_decision_job, window_ring_job,
+    epsilon_lines_job, exchange_job, forward_job, group_table_job, latest_decision_job, window_ring_job,
 )
 from qoeflow.streaming.jobs import (
-    decision_state_job, ingest_job, late_rows_job, multi_sink_job, topic_roundtrip_job,
+    decision_state_job, ingest_job, multi_sink_job, topic_roundtrip_job,
 )
 from qoeflow.streaming.state import decay_to
 
@@ -175,14 +178,18 @@ def q_epsilon_export(spark, sf_dir):
 
 
 class GreedyMean(Policy):
-    """A user policy: discounted state, pure exploitation, in pandas."""
+    """A user policy: discounted state, pure exploitation, in pandas over
+    batches of groups (ties to the smallest decision name, as lists are
+    sorted)."""
     decision_schema = "group_id string, decision string"
 
-    def decide_pandas(self, pdf):
-        import pandas as pd
-        m = pdf["score_sum"] / pdf["n"].where(pdf["n"] > 0)
-        pdf = pdf.assign(m=m.fillna(0.0)).sort_values(["m", "decision"], ascending=[False, True])
-        return pd.DataFrame({"group_id": pdf["group_id"].iloc[:1], "decision": pdf["decision"].iloc[:1]})
+    def decide_batch(self, pdf):
+        import numpy as np
+        best = []
+        for names, sums, ns in zip(pdf["decisions"], pdf["score_sums"], pdf["ns"]):
+            ns = np.asarray(ns)
+            best.append(names[int(np.argmax(np.where(ns > 0, np.asarray(sums) / np.where(ns > 0, ns, 1), 0.0)))])
+        return pdf[["group_id"]].assign(decision=best)
 
 
 @query("custom_policy")
@@ -233,9 +240,13 @@ def q_parse_updates(spark, sf_dir):
 
 @query("project_labels")
 def q_project_labels(spark, sf_dir):
+    # The labels from their two-line configuration file
+    path = scratch_path(spark, "labels")
+    config = ["\t".join(P.UPDATE_LABELS), "\t".join(P.REDUCED_LABELS)]
+    spark.createDataFrame([("\n".join(config),)], "value string").coalesce(1).write.text(path)
+    labels, keep = read_label_config(spark, path)
     p = parse_messages(V.messages(spark, sf_dir))
-    return p.select(F.col("seq").alias("event_id"), "group_id",
-                    project_labels(p, P.UPDATE_LABELS, P.REDUCED_LABELS).alias("update"))
+    return p.select(F.col("seq").alias("event_id"), "group_id", project_labels(p, labels, keep).alias("update"))
 
 
 def _routed(spark, sf_dir):
@@ -359,6 +370,29 @@ def weights(spark, sf_dir) -> DataFrame:
                     (pct.cast("decimal(5,0)") / 100).cast("decimal(5,2)").alias("p")))
 
 
+@query("weight_lines")
+def q_weight_lines(spark, sf_dir):
+    """D9 with probabilities of many decimals: text and back without loss."""
+    st = _stats(spark, sf_dir).groupBy("group_id", "decision").agg(F.sum("n").alias("n"))
+    w = st.select("group_id", "decision", F.row_number().over(Window.partitionBy("group_id").orderBy("decision"))
+                  .alias("pos"), (F.expr("1000000000 div (n + 7)").cast("decimal(15,0)") / 1000000000)
+                  .cast("decimal(15,12)").alias("p"))
+    back = parse_weights(format_weights(w))
+    return back.select("group_id", F.col("pos").cast("bigint").alias("pos"), "decision",
+                       (F.col("p") * 1000000000).cast("bigint").alias("p9"))
+
+
+@query("assign_epsilon_null")
+def q_assign_epsilon_null(spark, sf_dir):
+    """P4, epsilon-greedy variant: a request no rule matches belongs to the
+    group "null", which has decisions of its own (from all updates)."""
+    pooled = S.tick_stats(V.updates(spark, sf_dir).withColumn("group_id", F.lit("null")))
+    pol = egreedy()
+    eg = pol.decide(pol.state(pooled, at_tick=_last_tick(spark, sf_dir)))
+    r = match_groups(_requests(spark, sf_dir), _leaves(spark, sf_dir), F.lit("null"))
+    return assign_epsilon(r, eg, P.SEED).select("req_id", "group_id", "decision", "source")
+
+
 @query("assign_weighted")
 def q_assign_weighted(spark, sf_dir):
     # through the D9 text form: decision files as 'decision;probability' lines
@@ -428,11 +462,15 @@ def q_load_adjusted_cost(spark, sf_dir):
 def q_avg_cost_per_second(spark, sf_dir):
     b = _buckets(spark, sf_dir)
     costed = _costed(b)
-    c = cost_per_second(b, costed)
-    # compare-friendly rounding: exact half-up mean of 4-decimal costs
-    u = costed.groupBy("second").agg(F.sum(scaled_units("cost", 4)).alias("_u"))
-    return (c.join(u, "second", "left")
-             .select("second", "sent", "succeeded", exact_mean4("_u", "succeeded", 4).alias("avg_cost")))
+    return cost_per_second(b, costed).select("second", "sent", "succeeded", "avg_cost")
+
+
+@query("series_text")
+def q_series_text(spark, sf_dir):
+    """The requests-per-second series written as ordered text and read back."""
+    path = scratch_path(spark, "series")
+    write_series(requests_per_second(_buckets(spark, sf_dir)), "second", "sent", path)
+    return read_lines(spark, path).select("line_no", F.col("value").cast("bigint").alias("sent"))
 
 
 @query("round_robin")
@@ -448,10 +486,11 @@ def _result_log(spark, sf_dir):
 
 @query("cost_by_mode")
 def q_cost_by_mode(spark, sf_dir):
-    log = _result_log(spark, sf_dir).withColumn("_u", scaled_units("cost", 2))
-    c = log.groupBy("url_idx", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum("_u").alias("_u"))
-    return c.select(F.col("url_idx").cast("bigint").alias("url_idx"), "mode", "n",
-                    exact_mean4("_u", "n", 2).alias("avg_cost"))
+    """S5 + A18: the log as text files, read and summed by outcome."""
+    path = scratch_path(spark, "result-log")
+    V.result_log(spark, sf_dir).select("value").write.text(path)
+    c = cost_by_mode(read_result_log(spark, path))
+    return c.select(F.col("url_idx").cast("bigint").alias("url_idx"), "mode", "n", "avg_cost")
 
 
 def _block_means(spark, sf_dir):
@@ -476,6 +515,24 @@ def q_block_gap(spark, sf_dir):
     return block_gap(_block_means(spark, sf_dir))
 
 
+def _three_way(spark, sf_dir):
+    """The log as three frontends would have written it: frontend 0 against
+    all others."""
+    log = _result_log(spark, sf_dir).withColumn("url_idx", F.pmod("line_no", F.lit(3)).cast("int"))
+    return block_means(two_series(log), P.BLOCK)
+
+
+@query("block_zip_three")
+def q_block_zip_three(spark, sf_dir):
+    z = block_zip(_three_way(spark, sf_dir))
+    return z.select("block", round4("mean_a").alias("mean_a"), round4("mean_b").alias("mean_b"))
+
+
+@query("block_gap_three")
+def q_block_gap_three(spark, sf_dir):
+    return block_gap(_three_way(spark, sf_dir))
+
+
 @query("group_assignment_latest")
 def q_group_assignment_latest(spark, sf_dir):
     return group_assignment(V.assign_feed(spark, sf_dir), P.ME)
@@ -524,10 +581,27 @@ def q_multi_sink_counts(spark, sf_dir):
 
 @query("late_rows")
 def q_late_rows(spark, sf_dir):
-    """Rows-only: windows emitted under a 1-day watermark from files in
-    shuffled time order (what is late depends on the file order)."""
-    out, dropped = late_rows_job(spark, V.updates(spark, sf_dir), "6 hours", "1 day")
-    return out.withColumn("dropped_late", F.lit(dropped).cast("bigint"))
+    """The decision stream with its updates out of order (slices by an md5
+    draw): a late update counts in its group's current tick, none is lost."""
+    u = V.updates(spark, sf_dir).withColumn("draw", hash_u32(F.lit("late"), F.col("event_id")))
+    st = decision_state_job(spark, u, P.GAMMA, P.LATE_SLICES, order="draw")
+    late = F.max("late").over(Window.partitionBy("group_id"))
+    d = decay_to(st.withColumn("late", late), P.GAMMA, st.select(F.max("group_tick")).scalar())
+    return d.select("group_id", "decision", round4("score_sum").alias("score_sum"), round4("n").alias("n"),
+                    "last_tick", "late")
+
+
+@query("stream_rejects")
+def q_stream_rejects(spark, sf_dir):
+    """Messages that cannot be read go to the rejects of every stream,
+    and to no topic: rows per job and sink over a spool with broken messages."""
+    m = V.broken_messages(spark, sf_dir)
+    args = (V.assign(spark, sf_dir), P.ME, P.UPDATE_LABELS, P.REDUCED_LABELS)
+    ingest = (ingest_job(spark, m, *args).groupBy(F.col("topic").alias("sink")).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("job", F.lit("ingest")))
+    multi = (multi_sink_job(spark, m, *args, P.SAMPLE_FRACTION, P.SEED, managed=P.MANAGED_LABELS)
+             .where("sink <> 'sample'").withColumn("job", F.lit("multi_sink")))
+    return ingest.unionByName(multi).select("job", "sink", "n")
 
 
 @query("policy_replay")
@@ -535,18 +609,41 @@ def q_policy_replay(spark, sf_dir):
     """M2: replay the logged sessions under per-tick DUCB decisions (made
     from the updates up to the tick before), load-adjusted cost per second."""
     b = _buckets(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
-    shared_dir(spark)
+    return _replayed_cost(spark, b, _stats(spark, sf_dir), ducb())
+
+
+def _replayed_cost(spark, b, stats, policy):
     # served sessions feed two branches (all sessions, successful ones):
-    # materialise once instead of replaying the policy twice
-    served = replay_policy(b, _stats(spark, sf_dir), ducb(), P.SEED).checkpoint(eager=True)
+    # written once, without the maps but for the assigned decision's entries
+    served = replay_policy(b, stats, policy, P.SEED)
+    served = served.select("second", "minute", "ts_s", "line_no", "ok", "assigned", "source",
+                           F.map_from_arrays(F.array("assigned"), F.array(F.element_at("decision_map", F.col("assigned"))))
+                           .alias("decision_map"),
+                           F.map_from_arrays(F.array("assigned"), F.array(F.element_at("load_map", F.col("assigned"))))
+                           .alias("load_map"))
+    path = scratch_path(spark, "served")
+    served.write.parquet(path)
+    served = spark.read.schema(served.schema).parquet(path)
     costed = adjusted_cost(load_share(served, decision="assigned"), decision="assigned")
-    c = cost_per_second(served, costed)
-    u = costed.groupBy("second").agg(F.sum(scaled_units("cost", 4)).alias("_u"),
-                                     F.count_if(F.col("source") == "policy").alias("n_policy"))
-    return (c.join(u, "second", "left")
-             .select("second", "sent", "succeeded",
-                     F.coalesce("n_policy", F.lit(0)).cast("bigint").alias("n_policy"),
-                     exact_mean4("_u", "succeeded", 4).alias("avg_cost")))
+    c = cost_per_second(served, costed, [F.count_if(F.col("source") == "policy").alias("n_policy")])
+    return c.select("second", "sent", "succeeded", F.coalesce("n_policy", F.lit(0)).cast("bigint").alias("n_policy"),
+                    "avg_cost")
+
+
+@query("policy_replay_eg")
+def q_policy_replay_eg(spark, sf_dir):
+    """The replay under per-tick epsilon-greedy decisions."""
+    b = _buckets(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
+    served = replay_policy(b, _stats(spark, sf_dir), egreedy(), P.SEED)
+    return served.select("line_no", "group_id", "tick", "assigned", "source")
+
+
+@query("policy_replay_custom")
+def q_policy_replay_custom(spark, sf_dir):
+    """The replay under a user policy."""
+    b = V.sessions(spark, sf_dir).withColumn("tick", F.floor(F.col("ts_s") / P.TICK_S).cast("bigint"))
+    served = replay_policy(b, _stats(spark, sf_dir), GreedyMean(P.GAMMA), P.SEED)
+    return served.select("line_no", "group_id", "tick", "assigned", "source")
 
 
 @query("replay_assignments")
@@ -601,6 +698,45 @@ def q_decision_loop_stream(spark, sf_dir):
     return d.select("group_id", F.array_join("slots", ":").alias("slots"), "message", "tick")
 
 
+@query("decision_loop_eg_stream")
+def q_decision_loop_eg_stream(spark, sf_dir):
+    """U3 in the loop: epsilon-greedy over the last ticks' window, D8 messages."""
+    from qoeflow.streaming.loop import decision_loop_job
+    d = decision_loop_job(spark, V.messages(spark, sf_dir), P.UPDATE_LABELS, egreedy(), P.ORIGIN)
+    return d.select("group_id", "best", F.array_join("rest", ",").alias("rest"), "message", "tick")
+
+
+@query("decision_loop_custom_stream")
+def q_decision_loop_custom_stream(spark, sf_dir):
+    """U1 in the loop: a user policy, same state as the discounted one."""
+    from qoeflow.streaming.loop import decision_loop_job
+    d = decision_loop_job(spark, V.messages(spark, sf_dir), P.UPDATE_LABELS, GreedyMean(P.GAMMA), P.ORIGIN)
+    return d.select("group_id", "decision", "message", "tick")
+
+
+@query("exchange_forward_stream")
+def q_exchange_forward_stream(spark, sf_dir):
+    """Updates of other clusters' groups forwarded and their groups
+    subscribed to, in the same batches; rows per kind, group and cluster."""
+    base = forward_job(spark, V.messages(spark, sf_dir), V.assign(spark, sf_dir), V.clusters(spark, sf_dir), P.ME,
+                       P.UPDATE_LABELS, P.REDUCED_LABELS)
+    sent = (spark.read.parquet(f"{base}/forwarded").groupBy("group_id", "cluster_id", "address")
+            .agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("forwarded")))
+    subs = (spark.read.parquet(f"{base}/subscriptions").groupBy("group_id", "cluster_id", "message")
+            .agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("message", "address")
+            .withColumn("kind", F.lit("subscribed")))
+    return sent.unionByName(subs).select("kind", "group_id", "cluster_id", "address", "n")
+
+
+@query("epsilon_lines_stream")
+def q_epsilon_lines_stream(spark, sf_dir):
+    """S8 streamed: each batch of new epsilon-greedy decisions as ordered lines."""
+    msgs = EpsilonGreedy(P.EPSILON, P.EG_WINDOW_TICKS).message(eg_decisions(spark, sf_dir), P.ORIGIN)
+    msgs = msgs.select(hash_u32(F.lit("eg"), F.col("group_id")).alias("seq"), "message")
+    lines = epsilon_lines_job(spark, msgs)
+    return lines.select("group_id", F.col("pos").cast("bigint").alias("pos"), "line")
+
+
 @query("stream_state_lazy")
 def q_stream_state_lazy(spark, sf_dir):
     """T1 on transformWithStateInPandas with per-decision map state and

@@ -592,3 +592,145 @@ SQL["ingest_decide_stream"] = with_(ROUTED, """updates AS (
 SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS message FROM ucb"""
 SQL["stream_slots"] = SQL["ucb_slots"]
 SQL["stream_state_timed"] = SQL["discounted_state"]
+
+# ------------------------------------------------------ rejects, late updates
+BROKEN = f"""broken AS (SELECT event_id % 7 = 0 AS bad, user_id % 40 AS g FROM events),
+rr AS (SELECT b.*, CASE WHEN b.g < 25 THEN 'c' || CAST(n_regionkey AS VARCHAR) ELSE '{P.ME}' END AS cluster_id
+       FROM broken b LEFT JOIN nation ON n_nationkey = b.g)"""
+SQL["stream_rejects"] = with_(BROKEN) + f""",
+s AS (SELECT 'rejects' AS sink, count(*) AS n FROM rr WHERE bad
+      UNION ALL SELECT 'upload', count(*) FROM rr WHERE NOT bad
+      UNION ALL SELECT CASE WHEN cluster_id = '{P.ME}' THEN 'internal_groups' ELSE 'external_groups' END, count(*)
+      FROM rr WHERE NOT bad GROUP BY 1)
+SELECT job, sink, n FROM s, (SELECT unnest(['ingest', 'multi_sink']) AS job) j WHERE n > 0"""
+
+# a row of slice k older than its group's newest tick in slices before k
+# counts in that tick
+SQL["late_rows"] = with_(f"""drawn AS (
+  SELECT CAST(user_id AS VARCHAR) AS group_id, event_type AS decision, value AS cost,
+         CAST(floor(epoch(ts) / {P.TICK_S}) AS BIGINT) AS t,
+         CAST(concat('0x', substr(md5('late:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT) AS h FROM events),
+sliced AS (SELECT d.*, (h - lo) // ((hi - lo) // {P.LATE_SLICES} + 1) AS k
+           FROM drawn d, (SELECT min(h) AS lo, max(h) AS hi FROM drawn)),
+tops AS (SELECT group_id, k, max(max(t)) OVER (PARTITION BY group_id ORDER BY k) AS top
+         FROM sliced GROUP BY group_id, k),
+moved AS (SELECT s.*, (SELECT max(top) FROM tops o WHERE o.group_id = s.group_id AND o.k < s.k) AS top
+          FROM sliced s)""", """updates AS (
+  SELECT group_id, decision, cost, greatest(t, coalesce(top, t)) AS tick FROM moved)""", STATS, dstate()) + """
+SELECT d.group_id, decision, CAST(round(CAST(score_sum AS DECIMAL(38,12)), 4) AS DOUBLE) AS score_sum,
+       CAST(round(CAST(n AS DECIMAL(38,12)), 4) AS DOUBLE) AS n, last_tick,
+       (SELECT count(*) FROM moved m WHERE m.group_id = d.group_id AND m.t < m.top) AS late
+FROM dstate d"""
+
+SQL["series_text"] = with_(SESS) + """
+SELECT CAST(second - (SELECT min(second) FROM rps) + 1 AS BIGINT) AS line_no, CAST(sent AS BIGINT) AS sent FROM rps"""
+
+BLOCKS3 = with_(RLOG) + f""",
+bm AS (
+  SELECT s AS url_idx, block, avg(cost) AS mean_cost
+  FROM (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY line_no) - 1) // {P.BLOCK} AS block
+        FROM (SELECT *, CASE WHEN line_no % 3 = 0 THEN 0 ELSE 1 END AS s FROM rlog)) o
+  GROUP BY s, block HAVING count(*) = {P.BLOCK})"""
+SQL["block_zip_three"] = SQL["block_zip"].replace(BLOCKS, BLOCKS3)
+SQL["block_gap_three"] = SQL["block_gap"].replace(BLOCKS, BLOCKS3)
+
+# ------------------------------------------------- policies in loop and replay
+LOOP_PARTS = (f"""bounds AS (
+  SELECT min(event_id) AS lo, (max(event_id) - min(event_id)) // {LOOP_SLICES} + 1 AS step FROM events)""",
+    """updates AS (
+  SELECT CAST(user_id % 40 AS VARCHAR) AS group_id, event_type AS decision,
+         CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS cost,
+         (event_id - bounds.lo) // bounds.step AS tick
+  FROM events, bounds)""", STATS)
+
+SQL["decision_loop_custom_stream"] = with_(*LOOP_PARTS, dstate(at=f"{LOOP_SLICES - 1}")) + f"""
+SELECT group_id, decision, concat(group_id, ';', decision, ';', '{P.ORIGIN}') AS message,
+       CAST({LOOP_SLICES - 1} AS BIGINT) AS tick
+FROM (SELECT group_id, first_value(decision) OVER (PARTITION BY group_id
+               ORDER BY CASE WHEN n > 0 THEN score_sum / n ELSE 0 END DESC, decision) AS decision,
+             row_number() OVER (PARTITION BY group_id) AS r FROM dstate) x WHERE r = 1"""
+
+EG_BEST = """SELECT {k}, decision, first_value(decision) OVER (PARTITION BY {k} ORDER BY s / n DESC, decision) AS best
+  FROM {src}"""
+SQL["decision_loop_eg_stream"] = with_(*LOOP_PARTS, f"""seen AS (
+  SELECT group_id, least({LOOP_SLICES - 1}, max(tick) + {P.EG_WINDOW_TICKS - 1}) AS tick FROM stats GROUP BY group_id),
+win AS (SELECT s.group_id, z.tick, decision, sum(score_sum) AS s, sum(n) AS n
+        FROM stats s JOIN seen z ON z.group_id = s.group_id AND s.tick <= z.tick
+                                 AND s.tick > z.tick - {P.EG_WINDOW_TICKS}
+        GROUP BY s.group_id, z.tick, decision),
+eg AS ({EG_BEST.format(k="group_id, tick", src="win")}),
+d AS (SELECT group_id, tick, any_value(best) AS best,
+             coalesce(list(decision ORDER BY decision) FILTER (WHERE decision <> best), []) AS rest
+      FROM eg GROUP BY group_id, tick)""") + f"""
+SELECT group_id, best, array_to_string(rest, ',') AS rest, CAST(tick AS BIGINT) AS tick,
+       concat(group_id, ';{{"random":[', array_to_string(list_transform(rest, lambda x: '"' || x || '"'), ','),
+              '],"best":"', best, '","epsilon":{float(P.EPSILON)}}};{P.ORIGIN}') AS message
+FROM d"""
+
+SESSQ = REPLAY[REPLAY.index("sessq AS"):REPLAY.index("gcount AS")].rstrip().rstrip(",")
+
+
+def _served(picks: str) -> str:
+    return f"""served AS (
+  SELECT s.*, CASE WHEN x.pick IS NOT NULL AND list_contains({SORTED_TYPES}, x.pick) THEN x.pick
+                   ELSE {SORTED_TYPES}[{_h('fallback', 's.line_no')} % {len(P.DECISION_TYPES)} + 1] END AS assigned,
+         CASE WHEN x.pick IS NOT NULL AND list_contains({SORTED_TYPES}, x.pick) THEN 'policy'
+              ELSE 'fallback' END AS source
+  FROM sessq s LEFT JOIN ({picks}) x USING (line_no))"""
+
+
+SQL["policy_replay_eg"] = with_(UPDATES, STATS, SESSQ, f"""win AS (
+  SELECT a.group_id, a.ask_t, decision, sum(score_sum) AS s, sum(n) AS n
+  FROM asks a JOIN stats s ON s.group_id = a.group_id AND s.tick <= a.ask_t AND s.tick > a.ask_t - {P.EG_WINDOW_TICKS}
+  GROUP BY a.group_id, a.ask_t, decision),
+eg AS ({EG_BEST.format(k="group_id, ask_t", src="win")}),
+egd AS (SELECT group_id, ask_t, any_value(best) AS best,
+               coalesce(list(decision ORDER BY decision) FILTER (WHERE decision <> best), []) AS rest
+        FROM eg GROUP BY group_id, ask_t)""", _served(f"""
+    SELECT s2.line_no, CASE WHEN len(e.rest) = 0 THEN e.best
+                            WHEN {_h('eps', 's2.line_no')} % 101 < CAST({P.EPSILON} AS DOUBLE) * 100
+                              THEN e.rest[{_h('explore', 's2.line_no')} % len(e.rest) + 1]
+                            ELSE e.best END AS pick
+    FROM sessq s2 JOIN egd e ON e.group_id = s2.group_id AND e.ask_t = s2.tick - 1""")) + """
+SELECT line_no, group_id, tick, assigned, source FROM served"""
+
+SQL["policy_replay_custom"] = with_(UPDATES, STATS, REPLAY[:REPLAY.index("ucbr")].rsplit(",", 1)[0], _served("""
+    SELECT s2.line_no, e.decision AS pick
+    FROM sessq s2 JOIN (
+      SELECT group_id, ask_t, decision, row_number() OVER (PARTITION BY group_id, ask_t
+               ORDER BY CASE WHEN n > 0 THEN score_sum / n ELSE 0 END DESC, decision) AS r FROM st_at) e
+      ON e.group_id = s2.group_id AND e.ask_t = s2.tick - 1 AND e.r = 1""")) + """
+SELECT line_no, group_id, tick, assigned, source FROM served"""
+
+# ------------------------------------------------------------ exchange, serving
+SQL["exchange_forward_stream"] = with_(f"""ext AS (
+  SELECT CAST(user_id % 40 AS VARCHAR) AS group_id, 'c' || CAST(n_regionkey AS VARCHAR) AS cluster_id,
+         lower(r_name) || ':9092' AS address
+  FROM events JOIN nation ON n_nationkey = user_id % 40 JOIN region ON r_regionkey = n_regionkey
+  WHERE 'c' || CAST(n_regionkey AS VARCHAR) <> '{P.ME}')""") + f"""
+SELECT 'forwarded' AS kind, group_id, cluster_id, address, count(*) AS n FROM ext GROUP BY ALL
+UNION ALL SELECT 'subscribed', group_id, cluster_id, group_id || ';{P.ME}', 1
+FROM (SELECT DISTINCT group_id, cluster_id FROM ext)"""
+
+SQL["epsilon_lines_stream"] = SQL["epsilon_export_lines"]
+
+SQL["weight_lines"] = with_(UPDATES, STATS) + """
+SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY decision) AS BIGINT) AS pos, decision,
+       CAST(1000000000 // (n + 7) AS BIGINT) AS p9
+FROM (SELECT group_id, decision, sum(n) AS n FROM stats GROUP BY ALL) x"""
+
+SQL["assign_epsilon_null"] = with_("""updates AS (
+  SELECT 'null' AS group_id, event_type AS decision, value AS cost,
+         CAST(floor(epoch(ts) / """ + str(P.TICK_S) + """) AS BIGINT) AS tick FROM events)""", STATS, EG, RULE_GROUP) + f""",
+egd AS (
+  SELECT group_id, any_value(best) AS best,
+         coalesce(list(decision ORDER BY decision) FILTER (WHERE decision <> best), []) AS rest
+  FROM eg GROUP BY group_id)
+SELECT req_id, group_id, {_finish('pick')}
+FROM (SELECT g.req_id, g.candidates, CASE WHEN g.matched THEN g.group_id ELSE 'null' END AS group_id,
+             CASE WHEN e.best IS NULL THEN NULL
+                  WHEN len(e.rest) = 0 THEN e.best
+                  WHEN {_h('eps')} % 101 < CAST({P.EPSILON} AS DOUBLE) * 100
+                       THEN e.rest[{_h('explore')} % len(e.rest) + 1]
+                  ELSE e.best END AS pick
+      FROM grouped g LEFT JOIN egd e ON e.group_id = CASE WHEN g.matched THEN g.group_id ELSE 'null' END) x"""

@@ -23,3 +23,4 @@ N_FRONTENDS = 2
 DECISION_TYPES = ["click", "error", "purchase", "signup", "view"]
 SNAPSHOT_BACK = [8, 4, 0]   # V.decisions: ticks before the last one
 ORIGIN = "From: c0"
+LATE_SLICES = 3       # micro-batches of the out-of-order stream

@@ -45,6 +45,12 @@ def messages(spark, sf_dir) -> DataFrame:
         F.to_json(F.struct(upd.alias("update"), gid.alias("group_id"))).alias("value"))
 
 
+def broken_messages(spark, sf_dir) -> DataFrame:
+    """V.messages with every seventh one cut off (no readable JSON)."""
+    m = messages(spark, sf_dir)
+    return m.withColumn("value", F.when(F.col("seq") % 7 == 0, F.substring("value", 1, 9)).otherwise(F.col("value")))
+
+
 def assign(spark, sf_dir) -> DataFrame:
     """V.assign: group -> cluster table (25 of the 40 message groups)."""
     n = table(spark, sf_dir, "nation")

@@ -32,20 +32,27 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (HDFS/S3/...) and an unset value is an
-    error.  Only for a ``local[...]`` master (tests, local runs) do we fall
-    back to a fresh local folder and register it, so
-    ``DataFrame.checkpoint()`` works too.
+    On a cluster this must name a shared store (HDFS/S3/...): an unset value,
+    one without a scheme and a ``file:`` one are errors.  A ``local-cluster``
+    master, whose executors share one machine, may use ``file:``.  Only for a
+    ``local`` or ``local[...]`` master (tests, local runs) do we fall back to
+    a fresh local folder and register it, so ``DataFrame.checkpoint()`` works
+    too.
     """
+    master = spark.sparkContext.master
+    one_process = master == "local" or master.startswith("local[")
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_process:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
                                "(HDFS/S3/...); a machine-local folder is not safe on a cluster")
         d = tempfile.mkdtemp(prefix="qoeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
+    if not master.startswith("local") and (":" not in d or d.startswith("file:")):
+        raise RuntimeError(f"spark.checkpoint.dir = {d} names a folder of one machine; "
+                           "name one that every executor reaches (HDFS/S3/...)")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -57,3 +64,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "qoeflow", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object of ``path`` (metadata operations
+    only: existence, listing, renaming; data is read and written by jobs)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; empty if there is no such folder.  Any other
+    failure to list is an error."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p))

@@ -25,6 +25,14 @@ def parse_feed(feed: DataFrame, value: str = "value") -> DataFrame:
     return feed.withColumn("_m", F.from_json(F.col(value), FEED_SCHEMA))
 
 
+def feed_rejects(feed: DataFrame) -> DataFrame:
+    """Messages that are neither an assignment nor a rule document (broken
+    JSON included), as they came."""
+    p = parse_feed(feed)
+    return p.where(F.col("_m").isNull() | (F.col("_m.GroupAssignment").isNull() & F.col("_m.GroupingRules").isNull())
+                   ).drop("_m")
+
+
 def assignments(feed: DataFrame, seq: str = "seq") -> DataFrame:
     """Every (group, cluster) pair with its (seq, pos) order."""
     p = parse_feed(feed).where(F.col("_m.GroupAssignment").isNotNull())
@@ -35,10 +43,13 @@ def assignments(feed: DataFrame, seq: str = "seq") -> DataFrame:
 def group_assignment(feed: DataFrame, me: str, seq: str = "seq") -> DataFrame:
     """Newest cluster per group (last write wins), plus the 'null'
     default of this cluster."""
-    a = assignments(feed, seq)
-    latest = a.groupBy("group_id").agg(F.max_by("cluster_id", F.struct(seq, "pos")).alias("cluster_id"))
-    seed = latest.sparkSession.createDataFrame([("null", me)], "group_id string, cluster_id string")
-    return latest.unionByName(seed.join(latest, "group_id", "left_anti"))
+    # the default is a row before every message, so one aggregate reads the feed once
+    a = assignments(feed, seq).select("group_id", "cluster_id", F.struct(
+        F.col(seq).cast("bigint").alias("seq"), F.col("pos").cast("int").alias("pos")).alias("o"))
+    none = F.struct(F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("int").alias("pos"))
+    seed = a.sparkSession.range(1).select(F.lit("null").alias("group_id"), F.lit(me).alias("cluster_id"),
+                                          none.alias("o"))
+    return a.unionByName(seed).groupBy("group_id").agg(F.max_by("cluster_id", "o").alias("cluster_id"))
 
 
 def latest_rules(feed: DataFrame, seq: str = "seq") -> DataFrame:

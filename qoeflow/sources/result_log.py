@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 SCHEMA = "url_idx INT, mode STRING, cost DOUBLE"
 
 
+def _complete():
+    return F.col("_r.url_idx").isNotNull() & F.col("_r.cost").isNotNull()
+
+
 def parse_result_log(lines: DataFrame, value: str = "value") -> DataFrame:
-    """CSV text with a line-number column -> typed rows (bad rows dropped)."""
+    """CSV text with a line-number column -> typed rows; ``result_log_rejects``
+    has the other lines."""
+    p = lines.withColumn("_r", F.from_csv(F.col(value), SCHEMA))
+    return p.where(_complete()).select("line_no", "_r.url_idx", "_r.mode", "_r.cost")
+
+
+def result_log_rejects(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Lines without a frontend number or a cost, as they came."""
     p = lines.withColumn("_r", F.from_csv(F.col(value), SCHEMA))
-    return (p.select("line_no", "_r.url_idx", "_r.mode", "_r.cost")
-             .where(F.col("url_idx").isNotNull() & F.col("cost").isNotNull()))
+    return p.where(~F.coalesce(_complete(), F.lit(False))).drop("_r")
 
 
 def read_result_log(spark: SparkSession, path: str) -> DataFrame:

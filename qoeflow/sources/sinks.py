@@ -46,13 +46,8 @@ def merge_latest(batch: DataFrame, table_path: str, version: int, order: str = "
     unioned with the batch, newest per group.  Re-running a batch id
     rewrites the same version, so the sink is idempotent.
     """
-    spark = batch.sparkSession
-    out = f"{table_path}/v={version}"
-    prev = f"{table_path}/v={version - 1}"
-    cur = batch
-    try:
-        cur = spark.read.parquet(prev).unionByName(batch)
-    except Exception:  # noqa: BLE001 - first version
-        pass
-    latest_decision(cur, order).write.mode("overwrite").parquet(out)
-    return out
+    from qoeflow.streaming.tables import latest_version, write_version
+    old = latest_version(batch.sparkSession, table_path, before=version)
+    cur = batch if old is None else old.unionByName(batch)
+    write_version(latest_decision(cur, order), table_path, version)
+    return f"{table_path}/v={version}"

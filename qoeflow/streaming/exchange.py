@@ -1,10 +1,9 @@
 """Streaming exchange and group-table jobs.
 
-Tables written by streams are folders of versions ``v=<batch_id>`` (or
-append-only files); readers in other streams re-read them inside
-``foreachBatch`` so every micro-batch sees the newest version -- the
-stream-static join of the reference's shared in-memory maps, without
-shared memory.
+Tables written by streams are folders of versions ``v=<batch_id>`` (see
+``streaming.tables``) or append-only files; readers in other streams re-read
+them inside ``foreachBatch`` so every micro-batch sees the newest version --
+the stream-static join of shared in-memory maps, without shared memory.
 """
 
 from __future__ import annotations
@@ -17,17 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from qoeflow.session import scratch_path
-from qoeflow.streaming.jobs import run_available_now, stage_files
-
-
-def latest_version(spark: SparkSession, table: str) -> DataFrame | None:
-    """The newest ``v=<n>`` version of a versioned table (None if empty)."""
-    try:
-        df = spark.read.parquet(table)
-    except Exception:  # noqa: BLE001 - no version yet
-        return None
-    top = df.select(F.max("v")).scalar()
-    return df.where(F.col("v") == top).drop("v")
+from qoeflow.streaming.jobs import combine, finish, run_available_now, run_slices
+from qoeflow.streaming.tables import latest_version, write_version
 
 
 def subscriptions_stream(subs: DataFrame, table: str, checkpoint: str):
@@ -62,14 +52,13 @@ def group_table_sink(table: str, me: str):
         new = assignments(df).select("group_id", "cluster_id",
                                      F.struct(F.lit(batch_id).cast("bigint").alias("b"),
                                               F.col("seq"), F.col("pos")).alias("o"))
-        old = latest_version(spark, table)
+        old = latest_version(spark, table, before=batch_id)
         if old is None:
             old = spark.createDataFrame([("null", me, (-1, -1, -1))],
                                         "group_id string, cluster_id string, o struct<b:bigint,seq:bigint,pos:int>")
         cur = old.unionByName(new)
         latest = cur.groupBy("group_id").agg(F.max_by(F.struct("cluster_id", "o"), "o").alias("x"))
-        (latest.select("group_id", "x.cluster_id", "x.o").write.mode("overwrite")
-         .parquet(f"{table}/v={batch_id}"))
+        write_version(latest.select("group_id", "x.cluster_id", "x.o"), table, batch_id)
     return sink
 
 
@@ -79,9 +68,9 @@ def latest_decision_sink(table: str, order: str = "tick"):
 
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        old = latest_version(spark, table)
+        old = latest_version(spark, table, before=batch_id)
         cur = df if old is None else old.unionByName(df)
-        latest_decision(cur, order).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        write_version(latest_decision(cur, order), table, batch_id)
     return sink
 
 
@@ -97,13 +86,10 @@ def _ring(length: int):
             for t, d, s, n in zip(*state.get):
                 ring[(t, d)] = [s, n]
         for p in pdfs:
-            for t, d, c in zip(p["tick"].tolist(), p["decision"].tolist(), p["cost"].tolist()):
-                a = ring.get((t, d))
-                if a is None:
-                    ring[(t, d)] = [-c, 1]
-                else:
-                    a[0] -= c
-                    a[1] += 1
+            for t, d, s, c in zip(p["tick"].tolist(), p["decision"].tolist(), p["s"].tolist(), p["c"].tolist()):
+                a = ring.setdefault((t, d), [0.0, 0])
+                a[0] += s
+                a[1] += int(c)
         if ring:
             top = max(t for t, _ in ring)
             ring = {k: v for k, v in ring.items() if k[0] > top - length}
@@ -123,53 +109,122 @@ def window_ring_stream(updates: DataFrame, length_ticks: int) -> DataFrame:
     decision kept in the state store (bounded by length x decisions),
     instead of a sliding window that copies each row into length/slide
     windows.  Emits the group's ring after each batch."""
-    return (updates.select("group_id", "decision", "cost", "tick").groupBy("group_id")
+    return (combine(updates).groupBy("group_id")
             .applyInPandasWithState(_ring(length_ticks), RING_OUT, RING_STATE, "update",
                                     GroupStateTimeout.NoTimeout))
 
 
 # ------------------------------------------------------------------- jobs
+def _replay(df: DataFrame, base: str, order: str, n_files: int, sink, name: str = "") -> None:
+    """Run ``df`` slice by slice through ``sink``; folders below ``base/name``."""
+    spark, at = df.sparkSession, f"{base}/{name}" if name else base
+    run_slices(df, at, order, n_files, lambda: run_available_now(
+        spark.readStream.schema(df.schema).parquet(f"{at}/in/*"), sink, f"{at}/ckpt"))
+
+
+def subscribe(subs: DataFrame, base: str, n_files: int) -> str:
+    """Stream subscription messages (seq, value) into the table of pairs;
+    returns its folder."""
+    spark = subs.sparkSession
+    run_slices(subs, f"{base}/subs", "seq", n_files, lambda: finish(subscriptions_stream(
+        spark.readStream.text(f"{base}/subs/in/*"), f"{base}/subs/table", f"{base}/subs/ckpt")), "text", ["value"])
+    return f"{base}/subs/table"
+
+
 def exchange_job(spark: SparkSession, subs: DataFrame, decisions: DataFrame, me: str,
                  n_files: int = 3) -> DataFrame:
     """M5: subscription stream into a table, then the decision stream fanned
     out to subscribers (table re-read per batch)."""
     base = scratch_path(spark, "exchange")
-    stage_files(subs, f"{base}/subs_in", "seq", n_files, "text", cols=["value"])
-    q = subscriptions_stream(spark.readStream.text(f"{base}/subs_in"), f"{base}/subs", f"{base}/ckpt_subs")
-    q.awaitTermination(900)
-    q.stop()
-    stage_files(decisions, f"{base}/dec_in", "tick", n_files)
-    dec = spark.readStream.schema(decisions.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/dec_in")
-    run_available_now(dec, fanout_sink(f"{base}/subs", me, f"{base}/out"), f"{base}/ckpt_dec")
+    table = subscribe(subs, base, n_files)
+    _replay(decisions, base, "tick", n_files, fanout_sink(table, me, f"{base}/out"), "decisions")
     return spark.read.parquet(f"{base}/out")
 
 
+def forward_sink(base: str, assign: DataFrame, clusters: DataFrame, me: str, labels: list[str], keep: list[str]):
+    """J10/P9/A14 in one batch: external updates to their cluster's address
+    (unknown clusters and unreadable messages to rejects), and one
+    subscription per group forwarded for the first time.  ``known`` is the
+    versioned table of groups subscribed to so far."""
+    from qoeflow.operators.exchange import auto_subscribe
+    from qoeflow.operators.records import forward, route, split_messages
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        df = df.persist()
+        try:
+            good, bad = split_messages(df)
+            sent, lost = forward(route(good, assign, me, labels, keep), clusters, me)
+            sent.select("seq", "group_id", "cluster_id", "address", "message").write.mode("overwrite").parquet(
+                f"{base}/forwarded/batch_id={batch_id}")
+            (bad.select("value", F.lit("unreadable").alias("why"))
+             .unionByName(lost.select("value", F.lit("unknown cluster").alias("why")))
+             .write.mode("overwrite").parquet(f"{base}/rejects/batch_id={batch_id}"))
+            old = latest_version(spark, f"{base}/known", before=batch_id)
+            new = auto_subscribe(sent, me)
+            if old is not None:
+                new = new.join(old.select("group_id"), "group_id", "left_anti")
+            new.write.mode("overwrite").parquet(f"{base}/subscriptions/batch_id={batch_id}")
+            new = spark.read.parquet(f"{base}/subscriptions/batch_id={batch_id}")
+            write_version(new if old is None else old.unionByName(new), f"{base}/known", batch_id)
+        finally:
+            df.unpersist()
+    return sink
+
+
+def forward_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, clusters: DataFrame, me: str,
+                labels: list[str], keep: list[str], n_files: int = 3) -> str:
+    """M5, the sending half: messages (seq, value) forwarded and subscribed for
+    batch by batch; returns the folder of ``forwarded``, ``subscriptions`` and
+    ``rejects``."""
+    base = scratch_path(spark, "forward")
+    _replay(messages.select("seq", "value"), base, "seq", n_files,
+            forward_sink(base, assign, clusters, me, labels, keep))
+    return base
+
+
 def group_table_job(spark: SparkSession, feed: DataFrame, me: str, n_files: int = 3) -> DataFrame:
     base = scratch_path(spark, "group-table")
-    stage_files(feed, f"{base}/in", "seq", n_files)
-    s = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    run_available_now(s, group_table_sink(f"{base}/table", me), f"{base}/ckpt")
+    _replay(feed, base, "seq", n_files, group_table_sink(f"{base}/table", me))
     return latest_version(spark, f"{base}/table")
 
 
+def epsilon_lines_sink(out: str):
+    """A batch's epsilon-greedy messages as ordered lines per group."""
+    from qoeflow.operators.records import parse_epsilon
+    from qoeflow.sources.sinks import export_epsilon
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        export_epsilon(parse_epsilon(df)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    return sink
+
+
+def epsilon_lines_job(spark: SparkSession, messages: DataFrame, n_files: int = 3) -> DataFrame:
+    """Stream of decision messages (seq, message) -> lines of every decision."""
+    base = scratch_path(spark, "epsilon-lines")
+    _replay(messages, base, "seq", n_files, epsilon_lines_sink(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out")
+
+
 def latest_decision_job(spark: SparkSession, decisions: DataFrame, n_files: int = 3) -> DataFrame:
     base = scratch_path(spark, "latest")
-    stage_files(decisions, f"{base}/in", "tick", n_files)
-    s = spark.readStream.schema(decisions.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    run_available_now(s, latest_decision_sink(f"{base}/table"), f"{base}/ckpt")
+    _replay(decisions, base, "tick", n_files, latest_decision_sink(f"{base}/table"))
     return latest_version(spark, f"{base}/table")
 
 
 def window_ring_job(spark: SparkSession, updates: DataFrame, length_ticks: int,
-                    n_files: int = 6) -> DataFrame:
+                    n_files: int = 4) -> DataFrame:
     """Runs T3 over an ordered file stream; returns the latest ring rows."""
     from qoeflow.streaming.jobs import batch_sink
     base = scratch_path(spark, "ring")
     src = updates.select("group_id", "decision", "cost", "tick")
-    stage_files(src, f"{base}/in", "tick", n_files)
-    s = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    run_available_now(window_ring_stream(s, length_ticks), batch_sink(f"{base}/out"), f"{base}/ckpt",
-                      mode="update")
+
+    def run():
+        stream = spark.readStream.schema(src.schema).parquet(f"{base}/in/*")
+        run_available_now(window_ring_stream(stream, length_ticks), batch_sink(f"{base}/out"), f"{base}/ckpt",
+                          mode="update")
+
+    run_slices(src, base, "tick", n_files, run)
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("group_id").agg(F.max("batch_id").alias("batch_id"))
     return out.join(last, ["group_id", "batch_id"]).drop("batch_id")
@@ -199,9 +254,7 @@ def serve_job(spark: SparkSession, requests: DataFrame, latest: DataFrame, leave
     """Write the decision table as a version, stream the requests through
     ``serve_sink``, return every response."""
     base = scratch_path(spark, "serve")
-    latest.write.mode("overwrite").parquet(f"{base}/decisions/v=0")
-    stage_files(requests, f"{base}/in", "req_id", n_files)
-    s = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    run_available_now(s, serve_sink(f"{base}/decisions", leaves, default_feature, n_features, seed,
-                                    f"{base}/out"), f"{base}/ckpt")
+    write_version(latest, f"{base}/decisions", 0)
+    _replay(requests, base, "req_id", n_files, serve_sink(f"{base}/decisions", leaves, default_feature, n_features,
+                                                          seed, f"{base}/out"), "requests")
     return spark.read.parquet(f"{base}/out")

@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from qoeflow.streaming.jobs import combine
+from qoeflow.streaming.state import tick_sums
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT_SCHEMA = ("group_id string, decision string, score_sum double, n double, last_tick bigint, "
               "idle_at bigint, group_tick bigint, group_idle bigint, late bigint")
@@ -39,21 +42,14 @@ class LazyDecayProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         g = self.gamma
         g_last, idle, late = self.grp.get() if self.grp.exists() else (None, 0, 0)
-        acc: dict[tuple[int, str], list[float]] = {}
-        for p in rows:
-            for t, d, c in zip(p["tick"].tolist(), p["decision"].tolist(), p["cost"].tolist()):
-                a = acc.setdefault((t, d), [0.0, 0.0])
-                a[0] -= c
-                a[1] += 1.0
+        acc, more = tick_sums(rows, g_last)
+        late += more
         # one state read and one write per touched decision
         cache: dict[str, list] = {}
         for d in {d for _, d in acc}:
             v = self.dec.getValue((d,))          # None when absent
             cache[d] = list(v) if v is not None else None
         for (t, d), (s, c) in sorted(acc.items()):
-            if g_last is not None and t < g_last:
-                late += int(c)
-                continue
             if g_last is None:
                 g_last = t
             elif t > g_last:
@@ -119,14 +115,17 @@ class TimedDecayProcessor(LazyDecayProcessor):
                                 "group_idle": v_idle, "late": late})
 
 
-def decision_stream_timed(updates: DataFrame, gamma: float, tick_s: int) -> DataFrame:
-    """T1 + T8: like ``decision_stream_lazy`` plus idle emission driven by an
-    event-time watermark on the tick start (no extra lateness: ticks arrive
-    in order).  Rows at or before the watermark are dropped by Spark before
-    the processor sees them (so tick 0 = the epoch never enters)."""
-    src = (updates.select("group_id", "decision", "cost", "tick")
-           .withColumn("ts_tick", F.timestamp_seconds(F.col("tick") * tick_s))
-           .withWatermark("ts_tick", "0 seconds"))
+def decision_stream_timed(updates: DataFrame, gamma: float, tick_s: int, lateness_ticks: int = 4) -> DataFrame:
+    """T1 + T8: like ``decision_stream_lazy`` plus idle emission driven by
+    timers on an event-time watermark.  The watermark stays ``lateness_ticks``
+    (at least one) behind the newest tick: a tick may spread over several
+    micro-batches, and updates up to that late still count (in their group's
+    current tick); Spark drops what is later still, so choose the lateness
+    above the longest delay of the source."""
+    if lateness_ticks < 1:
+        raise ValueError("a tick may span several micro-batches: lateness_ticks must be at least 1")
+    src = (combine(updates).withColumn("ts_tick", F.timestamp_seconds(F.col("tick") * tick_s))
+           .withWatermark("ts_tick", f"{lateness_ticks * tick_s} seconds"))
     return src.groupBy("group_id").transformWithStateInPandas(
         TimedDecayProcessor(gamma, tick_s), OUT_SCHEMA, "Update", "EventTime")
 
@@ -134,7 +133,7 @@ def decision_stream_timed(updates: DataFrame, gamma: float, tick_s: int) -> Data
 def decision_stream_lazy(updates: DataFrame, gamma: float) -> DataFrame:
     """Updates stream (group_id, decision, cost, tick) -> the decisions
     each micro-batch wrote, with the group's tick and idle count."""
-    return (updates.select("group_id", "decision", "cost", "tick").groupBy("group_id")
+    return (combine(updates).groupBy("group_id")
             .transformWithStateInPandas(LazyDecayProcessor(gamma), OUT_SCHEMA, "Update", "None"))
 
 

@@ -1,4 +1,4 @@
-"""The decision loop (the reference's main streaming program), end to end.
+"""The decision loop (the main streaming program), end to end, for any policy.
 
 Updates arrive as JSON messages; every micro-batch is one tick, as in the
 reference (a record counts in the batch it arrives in).  Per batch, in
@@ -6,17 +6,16 @@ reference (a record counts in the batch it arrives in).  Per batch, in
 
 1. parse the messages (P1, rejects kept apart), sum and count per
    (group, decision) -- the tick's stats (A2);
-2. merge them into the previous state version (J4: active decision ->
-   new + gamma*old, active group -> old, idle group -> gamma*old) and write
+2. ``policy.advance`` them into the newest state version below this batch's
+   (discounted sums: J4; a sliding window: the rows of its ticks) and write
    state version ``v=<batch_id>``;
-3. choose every group's slot list (K3, all groups every tick, T8) and write
-   the decision messages (P12) under ``batch_id=<n>``.
+3. ``policy.decide`` for every group (T8) and write ``policy.message`` (P12,
+   or the epsilon-greedy form) under ``batch_id=<n>``.
 
-Both outputs are overwritten per batch id, so a replayed batch rewrites
-the same version (idempotent, exactly-once with the checkpointed source).
-The state is rewritten each tick like the reference's cogroup; for
-millions of groups prefer ``streaming.state.decision_stream`` (state
-store, lazy decay).
+Both outputs are overwritten per batch id and a batch never reads its own
+version, so a batch that runs again gives the same state and decisions.  Two
+state versions are kept.  The state is rewritten each tick; for millions of
+groups prefer ``streaming.state.decision_stream`` (state store, lazy decay).
 """
 
 from __future__ import annotations
@@ -24,34 +23,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qoeflow.operators import stats as S
-from qoeflow.operators.policy import DiscountedUCB
-from qoeflow.operators.records import format_decision, parse_updates
+from qoeflow.operators.policy import Policy
+from qoeflow.operators.records import parse_updates
 from qoeflow.session import scratch_path
-from qoeflow.streaming.exchange import latest_version
-from qoeflow.streaming.jobs import run_available_now, stage_files, start_stream
+from qoeflow.streaming.jobs import run_available_now, run_slices, start_stream
+from qoeflow.streaming.tables import latest_version, write_version
 from qoeflow.streaming.topics import spool_source
 
 
-def decision_loop_sink(base: str, labels: list[str], policy: DiscountedUCB, origin: str,
+def decision_loop_sink(base: str, labels: list[str], policy: Policy, origin: str,
                        topic: tuple[str, str, dict] | None = None):
     """``topic`` = (name, format, options) also publishes the decision
     messages, e.g. ("decision", "kafka", {"kafka.bootstrap.servers": ...});
     a file format writes one folder per batch id under options["path"]."""
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        good, bad = parse_updates(df, labels)
-        bad.select("value").write.mode("overwrite").parquet(f"{base}/rejects/batch_id={batch_id}")
-        new = good.groupBy("group_id", "decision").agg(F.sum("score").alias("score_sum"),
-                                                       F.count(F.lit(1)).alias("n"))
-        old = latest_version(spark, f"{base}/state")
-        if old is None:
-            st = new.select("group_id", "decision", "score_sum", F.col("n").cast("double").alias("n"))
-        else:
-            st = S.merge_state(new, old, policy.gamma)
-        st.write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
-        cur = spark.read.parquet(f"{base}/state/v={batch_id}")
-        dec = format_decision(policy.decide(cur), origin).withColumn("tick", F.lit(batch_id).cast("bigint"))
+        df = df.persist()
+        try:
+            good, bad = parse_updates(df, labels)
+            bad.select("value").write.mode("overwrite").parquet(f"{base}/rejects/batch_id={batch_id}")
+            new = good.groupBy("group_id", "decision").agg(F.sum("score").alias("score_sum"),
+                                                           F.count(F.lit(1)).alias("n"))
+            old = latest_version(spark, f"{base}/state", before=batch_id)
+            state = write_version(policy.advance(new, old, batch_id), f"{base}/state", batch_id)
+        finally:
+            df.unpersist()
+        dec = policy.message(policy.decide(policy.current(state)), origin)
+        dec = dec.withColumn("tick", F.lit(batch_id).cast("bigint"))
         dec.write.mode("overwrite").parquet(f"{base}/decisions/batch_id={batch_id}")
         if topic:
             name, fmt, opts = topic
@@ -64,7 +62,7 @@ def decision_loop_sink(base: str, labels: list[str], policy: DiscountedUCB, orig
     return sink
 
 
-def decision_loop(updates: DataFrame, base: str, labels: list[str], policy: DiscountedUCB,
+def decision_loop(updates: DataFrame, base: str, labels: list[str], policy: Policy,
                   origin: str, trigger: dict | None = None, topic: tuple[str, str, dict] | None = None):
     """Start the decision loop on any stream of update messages (a
     ``value`` column): a spool folder, or a topic via
@@ -76,20 +74,20 @@ def decision_loop(updates: DataFrame, base: str, labels: list[str], policy: Disc
 
 
 def decision_loop_job(spark: SparkSession, messages: DataFrame, labels: list[str],
-                      policy: DiscountedUCB, origin: str, n_files: int = 6) -> DataFrame:
+                      policy: Policy, origin: str, n_files: int = 6) -> DataFrame:
     """Spool of update messages -> per-tick state and decisions; returns
     the newest decision per group."""
     from qoeflow.sources.sinks import latest_decision
     base = scratch_path(spark, "decision-loop")
-    stage_files(messages, f"{base}/spool", "seq", n_files, "text", cols=["value"])
-    src = spool_source(spark, f"{base}/spool", max_files=1)
-    run_available_now(src, decision_loop_sink(base, labels, policy, origin), f"{base}/ckpt")
-    d = spark.read.parquet(f"{base}/decisions")
-    return latest_decision(d.select("group_id", "slots", "message", "tick"), "tick", ["slots", "message"])
+    sink = decision_loop_sink(base, labels, policy, origin)
+    run_slices(messages, base, "seq", n_files,
+               lambda: run_available_now(spool_source(spark, f"{base}/in/*"), sink, f"{base}/ckpt"),
+               "text", ["value"])
+    return latest_decision(spark.read.parquet(f"{base}/decisions").drop("batch_id"), "tick")
 
 
 def ingest_then_decide_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me: str,
-                           labels: list[str], keep: list[str], policy: DiscountedUCB,
+                           labels: list[str], keep: list[str], policy: Policy,
                            origin: str) -> DataFrame:
     """M4 -> T1 through a topic folder: the ingest stream routes the spool
     to topic folders; the decision loop streams the ``internal_groups``
@@ -103,5 +101,4 @@ def ingest_then_decide_job(spark: SparkSession, messages: DataFrame, assign: Dat
     base = scratch_path(spark, "ingest-decide")
     run_available_now(internal.select("value"), decision_loop_sink(base, keep, policy, origin),
                       f"{base}/ckpt")
-    d = spark.read.parquet(f"{base}/decisions")
-    return latest_decision(d.select("group_id", "slots", "message", "tick"), "tick", ["slots", "message"])
+    return latest_decision(spark.read.parquet(f"{base}/decisions").drop("batch_id"), "tick")

@@ -2,15 +2,18 @@
 
 Per group, the state store keeps the decision catalogue's discounted
 (score_sum, n), the tick each decision was last active and the group's
-last active tick.  Each micro-batch folds the group's new rows tick by
-tick in pandas (rows of one group in one micro-batch, so bounded by the
-trigger size; the state itself is bounded by the decision catalogue):
+last active tick.  Each micro-batch is first summed per (group, decision,
+tick) where it is read (``jobs.combine``); a group's sums are then folded
+tick by tick (bounded by ticks x decisions of a micro-batch; the state
+itself by the decision catalogue):
 
   tick t > last:  decay everything by gamma^(t - last - 1) (idle ticks),
                   then active decisions: new + gamma * old;
   tick t == last: a tick split across batches: decisions already active
                   at t add, the others fold as above;
-  tick t < last:  late (after the state moved on) -> counted, not applied.
+  tick t < last:  late; as in a live loop, where a record counts in the batch
+                  it arrives in, it is folded into the group's current tick
+                  (and counted in ``late``).
 
 Idle groups are not touched (T8 lazy decay): ``decay_to`` multiplies by
 gamma^(T - last) when the state is read at tick T, which gives exactly
@@ -32,6 +35,21 @@ STATE_SCHEMA = ("g_last bigint, decisions array<string>, sums array<double>, "
                 "ns array<double>, d_last array<bigint>, late bigint")
 
 
+def tick_sums(pdfs: Iterator[pd.DataFrame], g_last: int | None) -> tuple[dict[tuple[int, str], list[float]], int]:
+    """A group's partial sums of a micro-batch by (tick, decision), late ticks
+    moved to ``g_last``, and the number of late updates."""
+    acc: dict[tuple[int, str], list[float]] = {}
+    late = 0
+    for p in pdfs:
+        for t, d, s, c in zip(p["tick"].tolist(), p["decision"].tolist(), p["s"].tolist(), p["c"].tolist()):
+            if g_last is not None and t < g_last:
+                late, t = late + int(c), g_last
+            a = acc.setdefault((t, d), [0.0, 0.0])
+            a[0] += s
+            a[1] += c
+    return acc, late
+
+
 def _fold(gamma: float):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.exists:
@@ -39,20 +57,9 @@ def _fold(gamma: float):
             st = {d: [s, n, t] for d, s, n, t in zip(decs, sums, ns, dl)}
         else:
             g_last, st, late = None, {}, 0
-        # the group's rows of this micro-batch, summed per (tick, decision)
-        acc: dict[tuple[int, str], list[float]] = {}
-        for p in pdfs:
-            for t, d, c in zip(p["tick"].tolist(), p["decision"].tolist(), p["cost"].tolist()):
-                a = acc.get((t, d))
-                if a is None:
-                    acc[(t, d)] = [-c, 1.0]
-                else:
-                    a[0] -= c
-                    a[1] += 1.0
+        acc, more = tick_sums(pdfs, g_last)
+        late += more
         for (t, d), (s, c) in sorted(acc.items()):
-            if g_last is not None and t < g_last:
-                late += int(c)
-                continue
             if g_last is not None and t > g_last:
                 f = gamma ** (t - g_last - 1)
                 if f != 1.0:
@@ -84,8 +91,8 @@ def _fold(gamma: float):
 def decision_stream(updates: DataFrame, gamma: float) -> DataFrame:
     """Updates stream (group_id, decision, cost, tick) -> per batch, the
     new state of every (group, decision) whose group got data."""
-    return (updates.select("group_id", "decision", "cost", "tick")
-            .groupBy("group_id")
+    from qoeflow.streaming.jobs import combine
+    return (combine(updates).groupBy("group_id")
             .applyInPandasWithState(_fold(gamma), OUT_SCHEMA, STATE_SCHEMA, "update",
                                     GroupStateTimeout.NoTimeout))
 

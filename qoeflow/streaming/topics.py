@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def broker_list(hosts: str, port: int = 9092) -> str:
-    """'h1,h2' -> 'h1:9092,h2:9092' (the reference's replace(",", ":9092,"))."""
+    """A comma-separated host list as a broker list: every host with the port."""
     return hosts.replace(",", f":{port},") + f":{port}"
 
 

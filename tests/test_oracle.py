@@ -18,12 +18,11 @@ def test_query_matches_oracle(spark, name):
     if not os.path.exists(SF_SMALL):
         pytest.skip("no test data")
     res = compare(spark, SF_SMALL, [name], verbose=False)[name]
-    assert res.startswith("ok") or res.startswith("rows-only"), res
+    assert res.startswith("ok"), res
 
 
-def test_every_query_has_oracle_or_is_declared_rows_only():
-    rows_only = {"late_rows"}
-    missing = set(REGISTRY) - set(E.oracle_sql()) - rows_only
+def test_every_query_has_an_oracle():
+    missing = set(REGISTRY) - set(E.oracle_sql())
     assert not missing
 
 

@@ -8,14 +8,16 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from qoeflow.plans.catalog import REGISTRY  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 from plan_report import summarise  # noqa: E402
 
 STREAMING = {"stream_state", "stream_state_lazy", "stream_state_timed", "stream_slots", "ingest_routing",
              "topic_roundtrip", "multi_sink_counts", "late_rows", "exchange_fanout_stream",
              "group_table_stream", "latest_decision_stream", "sliding_stream", "decision_loop_stream",
-             "assign_stream", "ingest_decide_stream"}
-BATCH = sorted(set(E.queries()) - STREAMING)
+             "assign_stream", "ingest_decide_stream", "decision_loop_eg_stream", "decision_loop_custom_stream",
+             "exchange_forward_stream", "epsilon_lines_stream", "stream_rejects"}
+BATCH = sorted(set(REGISTRY) - STREAMING)
 
 
 def _plan(spark, name):

@@ -41,13 +41,102 @@ def test_stream_equals_batch_with_split_ticks(spark):
         assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == pytest.approx(want[k][1])
 
 
-def test_late_ticks_are_counted_not_applied(spark):
+def test_late_ticks_count_in_the_current_tick(spark):
     batches = [[("g", "a", 1.0, 5)], [("g", "a", 7.0, 2), ("g", "b", 1.0, 6)]]
     st = {r.decision: r for r in _run(spark, batches).collect()}
-    assert st["a"].late == 1 and st["a"].score_sum == pytest.approx(-1.0)
+    assert st["a"].late == 1 and st["a"].score_sum == pytest.approx(-8.0) and st["a"].n == pytest.approx(2.0)
     assert st["b"].group_tick == 6
 
 
+def _five_files(spark):
+    """One tick of one group over five micro-batches, after an earlier tick."""
+    return [[("g", "a", 1.0, 1000)]] + [[("g", "b", 1.0, 1001)] for _ in range(4)] + [[("g", "a", 2.0, 1001)]]
+
+
+def test_a_tick_over_many_micro_batches_in_all_state_streams(spark):
+    from qoeflow.streaming.keyed_state import ROCKSDB, decision_stream_lazy, decision_stream_timed, read_state
+    batches = _five_files(spark)
+    rows = [r for b in batches for r in b]
+    want = {r.decision: (r.score_sum, r.n) for r in
+            S.discounted_state(S.tick_stats(spark.createDataFrame(rows, SCHEMA)), 0.8, at_tick=1001).collect()}
+    got = {"fold": decay_to(_run(spark, batches), 0.8, F.lit(1001))}
+    for name, op in (("lazy", lambda s: decision_stream_lazy(s, 0.8)),
+                     ("timed", lambda s: decision_stream_timed(s, 0.8, 10, 1))):
+        base = scratch_path(spark, "t-five")
+        for part in batches:
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        run_available_now(op(src), batch_sink(f"{base}/out"), f"{base}/ckpt", mode="update",
+                          confs={"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
+        got[name] = read_state(spark.read.parquet(f"{base}/out"), 0.8, F.lit(1001))
+    for name, df in got.items():
+        res = {r.decision: (r.score_sum, r.n) for r in df.collect()}
+        assert res.keys() == want.keys(), name
+        for d in want:
+            assert res[d][0] == pytest.approx(want[d][0]) and res[d][1] == pytest.approx(want[d][1]), name
+
+
+def test_a_limit_that_is_hit_raises(spark):
+    import time
+    from qoeflow.streaming.jobs import run_slices
+    base = scratch_path(spark, "t-limit")
+    df = spark.range(3)
+
+    def slow(batch, batch_id):
+        time.sleep(5)
+
+    with pytest.raises(TimeoutError):
+        run_slices(df, base, "id", 1, lambda: run_available_now(
+            spark.readStream.schema(df.schema).parquet(f"{base}/in/*"), slow, f"{base}/ckpt", timeout_s=1))
+
+
+def test_rows_without_an_order_value_are_staged(spark):
+    from qoeflow.streaming.jobs import stage_slices
+    df = spark.createDataFrame([(1, "a"), (9, "b"), (None, "c")], "seq long, value string")
+    base = scratch_path(spark, "t-stage")
+    folders = stage_slices(df, base, "seq", 2)
+    got = [sorted(r.value for r in spark.read.parquet(f).collect()) for f in folders]
+    assert got == [["a", "c"], ["b"]]
+
+
+def test_a_batch_that_runs_again_gives_the_same_state(spark):
+    from qoeflow.operators.policy import DiscountedUCB, EpsilonGreedy
+    from qoeflow.streaming.loop import decision_loop_sink
+    batches = [[("g", "x", 1.0), ("g", "y", 2.0)], [("g", "x", 2.0)], [("h", "y", 1.0)]]
+    for policy in (DiscountedUCB(0.8, 4, 1000.0), EpsilonGreedy(0.5, 2)):
+        out = {}
+        for again in (False, True):
+            base = scratch_path(spark, "t-again")
+            sink = decision_loop_sink(base, ["Id", "decision", "socre"], policy, "From: t")
+            for i, rows in enumerate(batches):
+                df = spark.createDataFrame([('{"update":"1\\t%s\\t%s","group_id":"%s"}' % (d, c, g),)
+                                            for g, d, c in rows], "value string")
+                sink(df, i)
+                if again:
+                    sink(df, i)
+            out[again] = sorted(map(str, spark.read.parquet(f"{base}/state/v=2").collect()))
+            assert len(spark.read.parquet(f"{base}/state/v=2").collect()) >= 2
+        assert out[False] == out[True]
+
+
+def test_a_table_that_cannot_be_read_fails_the_batch(spark):
+    from qoeflow.streaming.exchange import latest_decision_sink
+    from qoeflow.streaming.tables import latest_version, versions
+    base = scratch_path(spark, "t-broken")
+    df = spark.createDataFrame([("g", "s", 1)], "group_id string, slots string, tick long")
+    assert latest_version(spark, f"{base}/table") is None          # nothing yet
+    sink = latest_decision_sink(f"{base}/table")
+    for i in range(4):
+        sink(df, i)
+    assert versions(spark, f"{base}/table") == [2, 3]              # two are kept
+    import glob
+    for f in glob.glob(f"{base}/table/v=3/part-*"):
+        with open(f, "wb") as out:
+            out.write(b"broken")
+    with pytest.raises(Exception):
+        sink(df, 4)
+
+
 def test_broker_list():
     assert broker_list("a,b") == "a:9092,b:9092"
 
