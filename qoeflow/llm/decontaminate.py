@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qoeflow.llm.common import materialise
+
 N = 8
 LITERALS = 5
 COVERAGE = 0.5
@@ -102,9 +104,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     met = (seen.join(searched, "win")
            .groupBy("row_key", "item_key", (F.col("pos") - F.col("at")).alias("shift"))
            .agg(F.collect_set("at").alias("at")))
+    met = materialise(met, "template-windows")       # read twice below, costly to compute
     # the words of candidates only, compared one by one
-    texts = _templates(docs.select(key, F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
-                       .join(met.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]))
+    texts = (docs.select(key, F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+             .join(met.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]))
+    texts = _templates(texts.select("row_key", "doc_id", words(F.col("t")).alias("words")))
     pair = (met.join(items.select("item_key", "item_id", F.col("bodies").alias("iw"), F.col("tpl").alias("it")),
                      "item_key")
             .join(texts, "row_key"))
