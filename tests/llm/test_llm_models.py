@@ -142,7 +142,7 @@ def test_quality_of_odd_rows_and_labels(spark):
         got = quality.scores(df, heads).collect()
         assert len(got) == len(C.rows())
         assert {(r.quality, r.toxic) for r in got} == {want}
-    heads = quality.train(df, spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)] + [(0, 0, 1)],
+    heads = quality.train(df, spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)] + [(0, 0, True)],
                                                     "doc_id long, quality int, toxic boolean")
                           .selectExpr("doc_id", "quality", "cast(toxic as int) as toxic"))
     got = quality.scores(df, heads).collect()

@@ -70,7 +70,7 @@ def pages(spark, data=PAGES):
 def test_warc_text_and_links(spark):
     rows = warc.derive(warc.responses(pages(spark, PAGES[:1]))).collect()
     by = {r.record_type: r for r in rows}
-    assert by["conversion"].block == "A & B\nOne\ntwo <3>link\nend"
+    assert by["conversion"].block == "A &\nB\nOne\ntwo <3>link\nend"
     assert "outlink: /u?x=1\r\n" in by["metadata"].block and "title: A &amp; B\r\n" in by["metadata"].block
     assert "source-header: Content-Type: text/html" in by["metadata"].block
     assert by["conversion"].record_id in by["metadata"].block

@@ -232,6 +232,15 @@ def test_word_ids_equal_the_library(tok):
     enc = Encoder(default_path())
     assert enc.by_word
     assert [x.tolist() for x in enc.encode([t.encode() for t in texts])] == [ids_of(tok, t) for t in texts]
+    import qoeflow.llm.tokens as T
+    old, T.BLOCK_BYTES = T.BLOCK_BYTES, 200        # parts and blocks of few words
+    try:
+        assert [x.tolist() for x in enc.encode([t.encode() for t in texts])] == [ids_of(tok, t) for t in texts]
+        enc.words = T._Words(1 << 10)                                               # starts anew again and again
+        enc.used = 0
+        assert [x.tolist() for x in enc.encode([t.encode() for t in texts])] == [ids_of(tok, t) for t in texts]
+    finally:
+        T.BLOCK_BYTES = old
     enc.by_word = False
     assert [x.tolist() for x in enc.encode([t.encode() for t in texts])] == [ids_of(tok, t) for t in texts]
 
