@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,18 @@ def tick_of(ts, width_s: int) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(width_s)).cast("bigint")
 
 
+def in_ticks(df, ts: str, width_s: int, first: int, last: int):
+    """Rows whose ``ts`` lies in ticks ``first`` .. ``last``: a range of
+    literals of the column's own type, which reaches the file scan."""
+    kind = df.schema[ts].dataType.simpleString()
+
+    def at(tick: int) -> Column:
+        # TIMESTAMP_NTZ counts as UTC, as in tick_of
+        return F.lit(datetime.fromtimestamp(tick * width_s, UTC).strftime("%Y-%m-%d %H:%M:%S")).cast(kind) \
+            if kind == "timestamp_ntz" else F.timestamp_seconds(F.lit(tick * width_s))
+    return df.where((F.col(ts) >= at(first)) & (F.col(ts) < at(last + 1)))
+
+
 def hash_u32(*parts) -> Column:
     """Reproducible uniform draw in [0, 2^32): first 8 hex digits of md5.
 

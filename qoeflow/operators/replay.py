@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from qoeflow.functions import exact_mean4, scaled_units
 from qoeflow.operators.ordinals import ordinal_within
+from qoeflow.operators.stats import active_ranks
+from qoeflow.session import write_once
 
 
 def with_buckets(sessions: DataFrame, second_s: int = 1, minute_s: int = 60,
@@ -58,6 +60,16 @@ def sessions_per_minute(b: DataFrame) -> DataFrame:
     return b.groupBy("minute").agg(F.count(F.lit(1)).alias("n_sessions"))
 
 
+def narrow(b: DataFrame, decision: str = "decision", *more: str) -> DataFrame:
+    """What costing a session needs: its buckets and order, and of the two maps
+    the entries of ``decision`` only (numbering rows writes them once)."""
+    d = F.array(F.col(decision))
+    one = lambda m: F.when(F.col(decision).isNotNull(), F.map_from_arrays(
+        d, F.array(F.element_at(m, F.col(decision))))).alias(m)
+    cols = [c for c in ("second", "minute", "ts_s", "line_no", "ok") if c in b.columns]
+    return b.select(*cols, decision, *more, one("decision_map"), one("load_map"))
+
+
 def load_share(b: DataFrame, decision: str = "decision", ok: str = "ok",
                order: list[str] | None = None) -> DataFrame:
     """At each successful request, that decision's count so far in
@@ -96,63 +108,72 @@ def cost_per_second(b: DataFrame, costed: DataFrame, extra: list[Column] | None
 
 
 # ------------------------------------------------------------ policy replay
-FOLD_OUT = "array<struct<t:bigint,e:bigint,a:bigint,s:double,c:double>>"
+FOLD_OUT = "array<struct<i:bigint,t:bigint,e:bigint,a:bigint,s:double,c:double>>"
 
 
-def _fold_expr(arr: str, gamma: float) -> F.Column:
-    """Fold the recurrence S_i = s_i + gamma^(E_i - E_(i-1)) * S_(i-1) over a
-    sorted array of (t, e, a, s, c), returning every intermediate state."""
+def _fold_expr(gamma: float, all_states: bool) -> Column:
+    """Fold S_i = s_i + gamma^(E_i - E_(i-1)) * S_(i-1) over the sorted array
+    ``h`` of (i, t, e, a, s, c), starting from the carry (_pe, _ps, _pc): every
+    state, or the last (e, s, c) only."""
     g = repr(float(gamma))
-    step = f"coalesce(pow({g}, x.e - acc.e), 0D)"
+    f = f"coalesce(pow({g}, x.e - acc.e), 0D)"
+    start = "'e', _pe, 's', coalesce(_ps, 0D), 'c', coalesce(_pc, 0D)"
+    if not all_states:
+        return F.expr(f"aggregate(h, named_struct({start}), (acc, x) -> named_struct('e', CAST(x.e AS BIGINT), "
+                      f"'s', x.s + {f} * acc.s, 'c', x.c + {f} * acc.c))")
     return F.expr(f"""
-      aggregate({arr}, named_struct('e', CAST(NULL AS BIGINT), 's', 0D, 'c', 0D,
-                                   'out', CAST(array() AS {FOLD_OUT})),
-        (acc, x) -> aggregate(array(named_struct('s', x.s + {step} * acc.s, 'c', x.c + {step} * acc.c)),
+      aggregate(h, named_struct({start}, 'out', CAST(array() AS {FOLD_OUT})),
+        (acc, x) -> aggregate(array(named_struct('s', x.s + {f} * acc.s, 'c', x.c + {f} * acc.c)),
           acc, (acc, v) -> named_struct(
             'e', CAST(x.e AS BIGINT), 's', v.s, 'c', v.c,
-            'out', concat(acc.out, array(named_struct('t', CAST(x.t AS BIGINT), 'e', CAST(x.e AS BIGINT),
-                                                      'a', CAST(x.a AS BIGINT), 's', v.s, 'c', v.c))))),
+            'out', concat(acc.out, array(named_struct('i', CAST(x.i AS BIGINT), 't', CAST(x.t AS BIGINT),
+                                                      'e', CAST(x.e AS BIGINT), 'a', CAST(x.a AS BIGINT),
+                                                      's', v.s, 'c', v.c))))),
         acc -> acc.out)""")
 
 
+def _prefix_states(rows: DataFrame, gamma: float, chunk: int, longest: int) -> DataFrame:
+    """State after every row of each (group, decision): rows (i = 1, 2, ...,
+    t, e, a, s, c) are cut into arrays of at most ``chunk``; the arrays' ends
+    are themselves folded this way, level by level, into the carry that each
+    array starts from."""
+    key = ["group_id", "decision", "_k"]
+    chunks = (rows.withColumn("_k", F.floor((F.col("i") - 1) / chunk).cast("bigint")).groupBy(*key)
+              .agg(F.array_sort(F.collect_list(F.struct("i", "t", "e", "a", "s", "c"))).alias("h")))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("_pe", "bigint"), ("_ps", "double"), ("_pc", "double"))]
+    if longest <= chunk:
+        chunks = chunks.select("*", *none)
+    else:
+        ends = chunks.select("*", *none).select(
+            "group_id", "decision", (F.col("_k") + 1).alias("i"), F.lit(0).cast("bigint").alias("t"),
+            F.lit(0).cast("bigint").alias("a"), _fold_expr(gamma, False).alias("x"))
+        ends = ends.select("group_id", "decision", "i", "t", "x.e", "a", "x.s", "x.c")
+        carry = _prefix_states(ends, gamma, chunk, -(-longest // chunk))
+        # the state after chunk k - 1 (i = k) starts chunk k
+        carry = carry.select("group_id", "decision", F.col("i").alias("_k"), F.col("e").alias("_pe"),
+                             F.col("s").alias("_ps"), F.col("c").alias("_pc"))
+        chunks = chunks.join(carry, key, "left")
+    return (chunks.select("group_id", "decision", F.explode(_fold_expr(gamma, True)).alias("x"))
+            .select("group_id", "decision", "x.*"))
+
+
 def state_history(stats: DataFrame, gamma: float, tick: str = "tick", chunk: int = 128) -> DataFrame:
     """A5 at every active tick of each (group, decision).
 
     Between consecutive active ticks b' < b of a decision the state is
     multiplied by gamma^(E(b) - E(b')), E = A + tick - G (see
     ``stats.discounted_state``), then the tick's own sums are added.  The
-    recurrence is folded exactly with ``aggregate``, in two levels so no
-    array grows with the history: each (group, decision)'s ticks are cut
-    into chunks of ``chunk`` ticks and folded from zero; the chunk end
-    states are folded into carries; a row's state is its chunk partial plus
-    gamma^(E - E_prev_end) times the carry of the chunk before.
+    recurrence is folded exactly with ``aggregate``, in as many levels as the
+    longest history needs (see ``_prefix_states``), so no array has more than
+    ``chunk`` entries.  ``stats`` is read several times: pass a written table.
     """
-    wg = Window.partitionBy("group_id").orderBy(tick)
-    wgd = Window.partitionBy("group_id", "decision").orderBy(tick)
-    s = (stats.withColumn("_G", F.dense_rank().over(wg))
-              .withColumn("_A", F.row_number().over(wgd))
-              .withColumn("_E", F.col("_A") + F.col(tick) - F.col("_G"))
-              .withColumn("_k", F.floor((F.col("_A") - 1) / chunk).cast("bigint")))
-    rows = F.struct(F.col(tick).alias("t"), F.col("_E").alias("e"), F.col("_A").alias("a"),
-                    F.col("score_sum").cast("double").alias("s"), F.col("n").cast("double").alias("c"))
-    part = (s.groupBy("group_id", "decision", "_k").agg(F.array_sort(F.collect_list(rows)).alias("h"))
-             .select("group_id", "decision", "_k", F.explode(_fold_expr("h", gamma)).alias("x")))
-    # chunk ends -> carries: state at the end of every chunk
-    ends = part.groupBy("group_id", "decision", "_k").agg(F.max_by("x", "x.t").alias("x"))
-    carry = (ends.groupBy("group_id", "decision")
-             .agg(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("x.t").alias("t"),
-                                                       F.col("x.e").alias("e"), F.col("x.a").alias("a"),
-                                                       F.col("x.s").alias("s"), F.col("x.c").alias("c"))))
-                  .alias("h")))
-    carry = carry.select("group_id", "decision", F.posexplode(_fold_expr("h", gamma)).alias("_k", "y"))
-    carry = carry.select("group_id", "decision", (F.col("_k") + 1).cast("bigint").alias("_k"),
-                         F.col("y.e").alias("_pe"), F.col("y.s").alias("_ps"), F.col("y.c").alias("_pc"))
-    j = part.join(carry, ["group_id", "decision", "_k"], "left")
-    f = F.coalesce(F.pow(F.lit(gamma), F.col("x.e") - F.col("_pe")), F.lit(0.0))
-    return j.select("group_id", "decision", F.col("x.t").alias(tick), F.col("x.e").alias("e"),
-                    F.col("x.a").alias("a"),
-                    (F.col("x.s") + f * F.coalesce("_ps", F.lit(0.0))).alias("score_sum"),
-                    (F.col("x.c") + f * F.coalesce("_pc", F.lit(0.0))).alias("n"))
+    longest = (stats.groupBy("group_id", "decision").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]) or 0
+    rows = active_ranks(stats, tick).select(
+        "group_id", "decision", F.col("_A").cast("bigint").alias("i"), F.col(tick).cast("bigint").alias("t"),
+        (F.col("_A") + F.col(tick) - F.col("_G")).cast("bigint").alias("e"), F.col("_A").cast("bigint").alias("a"),
+        F.col("score_sum").cast("double").alias("s"), F.col("n").cast("double").alias("c"))
+    return _prefix_states(rows, gamma, max(chunk, 2), longest).select(
+        "group_id", "decision", F.col("t").alias(tick), "e", "a", F.col("s").alias("score_sum"), F.col("c").alias("n"))
 
 
 def state_asof(history: DataFrame, stats: DataFrame, asks: DataFrame, gamma: float,
@@ -191,6 +212,7 @@ def replay_policy(sessions: DataFrame, stats: DataFrame, policy, seed: str,
     availability check against the session's decision map and the
     fallback draw.  Returns the sessions with ``assigned`` and ``source``."""
     from qoeflow.functions import hash_u32, pick
+    stats = write_once(stats, "tick-stats")       # small against the updates, read several times
     asks = sessions.select("group_id", (F.col(tick) - 1).alias("at")).distinct()
     dec = policy.decide(policy.state_at(stats, asks, tick), keys=["group_id", "at"])
     dec = dec.select("group_id", "at", F.struct(*[c for c in dec.columns if c not in ("group_id", "at")]).alias("_dec"))

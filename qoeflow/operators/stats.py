@@ -51,16 +51,24 @@ def last_tick(stats: DataFrame, tick: str = "tick") -> Column:
     return stats.select(F.max(tick)).scalar()
 
 
+#: Ticks whose ranks one window call sees: a longer history is many blocks.
+BLOCK_TICKS = 4096
+
+
 def discounted_state(stats: DataFrame, gamma: float, at_tick=None,
-                     tick: str = "tick", keys: list[str] | None = None) -> DataFrame:
+                     tick: str = "tick", keys: list[str] | None = None,
+                     block: int = BLOCK_TICKS) -> DataFrame:
     """Gamma-discounted (score_sum, n) per (group, decision) at tick T.
 
     Per tick the reference applies: decision active -> new + gamma*old;
     group active but decision not -> old; group idle -> gamma*old.  A tick-b
     contribution is therefore worth gamma^x at T with
     x = (A(T)-A(b)) + (T-b) - (G(T)-G(b)), A = active ticks of the
-    decision, G = active ticks of the group.  One window pass over tick
-    rows and one aggregate; no iteration and no dense tick grid.
+    decision, G = active ticks of the group.  No iteration and no dense tick
+    grid.  x is a sum over blocks of ticks: within a block the ranks come from
+    a window over (group, block) and the rows are summed to the block's end;
+    what later blocks add is the same for a (group, decision, block), so the
+    window over a group's whole history sees one row for each of these.
     ``at_tick`` defaults to the latest tick of the input (every group is
     reported, idle ones decayed to T).  It may also be a column of the rows
     (with ``keys`` naming the extra key, e.g. several snapshot ticks at
@@ -69,19 +77,46 @@ def discounted_state(stats: DataFrame, gamma: float, at_tick=None,
     keys = keys or [G]
     T = last_tick(stats, tick) if at_tick is None else (
         at_tick if isinstance(at_tick, Column) else F.lit(at_tick))
-    s = stats.where(F.col(tick) <= T).withColumn("_T", T)
-    wg = Window.partitionBy(*keys).orderBy(tick)
-    wgd = Window.partitionBy(*keys, D).orderBy(tick)
-    s = (s.withColumn("_G", F.dense_rank().over(wg))
-          .withColumn("_GT", F.max("_G").over(Window.partitionBy(*keys)))
-          .withColumn("_A", F.row_number().over(wgd))
-          .withColumn("_AT", F.count(F.lit(1)).over(Window.partitionBy(*keys, D))))
-    x = (F.col("_AT") - F.col("_A")) + (F.col("_T") - F.col(tick)) - (F.col("_GT") - F.col("_G"))
+    s = stats.where(F.col(tick) <= T).withColumn("_T", T).withColumn("_b", F.floor(F.col(tick) / block))
+    end = F.least((F.col("_b") + 1) * block - 1, F.col("_T"))
+    kb = [*keys, "_b"]
+    s = (s.withColumn("_G", F.dense_rank().over(Window.partitionBy(*kb).orderBy(tick)))
+          .withColumn("_GB", F.max("_G").over(Window.partitionBy(*kb)))
+          .withColumn("_A", F.row_number().over(Window.partitionBy(*kb, D).orderBy(tick)))
+          .withColumn("_AB", F.count(F.lit(1)).over(Window.partitionBy(*kb, D))))
+    x = (F.col("_AB") - F.col("_A")) + (end - F.col(tick)) - (F.col("_GB") - F.col("_G"))
     w = F.pow(F.lit(gamma), x)
-    return (s.groupBy(*keys, D)
-            .agg(F.sum(F.col("score_sum") * w).alias("score_sum"),
-                 F.sum(F.col("n") * w).alias("n"),
-                 F.max(tick).alias("last_tick")))
+    part = (s.groupBy(*kb, D, "_T", "_GB", "_AB")
+            .agg(F.sum(F.col("score_sum") * w).alias("_s"), F.sum(F.col("n") * w).alias("_n"),
+                 F.max(tick).alias("_last")))
+    # one row of each (group, block) carries its active ticks
+    one = F.row_number().over(Window.partitionBy(*kb).orderBy(D)) == 1
+    part = part.withColumn("_g", F.when(one, F.col("_GB")).otherwise(0))
+    later = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    later_d = Window.partitionBy(*keys, D).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    part = (part.withColumn("_lg", F.coalesce(F.sum("_g").over(later), F.lit(0)))
+            .withColumn("_la", F.coalesce(F.sum("_AB").over(later_d), F.lit(0))))
+    f = F.pow(F.lit(gamma), F.col("_la") + (F.col("_T") - end) - F.col("_lg"))
+    return (part.groupBy(*keys, D)
+            .agg(F.sum(F.col("_s") * f).alias("score_sum"), F.sum(F.col("_n") * f).alias("n"),
+                 F.max("_last").alias("last_tick")))
+
+
+def active_ranks(stats: DataFrame, tick: str = "tick", block: int = BLOCK_TICKS) -> DataFrame:
+    """Adds ``_G`` and ``_A``: how many active ticks the group, and the
+    decision in it, has had up to each row.  Ranks within blocks of ticks plus
+    the counts of earlier blocks, which are a small table."""
+    s = stats.withColumn("_b", F.floor(F.col(tick) / block))
+    before = lambda part: Window.partitionBy(*part).orderBy("_b")
+    d = s.groupBy(G, D, "_b").agg(F.count(F.lit(1)).alias("_ac"))
+    d = d.select(G, D, "_b", (F.sum("_ac").over(before([G, D])) - F.col("_ac")).alias("_a0"))
+    g = s.groupBy(G, "_b", tick).agg(F.lit(1).alias("_1")).groupBy(G, "_b").agg(F.count(F.lit(1)).alias("_gc"))
+    g = g.select(G, "_b", (F.sum("_gc").over(before([G])) - F.col("_gc")).alias("_g0"))
+    return (s.withColumn("_gl", F.dense_rank().over(Window.partitionBy(G, "_b").orderBy(tick)))
+            .withColumn("_al", F.row_number().over(Window.partitionBy(G, "_b", D).orderBy(tick)))
+            .join(d, [G, D, "_b"]).join(g, [G, "_b"])
+            .withColumn("_G", F.col("_g0") + F.col("_gl")).withColumn("_A", F.col("_a0") + F.col("_al"))
+            .drop("_b", "_gl", "_al", "_g0", "_a0"))
 
 
 def merge_state(new: DataFrame, old: DataFrame, gamma: float) -> DataFrame:
@@ -124,3 +159,11 @@ def window_state(stats: DataFrame, length_ticks: int, at_tick=None,
     return (stats.where((F.col(tick) <= T) & (F.col(tick) > T - F.lit(length_ticks)))
             .groupBy(G, D).agg(F.sum("score_sum").alias("score_sum"),
                                F.sum("n").alias("n")))
+
+
+def window_sums(updates: DataFrame, length_ticks: int, at_tick: int, tick: str = "tick") -> DataFrame:
+    """``window_state`` straight from updates, one aggregation, for a tick that
+    is known: filter ``updates`` on its time column first (``functions.
+    in_ticks``) so that only the window is read."""
+    return (updates.where((F.col(tick) <= at_tick) & (F.col(tick) > at_tick - length_ticks))
+            .groupBy(G, D).agg(F.sum(-F.col("cost")).alias("score_sum"), F.count(F.lit(1)).alias("n")))

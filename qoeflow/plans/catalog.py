@@ -30,13 +30,13 @@ from qoeflow.operators.records import (
     parse_epsilon, parse_messages, parse_updates, project_labels, read_label_config, route, split_request,
 )
 from qoeflow.operators.replay import (
-    adjusted_cost, cost_per_second, load_share, replay_policy, requests_per_second,
+    adjusted_cost, cost_per_second, load_share, narrow, replay_policy, requests_per_second,
     sessions_per_minute, with_buckets,
 )
 from qoeflow.operators.rules import flatten_rules, match_groups
 from qoeflow.plans import params as P
 from qoeflow.plans import views as V
-from qoeflow.session import scratch_path
+from qoeflow.session import scratch_path, write_once
 from qoeflow.sources.feed import group_assignment, latest_rules
 from qoeflow.sources.lines import read_lines
 from qoeflow.sources.result_log import parse_result_log, read_result_log
@@ -83,6 +83,16 @@ def _last_tick(spark, sf_dir):
     return F.lit(mx.select(tick_of("m", P.TICK_S)).first()[0]).cast("bigint")
 
 
+def _window_sums(spark, sf_dir, by=None):
+    """Sums of the epsilon-greedy window ending at the last tick: only these
+    ticks are read."""
+    from qoeflow.functions import in_ticks, tick_of
+    ev = V.table(spark, sf_dir, "events")
+    top = ev.agg(F.max("ts").alias("m")).select(tick_of("m", P.TICK_S)).first()[0]
+    u = V.updates_of(in_ticks(ev, "ts", P.TICK_S, top - P.EG_WINDOW_TICKS + 1, top))
+    return S.window_sums(u if by is None else u.withColumn("group_id", by), P.EG_WINDOW_TICKS, top)
+
+
 def _trace_start(spark, sf_dir):
     """First second of the trace, once, as a literal (same reasoning)."""
     mn = V.table(spark, sf_dir, "events").agg(F.min("ts").alias("m"))
@@ -151,8 +161,7 @@ def q_ucb_index(spark, sf_dir):
 
 
 def eg_decisions(spark, sf_dir):
-    pol = egreedy()
-    return pol.decide(pol.state(_stats(spark, sf_dir), at_tick=_last_tick(spark, sf_dir)))
+    return egreedy().decide(_window_sums(spark, sf_dir))
 
 
 @query("best_decision")
@@ -385,10 +394,8 @@ def q_weight_lines(spark, sf_dir):
 @query("assign_epsilon_null")
 def q_assign_epsilon_null(spark, sf_dir):
     """P4, epsilon-greedy variant: a request no rule matches belongs to the
-    group "null", which has decisions of its own (from all updates)."""
-    pooled = S.tick_stats(V.updates(spark, sf_dir).withColumn("group_id", F.lit("null")))
-    pol = egreedy()
-    eg = pol.decide(pol.state(pooled, at_tick=_last_tick(spark, sf_dir)))
+    group "null", which has decisions of its own (from all updates) beside the groups'."""
+    eg = egreedy().decide(_window_sums(spark, sf_dir, F.explode(F.array(F.col("group_id"), F.lit("null")))))
     r = match_groups(_requests(spark, sf_dir), _leaves(spark, sf_dir), F.lit("null"))
     return assign_epsilon(r, eg, P.SEED).select("req_id", "group_id", "decision", "source")
 
@@ -423,7 +430,9 @@ def q_trace_parse(spark, sf_dir):
 
 @query("trace_sort")
 def q_trace_sort(spark, sf_dir):
-    return sort_traces(_trace_lines(spark, sf_dir)).select("line_no", "sort_pos")
+    # only the sort field and the line number are numbered (and written)
+    head = _trace_lines(spark, sf_dir).select("line_no", F.substring_index("value", "\t", 1).alias("value"))
+    return sort_traces(head).select("line_no", "sort_pos")
 
 
 def _buckets(spark, sf_dir):
@@ -442,12 +451,12 @@ def q_sessions_per_minute(spark, sf_dir):
 
 
 def _costed(b):
-    return adjusted_cost(load_share(b))
+    return adjusted_cost(load_share(narrow(b)))
 
 
 @query("load_share")
 def q_load_share(spark, sf_dir):
-    ls = load_share(_buckets(spark, sf_dir))
+    ls = load_share(_buckets(spark, sf_dir).select("minute", "ts_s", "line_no", "ok", "decision"))
     return ls.select("line_no", "minute", "decision", round4("load").alias("load"))
 
 
@@ -616,14 +625,7 @@ def _replayed_cost(spark, b, stats, policy):
     # served sessions feed two branches (all sessions, successful ones):
     # written once, without the maps but for the assigned decision's entries
     served = replay_policy(b, stats, policy, P.SEED)
-    served = served.select("second", "minute", "ts_s", "line_no", "ok", "assigned", "source",
-                           F.map_from_arrays(F.array("assigned"), F.array(F.element_at("decision_map", F.col("assigned"))))
-                           .alias("decision_map"),
-                           F.map_from_arrays(F.array("assigned"), F.array(F.element_at("load_map", F.col("assigned"))))
-                           .alias("load_map"))
-    path = scratch_path(spark, "served")
-    served.write.parquet(path)
-    served = spark.read.schema(served.schema).parquet(path)
+    served = write_once(narrow(served, "assigned", "source"), "served")
     costed = adjusted_cost(load_share(served, decision="assigned"), decision="assigned")
     c = cost_per_second(served, costed, [F.count_if(F.col("source") == "policy").alias("n_policy")])
     return c.select("second", "sent", "succeeded", F.coalesce("n_policy", F.lit(0)).cast("bigint").alias("n_policy"),

@@ -19,7 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def updates(spark, sf_dir) -> DataFrame:
     """V.updates: one measurement per event; group = user."""
-    ev = table(spark, sf_dir, "events")
+    return updates_of(table(spark, sf_dir, "events"))
+
+
+def updates_of(ev: DataFrame) -> DataFrame:
     return ev.select(
         "event_id", "ts",
         F.col("user_id").cast("string").alias("group_id"),

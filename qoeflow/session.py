@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -80,3 +80,11 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table below the shared folder: read several times without
+    being computed again, and safe against lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

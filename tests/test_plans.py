@@ -35,8 +35,9 @@ def test_no_cartesian_nested_loop_or_row_udf(spark, name):
 def test_flagship_plan_shape(spark):
     plan = _plan(spark, "ucb_slots")
     c, scans = summarise(plan)
-    # partial aggregate -> (group, decision, tick) shuffle -> group shuffle; nothing else
-    assert c["hash shuffle"] == 2 and c["single-partition"] == 0 and c["range shuffle"] == 0
+    # partial aggregate -> (group, decision, tick) shuffle -> (group, block of ticks) shuffle
+    # -> group shuffle of a row per (group, decision, block); nothing else
+    assert c["hash shuffle"] == 3 and c["single-partition"] == 0 and c["range shuffle"] == 0
     assert "partial_sum" in plan
     # the scan reads only the four columns it needs
     assert all("props" not in s and "event_id" not in s for s in scans)
