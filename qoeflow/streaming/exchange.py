@@ -42,13 +42,15 @@ def fanout_sink(subs_table: str, me: str, out: str):
     return sink
 
 
-def group_table_sink(table: str, me: str):
+def group_table_sink(table: str, me: str, rejects: str):
     """Merge a batch of feed messages into the assignment table,
-    newest cluster per group, as version ``v=<batch_id>``."""
-    from qoeflow.sources.feed import assignments
+    newest cluster per group, as version ``v=<batch_id>``; messages that are
+    no feed message go to ``rejects`` as they came."""
+    from qoeflow.sources.feed import assignments, feed_rejects
 
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
+        feed_rejects(df).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
         new = assignments(df).select("group_id", "cluster_id",
                                      F.struct(F.lit(batch_id).cast("bigint").alias("b"),
                                               F.col("seq"), F.col("pos")).alias("o"))
@@ -123,12 +125,21 @@ def _replay(df: DataFrame, base: str, order: str, n_files: int, sink, name: str
 
 
 def subscribe(subs: DataFrame, base: str, n_files: int) -> str:
-    """Stream subscription messages (seq, value) into the table of pairs;
-    returns its folder."""
-    spark = subs.sparkSession
-    run_slices(subs, f"{base}/subs", "seq", n_files, lambda: finish(subscriptions_stream(
-        spark.readStream.text(f"{base}/subs/in/*"), f"{base}/subs/table", f"{base}/subs/ckpt")), "text", ["value"])
-    return f"{base}/subs/table"
+    """Stream subscription messages (seq, value) into the table of pairs, those
+    that name no cluster into ``rejects`` beside it; returns the table's folder."""
+    from qoeflow.operators.exchange import subscription_rejects
+    spark, at = subs.sparkSession, f"{base}/subs"
+
+    def run():
+        lines = spark.readStream.text(f"{at}/in/*")
+        pairs = subscriptions_stream(lines, f"{at}/table", f"{at}/ckpt")
+        rest = (subscription_rejects(lines).writeStream.format("parquet").option("path", f"{at}/rejects")
+                .option("checkpointLocation", f"{at}/ckpt-rejects").trigger(availableNow=True).start())
+        finish(pairs)
+        finish(rest)
+
+    run_slices(subs, at, "seq", n_files, run, "text", ["value"])
+    return f"{at}/table"
 
 
 def exchange_job(spark: SparkSession, subs: DataFrame, decisions: DataFrame, me: str,
@@ -185,7 +196,7 @@ def forward_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, clu
 
 def group_table_job(spark: SparkSession, feed: DataFrame, me: str, n_files: int = 3) -> DataFrame:
     base = scratch_path(spark, "group-table")
-    _replay(feed, base, "seq", n_files, group_table_sink(f"{base}/table", me))
+    _replay(feed, base, "seq", n_files, group_table_sink(f"{base}/table", me, f"{base}/rejects"))
     return latest_version(spark, f"{base}/table")
 
 

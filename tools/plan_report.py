@@ -43,7 +43,7 @@ def summarise(plan: str) -> tuple[Counter, list[str]]:
 
 
 def main() -> None:
-    from __spark_entry__ import queries
+    from qoeflow.plans.catalog import REGISTRY
     from qoeflow.session import build_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]")
@@ -52,7 +52,7 @@ def main() -> None:
           "before runtime re-planning).  Counts include scalar subqueries.\n")
     print("| query | shuffles (hash/range/single) | joins | windows | python | scans |")
     print("| --- | --- | --- | --- | --- | --- |")
-    for name, f in queries().items():
+    for name, f in REGISTRY.items():
         df = f(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         c, scans = summarise(plan)

@@ -5,7 +5,7 @@ usage: python tools/skew_experiment.py <scratch_dir> [copies] [query ...]
 Builds ``<scratch_dir>/skew/events.parquet`` from the sf0.1 ``events``
 table (``copies`` shifted copies, default 30; a third of the rows moved to
 user 0), runs the given registered queries (default: discounted_state,
-load_share, policy_replay) on local[8] with the event log in
+load_share, policy_replay, stream_state, sliding_stream) on local[8] with the event log in
 ``<scratch_dir>/eventlog-*``, and prints, per heavy stage, the largest
 task's share of the stage's records and its time against the median.
 Scratch data only -- nothing here is a registered query.
@@ -64,7 +64,7 @@ def stage_report(elog: str) -> None:
 def main() -> None:
     scratch = sys.argv[1]
     copies = int(sys.argv[2]) if len(sys.argv) > 2 else 30
-    names = sys.argv[3:] or ["discounted_state", "load_share", "policy_replay"]
+    names = sys.argv[3:] or ["discounted_state", "load_share", "policy_replay", "stream_state", "sliding_stream"]
     from qoeflow.plans.catalog import REGISTRY
     from qoeflow.session import build_session
     elog = os.path.join(scratch, f"eventlog-{int(time.time())}")
