@@ -59,7 +59,7 @@ _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 2
 def text_features(texts: list[bytes]):
     """Rows (document numbers), columns and values of the text view."""
     rows, cols, vals = [], [], []
-    for first, end in blocks([len(t) + 1 for t in texts], BLOCK):
+    for first, end in blocks([len(t) + 1 for t in texts], BLOCK // 2):
         data = b"\n".join(texts[first:end])
         edge = np.cumsum([0] + [len(t) + 1 for t in texts[first:end]])
         start, stop = spans(data)
@@ -275,7 +275,7 @@ def _judge(heads: dict[str, Head], batch: pa.RecordBatch):
     """Columns text_quality, meta_quality, quality, toxic, keep of a batch."""
     out = []
     sizes = [len(t) if (t := x.as_py()) else 0 for x in batch.column("text")]
-    for first, end in blocks(sizes, 4 << 20):
+    for first, end in blocks(sizes, BLOCK):
         text, meta = _features(batch.slice(first, end - first))
         by_text, by_meta, quality = heads["quality"].score(text, meta)
         toxic = heads["toxic"].score(text, meta)[2]
@@ -301,11 +301,11 @@ def keep(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     names = docs.columns
 
+    text = names.index("text")
+
     def run(batches):
         for b in batches:
-            view = pa.record_batch([b.column(len(names)), b.column(len(names) + 1)], ["text", "meta"])
+            view = pa.record_batch([b.column(text).cast(pa.binary()), b.column(len(names))], ["text", "meta"])
             rows = pa.record_batch([b.column(i) for i in range(len(names))], names)
             yield rows.filter(pa.array(_judge(heads, view)[4]))
-    # positions, as other columns may be called like these two
-    wide = docs.select("*", F.col("text").cast("binary").alias("__text"), meta_column().alias("__meta"))
-    return wide.mapInArrow(run, docs.schema)
+    return docs.select("*", meta_column().alias("__meta")).mapInArrow(run, docs.schema)
