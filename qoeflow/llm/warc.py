@@ -32,30 +32,31 @@ CRLF = "\r\n"
 #: Bytes taken from a file at once when reading back.
 CHUNK = 1 << 20
 
-#: Replacements that turn HTML into text, in this order; they mean the same to
-#: Java's and RE2's regular expressions.
-TEXT_STEPS = (
-    ("(?s)<!--.*?-->", ""),
-    ("(?is)<script[^>]*>.*?</script[^>]*>", ""),
-    ("(?is)<style[^>]*>.*?</style[^>]*>", ""),
-    ("(?is)<noscript[^>]*>.*?</noscript[^>]*>", ""),
+#: What turns HTML into text, in this order: patterns that mean the same to
+#: Java's and RE2's regular expressions, and literal entities.
+TAG_STEPS = (
+    ("(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|"
+     "<noscript[^>]*>.*?</noscript[^>]*>", ""),
     ("(?i)</?(p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|title|head|"
      "body|html|blockquote|pre|td|th|form|figure)([\\x20\\x09-\\x0D/][^>]*)?>", "\n"),
     ("<[A-Za-z/!?][^>]*>", ""),
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;|&apos;", "'"), ("&amp;", "&"),
-    ("[\\x20\\x09\\x0B-\\x0D]+", " "),
-    (" ?\n[\\x20\n]*", "\n"),
-    ("^[\\x20\n]+|[\\x20\n]+$", ""),
 )
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;", "'"), ("&apos;", "'"),
+            ("&amp;", "&"))
+SPACE_STEPS = (("[\\x20\\x09\\x0B-\\x0D]+", " "), (" ?\n[\\x20\n]*", "\n"))
 TITLE = "(?is)<title[^>]*>(.*?)</title"
 LANG = "(?i)<html[^>]*[\\x20\\x09-\\x0D]lang=\"([^\"]*)\""
 LINK = "(?i)<a[\\x20\\x09-\\x0D][^>]*href=\"([^\"]*)\""
 
 
 def html_text(html: Column) -> Column:
-    for pattern, to in TEXT_STEPS:
+    for pattern, to in TAG_STEPS:
         html = F.regexp_replace(html, pattern, to)
-    return html
+    for name, to in ENTITIES:
+        html = F.replace(html, F.lit(name), F.lit(to))
+    for pattern, to in SPACE_STEPS:
+        html = F.regexp_replace(html, pattern, to)
+    return F.btrim(html, F.lit(" \n"))
 
 
 def urn(*parts: Column) -> Column:
