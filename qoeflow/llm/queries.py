@@ -8,9 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qoeflow.llm import hnsw, quality, secret_scan, warc
+from qoeflow.llm import decontaminate, hnsw, quality, secret_scan, warc
 from qoeflow.llm.common import scratch, table
-from qoeflow.llm.decontaminate import leaks
 from qoeflow.llm.language_id import language_id
 from qoeflow.llm.packing import pack
 from qoeflow.llm.simhash import simhash_components
@@ -98,9 +97,67 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
-@_query()
+def _sql_quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_OUTER = _sql_quoted(decontaminate._OUTER)
+_UNITS = ", ".join(_sql_quoted(u) for u in decontaminate.UNITS)
+_HOLDERS = "('<num>', '<qty>', '<unit>', '<name>')"
+
+
+def _sql_templates(name: str, source: str, key: str, out: str) -> str:
+    """Rows of ``source`` with words w, bodies b and template words t."""
+    num, qty = _sql_quoted(decontaminate._NUMBER), _sql_quoted(decontaminate._QUANTITY)
+    plain = (f"CASE WHEN lower(b[i]) IN ({_UNITS}) AND i > 1 AND regexp_matches(b[i - 1], {num}) "
+             f"THEN '<unit>' ELSE lower(b[i]) END")
+    first = "substr(b[i], 1, 1)"
+    return f"""{name}0 AS (SELECT DISTINCT {key} AS id, text FROM {source}),
+{name}1 AS (SELECT row_number() OVER () AS {out}, id, list_filter(regexp_split_to_array(coalesce(text, ''),
+              '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {name}0),
+{name}2 AS (SELECT *, list_transform(w, lambda x: trim(x, {_OUTER})) AS b FROM {name}1),
+{name} AS (SELECT *, list_transform(range(1, len(w) + 1), lambda i:
+    CASE WHEN b[i] >= 'a' AND b[i] < '{{' THEN {plain}
+         WHEN b[i] = '' THEN w[i]
+         WHEN regexp_matches(b[i], {num}) THEN '<num>'
+         WHEN regexp_matches(b[i], {qty}) THEN '<qty>'
+         WHEN upper({first}) = {first} AND lower({first}) <> {first} AND i > 1
+              AND NOT regexp_matches(w[i - 1], '[.!?]["''”’)]*$') THEN '<name>'
+         ELSE {plain} END) AS t FROM {name}2)"""
+
+
+_N = decontaminate.N
+
+
+@_query(f"""
+WITH {_sql_templates("d", "documents", "doc_id", "rk")},
+{_sql_templates("q", "benchmark", "item_id", "ik")},
+dw AS (SELECT rk, pos, array_to_string(t[pos + 1:pos + {_N}], chr(1)) AS win
+       FROM (SELECT rk, t, unnest(range(0, len(t) - {_N - 1})) AS pos FROM d)),
+qw AS (SELECT ik, pos AS at_pos, array_to_string(t[pos + 1:pos + {_N}], chr(1)) AS win
+       FROM (SELECT ik, t, unnest(range(0, len(t) - {_N - 1})) AS pos FROM q)
+       WHERE len(list_filter(t[pos + 1:pos + {_N}], lambda x: x NOT IN {_HOLDERS})) >= {decontaminate.LITERALS}),
+met AS (SELECT rk, ik, pos - at_pos AS shift,
+               list_distinct(flatten(list(range(at_pos, at_pos + {_N})))) AS p
+        FROM dw JOIN qw USING (win) GROUP BY ALL),
+pair AS (SELECT rk, ik, d.id AS doc_id, q.id AS item_id, len(q.w) AS item_words, len(p) AS covered,
+                list_transform(p, lambda x: {{'it': q.t[x + 1], 'dt': d.t[x + shift + 1],
+                                              'iv': q.b[x + 1], 'dv': d.b[x + shift + 1]}}) AS slots
+         FROM met JOIN d USING (rk) JOIN q USING (ik)),
+held AS (SELECT *, list_filter(slots, lambda s: s.it IN {_HOLDERS}) AS h FROM pair
+         WHERE len(list_filter(slots, lambda s: s.it <> s.dt)) = 0),
+judged AS (SELECT rk, ik, doc_id, item_id, item_words, covered,
+                  len(list_filter(h, lambda s: s.iv <> s.dv)) = 0 AS exact
+           FROM held
+           WHERE len(list_distinct(list_transform(h, lambda s: {{'a': s.iv, 'b': s.dv}})))
+                 = len(list_distinct(list_transform(h, lambda s: s.iv)))
+             AND (covered >= {decontaminate.COVERAGE} * item_words OR covered >= {decontaminate.LONG_RUN})),
+best AS (SELECT rk, ik, doc_id, item_id, item_words, max({{'c': covered, 'e': exact}}) AS x
+         FROM judged GROUP BY ALL)
+SELECT doc_id, item_id, item_words::INTEGER AS item_words, x.c::INTEGER AS covered, x.c / item_words AS coverage,
+       CASE WHEN x.e THEN 'exact' ELSE 'reparameterised' END AS kind FROM best""")
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 @_query()
@@ -130,11 +187,20 @@ def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_text(html: str) -> str:
-    for pattern, to in warc.TEXT_STEPS:
-        lit = "chr(10)" if to == "\n" else "'" + to.replace("'", "''") + "'"
+    def lit(x: str) -> str:
+        return "chr(10)" if x == "\n" else "'" + x.replace("'", "''") + "'"
+
+    def sub(pattern: str, to: str) -> str:
         p = pattern.replace("'", "''").replace("\n", "\\n")
-        html = f"regexp_replace({html}, '{p}', {lit}, 'g')"
-    return html
+        return f"regexp_replace({html}, '{p}', {lit(to)}, 'g')"
+
+    for pattern, to in warc.TAG_STEPS:
+        html = sub(pattern, to)
+    for name, to in warc.ENTITIES:
+        html = f"replace({html}, {lit(name)}, {lit(to)})"
+    for pattern, to in warc.SPACE_STEPS:
+        html = sub(pattern, to)
+    return f"trim({html}, ' ' || chr(10))"
 
 
 def _sql_urn(*parts: str) -> str:
