@@ -84,6 +84,7 @@ RING_STATE = "ticks array<bigint>, decisions array<string>, sums array<double>,
 def _ring(length: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         ring: dict[tuple[int, str], list] = {}
+        touched: set[tuple[int, str]] = set()
         if state.exists:
             for t, d, s, n in zip(*state.get):
                 ring[(t, d)] = [s, n]
@@ -92,6 +93,7 @@ def _ring(length: int):
                 a = ring.setdefault((t, d), [0.0, 0])
                 a[0] += s
                 a[1] += int(c)
+                touched.add((t, d))
         if ring:
             top = max(t for t, _ in ring)
             ring = {k: v for k, v in ring.items() if k[0] > top - length}
@@ -101,8 +103,11 @@ def _ring(length: int):
         sums = [float(ring[k][0]) for k in keys]
         ns = [int(ring[k][1]) for k in keys]
         state.update((ticks, decs, sums, ns))
-        yield pd.DataFrame({"group_id": [key[0]] * len(keys), "tick": ticks, "decision": decs,
-                            "score_sum": sums, "n": ns})
+        new = [i for i, k in enumerate(keys) if k in touched]
+        if new:
+            yield pd.DataFrame({"group_id": [key[0]] * len(new), "tick": [ticks[i] for i in new],
+                                "decision": [decs[i] for i in new], "score_sum": [sums[i] for i in new],
+                                "n": [ns[i] for i in new]})
     return fn
 
 
@@ -110,7 +115,7 @@ def window_ring_stream(updates: DataFrame, length_ticks: int) -> DataFrame:
     """Per group, a ring of the last ``length`` ticks' sums per
     decision kept in the state store (bounded by length x decisions),
     instead of a sliding window that copies each row into length/slide
-    windows.  Emits the group's ring after each batch."""
+    windows.  Emits the entries that a batch changed."""
     return (combine(updates).groupBy("group_id")
             .applyInPandasWithState(_ring(length_ticks), RING_OUT, RING_STATE, "update",
                                     GroupStateTimeout.NoTimeout))
@@ -225,7 +230,8 @@ def latest_decision_job(spark: SparkSession, decisions: DataFrame, n_files: int
 
 def window_ring_job(spark: SparkSession, updates: DataFrame, length_ticks: int,
                     n_files: int = 4) -> DataFrame:
-    """Runs T3 over an ordered file stream; returns the latest ring rows."""
+    """Runs T3 over an ordered file stream; returns the newest form of every
+    (group, tick, decision) entry emitted (filter on the window's ticks)."""
     from qoeflow.streaming.jobs import batch_sink
     base = scratch_path(spark, "ring")
     src = updates.select("group_id", "decision", "cost", "tick")
@@ -237,8 +243,9 @@ def window_ring_job(spark: SparkSession, updates: DataFrame, length_ticks: int,
 
     run_slices(src, base, "tick", n_files, run)
     out = spark.read.parquet(f"{base}/out")
-    last = out.groupBy("group_id").agg(F.max("batch_id").alias("batch_id"))
-    return out.join(last, ["group_id", "batch_id"]).drop("batch_id")
+    newest = F.max_by(F.struct("score_sum", "n"), "batch_id")
+    return (out.groupBy("group_id", "tick", "decision").agg(newest.alias("x"))
+            .select("group_id", "tick", "decision", "x.score_sum", "x.n"))
 
 
 def serve_sink(decisions_table: str, leaves: DataFrame, default_feature: int, n_features: int,
