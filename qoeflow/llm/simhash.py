@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qoeflow.llm.common import materialise, seeded, signed, unsigned
+from qoeflow.llm.common import materialise, seeded, signed
 from qoeflow.llm.graph import connected_components
 
 PIVOTS = seeded(16, 61)

@@ -5,7 +5,6 @@ import random
 
 import llm_cases as C
 import numpy as np
-import pytest
 
 from qoeflow.llm import hnsw, language_id, quality
 
