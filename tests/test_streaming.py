@@ -1,6 +1,5 @@
 """Streaming operators against their batch twins and edge cases."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
