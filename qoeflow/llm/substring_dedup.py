@@ -164,7 +164,20 @@ _NO_ROWS = np.zeros(0, np.int64), np.zeros(0, bool), []
 def _columns(t: pa.Table):
     ids = t.column("doc_id").to_pylist()
     known = np.array([i is not None for i in ids], bool)
-    return np.array([_NO_ID if i is None else i for i in ids], np.int64), known, t.column("text").to_pylist()
+    codec = pa.Codec("zstd")
+    texts = [codec.decompress(z.as_py(), n, asbytes=True) if n else b""
+             for z, n in zip(t.column("text"), t.column("size").to_pylist())]
+    return np.array([_NO_ID if i is None else i for i in ids], np.int64), known, texts
+
+
+def _deflate(batches):
+    """Texts are read by three stages from one exchange; it holds them packed."""
+    codec = pa.Codec("zstd", 1)
+    for b in batches:
+        packed = [codec.compress(x.as_py(), asbytes=True) if n else None
+                  for x, n in zip(b.column("text"), b.column("size").to_pylist())]
+        yield pa.record_batch([b.column("bucket"), b.column("doc_id"), b.column("size"), pa.array(packed, pa.binary())],
+                              ["bucket", "doc_id", "size", "text"])
 
 
 def _least(kind, bucket, a, b, doc) -> pa.Table:
@@ -313,7 +326,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = d.select(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n_buckets = max(1, math.ceil(size / bucket_bytes))
     d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).alias("bucket"), "doc_id",
-                 F.col("text").cast("binary").alias("text"))
+                 F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("text"))
+    d = d.mapInArrow(_deflate, "bucket long, doc_id long, size long, text binary")
     by_key = Window.partitionBy("a", "b", "kind")
     least, top = F.min("lo").over(by_key), F.max(F.col("lo") + F.col("more")).over(by_key)
     # more: how far the bucket's largest doc_id is above the smallest of all
