@@ -23,7 +23,7 @@ Spark stages, all on one exchange of the texts by bucket (a hash of the row):
    has is dropped (reveal);
 2. per bucket: windows inside a high-level symbol that a smaller document also
    holds are settled; the other windows with a shared anchor go out once per
-   bucket as two independent 64-bit hashes; grouped over the buckets each
+   bucket as two hashes of their words' hashes, 96 bits; grouped over the buckets each
    gets the smallest doc_id that holds it (verify);
 3. per bucket: words under windows of a smaller document are removed.
 
@@ -64,18 +64,18 @@ HIGH = (14, 19)
 
 _ROUND = seeded(64, 21)
 _WINDOW = [Poly(201), Poly(202)]
-_NONE = U64(0)
+_SECOND = U64(0xA5A5A5A55A5A5A5A)
 
 
 class Parsed:
     """Recompression of some units of words: window anchors and hashes, and the
     high-level symbols."""
 
-    def __init__(self, h1, h2, unit_of, n: int, anchors: bool):
-        """h1, h2: word hashes; unit_of: number of each word's unit,
+    def __init__(self, h1, unit_of, n: int, anchors: bool):
+        """h1: word hashes; unit_of: number of each word's unit,
         ascending; n: words of a window; anchors: whether they are wanted."""
         m = len(h1)
-        p1, p2 = _WINDOW[0].prefix(h1), _WINDOW[1].prefix(h2)
+        p1, p2 = _WINDOW[0].prefix(h1), _WINDOW[1].prefix(mix64(h1 ^ _SECOND))
         at = np.arange(max(m - n + 1, 0))
         self.start = at = at[unit_of[at] == unit_of[at + n - 1]] if m >= n else at[:0]
         self.a = _WINDOW[0].ranges(p1, at, at + n)
@@ -149,12 +149,12 @@ def _units(texts, n: int, anchors: bool = True):
     for first, end in blocks([len(t or b"") + 1 for t in texts], BLOCK):
         data = [t or b"" for t in texts[first:end]]
         edge = np.cumsum([0] + [len(t) + 1 for t in data])
-        start, (h1, h2) = word_hashes(b"\n".join(data))
+        start, h1 = word_hashes(b"\n".join(data))
         row = np.repeat(np.arange(first, end), np.diff(np.searchsorted(start, edge)))
         step = len(h1) if end - first > 1 else UNIT_WORDS
         for off in range(0, max(len(h1) - n + 1, 0), max(step, 1)):
             part = slice(off, off + step + n - 1)
-            yield row[part], off, Parsed(h1[part], h2[part], row[part], n, anchors)
+            yield row[part], off, Parsed(h1[part], row[part], n, anchors)
 
 
 _NO_ID = np.iinfo(np.int64).max

@@ -1,8 +1,7 @@
 """Words ``[^\\x20\\x09-\\x0D]+`` of byte strings and their 64-bit hashes.
 
 A hash is a polynomial over seeded byte values modulo 2^64, so that every word
-of a block comes from one prefix sum; two multipliers give two independent
-hashes.
+of a block comes from one prefix sum.
 """
 
 from __future__ import annotations
@@ -47,7 +46,7 @@ class Poly:
         return mix64((prefix[end] - prefix[start]) * self.ipw[start])
 
 
-BYTES = [(seeded(256, 11), Poly(101)), (seeded(256, 12), Poly(102))]
+_VALUES, _POLY = seeded(256, 11), Poly(101)
 
 
 def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +57,11 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Start byte and two hashes of each word; the text is worked off in
-    blocks cut at spaces."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start byte and hash of each word; the text is worked off in blocks cut
+    at spaces."""
     starts: list[np.ndarray] = []
-    out: list[list[np.ndarray]] = [[] for _ in BYTES]
+    out: list[np.ndarray] = []
     at = 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
@@ -76,9 +75,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
         start, stop = spans(part)
         codes = np.frombuffer(part, np.uint8)
         starts.append(start + at)
-        for o, (values, poly) in zip(out, BYTES):
-            o.append(poly.ranges(poly.prefix(values[codes]), start, stop))
+        out.append(_POLY.ranges(_POLY.prefix(_VALUES[codes]), start, stop))
         at = end
     if not starts:
-        return np.zeros(0, np.int64), [np.zeros(0, U64) for _ in BYTES]
-    return np.concatenate(starts), [np.concatenate(o) for o in out]
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    return np.concatenate(starts), np.concatenate(out)
