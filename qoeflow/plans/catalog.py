@@ -430,9 +430,7 @@ def q_trace_parse(spark, sf_dir):
 
 @query("trace_sort")
 def q_trace_sort(spark, sf_dir):
-    # only the sort field and the line number are numbered (and written)
-    head = _trace_lines(spark, sf_dir).select("line_no", F.substring_index("value", "\t", 1).alias("value"))
-    return sort_traces(head).select("line_no", "sort_pos")
+    return sort_traces(_trace_lines(spark, sf_dir), keep=False).select("line_no", "sort_pos")
 
 
 def _buckets(spark, sf_dir):

@@ -85,14 +85,15 @@ def read_traces(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def sort_traces(lines: DataFrame, value: str = "value", numeric: bool = False,
-                line_no: str = "line_no") -> DataFrame:
+                line_no: str = "line_no", keep: bool = True) -> DataFrame:
     """K1: order by the first tab field -- as text by default, like the
     reference tool (so '999' sorts after '1000'), numerically on request --
     ties in line order.  Adds ``sort_pos`` (a distributed range sort plus
-    offsets, no single-task window)."""
+    offsets, no single-task window).  Numbering writes the rows once: with
+    ``keep=False`` only the line numbers come back, and no text is written."""
     key = F.substring_index(F.col(value), "\t", 1)
     key = key.try_cast("bigint") if numeric else key
-    k = lines.withColumn("_key", key)
+    k = lines.withColumn("_key", key) if keep else lines.select(line_no, key.alias("_key"))
     return ordinal_within(k, [], ["_key", line_no], "sort_pos").drop("_key")
 
 
