@@ -5,16 +5,21 @@ A text's words lose outer punctuation and case; numbers, quantities, units
 after a number and capitalised words inside a sentence become the typed
 placeholders ``<num> <qty> <unit> <name>``.  Windows of ``n`` such template
 words are hashed and hash-joined with the windows of the benchmark items, which
-finds questions that were re-parameterised as well as plain copies.  For each
-document, item and shift (where the document's words lie relative to the
-item's) the covered words are then compared one by one: template words must be
-equal, and slots must be consistent, i.e. one value of the item always
-corresponds to one value of the document.
+finds questions that were re-parameterised as well as plain copies.  Which words
+are names depends on case and on the word before, so that windows of ``n``
+literal words without case go into the same join: they find copies in upper,
+lower or title case.  For each document, item and shift (where the document's
+words lie relative to the item's) the covered words are then compared one by
+one: template words or literal words must be equal, and slots must be
+consistent, i.e. one value of the item always corresponds to one value of the
+document, case aside.
 
 A pair is reported when one shift covers at least ``coverage`` of the item's
-words or at least ``long_run`` words, and its slots are consistent.
+words or at least ``long_run`` words, and its slots are consistent.  ``covered``
+counts the words in template windows where these reach that alone, and the
+words in windows of both kinds otherwise.
 
-Only benchmark windows with at least ``literals`` words that are no
+Only template windows with at least ``literals`` words that are no
 placeholders are searched, and items of fewer than ``n`` words have no window:
 they are too short to tell a leak.
 
@@ -72,16 +77,27 @@ def _template(body: Column, w: Column, i: Column) -> Column:
 
 
 def _templates(df: DataFrame) -> DataFrame:
-    """Adds ``bodies`` and ``tpl``, the template words, to the array ``words``."""
+    """Adds ``bodies``, ``tpl``, the template words, and ``low``, the literal
+    words without case, to the array ``words``."""
     return (df.withColumn("bodies", F.transform("words", lambda w: F.btrim(w, F.lit(_OUTER))))
-            .withColumn("tpl", F.transform("bodies", lambda b, i: _template(b, F.get("words", i), i))))
+            .withColumn("tpl", F.transform("bodies", lambda b, i: _template(b, F.get("words", i), i)))
+            .withColumn("low", F.transform("bodies", lambda b, i: F.when(b == "", F.get("words", i))
+                                           .otherwise(F.lower(b)))))
 
 
 def _windows(df: DataFrame, n: int) -> DataFrame:
-    """Adds ``wins``: the hash of each window of ``n`` template words."""
-    df = df.withColumn("h", F.transform("tpl", lambda t: F.xxhash64(t)))
-    return df.withColumn("wins", F.when(F.size("h") >= n, F.transform(
-        F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda i: F.xxhash64(F.slice(F.col("h"), i, F.lit(n))))))
+    """Adds ``wins``: hash and position of each window of ``n`` template words,
+    and of each window of ``n`` literal words that is another one."""
+    df = (df.withColumn("h", F.transform("tpl", lambda t: F.xxhash64(t)))
+          .withColumn("g", F.transform("low", lambda t: F.xxhash64(t)))
+          .withColumn("held", F.zip_with("h", "g", lambda a, b: a != b)))
+    every = F.sequence(F.lit(0), F.size("h") - n)
+
+    def hashed(of: str, at: Column) -> Column:
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(F.col(of), i + 1, F.lit(n))).alias("win"),
+                                                  i.alias("pos"), F.lit(of == "g").alias("literal")))
+    other = F.filter(every, lambda i: F.exists(F.slice(F.col("held"), i + 1, F.lit(n)), lambda x: x))
+    return df.withColumn("wins", F.when(F.size("h") >= n, F.concat(hashed("h", every), hashed("g", other))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -92,40 +108,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = _templates(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t"))
                        .withColumn("item_key", F.xxhash64("item_id", "t")).dropDuplicates(["item_key"])
                        .withColumn("words", words(F.col("t"))).drop("t"))
-    searched = (_windows(items, n).select("item_key", "tpl", F.posexplode_outer("wins").alias("at", "win"))
-                .filter(F.size(F.filter(F.slice("tpl", F.col("at") + 1, F.lit(n)),
-                                        lambda t: ~t.isin("<num>", "<qty>", "<unit>", "<name>"))) >= literals)
-                .select("win", "item_key", "at"))
+    searched = (_windows(items, n).select("item_key", "tpl", F.explode_outer("wins").alias("x"))
+                .filter(F.col("x.literal") | (F.size(F.filter(
+                    F.slice("tpl", F.col("x.pos") + 1, F.lit(n)),
+                    lambda t: ~t.isin("<num>", "<qty>", "<unit>", "<name>"))) >= literals))
+                .select("x.win", "item_key", F.col("x.pos").alias("at"), F.col("x.literal").alias("item_literal")))
     # the outer explode keeps the optimiser from copying the window expression
     # into a filter on its size, where it would run once per word
     key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")
     rows = docs.select(key, words(F.col(text_col)).alias("words"))
-    seen = _windows(_templates(rows), n).select("row_key", F.posexplode_outer("wins").alias("pos", "win"))
+    seen = _windows(_templates(rows), n).select("row_key", F.explode_outer("wins").alias("x")).select("row_key", "x.win", "x.pos", "x.literal")
     met = (seen.join(searched, "win")
            .groupBy("row_key", "item_key", (F.col("pos") - F.col("at")).alias("shift"))
-           .agg(F.collect_set("at").alias("at")))
+           .agg(F.collect_set(F.when(~(F.col("literal") | F.col("item_literal")), F.col("at"))).alias("by_template"),
+                F.collect_set("at").alias("by_all")))
     met = materialise(met, "template-windows")       # read twice below, costly to compute
     # the words of candidates only, compared one by one
     texts = (docs.select(key, F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
              .join(met.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]))
     texts = _templates(texts.select("row_key", "doc_id", words(F.col("t")).alias("words")))
-    pair = (met.join(items.select("item_key", "item_id", F.col("bodies").alias("iw"), F.col("tpl").alias("it")),
+    pair = (met.join(items.select("item_key", "item_id", F.col("low").alias("iw"), F.col("tpl").alias("it")),
                      "item_key")
             .join(texts, "row_key"))
-    at = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (n - 1)))))
+    at = F.array_distinct(F.flatten(F.transform("x.at", lambda a: F.sequence(a, a + (n - 1)))))
+    pair = pair.withColumn("x", F.explode(F.array(
+        F.struct(F.lit(True).alias("template"), F.col("by_template").alias("at")),
+        F.struct(F.lit(False).alias("template"), F.col("by_all").alias("at")))))
     pair = pair.withColumn("p", at).withColumn("slots", F.transform("p", lambda p: F.struct(
         F.get("it", p).alias("it"), F.get("tpl", p + F.col("shift")).alias("dt"),
-        F.get("iw", p).alias("iv"), F.get("bodies", p + F.col("shift")).alias("dv"))))
-    same = F.forall("slots", lambda s: s["it"] == s["dt"])
+        F.get("iw", p).alias("iv"), F.get("low", p + F.col("shift")).alias("dv"))))
+    same = F.forall("slots", lambda s: (s["it"] == s["dt"]) | (s["iv"] == s["dv"]))
     holders = F.filter("slots", lambda s: s["it"].isin("<num>", "<qty>", "<unit>", "<name>"))
     pairs = F.array_distinct(F.transform(holders, lambda s: F.struct(s["iv"].alias("a"), s["dv"].alias("b"))))
     values = F.array_distinct(F.transform(holders, lambda s: s["iv"]))
     exact = F.forall(holders, lambda s: s["iv"] == s["dv"])
     judged = (pair.filter(same & (F.size(pairs) == F.size(values)))
               .select("row_key", "item_key", "doc_id", "item_id", F.size("iw").alias("item_words"),
-                      F.size("p").alias("covered"), exact.alias("exact"))
+                      F.col("x.template").alias("template"), F.size("p").alias("covered"), exact.alias("exact"))
               .filter((F.col("covered") >= coverage * F.col("item_words")) | (F.col("covered") >= long_run)))
-    best = F.max(F.struct("covered", "exact"))
+    best = F.max(F.struct("template", "covered", "exact"))
     return (judged.groupBy("row_key", "item_key", "doc_id", "item_id", "item_words").agg(best.alias("b"))
             .select("row_key", "doc_id", "item_id", "item_words", F.col("b.covered").alias("covered"),
                     (F.col("b.covered") / F.col("item_words")).alias("coverage"),

@@ -37,6 +37,16 @@ def test_reparameterised_and_plain_copies(spark):
     assert set(got) == {(1, 1), (2, 1), (None, 1)}
 
 
+def test_copies_in_other_case(spark):
+    short = "What does the shop in old Rome sell"               # one window
+    docs = [(1, "Before this. " + QUESTION.upper()), (2, "Before this. " + QUESTION.lower()), (3, QUESTION.title()),
+            (4, "Question: " + short), (5, "Alice and Bob " + QUESTION.lower()[:60])]
+    got = leak_pairs(spark, docs, [(1, QUESTION), (2, short)])
+    words = len(QUESTION.split())
+    assert {k: kind for k, (_, kind) in got.items()} == dict.fromkeys([(1, 1), (2, 1), (3, 1), (4, 2)], "exact")
+    assert got[1, 1][0] == words and got[3, 1][0] == words and got[4, 2][0] == 8
+
+
 def test_leaks_equal_plain_search(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
