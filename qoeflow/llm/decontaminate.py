@@ -14,10 +14,16 @@ one: template words or literal words must be equal, and slots must be
 consistent, i.e. one value of the item always corresponds to one value of the
 document, case aside.
 
-A pair is reported when one shift covers at least ``coverage`` of the item's
-words or at least ``long_run`` words, and its slots are consistent.  ``covered``
-counts the words in template windows where these reach that alone, and the
-words in windows of both kinds otherwise.
+A name or number may have another count of words in the document: windows of
+``n`` template words with each run of names or of numbers taken as one are
+searched as well, and compared run by run.
+
+A pair is reported when at least ``coverage`` of the item's words or at least
+``long_run`` words are covered.  The consistent shifts and windows of a document
+and item are united for that, as long as neighbouring shifts differ by no more
+than half of the item's words (at least ``n``) and the slots stay consistent.
+``covered`` counts the words of one shift's template windows where these reach
+that alone, and the united words otherwise.
 
 Only template windows with at least ``literals`` words that are no
 placeholders are searched, and items of fewer than ``n`` words have no window:
@@ -30,7 +36,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qoeflow.llm.common import materialise
@@ -48,6 +54,11 @@ UNITS = ("km", "m", "cm", "mm", "mi", "mile", "miles", "meter", "meters", "metre
          "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros",
          "percent", "degree", "degrees", "kmh", "mph", "km/h", "m/s", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb",
          "tb", "w", "kw", "v", "volt", "volts", "j", "joule", "joules", "n", "newton", "newtons", "pa", "mol")
+#: Kinds of windows; those of the last kind hold a run taken as one.
+TEMPLATE, LITERAL, WIDE = 0, 1, 2
+HOLDERS = ("<num>", "<qty>", "<unit>", "<name>")
+RUNS = ("<num>", "<name>")
+_WINS = "array<struct<win:bigint,pos:int,len:int,kind:int>>"
 _OUTER = ".,;:!?\"'()[]{}<>*#&|~`…“”„«»‘’–—"
 _NUMBER = "^[-+$€£]?\\d[\\d.,:/]*%?$"
 _QUANTITY = "^[-+$€£]?\\d[\\d.,]*\\p{L}+[\\p{L}/]*$"
@@ -85,19 +96,74 @@ def _templates(df: DataFrame) -> DataFrame:
                                            .otherwise(F.lower(b)))))
 
 
+def _joined(t: Column, i: Column) -> Column:
+    """Whether word ``i`` of the template words ``t`` continues a run of names or numbers."""
+    return (i > 0) & (F.get(t, i) == F.get(t, i - 1)) & F.get(t, i).isin(*RUNS)
+
+
 def _windows(df: DataFrame, n: int) -> DataFrame:
-    """Adds ``wins``: hash and position of each window of ``n`` template words,
-    and of each window of ``n`` literal words that is another one."""
+    """Adds ``wins``: hash, position, words and kind of each window of ``n``
+    template words, and of each that is another one of ``n`` literal words or
+    of ``n`` template words with runs of names or numbers taken as one."""
     df = (df.withColumn("h", F.transform("tpl", lambda t: F.xxhash64(t)))
           .withColumn("g", F.transform("low", lambda t: F.xxhash64(t)))
-          .withColumn("held", F.zip_with("h", "g", lambda a, b: a != b)))
+          .withColumn("held", F.zip_with("h", "g", lambda a, b: a != b))
+          .withColumn("runs", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (F.size("h") > 0) & _joined(
+              F.col("tpl"), i))))
+    df = df.withColumn("starts", F.when(F.size("runs") > 0, F.array_except(
+        F.sequence(F.lit(0), F.size("h") - 1), "runs")).otherwise(F.array().cast("array<int>")))
+    df = (df.withColumn("ends", F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))),
+                                         F.array(F.size("h"))))
+          .withColumn("c", F.transform("starts", lambda i: F.get("h", i))))
     every = F.sequence(F.lit(0), F.size("h") - n)
 
-    def hashed(of: str, at: Column) -> Column:
+    def hashed(of: str, at: Column, kind: int) -> Column:
         return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(F.col(of), i + 1, F.lit(n))).alias("win"),
-                                                  i.alias("pos"), F.lit(of == "g").alias("literal")))
-    other = F.filter(every, lambda i: F.exists(F.slice(F.col("held"), i + 1, F.lit(n)), lambda x: x))
-    return df.withColumn("wins", F.when(F.size("h") >= n, F.concat(hashed("h", every), hashed("g", other))))
+                                                  i.alias("pos"), F.lit(n).alias("len"), F.lit(kind).alias("kind")))
+
+    def span(i: Column) -> Column:
+        return F.get("ends", i + (n - 1)) - F.get("starts", i)
+    literal = F.filter(every, lambda i: F.exists(F.slice(F.col("held"), i + 1, F.lit(n)), lambda x: x))
+    wide = F.filter(F.sequence(F.lit(0), F.size("c") - n), lambda i: span(i) > n)
+    wide = F.transform(wide, lambda i: F.struct(F.xxhash64(F.slice(F.col("c"), i + 1, F.lit(n))).alias("win"),
+                                                F.get("starts", i).alias("pos"), span(i).alias("len"),
+                                                F.lit(WIDE).alias("kind")))
+    return df.withColumn("wins", F.concat(
+        F.when(F.size("h") >= n, F.concat(hashed("h", every, TEMPLATE), hashed("g", literal, LITERAL)))
+        .otherwise(F.array().cast(_WINS)), F.when(F.size("c") >= n, wide).otherwise(F.array().cast(_WINS))))
+
+
+def _tokens(t: Column, w: Column) -> Column:
+    """Template word and value of each word or run of some words."""
+    every = F.sequence(F.lit(0), F.size(t) - 1)
+    first = F.filter(every, lambda i: ~_joined(t, i))
+    return F.transform(first, lambda i, k: F.struct(F.get(t, i).alias("t"), F.array_join(F.slice(
+        w, i + 1, F.coalesce(F.get(first, k + 1), F.size(t)) - i), " ").alias("v")))
+
+
+def _consistent(pairs: Column) -> Column:
+    """Whether one value of the item always has one value of the document."""
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"])))
+
+
+def _same(pairs: Column) -> Column:
+    return F.forall(pairs, lambda x: x["a"] == x["b"])
+
+
+def _united(pieces: Column) -> Column:
+    """Item positions and value pairs of the pieces of a copy, leaving out those
+    that contradict the ones before: the largest first, or those with a run
+    first (a shift may cut a run), whichever gives more."""
+    def add(acc: Column, x: Column) -> Column:
+        pairs = F.array_union(acc["pairs"], x["pairs"])
+        return F.when(_consistent(pairs), F.struct(F.array_union(acc["p"], x["p"]).alias("p"), pairs.alias("pairs"))
+                      ).otherwise(acc)
+    none = F.struct(F.array().cast("array<int>").alias("p"),
+                    F.array().cast("array<struct<a:string,b:string>>").alias("pairs"))
+    ways = [F.aggregate(F.sort_array(x), none, add) for x in (
+        pieces, F.transform(pieces, lambda x: F.struct(x["shift"], x["order"], x["p"], x["pairs"])))]
+    return F.array_max(F.array(*[F.struct(F.size(w["p"]).alias("n"), w["p"].alias("p"), w["pairs"].alias("pairs"))
+                                 for w in ways]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -109,19 +175,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                        .withColumn("item_key", F.xxhash64("item_id", "t")).dropDuplicates(["item_key"])
                        .withColumn("words", words(F.col("t"))).drop("t"))
     searched = (_windows(items, n).select("item_key", "tpl", F.explode_outer("wins").alias("x"))
-                .filter(F.col("x.literal") | (F.size(F.filter(
-                    F.slice("tpl", F.col("x.pos") + 1, F.lit(n)),
-                    lambda t: ~t.isin("<num>", "<qty>", "<unit>", "<name>"))) >= literals))
-                .select("x.win", "item_key", F.col("x.pos").alias("at"), F.col("x.literal").alias("item_literal")))
+                .filter((F.col("x.kind") == LITERAL) | (F.size(F.filter(
+                    F.slice("tpl", F.col("x.pos") + 1, F.col("x.len")), lambda t: ~t.isin(*HOLDERS))) >= literals))
+                .select("x.win", "item_key", F.col("x.pos").alias("at"), F.col("x.len").alias("item_len"),
+                        F.col("x.kind").alias("item_kind")))
     # the outer explode keeps the optimiser from copying the window expression
     # into a filter on its size, where it would run once per word
     key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")
     rows = docs.select(key, words(F.col(text_col)).alias("words"))
-    seen = _windows(_templates(rows), n).select("row_key", F.explode_outer("wins").alias("x")).select("row_key", "x.win", "x.pos", "x.literal")
+    seen = (_windows(_templates(rows), n).select("row_key", F.explode_outer("wins").alias("x"))
+            .select("row_key", "x.*"))
+    kind = F.greatest("kind", "item_kind")
     met = (seen.join(searched, "win")
            .groupBy("row_key", "item_key", (F.col("pos") - F.col("at")).alias("shift"))
-           .agg(F.collect_set(F.when(~(F.col("literal") | F.col("item_literal")), F.col("at"))).alias("by_template"),
-                F.collect_set("at").alias("by_all")))
+           .agg(F.collect_set(F.when(kind == TEMPLATE, F.col("at"))).alias("by_template"),
+                F.collect_set(F.when(kind != WIDE, F.col("at"))).alias("by_all"),
+                F.collect_set(F.when(kind == WIDE, F.struct("at", "item_len", "len"))).alias("wide")))
     met = materialise(met, "template-windows")       # read twice below, costly to compute
     # the words of candidates only, compared one by one
     texts = (docs.select(key, F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
@@ -129,25 +198,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = _templates(texts.select("row_key", "doc_id", words(F.col("t")).alias("words")))
     pair = (met.join(items.select("item_key", "item_id", F.col("low").alias("iw"), F.col("tpl").alias("it")),
                      "item_key")
-            .join(texts, "row_key"))
-    at = F.array_distinct(F.flatten(F.transform("x.at", lambda a: F.sequence(a, a + (n - 1)))))
-    pair = pair.withColumn("x", F.explode(F.array(
-        F.struct(F.lit(True).alias("template"), F.col("by_template").alias("at")),
-        F.struct(F.lit(False).alias("template"), F.col("by_all").alias("at")))))
-    pair = pair.withColumn("p", at).withColumn("slots", F.transform("p", lambda p: F.struct(
-        F.get("it", p).alias("it"), F.get("tpl", p + F.col("shift")).alias("dt"),
-        F.get("iw", p).alias("iv"), F.get("low", p + F.col("shift")).alias("dv"))))
-    same = F.forall("slots", lambda s: (s["it"] == s["dt"]) | (s["iv"] == s["dv"]))
-    holders = F.filter("slots", lambda s: s["it"].isin("<num>", "<qty>", "<unit>", "<name>"))
+            .join(texts.select("row_key", "doc_id", F.col("low").alias("dw"), F.col("tpl").alias("dt")), "row_key"))
+
+    def by_shift(at: str) -> Column:
+        p = F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + (n - 1)))))
+        slots = F.transform(p, lambda p: F.struct(
+            F.get("it", p).alias("it"), F.get("dt", p + F.col("shift")).alias("dt"),
+            F.get("iw", p).alias("iv"), F.get("dw", p + F.col("shift")).alias("dv")))
+        return F.struct(F.lit(at == "by_template").alias("template"), F.lit(False).alias("run"), p.alias("p"), slots.alias("slots"))
+
+    def by_run(x: Column) -> Column:
+        i, d = (_tokens(F.slice(F.col(t), at + 1, x[k]), F.slice(F.col(w), at + 1, x[k])) for t, w, at, k in (
+            ("it", "iw", x["at"], "item_len"), ("dt", "dw", x["at"] + F.col("shift"), "len")))
+        slots = F.zip_with(i, d, lambda a, b: F.struct(a["t"].alias("it"), b["t"].alias("dt"), a["v"].alias("iv"),
+                                                       b["v"].alias("dv")))
+        return F.struct(F.lit(False).alias("template"), F.lit(True).alias("run"),
+                        F.sequence(x["at"], x["at"] + x["item_len"] - 1).alias("p"), slots.alias("slots"))
+    piece = pair.withColumn("x", F.explode(F.concat(F.array(by_shift("by_template"), by_shift("by_all")),
+                                                    F.transform("wide", by_run))))
+    same = F.forall("x.slots", lambda s: F.coalesce((s["it"] == s["dt"]) | (s["iv"] == s["dv"]), F.lit(False)))
+    holders = F.filter("x.slots", lambda s: s["it"].isin(*HOLDERS))
     pairs = F.array_distinct(F.transform(holders, lambda s: F.struct(s["iv"].alias("a"), s["dv"].alias("b"))))
-    values = F.array_distinct(F.transform(holders, lambda s: s["iv"]))
-    exact = F.forall(holders, lambda s: s["iv"] == s["dv"])
-    judged = (pair.filter(same & (F.size(pairs) == F.size(values)))
-              .select("row_key", "item_key", "doc_id", "item_id", F.size("iw").alias("item_words"),
-                      F.col("x.template").alias("template"), F.size("p").alias("covered"), exact.alias("exact"))
-              .filter((F.col("covered") >= coverage * F.col("item_words")) | (F.col("covered") >= long_run)))
-    best = F.max(F.struct("template", "covered", "exact"))
-    return (judged.groupBy("row_key", "item_key", "doc_id", "item_id", "item_words").agg(best.alias("b"))
+    keys = ["row_key", "item_key", "doc_id", "item_id", "item_words"]
+    piece = (piece.filter(same & (F.size("x.p") > 0))
+             .select("row_key", "item_key", "doc_id", "item_id", F.size("iw").alias("item_words"), "shift",
+                     "x.template", "x.run", "x.p", pairs.alias("pairs")).filter(_consistent(F.col("pairs"))))
+    # pieces of one copy: shifts with no gap above half of the item between them
+    by_pair = Window.partitionBy("row_key", "item_key").orderBy("shift")
+    gap = F.col("shift") - F.lag("shift").over(by_pair)
+    copies = (piece.withColumn("new", F.when(gap > F.greatest(F.lit(n), F.col("item_words") / 2), 1).otherwise(0))
+              .withColumn("copy", F.sum("new").over(by_pair))
+              .groupBy(*keys, "copy")
+              .agg(F.max(F.when(F.col("template"), F.struct(F.size("p").alias("covered"), _same(F.col("pairs"))
+                                                            .alias("exact")))).alias("one"),
+                   F.collect_list(F.struct((-F.size("p")).alias("order"), (~F.col("run")).alias("shift"), "p",
+                                         "pairs")).alias("pieces"))
+              .withColumn("all", _united(F.col("pieces"))))
+    enough = [(F.col(c) >= coverage * F.col("item_words")) | (F.col(c) >= long_run) for c in ("one.covered", "covered")]
+    judged = (copies.withColumn("covered", F.size("all.p")).withColumn("template", F.coalesce(enough[0], F.lit(False)))
+              .filter(F.col("template") | enough[1])
+              .select(*keys, F.when(F.col("template"), F.struct(F.lit(True).alias("template"), "one.covered", "one.exact"))
+                      .otherwise(F.struct(F.lit(False).alias("template"), "covered",
+                                          _same(F.col("all.pairs")).alias("exact"))).alias("b")))
+    return (judged.groupBy(*keys).agg(F.max("b").alias("b"))
             .select("row_key", "doc_id", "item_id", "item_words", F.col("b.covered").alias("covered"),
                     (F.col("b.covered") / F.col("item_words")).alias("coverage"),
                     F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind")))

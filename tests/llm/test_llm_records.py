@@ -47,6 +47,22 @@ def test_copies_in_other_case(spark):
     assert got[1, 1][0] == words and got[3, 1][0] == words and got[4, 2][0] == 8
 
 
+def test_near_copies_in_pieces(spark):
+    words = [f"{a}{b}" for a in ("ba", "co", "di", "fe", "gu") for b in "nrstlmkp"][:39]
+    spread = [*words[:10], "uh", *words[10:20], "oh", "well", *words[20:30], "so", *words[30:]]
+    apart = [*words[:10], *("filler" for _ in range(60)), *words[20:30]]          # no copy: far from one another
+    dense = "if Alice gave 12 pears to Bob and 7 figs to Carol then how many"
+    other = dense.replace("Alice", "Mary Ann").replace("12", "1 200").replace("Bob", "Rob Roy").replace("Carol", "Jo Lee")
+    bad = dense.replace("Alice", "Mary Ann") + " " + " ".join(words[:9])
+    docs = [(1, " ".join(spread)), (2, " ".join(apart)), (3, "well: " + other), (4, " ".join(words[:12])), (5, bad)]
+    got = leak_pairs(spark, docs, [(1, " ".join(words)), (2, dense)])
+    assert got[1, 1] == (39, "exact") and got[3, 2][1] == "reparameterised" and got[3, 2][0] >= 12
+    assert set(got) == {(1, 1), (3, 2), (5, 2)}
+    twice = "so Alice gave pears to Bob and then the boy told Alice to count all pears"
+    got = leak_pairs(spark, [(1, twice.replace("Alice", "Mary Ann", 1).replace("Alice", "Jo Lee"))], [(1, twice)])
+    assert got == {} or got[1, 1][0] < len(twice.split())
+
+
 def test_leaks_equal_plain_search(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
