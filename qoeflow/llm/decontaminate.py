@@ -26,8 +26,10 @@ than half of the item's words (at least ``n``) and the slots stay consistent.
 that alone, and the united words otherwise.
 
 Only template windows with at least ``literals`` words that are no
-placeholders are searched, and items of fewer than ``n`` words have no window:
-they are too short to tell a leak.
+placeholders are searched.  Literal windows have no such limit, so that items of
+numbers and names are found word for word; an item of fewer than ``n`` words is
+searched by one literal window of its whole length.  An item without words has
+no copies.
 
 Defined results: null text has no words; a null doc_id or item_id is reported
 as null; rows equal in id and text give one pair; empty tables give no pairs;
@@ -101,10 +103,11 @@ def _joined(t: Column, i: Column) -> Column:
     return (i > 0) & (F.get(t, i) == F.get(t, i - 1)) & F.get(t, i).isin(*RUNS)
 
 
-def _windows(df: DataFrame, n: int) -> DataFrame:
+def _windows(df: DataFrame, n: int, short: list[int]) -> DataFrame:
     """Adds ``wins``: hash, position, words and kind of each window of ``n``
-    template words, and of each that is another one of ``n`` literal words or
-    of ``n`` template words with runs of names or numbers taken as one."""
+    template words, of each that is another one of ``n`` literal words or of
+    ``n`` template words with runs of names or numbers taken as one, and of
+    each window of literal words as long as one of ``short``."""
     df = (df.withColumn("h", F.transform("tpl", lambda t: F.xxhash64(t)))
           .withColumn("g", F.transform("low", lambda t: F.xxhash64(t)))
           .withColumn("held", F.zip_with("h", "g", lambda a, b: a != b))
@@ -117,7 +120,7 @@ def _windows(df: DataFrame, n: int) -> DataFrame:
           .withColumn("c", F.transform("starts", lambda i: F.get("h", i))))
     every = F.sequence(F.lit(0), F.size("h") - n)
 
-    def hashed(of: str, at: Column, kind: int) -> Column:
+    def hashed(of: str, at: Column, kind: int, n: int = n) -> Column:
         return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(F.col(of), i + 1, F.lit(n))).alias("win"),
                                                   i.alias("pos"), F.lit(n).alias("len"), F.lit(kind).alias("kind")))
 
@@ -130,7 +133,9 @@ def _windows(df: DataFrame, n: int) -> DataFrame:
                                                 F.lit(WIDE).alias("kind")))
     return df.withColumn("wins", F.concat(
         F.when(F.size("h") >= n, F.concat(hashed("h", every, TEMPLATE), hashed("g", literal, LITERAL)))
-        .otherwise(F.array().cast(_WINS)), F.when(F.size("c") >= n, wide).otherwise(F.array().cast(_WINS))))
+        .otherwise(F.array().cast(_WINS)), F.when(F.size("c") >= n, wide).otherwise(F.array().cast(_WINS)),
+        *[F.when(F.size("g") >= m, hashed("g", F.sequence(F.lit(0), F.size("g") - m), LITERAL, m))
+          .otherwise(F.array().cast(_WINS)) for m in short]))
 
 
 def _tokens(t: Column, w: Column) -> Column:
@@ -174,16 +179,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = _templates(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t"))
                        .withColumn("item_key", F.xxhash64("item_id", "t")).dropDuplicates(["item_key"])
                        .withColumn("words", words(F.col("t"))).drop("t"))
-    searched = (_windows(items, n).select("item_key", "tpl", F.explode_outer("wins").alias("x"))
+    # items too short for a window have one of their whole length
+    size = F.size("words")
+    short = sorted(r[0] for r in items.filter((size > 0) & (size < n)).select(size).distinct().collect())
+    searched = (_windows(items, n, short).select("item_key", "tpl", F.explode_outer("wins").alias("x"))
                 .filter((F.col("x.kind") == LITERAL) | (F.size(F.filter(
                     F.slice("tpl", F.col("x.pos") + 1, F.col("x.len")), lambda t: ~t.isin(*HOLDERS))) >= literals))
+                .filter((F.col("x.len") >= n) | (F.col("x.len") == F.size("tpl")))
                 .select("x.win", "item_key", F.col("x.pos").alias("at"), F.col("x.len").alias("item_len"),
                         F.col("x.kind").alias("item_kind")))
     # the outer explode keeps the optimiser from copying the window expression
     # into a filter on its size, where it would run once per word
     key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")
     rows = docs.select(key, words(F.col(text_col)).alias("words"))
-    seen = (_windows(_templates(rows), n).select("row_key", F.explode_outer("wins").alias("x"))
+    seen = (_windows(_templates(rows), n, short).select("row_key", F.explode_outer("wins").alias("x"))
             .select("row_key", "x.*"))
     kind = F.greatest("kind", "item_kind")
     met = (seen.join(searched, "win")
@@ -201,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             .join(texts.select("row_key", "doc_id", F.col("low").alias("dw"), F.col("tpl").alias("dt")), "row_key"))
 
     def by_shift(at: str) -> Column:
-        p = F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + (n - 1)))))
+        p = F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + F.least(F.lit(n), F.size("iw")) - 1))))
         slots = F.transform(p, lambda p: F.struct(
             F.get("it", p).alias("it"), F.get("dt", p + F.col("shift")).alias("dt"),
             F.get("iw", p).alias("iv"), F.get("dw", p + F.col("shift")).alias("dv")))

@@ -63,6 +63,18 @@ def test_near_copies_in_pieces(spark):
     assert got == {} or got[1, 1][0] < len(twice.split())
 
 
+def test_short_items_and_items_of_placeholders(spark):
+    sums = "12 + 30 - 4 = 38 and 7 * 6 = 42"
+    names = "so Alice 3 Bob 4 Carol 5 Dave 6 Erin 7"
+    items = [(1, "Who wrote Hamlet?"), (2, sums), (3, names), (4, ""), (5, "seven words are one less than eight")]
+    docs = [(1, "Tell me, who wrote hamlet and when"), (2, "we know: " + sums + " ."), (3, "x y " + names),
+            (4, "who else wrote Hamlet"), (5, sums.replace("12", "13").replace("42", "43").replace("38", "39")),
+            (6, "Seven words are one less than eight"), (7, "so Zed 9 Yan 8 Xi 7 Wu 6 Vi 5")]
+    got = leak_pairs(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (6, 5)}
+    assert {kind for _, kind in got.values()} == {"exact"} and got[1, 1][0] == 3 and got[6, 5][0] == 7
+
+
 def test_leaks_equal_plain_search(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
