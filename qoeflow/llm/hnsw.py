@@ -12,7 +12,9 @@ row per node goes to a written table.
 
 For the largest inner product a vector x is indexed as (x, sqrt(M^2 - |x|^2))
 with M the largest norm, so that nearness in the graph's Euclidean distance
-orders like the inner product.
+orders like the inner product.  A distance to the query is then M^2 - 2 x.q up
+to the query's norm, so that the search compares x.q alone; distances between
+nodes are taken in double precision without subtracting numbers as large as M.
 
 Search.  Queries travel in blocks to every shard; a task reads a shard's nodes
 once and then its query blocks one after the other.  All queries of a block
@@ -53,9 +55,17 @@ def levels(ids: np.ndarray, degree: int) -> np.ndarray:
     return np.minimum(-np.log(u) / math.log(degree), 31).astype(np.int64)
 
 
-def _distances(x: np.ndarray) -> np.ndarray:
+def _distances(x: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances in double precision, with the further coordinate
+    ``extra`` when norms are augmented: its differences come from the norms, as
+    the coordinates themselves are too large to subtract."""
+    x = x.astype(np.float64)
     s = (x * x).sum(1)
-    return np.maximum(s[:, None] + s[None, :] - 2 * (x @ x.T), 0)
+    out = np.maximum(s[:, None] + s[None, :] - 2 * (x @ x.T), 0)
+    if extra is not None:
+        both = extra[:, None] + extra[None, :]
+        out += np.divide(s[None, :] - s[:, None], both, out=np.zeros_like(out), where=both > 0) ** 2
+    return out
 
 
 def _diverse(dist: np.ndarray, near: np.ndarray, cand: np.ndarray, keep: int) -> np.ndarray:
@@ -83,10 +93,10 @@ def _diverse(dist: np.ndarray, near: np.ndarray, cand: np.ndarray, keep: int) ->
     return out
 
 
-def link(x: np.ndarray, degree: int, candidates: int = CANDIDATES) -> np.ndarray:
+def link(x: np.ndarray, degree: int, candidates: int = CANDIDATES, extra: np.ndarray | None = None) -> np.ndarray:
     """Neighbour array (n, 2 * degree) of one level's nodes, in their order."""
     n = len(x)
-    dist = _distances(x)
+    dist = _distances(x, extra)
     k = min(candidates, n)
     earlier = np.where(np.tri(n, k=-1, dtype=bool), dist, np.inf)
     cand = np.argpartition(earlier, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (n, 1))
@@ -117,14 +127,15 @@ def link(x: np.ndarray, degree: int, candidates: int = CANDIDATES) -> np.ndarray
 class Shard:
     """A shard's graph: ``x`` (n, d) vectors in node order (highest level
     first), ``links[l]`` the neighbour array of the first nodes, those of level
-    l and above."""
+    l and above.  ``inner``: search by inner product instead of distance."""
 
-    def __init__(self, x: np.ndarray, links: list[np.ndarray]):
+    def __init__(self, x: np.ndarray, links: list[np.ndarray], inner: bool = False):
         self.x, self.links = x, links
-        self.s = (x * x).sum(1)
+        self.s = np.zeros(len(x), x.dtype) if inner else (x * x).sum(1)
 
     def _dist(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Squared distances (up to the query's own norm) of nodes ``at`` (Q, k)."""
+        """Squared distances (up to the query's own norm) of nodes ``at`` (Q, k),
+        or -2 x.q: the augmented norm is the same for all nodes."""
         return self.s[at] - 2 * np.matmul(self.x[at], q[:, :, None])[:, :, 0]
 
     def search(self, q: np.ndarray, k: int, ef: int) -> np.ndarray:
@@ -176,13 +187,15 @@ class Shard:
         return np.where(out < n, out, -1)
 
 
-def build(x: np.ndarray, level: np.ndarray, degree: int = DEGREE) -> tuple[np.ndarray, list[np.ndarray]]:
+def build(x: np.ndarray, level: np.ndarray, degree: int = DEGREE,
+          extra: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Node order (highest level first) and neighbour arrays by level."""
     order = np.argsort(-level, kind="stable")
     level = level[order]
     out = []
     for l in range(int(level.max(initial=0)) + 1):
-        out.append(link(x[order[:int((level >= l).sum())]], degree))
+        at = order[:int((level >= l).sum())]
+        out.append(link(x[at], degree, extra=None if extra is None else extra[at]))
     return order, out
 
 
@@ -199,7 +212,7 @@ def _unpack(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-_NODE = "shard long, size int, place int, rep long, vec binary, extra double, links array<binary>"
+_NODE = "shard long, size int, place int, rep long, vec binary, links array<binary>"
 
 
 def index(nodes: DataFrame, largest: float, degree: int = DEGREE) -> DataFrame:
@@ -211,12 +224,11 @@ def index(nodes: DataFrame, largest: float, degree: int = DEGREE) -> DataFrame:
         rep = rep[at]
         v = np.array(t.column("v").combine_chunks().flatten()).reshape(-1, size)[at]
         extra = np.sqrt(np.maximum(largest ** 2 - (v * v).sum(1), 0))
-        x = np.concatenate([v, extra[:, None]], 1).astype(np.float32)
-        order, links = build(x, levels(rep, degree), degree)
+        order, links = build(v, levels(rep, degree), degree, extra)
         rows = [[l[i].tobytes() for l in links if i < len(l)] for i in range(len(order))]
         return pa.table({"shard": np.full(len(order), key[0].as_py(), np.int64),
                          "size": np.full(len(order), size, np.int32), "place": np.arange(len(order), dtype=np.int32),
-                         "rep": rep[order], "vec": [r.tobytes() for r in v[order]], "extra": extra[order],
+                         "rep": rep[order], "vec": [r.tobytes() for r in v[order]],
                          "links": pa.array(rows, pa.list_(pa.binary()))})
     return nodes.select("shard", "size", "rep", "v").groupBy("shard").applyInArrow(run, _NODE)
 
@@ -254,13 +266,12 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                                             F.flatten(F.collect_list("v")).alias("qv"))
               .withColumn("shard", F.explode(F.sequence(starts[F.col("size")],
                                                         starts[F.col("size")] + counts[F.col("size")] - 1))))
-    both = (graph.select("shard", F.lit(0).alias("part"), "size", "place", "rep", "vec", "extra", "links",
+    both = (graph.select("shard", F.lit(0).alias("part"), "size", "place", "rep", "vec", "links",
                          F.lit(None).cast("array<bigint>").alias("qid"),
                          F.lit(None).cast("array<double>").alias("qv"))
             .unionByName(blocks.select(F.col("shard").cast("long").alias("shard"), F.lit(1).alias("part"), "size",
                                        F.lit(0).alias("place"), F.lit(None).cast("bigint").alias("rep"),
                                        F.lit(None).cast("binary").alias("vec"),
-                                       F.lit(None).cast("double").alias("extra"),
                                        F.lit(None).cast("array<binary>").alias("links"), "qid", "qv")))
 
     def run(batches):
@@ -286,12 +297,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                     lists = t.column("links").to_pylist()
                     links = [_unpack(pa.array([x[l] for x in lists if l < len(x)]), np.int32, 2 * degree)
                              for l in range(max(map(len, lists)))]
-                    x = np.concatenate([v, t.column("extra").to_numpy()[:, None]], 1).astype(np.float32)
-                    graph, held = Shard(x, links), []
+                    graph, held = Shard(v, links, inner=True), []
                 for row in range(rows.num_rows):
                     qid = np.array(rows.column("qid")[row].values)
                     q = np.array(rows.column("qv")[row].values).reshape(len(qid), -1)
-                    found = graph.search(np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), k + 1, ef)
+                    found = graph.search(q, k + 1, ef)
                     who, col = np.nonzero(found >= 0)
                     node = found[who, col]
                     yield pa.record_batch({"query_id": qid[who], "rep": rep[node],

@@ -64,6 +64,24 @@ def test_search_recall(spark):
     assert len(got) == sum(ids % 20 == 0) and hit / total >= 0.97
 
 
+def test_recall_beside_one_long_vector(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[777] *= 10_000
+    hit = total = 0
+    got = {}
+    for row in hnsw.search(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+        total += 20
+    print("recall", hit / total)
+    assert len(got) == 75 and hit / total >= 0.97
+
+
 def test_graph_levels_and_arrays():
     r = np.random.default_rng(0)
     x = r.normal(size=(900, 8)).astype(np.float32)
