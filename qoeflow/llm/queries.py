@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from qoeflow.llm import decontaminate, hnsw, quality, secret_scan, warc
 from qoeflow.llm.common import scratch, table
+from qoeflow.llm.fim import fill_in_middle
 from qoeflow.llm.language_id import language_id
+from qoeflow.llm.lexical import search as lexical_search
 from qoeflow.llm.packing import pack
 from qoeflow.llm.simhash import simhash_components
 from qoeflow.llm.substring_dedup import substring_dedup
+from qoeflow.llm.token_counts import token_counts
 from qoeflow.llm.token_files import token_round_trip
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +234,50 @@ FROM b""")
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
     return records.withColumnRenamed("source_id", "page_id")
+
+
+@_query()
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@_query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hx FROM documents),
+l AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls,
+             ('0x' || substr(hx, 1, 8))::BIGINT AS h1, ('0x' || substr(hx, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(hx, 17, 8))::BIGINT AS h3, ('0x' || substr(hx, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(ls) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS a,
+             greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS z,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100
+                  THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+p AS (SELECT *, coalesce(array_to_string(ls[1:a], ''), '') AS pre, coalesce(array_to_string(ls[a + 1:z], ''), '') AS mid,
+             coalesce(array_to_string(ls[z + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p""")
+def op12_fim_chunk_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+_SQL_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+              "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, {_SQL_TERMS} AS ts FROM documents),
+size AS (SELECT doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+total AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM size),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest({_SQL_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM tf, total WHERE term IN (SELECT term FROM q) GROUP BY term, all_docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_docs) // all_terms))))::BIGINT
+             AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN size USING (doc_id), total GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 50""")
+def op13_bitsliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
