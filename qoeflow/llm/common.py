@@ -3,9 +3,12 @@ row blocks and 64-bit mixing in numpy."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from qoeflow.session import shared_dir
@@ -56,6 +59,33 @@ def blocks(sizes, limit: int):
         yield first, len(sizes)
 
 
+def text_blocks(column: pa.Array, limit: int):
+    """(first, end, texts) of consecutive rows of a binary column, about
+    ``limit`` bytes each: of a whole Arrow batch only one block is held as
+    Python objects.  A null is empty."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    for first, end in blocks(sizes.tolist(), limit):
+        yield first, end, [t or b"" for t in column.slice(first, end - first).to_pylist()]
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: workers are
+    used again by later stages, which share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):        # another C library
+        pass
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qoeflow.llm.common import blocks, materialise
+from qoeflow.llm.common import materialise, release, text_blocks
 from qoeflow.llm.tokens import BLOCK_BYTES, default_path, encoder
 
 MAX_LEN = 2048
@@ -46,11 +46,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         seen = np.zeros(max_len + 1, np.int64)
         enc = encoder(path)
         for b in batches:
-            texts = [t.as_py() or b"" for t in b.column("text")]
             doc_ids = b.column("doc_id").to_pylist()
-            for first, end in blocks([len(t) for t in texts], BLOCK_BYTES):
+            for first, end, texts in text_blocks(b.column("text"), BLOCK_BYTES):
                 out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "task_rank")}
-                for doc_id, ids in zip(doc_ids[first:end], enc.encode(texts[first:end])):
+                for doc_id, ids in zip(doc_ids[first:end], enc.encode(texts)):
                     raw = memoryview(np.append(ids, end_id).astype("<u4").tobytes())
                     for k, at in enumerate(range(0, len(raw), 4 * max_len)):
                         part = raw[at:at + 4 * max_len]
@@ -65,6 +64,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                         out["task_rank"].append(int(seen[n]))
                         seen[n] += 1
                 yield pa.record_batch(out, schema=arrow)
+            release()
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                        ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()),
                        ("task_rank", pa.int64())])
