@@ -4,6 +4,7 @@ can express them, their DuckDB twins."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,13 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN g USING (doc_id)""")
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ledger = secret_scan.update_ledger(spark, docs, scratch(spark, "ledger"), new=True)
+    # the ledger grows in steps: half of the documents under an older version of
+    # one rule, then all of them; the second step scans what the first has not seen
+    path = scratch(spark, "ledger")
+    older = [replace(r, version="0") if r.kind == "access" else r for r in secret_scan.RULES]
+    half = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    secret_scan.update_ledger(spark, half, path, rules=older, new=True)
+    ledger = secret_scan.update_ledger(spark, docs, path)
     found = secret_scan.findings(docs, ledger)
 
     def n(kind: str):

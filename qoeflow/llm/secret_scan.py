@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qoeflow.llm.common import fresh
+
 #: Copies of a hot blob are spread over so many keys when findings are joined back.
 SALTS = 32
 
@@ -74,15 +76,19 @@ def _spans(text: Column, matches: Column, rule: Rule) -> Column:
 
 
 def scan(blobs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """Ledger rows of every (blob, rule) pair of ``blobs`` (blob, text)."""
-    found = blobs.select("blob", F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                         *[F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r.pattern), 0)
+    """Ledger rows of every (blob, rule) pair of ``blobs`` (blob, text, and
+    ``known``: the kinds that need no scan)."""
+    unseen = lambda r: ~F.array_contains("known", r.kind)
+    found = blobs.select("blob", "known", F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                         *[F.when(unseen(r), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")),
+                                                                  F.lit(r.pattern), 0))
                            .alias(f"m{i}") for i, r in enumerate(rules)])
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     rows = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"),
                               F.when(F.size(f"m{i}") > 0, _spans(F.col("text"), F.col(f"m{i}"), r))
-                              .otherwise(none).alias("spans")) for i, r in enumerate(rules)])
-    return found.select("blob", F.explode(rows).alias("x")).select("blob", "x.*")
+                              .otherwise(none).alias("spans"), unseen(r).alias("new")) for i, r in enumerate(rules)])
+    return (found.select("blob", F.explode(rows).alias("x")).filter("x.new")
+            .select("blob", "x.kind", "x.version", "x.spans"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -94,23 +100,26 @@ def update_ledger(spark: SparkSession, versions: DataFrame, path: str, id_col: s
     """Scan what the ledger at ``path`` has not seen (all, if it is ``new``)
     and append it; returns the ledger."""
     v = versions.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), blob_id(text_col).alias("blob"))
-    first = v.groupBy("blob").agg(F.min(F.xxhash64("id")).alias("pick"))
+    todo = v.groupBy("blob").agg(F.min(F.xxhash64("id")).alias("pick"))
     if new:
-        want = [(first, rules)]
+        todo = todo.withColumn("known", F.array().cast("array<string>"))
     else:
-        seen = read_ledger(spark, path)
-        # what a blob lacks is scanned rule by rule, so a new rule version
-        # does not scan the others again
-        want = [(first.join(seen.filter((F.col("kind") == r.kind) & (F.col("version") == r.version)),
-                            "blob", "left_anti"), (r,)) for r in rules]
-    out = None
-    for todo, some in want:
-        # one copy of each blob: the texts move once, keyed by row and not by
-        # blob, so that many copies of a blob are no hot key
-        texts = (v.withColumn("pick", F.xxhash64("id")).join(todo, ["blob", "pick"]).select("blob", "text"))
-        rows = scan(texts, some).dropDuplicates(["blob", "kind"])
-        out = rows if out is None else out.unionByName(rows)
-    out.write.mode("append").parquet(path)
+        # pairs the ledger has: a blob all of whose rules are known goes, of the
+        # others only the rules that are not are scanned
+        current = None
+        for r in rules:
+            ok = (F.col("kind") == r.kind) & (F.col("version") == r.version)
+            current = ok if current is None else current | ok
+        seen = read_ledger(spark, path).filter(current).select("blob", "kind")
+        whole = seen.groupBy("blob").agg(F.collect_set("kind").alias("known"))
+        todo = todo.join(whole.filter(F.size("known") == len(rules)), "blob", "left_anti")
+        todo = (todo.join(whole, "blob", "left")
+                .withColumn("known", F.coalesce("known", F.array().cast("array<string>"))))
+    # one copy of each blob: the texts move once, keyed by row and not by
+    # blob, so that many copies of a blob are no hot key
+    texts = (v.withColumn("pick", F.xxhash64("id")).join(todo, ["blob", "pick"])
+             .dropDuplicates(["blob", "pick"]).select("blob", "known", "text"))
+    scan(texts, rules).write.mode("append").parquet(path)
     return read_ledger(spark, path)
 
 
@@ -162,10 +171,11 @@ def mask(docs: DataFrame, ledger: DataFrame, rules=RULES, id_col: str = "doc_id"
     """``docs`` with what the ledger found in their texts replaced by ``mark``;
     texts without findings and all other columns stay as they are."""
     found = findings(docs, ledger, rules, id_col, text_col).filter(F.size("spans") > 0)
-    spans = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
+    b, s, salt = (fresh(docs, c) for c in ("blob_key", "spans_found", "blob_salt"))
+    spans = found.select(F.col("blob").alias(b), F.col("spans").alias(s)).dropDuplicates([b])
     # as in ``findings``, copies of one blob are spread over salted keys
-    spans = spans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = (docs.withColumn("__blob", blob_id(text_col))
-             .withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")))
-    hidden = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__spans"), mark))
-    return (keyed.join(spans, ["__blob", "__salt"], "left").withColumn(text_col, hidden).select(*docs.columns))
+    spans = spans.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = (docs.withColumn(b, blob_id(text_col))
+             .withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")))
+    hidden = F.when(F.col(s).isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col(s), mark))
+    return keyed.join(spans, [b, salt], "left").withColumn(text_col, hidden).select(*docs.columns)
