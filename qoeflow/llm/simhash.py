@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qoeflow.llm.common import materialise, seeded, signed
+from qoeflow.llm.common import fresh, materialise, release, seeded, signed
 from qoeflow.llm.graph import connected_components
 
 PIVOTS = seeded(16, 61)
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int = 4) -> Dat
             fp = np.array([fingerprint(t.as_py(), n) for t in b.column("text")], np.uint64)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "row_key": b.column("row_key"),
                                    "fp": pa.array(signed(fp))})
+            release()
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"),
                         F.col(text_col).cast("binary").alias("text"))
@@ -92,9 +93,22 @@ def _masks(n_rows: int, d: int) -> list[int]:
     return [sum(seg[i] for i in c) for c in combinations(range(m), m - d)]
 
 
-def pivot_table(fp: np.ndarray) -> np.ndarray:
-    """Hamming distance of each fingerprint to each pivot, one row a pivot."""
-    return np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS]).astype(np.int8)
+def pivot_columns():
+    """The pivot table of a fingerprint as columns: its Hamming distances to
+    the pivots, a byte each, eight to a long."""
+    near = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p)))).cast("long") for p in signed(PIVOTS)]
+    out = []
+    for at in range(0, len(near), 8):
+        packed = near[at]
+        for i, x in enumerate(near[at + 1:at + 8], 1):
+            packed = packed.bitwiseOR(F.shiftleft(x, 8 * i))
+        out.append(packed.alias(f"pivots{at // 8}"))
+    return out
+
+
+def pivot_table(*packed: np.ndarray) -> np.ndarray:
+    """Rows of distances, one a pivot, from the longs of ``pivot_columns``."""
+    return np.concatenate([np.ascontiguousarray(p).view(np.int8).reshape(-1, 8).T for p in packed])
 
 
 def _survivors(table, fp, left, right, d):
@@ -124,14 +138,15 @@ def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def _stars(group: np.ndarray, fp: np.ndarray, d: int):
-    """Links (fp, another fp) that connect what is linked within each group."""
+def _stars(group: np.ndarray, fp: np.ndarray, table: np.ndarray, d: int):
+    """Links (fp, another fp) that connect what is linked within each group;
+    pairs are formed only where the first pivot distance differs by at most
+    ``d``."""
     n = len(fp)
-    table = pivot_table(fp)
     order = np.lexsort((table[0], group))
     group, fp, table = group[order], fp[order], table[:, order]
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    place = group.astype(np.int64) * 256 + table[0]
+    end = np.searchsorted(place, place + d, "right")
     root = np.arange(n)
     links_u, links_v, held = [], [], 0
 
@@ -168,14 +183,15 @@ def links(distinct: DataFrame, d: int = 4, block_rows: int = BLOCK_ROWS) -> Data
     bits apart, directly or through other links."""
     masks = _masks(max(1, distinct.count()), d)
     signed_masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in signed_masks])).alias("c", "mask"))
-    keyed = keyed.select("c", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    pivots = [c for c in distinct.columns if c.startswith("pivots")]
+    keyed = distinct.select("fp", *pivots, F.posexplode(F.array(*[F.lit(m) for m in signed_masks])).alias("c", "mask"))
+    keyed = keyed.select("c", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", *pivots)
     met = keyed.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = keyed.join(met, ["c", "key"]).withColumn("nb", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
     rows = (rows.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
             .filter("nb = 1 or other <> blk")
-            .select("c", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "fp"))
+            .select("c", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "fp", *pivots))
 
     def run(batches):
         held = None
@@ -184,7 +200,7 @@ def links(distinct: DataFrame, d: int = 4, block_rows: int = BLOCK_ROWS) -> Data
             """Numbered groups of whole rows to links."""
             key = np.stack([part[x] for x in ("c", "key", "i", "j")])
             group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
-            u, v = _stars(group, part["fp"].view(np.uint64), d)
+            u, v = _stars(group, part["fp"].view(np.uint64), pivot_table(*(part[p] for p in pivots)), d)
             return pa.record_batch({"u": pa.array(signed(u)), "v": pa.array(signed(v))})
 
         for b in batches:
@@ -207,8 +223,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        max_distance: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, row_key, fingerprint (16 hex digits), component_id."""
     prints = materialise(fingerprints(docs, id_col, text_col, n), "simhash")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), "simhash-distinct")
-    found = links(distinct.select("fp"), max_distance, block_rows)
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("lo")).select("fp", "lo", *pivot_columns())
+    distinct = materialise(distinct, "simhash-distinct")
+    found = links(distinct.drop("lo"), max_distance, block_rows)
     roots = connected_components(found)
     named = (distinct.join(roots, distinct.fp == roots.node, "left")
              .select("fp", "lo", F.coalesce("root", "fp").alias("root")))
@@ -227,6 +244,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     parts = simhash_components(docs, id_col, text_col, n, max_distance)
     best = (parts.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
-            .agg(F.min("row_key").alias("__row")).select("__row").distinct())
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(best, "__row", "left_semi").dropDuplicates(["__row", id_col]).drop("__row")
+            .agg(F.min("row_key").alias("row_key")))
+    row = fresh(docs, "row")
+    best = best.select(F.col("row_key").alias(row)).distinct()
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col)))
+    return keyed.join(best, row, "left_semi").dropDuplicates([row, id_col]).drop(row)
