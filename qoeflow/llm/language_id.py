@@ -7,8 +7,9 @@ probabilities from both states, and a document's probabilities are the mean
 over all its positions.  Every byte of every text is read.
 
 The network is fitted on the driver on a bounded sample: about ``per_lang``
-stretches of ``TRAIN_BYTES`` bytes for each language, chosen by a hash of the
-doc_id, one from a hashed place of each chosen document.  Documents whose
+documents of each language, chosen by a hash of the doc_id (one row of each
+id), with their whole texts: every segment is in the pool that training batches
+are drawn from.  Documents whose
 crc32(doc_id as text) mod 4 is 2 are held out.  Prediction runs in the tasks;
 what is shipped there is the network's weights, whose size is fixed.
 
@@ -24,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qoeflow.llm.common import blocks
+from qoeflow.llm.common import release, text_blocks
 
 SEGMENT = 128
-TRAIN_BYTES = 64
 HIDDEN = 8
 PER_LANG = 1500
 STEPS = 400
@@ -229,20 +229,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    place = F.pmod(F.xxhash64("id", F.lit(9)), F.greatest(F.octet_length("text") - TRAIN_BYTES + 1, F.lit(1)))
-    rows = (known.filter(draw < share[F.col("lang")]).filter(F.col("text").rlike("\\p{L}"))
-            .select("id", "lang", F.substring(F.col("text").cast("binary"), place.cast("int") + 1, F.lit(TRAIN_BYTES))
-                    .alias("part")).collect())
-    rows = sorted(((r["id"], r["lang"], bytes(r["part"])) for r in rows if len(r["part"]) > 0))
+    drawn = known.filter(draw < share[F.col("lang")]).filter(F.col("text").rlike("\\p{L}"))
+    # an id counts once, however many rows have it: one row comes to the driver for each
+    rows = (drawn.groupBy("id").agg(F.min_by(F.struct("lang", F.col("text").cast("binary").alias("text")),
+                                             F.xxhash64("text", "lang")).alias("x")).select("id", "x.*").collect())
+    rows = sorted((r["id"], r["lang"], bytes(r["text"])) for r in rows)
     if not rows:
         return None
     langs = sorted({r[1] for r in rows})
-    x = np.zeros((len(rows), TRAIN_BYTES), np.uint8)
-    for i, r in enumerate(rows):
-        x[i, :len(r[2])] = np.frombuffer(r[2], np.uint8)
-    length = np.array([len(r[2]) for r in rows])
-    label = np.array([langs.index(r[1]) for r in rows])
-    # languages count alike however many stretches they have
+    # every segment of the whole texts, as in prediction
+    parts = [(langs.index(lang), text[a:a + SEGMENT]) for _, lang, text in rows for a in range(0, len(text), SEGMENT)]
+    x = np.zeros((len(parts), SEGMENT), np.uint8)
+    for i, (_, part) in enumerate(parts):
+        x[i, :len(part)] = np.frombuffer(part, np.uint8)
+    length = np.array([len(part) for _, part in parts])
+    label = np.array([k for k, _ in parts])
+    # languages count alike however many segments they have
     pick = np.concatenate([np.resize(np.flatnonzero(label == k), np.bincount(label).max()) for k in range(len(langs))])
     return ByteGru(langs).fit(x[pick], length[pick], label[pick], steps=steps)
 
@@ -252,14 +254,14 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
     def run(batches):
         for b in batches:
             letter = b.column("letter").to_pylist()
-            texts = [t.as_py() if ok else b"" for t, ok in zip(b.column("text"), letter)]
             lang, score = [], []
-            for first, end in blocks([len(t) for t in texts], BLOCK_BYTES):
+            for first, end, texts in text_blocks(b.column("text"), BLOCK_BYTES):
+                texts = [t if ok else b"" for t, ok in zip(texts, letter[first:end])]
                 if model is None:
                     lang += ["und"] * (end - first)
                     score += [0.0] * (end - first)
                     continue
-                prob = model.pooled(texts[first:end])
+                prob = model.pooled(texts)
                 best = prob.argmax(1)
                 for i in range(end - first):
                     ok = letter[first + i]
@@ -267,6 +269,7 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
                     score.append(min(1.0, float(prob[i, best[i]])) if ok else 0.0)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"),
                                    "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
+            release()
     letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("letter")
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), letter,
                         F.col(text_col).cast("binary").alias("text"))
