@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qoeflow.llm.common import blocks, materialise, scratch
+from qoeflow.llm.common import materialise, release, scratch, text_blocks
 from qoeflow.llm.tokens import BLOCK_BYTES, default_path, encoder
 
 MAGIC = b"VTOK"
@@ -102,9 +102,8 @@ def token_ids(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
         kind = "<u2" if vocab <= 1 << 16 else "<u4"
         counts = np.zeros(vocab, np.int64)
         for b in batches:
-            texts = [t.as_py() or b"" for t in b.column("text")]
-            for first, end in blocks([len(t) for t in texts], BLOCK_BYTES):
-                ids = [np.append(i, end_id) for i in enc.encode(texts[first:end])]
+            for first, end, texts in text_blocks(b.column("text"), BLOCK_BYTES):
+                ids = [np.append(i, end_id) for i in enc.encode(texts)]
                 counts += np.bincount(np.concatenate(ids), minlength=vocab)
                 m = end - first
                 yield pa.record_batch({
@@ -112,6 +111,7 @@ def token_ids(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: in
                     "n": pa.array([len(i) for i in ids], pa.int64()),
                     "ids": pa.array([zlib.compress(i.astype(kind).tobytes(), 1) for i in ids], pa.binary()),
                     "counts": pa.nulls(m, pa.binary())}, schema=arrow)
+            release()
         yield pa.record_batch({"doc_id": [None], "tie": [None], "n": [None], "ids": [None],
                                "counts": [zlib.compress(counts.tobytes(), 1)]}, schema=arrow)
     arrow = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()),
@@ -220,7 +220,8 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str, with_ids:
                             "ids_crc32": pa.array([zlib.crc32(p) for p in parts], pa.int64()),
                             "ids": pa.array([bytes(p) if with_ids else None for p in parts], pa.binary())})
                         at += int(cut[-1])
-    out = (manifest.repartition("shard").select("path", "start")
+    # a range for each shard: a given number of partitions is not coalesced, and no two hash alike
+    out = (manifest.repartitionByRange(max(1, manifest.count()), "shard").select("path", "start")
            .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"))
     return out if with_ids else out.drop("ids")
 

@@ -175,6 +175,7 @@ def read_warc(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
                             "target_uri": pa.array([h.get("WARC-Target-URI")], pa.string()),
                             "headers": pa.array([list(h.items())], pa.map_(pa.string(), pa.string())),
                             "block": [rest[:int(h["Content-Length"])].decode()]})
-    return files.select("path").repartition("path").mapInArrow(
+    # a range for each file: a given number of partitions is not coalesced, and no two hash alike
+    return files.select("path").repartitionByRange(max(1, files.count()), "path").mapInArrow(
         run, "record_type string, record_id string, refers_to string, target_uri string, headers map<string,string>, "
              "block string")
