@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qoeflow.llm.common import materialise
+from qoeflow.llm.common import fresh, materialise
 
 N = 8
 LITERALS = 5
@@ -257,6 +257,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("row_key").alias("__row")).distinct()
-    return (docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
-            .join(bad, "__row", "left_anti").drop("__row"))
+    row = fresh(docs, "row")
+    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("row_key").alias(row)).distinct()
+    return docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col))).join(bad, row, "left_anti").drop(row)

@@ -31,10 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qoeflow.llm.common import U64, blocks, seeded
+from qoeflow.llm.common import U64, blocks, fresh, release, seeded
 from qoeflow.llm.words import BLOCK, Poly, spans
 
 LABELLED = 4000
@@ -274,8 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 def _judge(heads: dict[str, Head], batch: pa.RecordBatch):
     """Columns text_quality, meta_quality, quality, toxic, keep of a batch."""
     out = []
-    sizes = [len(t) if (t := x.as_py()) else 0 for x in batch.column("text")]
-    for first, end in blocks(sizes, BLOCK):
+    sizes = pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
+    for first, end in blocks(sizes, BLOCK // 2):
         text, meta = _features(batch.slice(first, end - first))
         by_text, by_meta, quality = heads["quality"].score(text, meta)
         toxic = heads["toxic"].score(text, meta)[2]
@@ -308,4 +309,5 @@ def keep(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:
             view = pa.record_batch([b.column(text).cast(pa.binary()), b.column(len(names))], ["text", "meta"])
             rows = pa.record_batch([b.column(i) for i in range(len(names))], names)
             yield rows.filter(pa.array(_judge(heads, view)[4]))
-    return docs.select("*", meta_column().alias("__meta")).mapInArrow(run, docs.schema)
+            release()
+    return docs.select("*", meta_column().alias(fresh(docs, "meta"))).mapInArrow(run, docs.schema)

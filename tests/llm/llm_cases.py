@@ -7,7 +7,8 @@ import random
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; here they belong to the caller.
 CLASH = ["fp", "blob", "row_key", "length", "n", "bucket", "words", "a", "lo", "ids", "task", "score", "rank", "shard",
-         "meta", "labelled", "kind", "spans", "salt", "start"]
+         "meta", "labelled", "kind", "spans", "salt", "start", "row", "__row", "old", "__old", "__blob", "__salt",
+         "__spans", "blob_key", "spans_found", "blob_salt", "__meta", "hash", "items", "item"]
 
 
 def rows(seed: int = 3, n: int = 120):

@@ -134,7 +134,7 @@ def test_simhash_links_of_dense_groups(spark, block_rows):
 
     def s(p):
         return p - (1 << 64) if p >> 63 else p
-    df = spark.createDataFrame([(s(p),) for p in prints], "fp long")
+    df = spark.createDataFrame([(s(p),) for p in prints], "fp long").select("fp", *simhash.pivot_columns())
     roots = {x.node: x.root for x in connected_components(simhash.links(df, 4, block_rows)).collect()}
     mine, want = {}, {}
     for k, (p, c) in enumerate(zip(prints, brute_components(list(enumerate(prints))))):
@@ -143,12 +143,16 @@ def test_simhash_links_of_dense_groups(spark, block_rows):
     assert sorted(mine.values()) == sorted(want.values())
 
 
-def test_simhash_pivot_filter_keeps_every_link():
+def test_simhash_pivot_filter_keeps_every_link(spark):
     r = np.random.default_rng(1)
     x = r.integers(0, 1 << 63, 300).astype(np.uint64)
     flips = np.array([sum(1 << int(b) for b in r.choice(64, 4, replace=False)) for _ in range(300)], np.uint64)
     both = np.concatenate([x, x ^ flips])
-    t = simhash.pivot_table(both)
+    df = spark.createDataFrame([(int(p),) for p in both.view(np.int64)], "fp long").select("fp", *simhash.pivot_columns())
+    rows = {r.fp: r for r in df.collect()}
+    packed = [np.array([rows[int(p)][c] for p in both.view(np.int64)], np.int64) for c in df.columns[1:]]
+    t = simhash.pivot_table(*packed)
+    assert (t == np.stack([np.bitwise_count(both ^ p) for p in simhash.PIVOTS])).all()
     u, v = simhash._survivors(t, both, np.arange(300), np.arange(300) + 300, 4)
     assert len(u) == 300
 
