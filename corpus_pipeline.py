@@ -12,6 +12,11 @@ Stages work on what the one before kept, each on a written table:
 
 No SQL can express the tokenizer or the classifier, so ``ORACLE_SQL`` is None
 and tests compare each stage with a plain version.
+
+Defined results: null and empty texts are documents like any other (a stage's
+operator says what it makes of them); repeated rows count once after near_dedup;
+an empty table gives an empty result; columns beside those of documents stay to
+the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qoeflow.llm import decontaminate, packing, quality, secret_scan, simhash
-from qoeflow.llm.common import materialise, scratch, table
+from qoeflow.llm.common import fresh, materialise, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +42,10 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = secret_scan.update_ledger(spark, docs, scratch(spark, "ledger"), new=True)
-    masked = secret_scan.mask(docs.withColumn("__old", F.length("text")), ledger)
-    changed = F.length("text") - F.col("__old")
-    return masked.withColumn("n_chars", F.col("n_chars") + F.coalesce(changed, F.lit(0))).drop("__old")
+    old = fresh(docs, "old_length")
+    masked = secret_scan.mask(docs.withColumn(old, F.length("text")), ledger)
+    changed = F.length("text") - F.col(old)
+    return masked.withColumn("n_chars", F.col("n_chars") + F.coalesce(changed, F.lit(0))).drop(old)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

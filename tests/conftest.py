@@ -15,7 +15,3 @@ def spark():
     s = build_session("local[*]", 8, extra={"spark.checkpoint.dir": ckpt})
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"

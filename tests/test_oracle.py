@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+from fixtures_data import SF_SMALL
 
 import __spark_entry__ as E
 from qoeflow.plans.catalog import REGISTRY

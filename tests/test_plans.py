@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from qoeflow.plans.catalog import REGISTRY  # noqa: E402
-from conftest import SF_SMALL  # noqa: E402
+from fixtures_data import SF_SMALL  # noqa: E402
 from plan_report import summarise  # noqa: E402
 
 STREAMING = {"stream_state", "stream_state_lazy", "stream_state_timed", "stream_slots", "ingest_routing",
