@@ -61,10 +61,8 @@ class Policy:
     def state_at(self, stats: DataFrame, asks: DataFrame, tick: str = "tick") -> DataFrame:
         """State at every asked (group_id, at), with the column ``at``."""
         if self.window_ticks:
-            need = asks.select("group_id", "at", F.explode(F.sequence(
-                F.col("at") - (self.window_ticks - 1), F.col("at"))).alias(tick))
-            return (need.join(stats, ["group_id", tick]).groupBy("group_id", "at", "decision")
-                    .agg(F.sum("score_sum").alias("score_sum"), F.sum("n").alias("n")))
+            asked = asks.join(stats.select("group_id", "decision").distinct(), "group_id")
+            return S.sums_in_window(stats, asked, self.window_ticks, tick).where("n is not null")
         from qoeflow.operators.replay import state_asof, state_history
         return state_asof(state_history(stats, self.gamma, tick), stats, asks, self.gamma, tick)
 

@@ -12,12 +12,13 @@ ordinal of ``ordinals``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qoeflow.functions import exact_mean4, scaled_units
+from qoeflow.operators.asof import asof_join
 from qoeflow.operators.ordinals import ordinal_within
-from qoeflow.operators.stats import active_ranks
+from qoeflow.operators.stats import BLOCK_TICKS, active_ranks, group_ranks
 from qoeflow.session import write_once
 
 
@@ -88,6 +89,16 @@ def load_factor(load: Column, thresholds: Column) -> Column:
     return F.when(F.size(below) > 0, F.array_max(below)["factor"]).otherwise(F.lit(1.0))
 
 
+def load_factor_table(df: DataFrame, thresholds: DataFrame, decision: str = "decision", load: str = "load",
+                      width: float | None = None) -> DataFrame:
+    """J8, table form: ``df`` with ``factor``, that of the decision's highest
+    threshold strictly below the load in ``thresholds`` (decision, threshold,
+    factor), else 1; a strict as-of join on the load."""
+    t = thresholds.select(F.col("decision").alias(decision), "threshold", "factor")
+    j = asof_join(df, t, [decision], load, "threshold", ["factor"], "_hit", strict=True, width=width)
+    return j.withColumn("factor", F.coalesce(F.col("_hit.factor"), F.lit(1.0))).drop("_hit")
+
+
 def adjusted_cost(df: DataFrame, decision: str = "decision", use_load: bool = True) -> DataFrame:
     """J7 + J8: cost of the chosen decision in the session's own map times
     the load factor.  ``use_load=False`` gives factor 1, which is what the
@@ -179,29 +190,20 @@ def state_history(stats: DataFrame, gamma: float, tick: str = "tick", chunk: int
 def state_asof(history: DataFrame, stats: DataFrame, asks: DataFrame, gamma: float,
                tick: str = "tick") -> DataFrame:
     """State of every known decision of a group at tick T for each asked
-    (group_id, at) -- an as-of lookup (last active tick <= T) done as a
-    union + ``last(ignorenulls)`` window per (group, decision), then the
-    lazy decay gamma^(E(T) - E(b)) with E(T) = A(b) + T - G(T)."""
+    (group_id, at): an as-of join of the asks with each decision's last active
+    tick <= T, then the lazy decay gamma^(E(T) - E(b)) with
+    E(T) = A(b) + T - G(T); G(T), the group's active ticks up to T, is a second
+    as-of join."""
     decs = stats.select("group_id", "decision").distinct()   # cheap: not the fold
-    q = asks.join(decs, "group_id").select(
-        "group_id", "decision", F.col("at").alias(tick), F.lit(True).alias("_q"))
-    h = history.select("group_id", "decision", tick, F.lit(False).alias("_q"),
-                       F.struct("e", "a", "score_sum", "n").alias("_st"))
-    u = h.unionByName(q, allowMissingColumns=True)
-    w = (Window.partitionBy("group_id", "decision").orderBy(tick, "_q")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    u = u.withColumn("_last", F.last("_st", ignorenulls=True).over(w)).where(F.col("_q") & F.col("_last").isNotNull())
-    # G(T): number of active ticks of the group up to T, same as-of pattern
-    gt = stats.select("group_id", tick).distinct()
-    gq = asks.select("group_id", F.col("at").alias(tick), F.lit(True).alias("_q"))
-    gu = gt.withColumn("_q", F.lit(False)).withColumn("_one", F.lit(1)).unionByName(gq, allowMissingColumns=True)
-    wg = (Window.partitionBy("group_id").orderBy(tick, "_q").rowsBetween(Window.unboundedPreceding, 0))
-    gu = gu.withColumn("_G", F.sum(F.coalesce("_one", F.lit(0))).over(wg)).where("_q").select("group_id", tick, "_G")
-    j = u.join(gu, ["group_id", tick])
-    x = F.col("_last.a") + F.col(tick) - F.col("_G") - F.col("_last.e")
+    last = asof_join(asks.join(decs, "group_id").select("group_id", "decision", "at"), history, ["group_id", "decision"],
+                     "at", tick, ["e", "a", "score_sum", "n"], "_last", width=BLOCK_TICKS).where("_last is not null")
+    ranks = group_ranks(stats, tick)
+    active = asof_join(asks, ranks, ["group_id"], "at", tick, ["_G"], "_active", width=BLOCK_TICKS)
+    j = last.join(active.select("group_id", "at", F.col("_active._G").alias("_G")), ["group_id", "at"])
+    x = F.col("_last.a") + F.col("at") - F.col("_G") - F.col("_last.e")
     f = F.pow(F.lit(gamma), x)
-    return j.select("group_id", F.col(tick).alias("at"), "decision",
-                    (F.col("_last.score_sum") * f).alias("score_sum"), (F.col("_last.n") * f).alias("n"))
+    return j.select("group_id", "at", "decision", (F.col("_last.score_sum") * f).alias("score_sum"),
+                    (F.col("_last.n") * f).alias("n"))
 
 
 def replay_policy(sessions: DataFrame, stats: DataFrame, policy, seed: str,

@@ -119,6 +119,15 @@ def active_ranks(stats: DataFrame, tick: str = "tick", block: int = BLOCK_TICKS)
             .drop("_b", "_gl", "_al", "_g0", "_a0"))
 
 
+def group_ranks(stats: DataFrame, tick: str = "tick", block: int = BLOCK_TICKS) -> DataFrame:
+    """group_id, tick and ``_G``: the group's active ticks up to each of them."""
+    s = stats.select(G, tick).distinct().withColumn("_b", F.floor(F.col(tick) / block))
+    g = s.groupBy(G, "_b").agg(F.count(F.lit(1)).alias("_gc"))
+    g = g.select(G, "_b", (F.sum("_gc").over(Window.partitionBy(G).orderBy("_b")) - F.col("_gc")).alias("_g0"))
+    own = F.row_number().over(Window.partitionBy(G, "_b").orderBy(tick))
+    return s.withColumn("_r", own).join(g, [G, "_b"]).select(G, tick, (F.col("_g0") + F.col("_r")).alias("_G"))
+
+
 def merge_state(new: DataFrame, old: DataFrame, gamma: float) -> DataFrame:
     """Fold one tick of new stats into the state of the tick before.
 
@@ -138,17 +147,48 @@ def merge_state(new: DataFrame, old: DataFrame, gamma: float) -> DataFrame:
     return j.select(G, D, ns.alias("score_sum"), nn.alias("n"))
 
 
-def windowed_stats(stats: DataFrame, length_ticks: int, tick: str = "tick") -> DataFrame:
-    """Sliding-window sums per (group, decision) at each active tick.
+def sums_in_window(stats: DataFrame, asked: DataFrame, length_ticks: int, tick: str = "tick") -> DataFrame:
+    """``asked`` (group_id, decision, at) with score_sum and n over the ticks
+    [at-length+1, at]; null where the window holds no row.
 
-    The window [t-length+1, t] is a RANGE frame over tick-level rows, so a
-    row is read once instead of landing in length/slide windows.
+    Ticks are cut into blocks of the window's length, so a window is the end of
+    one block and the beginning of the next.  A row of ``stats`` is put into its
+    own block and into the next one; there, a running sum forwards over the
+    block's own rows and one backwards over the rows of the block before give
+    the two parts.  Nothing is subtracted, a row is added twice whatever the
+    length, and a busy (group, decision) is spread over its blocks.
     """
-    w = (Window.partitionBy(G, D).orderBy(tick)
-         .rangeBetween(-(length_ticks - 1), Window.currentRow))
-    return stats.select(G, D, tick,
-                        F.sum("score_sum").over(w).alias("score_sum"),
-                        F.sum("n").over(w).alias("n"))
+    length = int(length_ticks)
+    block = F.floor(F.col("_t") / length).cast("bigint")
+    s = stats.select(G, D, F.col(tick).cast("bigint").alias("_t"), "score_sum", "n")
+    own = s.select("*", block.alias("_b"), F.lit("own").alias("_role"), F.col("_t").alias("_from"))
+    before = s.select("*", (block + 1).alias("_b"), F.lit("before").alias("_role"), F.col("_t").alias("_from"))
+    ask = asked.select(G, D, F.col("at").cast("bigint").alias("_t"))
+    ask = ask.select("*", block.alias("_b"), F.lit("z").alias("_role"), (F.col("_t") - (length - 1)).alias("_from"))
+    rows = own.unionByName(before).unionByName(ask, allowMissingColumns=True)
+    part = Window.partitionBy(G, D, "_b")
+    is_ask = F.col("_role") == "z"
+
+    def run(role: str, c: str, order: list) -> Column:
+        # at equal ticks rows come before what is asked
+        return F.sum(F.when(F.col("_role") == role, F.col(c))).over(part.orderBy(*order, is_ask))
+
+    forth, back = [F.col("_t")], [F.col("_from").desc()]
+    rows = rows.select("*", *[run(role, c, order).alias(f"_{role}_{c}") for role, order in (("own", forth), ("before", back))
+                              for c in ("score_sum", "n")])
+
+    def both(c: str) -> Column:
+        x, y = F.col(f"_own_{c}"), F.col(f"_before_{c}")
+        return F.coalesce(x + y, x, y).alias(c)
+
+    return rows.where(is_ask).select(G, D, F.col("_t").alias("at"), both("score_sum"), both("n"))
+
+
+def windowed_stats(stats: DataFrame, length_ticks: int, tick: str = "tick") -> DataFrame:
+    """Sliding-window sums per (group, decision) at each active tick;
+    the cost does not depend on the window's length (``sums_in_window``)."""
+    return (sums_in_window(stats, stats.select(G, D, F.col(tick).alias("at")), length_ticks, tick)
+            .withColumnRenamed("at", tick))
 
 
 def window_state(stats: DataFrame, length_ticks: int, at_tick=None,

@@ -30,7 +30,7 @@ from qoeflow.operators.records import (
     parse_epsilon, parse_messages, parse_updates, project_labels, read_label_config, route, split_request,
 )
 from qoeflow.operators.replay import (
-    adjusted_cost, cost_per_second, load_share, narrow, replay_policy, requests_per_second,
+    adjusted_cost, cost_per_second, load_factor_table, load_share, narrow, replay_policy, requests_per_second,
     sessions_per_minute, with_buckets,
 )
 from qoeflow.operators.rules import flatten_rules, match_groups
@@ -465,6 +465,20 @@ def q_load_adjusted_cost(spark, sf_dir):
                     round4("cost").alias("cost"))
 
 
+@query("load_factor_table")
+def q_load_factor_table(spark, sf_dir):
+    """J8 with the thresholds as a table: the distinct entries of the sessions'
+    load maps, looked up by an as-of join on the load."""
+    b = _buckets(spark, sf_dir)
+    costed = load_share(b.select("minute", "ts_s", "line_no", "ok", "decision",
+                                 F.element_at("decision_map", F.col("decision")).alias("base")))
+    table = (b.select(F.explode("load_map").alias("decision", "t")).select("decision", F.explode("t").alias("t"))
+             .select("decision", "t.threshold", "t.factor").distinct())
+    out = load_factor_table(costed, table, width=1 / 64)
+    return out.select("line_no", "decision", round4("load").alias("load"), "factor",
+                      round4(F.col("factor") * F.col("base")).alias("cost"))
+
+
 @query("avg_cost_per_second")
 def q_avg_cost_per_second(spark, sf_dir):
     b = _buckets(spark, sf_dir)

@@ -398,6 +398,8 @@ def exact_mean4(units_sum: str, n: str, digits: int) -> str:
     return f"CASE WHEN {n} > 0 THEN (({units_sum}) * {2 * m} + {n}) // (2 * {n}) / 10000.0 END"
 
 
+SQL["load_factor_table"] = SQL["load_adjusted_cost"]
+
 SQL["avg_cost_per_second"] = with_(SESS) + f"""
 SELECT CAST(r.second AS BIGINT) AS second, CAST(r.sent AS BIGINT) AS sent,
        CAST(r.succeeded AS BIGINT) AS succeeded,
