@@ -4,7 +4,9 @@ A policy is all that the decision loop and the replay know of deciding:
 
 * ``state(stats)``: tick statistics -> state per (group, decision);
 * ``advance(new, old, tick)``: the loop's merge of one tick's sums into the
-  previous state, and ``current(state, tick)``: what to decide on from it;
+  kept state -- only the rows that change; ``current(state, tick)``: what to
+  decide on from it; ``state_schema``, ``state_keys`` and ``alive`` describe the
+  kept table (``streaming.tables.MergeTable``, in buckets by group);
 * ``state_at(stats, asks)``: the state at every asked (group, tick) of a replay;
 * ``decide(state, keys)``: one decision per group (or per ``keys``);
 * ``message(decisions, origin)``: decisions as published text;
@@ -33,6 +35,7 @@ from qoeflow.operators import stats as S
 class Policy:
     window_ticks: int | None = None     # None = discounted state, else sliding window
     decision_schema: str = "group_id string, decision string"
+    state_schema: str = "group_id string, decision string, score_sum double, n double, tick bigint"
 
     def __init__(self, gamma: float = 0.8):
         self.gamma = gamma
@@ -43,20 +46,30 @@ class Policy:
         return S.discounted_state(stats, self.gamma, at_tick)
 
     def advance(self, new: DataFrame, old: DataFrame | None, tick: int) -> DataFrame:
-        """State after the sums ``new`` (group_id, decision, score_sum, n) of
-        one more tick: discounted sums, or the rows of the window's ticks."""
+        """Rows of the kept state that the sums ``new`` (group_id, decision,
+        score_sum, n) of one more tick change: the discounted sums of the groups
+        they touch (of ``old``, at least those groups' rows are needed), or the
+        sums themselves as the window's newest tick."""
         new = new.select("group_id", "decision", F.col("score_sum").cast("double").alias("score_sum"),
                          F.col("n").cast("double").alias("n"))
-        if not self.window_ticks:
-            return new if old is None else S.merge_state(new, old, self.gamma)
-        new = new.withColumn("tick", F.lit(tick).cast("bigint"))
-        return new if old is None else old.where(F.col("tick") > tick - self.window_ticks).unionByName(new)
+        if self.window_ticks:
+            return new.withColumn("tick", F.lit(tick).cast("bigint"))
+        return S.advance_state(new, old, self.gamma, tick)
 
-    def current(self, state: DataFrame) -> DataFrame:
-        """(group_id, decision, score_sum, n) of an ``advance``d state."""
+    def current(self, state: DataFrame, tick: int) -> DataFrame:
+        """(group_id, decision, score_sum, n) of the kept state as of ``tick``."""
         if not self.window_ticks:
-            return state
-        return state.groupBy("group_id", "decision").agg(F.sum("score_sum").alias("score_sum"), F.sum("n").alias("n"))
+            return S.decay_lazily(state, self.gamma, tick)
+        return (state.where(self.alive(tick)).groupBy("group_id", "decision")
+                .agg(F.sum("score_sum").alias("score_sum"), F.sum("n").alias("n")))
+
+    @property
+    def state_keys(self) -> list[str]:
+        return ["group_id", "decision", "tick"] if self.window_ticks else ["group_id", "decision"]
+
+    def alive(self, tick: int) -> Column:
+        """Whether a row of the kept state still counts at ``tick``."""
+        return F.col("tick") > tick - self.window_ticks if self.window_ticks else F.lit(True)
 
     def state_at(self, stats: DataFrame, asks: DataFrame, tick: str = "tick") -> DataFrame:
         """State at every asked (group_id, at), with the column ``at``."""

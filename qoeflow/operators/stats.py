@@ -147,6 +147,22 @@ def merge_state(new: DataFrame, old: DataFrame, gamma: float) -> DataFrame:
     return j.select(G, D, ns.alias("score_sum"), nn.alias("n"))
 
 
+def advance_state(new: DataFrame, old: DataFrame, gamma: float, tick: int) -> DataFrame:
+    """J4 with lazy decay: ``old`` (.., tick: the tick its group was last
+    active in) -> the rows of the groups that ``new`` touches, at ``tick``.
+    Other groups keep their rows; ``decay_lazily`` reads them."""
+    idle = F.pow(F.lit(gamma), F.lit(tick - 1) - F.col("tick"))
+    o = (old.join(new.select(G).distinct(), G, "left_semi")
+         .select(G, D, (F.col("score_sum") * idle).alias("score_sum"), (F.col("n") * idle).alias("n")))
+    return merge_state(new, o, gamma).withColumn("tick", F.lit(tick).cast("bigint"))
+
+
+def decay_lazily(state: DataFrame, gamma: float, tick: int) -> DataFrame:
+    """The state of ``advance_state`` as of ``tick``."""
+    f = F.pow(F.lit(gamma), F.lit(tick) - F.col("tick"))
+    return state.select(G, D, (F.col("score_sum") * f).alias("score_sum"), (F.col("n") * f).alias("n"))
+
+
 def sums_in_window(stats: DataFrame, asked: DataFrame, length_ticks: int, tick: str = "tick") -> DataFrame:
     """``asked`` (group_id, decision, at) with score_sum and n over the ticks
     [at-length+1, at]; null where the window holds no row.

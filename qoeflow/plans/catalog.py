@@ -43,7 +43,7 @@ from qoeflow.sources.result_log import parse_result_log, read_result_log
 from qoeflow.sources.sinks import export_epsilon, latest_decision, write_series
 from qoeflow.sources.traces import read_traces, sort_traces, trace_text
 from qoeflow.streaming.exchange import (
-    epsilon_lines_job, exchange_job, forward_job, group_table_job, latest_decision_job, window_ring_job,
+    epsilon_lines_job, exchange_job, forward_job, group_table_job, latest_decision_job, newest_update_job, window_ring_job,
 )
 from qoeflow.streaming.jobs import (
     decision_state_job, ingest_job, multi_sink_job, topic_roundtrip_job,
@@ -691,6 +691,14 @@ def q_latest_decision_stream(spark, sf_dir):
     return latest_decision_job(spark, d).select("group_id", "slots", "tick")
 
 
+@query("newest_update_stream")
+def q_newest_update_stream(spark, sf_dir):
+    """The newest update of every group over 21 micro-batches, in a
+    table to which each batch adds its rows only."""
+    t = newest_update_job(spark, V.updates(spark, sf_dir))
+    return t.select("group_id", "event_id", "decision", round4("cost").alias("cost"), "tick")
+
+
 @query("sliding_stream")
 def q_sliding_stream(spark, sf_dir):
     """T3 streamed: the tick ring per group, read at the last tick, then

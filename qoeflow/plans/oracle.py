@@ -567,6 +567,9 @@ WHERE s.cluster_id <> '{P.ME}'"""
 SQL["group_table_stream"] = SQL["group_assignment_latest"]
 SQL["latest_decision_stream"] = SQL["latest_decision"]
 SQL["sliding_stream"] = SQL["best_decision"]
+SQL["newest_update_stream"] = with_(UPDATES) + """
+SELECT group_id, event_id, decision, CAST(round(CAST(cost AS DECIMAL(38,12)), 4) AS DOUBLE) AS cost, tick
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ts DESC, event_id DESC) AS r FROM updates) WHERE r = 1"""
 
 # The decision loop: ticks are the micro-batches, i.e. the 6 staged slices
 # of the messages in event_id order.

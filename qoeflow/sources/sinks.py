@@ -1,9 +1,8 @@
 """Decision sinks.
 
 Batch forms return DataFrames; ``merge_latest`` is the streaming form
-used from ``foreachBatch``: it rewrites the latest-decision table as a
-new version directory (a full outer merge), which keeps the sink
-idempotent per batch id.
+used from ``foreachBatch``: it adds a micro-batch to the latest-decision table
+(``streaming.tables.MergeTable``), idempotent per batch id.
 """
 
 from __future__ import annotations
@@ -14,9 +13,10 @@ from pyspark.sql import functions as F
 
 def latest_decision(decisions: DataFrame, order: str = "tick",
                     payload: list[str] | None = None) -> DataFrame:
-    """Newest decision per group (one row per group)."""
+    """Newest decision per group (one row per group); of several with the
+    same ``order`` the one with the largest payload."""
     payload = payload or [c for c in decisions.columns if c not in ("group_id", order)]
-    best = F.max_by(F.struct(*payload, F.col(order)), F.col(order))
+    best = F.max_by(F.struct(*payload, F.col(order)), F.struct(F.col(order), *payload))
     return (decisions.groupBy("group_id").agg(best.alias("_b"))
             .select("group_id", *[F.col(f"_b.{c}").alias(c) for c in payload + [order]]))
 
@@ -39,15 +39,17 @@ def write_series(series: DataFrame, order: str, value: str, path: str) -> None:
      .write.mode("overwrite").text(path))
 
 
-def merge_latest(batch: DataFrame, table_path: str, version: int, order: str = "tick") -> str:
-    """Streaming S7: merge a micro-batch into the latest-decision table.
+def latest_table(decisions: DataFrame, path: str, order: str = "tick"):
+    """The table of the newest decision per group (``MergeTable``) for rows
+    like ``decisions``."""
+    from qoeflow.streaming.tables import MergeTable
+    return MergeTable(decisions.sparkSession, path, decisions.schema, ["group_id"], order=[order])
 
-    Writes ``table_path/v=<version>`` from the previous version (if any)
-    unioned with the batch, newest per group.  Re-running a batch id
-    rewrites the same version, so the sink is idempotent.
-    """
-    from qoeflow.streaming.tables import latest_version, write_version
-    old = latest_version(batch.sparkSession, table_path, before=version)
-    cur = batch if old is None else old.unionByName(batch)
-    write_version(latest_decision(cur, order), table_path, version)
-    return f"{table_path}/v={version}"
+
+def merge_latest(batch: DataFrame, table_path: str, version: int, order: str = "tick") -> DataFrame:
+    """Streaming S7: merge a micro-batch into the latest-decision table, newest
+    per group by ``order`` (equal ones: the later batch); returns the table.
+    Re-running a batch id rewrites its own rows, so the sink is idempotent."""
+    table = latest_table(batch, table_path, order)
+    table.merge(latest_decision(batch, order), version)
+    return table.read(before=version + 1)

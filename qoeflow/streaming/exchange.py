@@ -1,9 +1,9 @@
 """Streaming exchange and group-table jobs.
 
-Tables written by streams are folders of versions ``v=<batch_id>`` (see
-``streaming.tables``) or append-only files; readers in other streams re-read
-them inside ``foreachBatch`` so every micro-batch sees the newest version --
-the stream-static join of shared in-memory maps, without shared memory.
+Tables written by streams are merge tables (``streaming.tables``: a batch adds
+its rows, only what has grown is merged) or append-only files; readers in other
+streams re-read them inside ``foreachBatch`` so every micro-batch sees the newest
+rows -- the stream-static join of shared in-memory maps, without shared memory.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from qoeflow.session import scratch_path
 from qoeflow.streaming.jobs import combine, finish, run_available_now, run_slices
-from qoeflow.streaming.tables import latest_version, write_version
+from qoeflow.sources.sinks import latest_table
+from qoeflow.streaming.tables import MergeTable, latest_version, write_version
 
 
 def subscriptions_stream(subs: DataFrame, table: str, checkpoint: str):
@@ -44,35 +45,35 @@ def fanout_sink(subs_table: str, me: str, out: str):
 
 def group_table_sink(table: str, me: str, rejects: str):
     """Merge a batch of feed messages into the assignment table,
-    newest cluster per group, as version ``v=<batch_id>``; messages that are
-    no feed message go to ``rejects`` as they came."""
+    newest cluster per group; messages that are no feed message go to
+    ``rejects`` as they came."""
     from qoeflow.sources.feed import assignments, feed_rejects
 
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         feed_rejects(df).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
-        new = assignments(df).select("group_id", "cluster_id",
-                                     F.struct(F.lit(batch_id).cast("bigint").alias("b"),
-                                              F.col("seq"), F.col("pos")).alias("o"))
-        old = latest_version(spark, table, before=batch_id)
-        if old is None:
-            old = spark.createDataFrame([("null", me, (-1, -1, -1))],
-                                        "group_id string, cluster_id string, o struct<b:bigint,seq:bigint,pos:int>")
-        cur = old.unionByName(new)
-        latest = cur.groupBy("group_id").agg(F.max_by(F.struct("cluster_id", "o"), "o").alias("x"))
-        write_version(latest.select("group_id", "x.cluster_id", "x.o"), table, batch_id)
+        new = assignments(df).select("group_id", "cluster_id", F.lit(batch_id).cast("bigint").alias("b"), "seq", "pos")
+        # the default is older than every message
+        first = spark.createDataFrame([("null", me, -1, -1, -1)], GROUP_TABLE)
+        group_table(spark, table).merge(new.unionByName(first), batch_id)
     return sink
 
 
+GROUP_TABLE = "group_id string, cluster_id string, b bigint, seq bigint, pos int"
+
+
+def group_table(spark: SparkSession, path: str) -> MergeTable:
+    """Group -> cluster, the newest by (batch, message, position)."""
+    return MergeTable(spark, path, GROUP_TABLE, ["group_id"], order=["b", "seq", "pos"])
+
+
 def latest_decision_sink(table: str, order: str = "tick"):
-    """Newest decision per group merged into a versioned table."""
-    from qoeflow.sources.sinks import latest_decision
+    """Newest decision per group, by ``order`` and then batch, merged into
+    a table of one row per group."""
+    from qoeflow.sources.sinks import merge_latest
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        old = latest_version(spark, table, before=batch_id)
-        cur = df if old is None else old.unionByName(df)
-        write_version(latest_decision(cur, order), table, batch_id)
+        merge_latest(df, table, batch_id, order)
     return sink
 
 
@@ -161,7 +162,7 @@ def forward_sink(base: str, assign: DataFrame, clusters: DataFrame, me: str, lab
     """J10/P9/A14 in one batch: external updates to their cluster's address
     (unknown clusters and unreadable messages to rejects), and one
     subscription per group forwarded for the first time.  ``known`` is the
-    versioned table of groups subscribed to so far."""
+    table of groups subscribed to so far."""
     from qoeflow.operators.exchange import auto_subscribe
     from qoeflow.operators.records import forward, route, split_messages
 
@@ -176,13 +177,11 @@ def forward_sink(base: str, assign: DataFrame, clusters: DataFrame, me: str, lab
             (bad.select("value", F.lit("unreadable").alias("why"))
              .unionByName(lost.select("value", F.lit("unknown cluster").alias("why")))
              .write.mode("overwrite").parquet(f"{base}/rejects/batch_id={batch_id}"))
-            old = latest_version(spark, f"{base}/known", before=batch_id)
+            known = MergeTable(spark, f"{base}/known", "group_id string, cluster_id string, message string", ["group_id"])
             new = auto_subscribe(sent, me)
-            if old is not None:
-                new = new.join(old.select("group_id"), "group_id", "left_anti")
+            new = new.join(known.read(before=batch_id, of=new).select("group_id"), "group_id", "left_anti")
             new.write.mode("overwrite").parquet(f"{base}/subscriptions/batch_id={batch_id}")
-            new = spark.read.parquet(f"{base}/subscriptions/batch_id={batch_id}")
-            write_version(new if old is None else old.unionByName(new), f"{base}/known", batch_id)
+            known.merge(spark.read.parquet(f"{base}/subscriptions/batch_id={batch_id}"), batch_id)
         finally:
             df.unpersist()
     return sink
@@ -202,7 +201,7 @@ def forward_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, clu
 def group_table_job(spark: SparkSession, feed: DataFrame, me: str, n_files: int = 3) -> DataFrame:
     base = scratch_path(spark, "group-table")
     _replay(feed, base, "seq", n_files, group_table_sink(f"{base}/table", me, f"{base}/rejects"))
-    return latest_version(spark, f"{base}/table")
+    return group_table(spark, f"{base}/table").read()
 
 
 def epsilon_lines_sink(out: str):
@@ -225,7 +224,21 @@ def epsilon_lines_job(spark: SparkSession, messages: DataFrame, n_files: int = 3
 def latest_decision_job(spark: SparkSession, decisions: DataFrame, n_files: int = 3) -> DataFrame:
     base = scratch_path(spark, "latest")
     _replay(decisions, base, "tick", n_files, latest_decision_sink(f"{base}/table"))
-    return latest_version(spark, f"{base}/table")
+    return latest_table(decisions, f"{base}/table").read()
+
+
+def newest_update_job(spark: SparkSession, updates: DataFrame, n_files: int = 21) -> DataFrame:
+    """The newest update of each group, by time and then number, kept in a
+    merge table over many micro-batches (in the order of the numbers)."""
+    base = scratch_path(spark, "newest-update")
+    src = updates.select("event_id", "group_id", "decision", "cost", "tick", F.unix_micros(F.col("ts").cast("timestamp"))
+                         .alias("at"))
+
+    def table() -> MergeTable:
+        return MergeTable(spark, f"{base}/table", src.schema, ["group_id"], order=["at", "event_id"], fan=4)
+
+    _replay(src, base, "event_id", n_files, lambda df, batch_id: table().merge(df, batch_id))
+    return table().read()
 
 
 def window_ring_job(spark: SparkSession, updates: DataFrame, length_ticks: int,

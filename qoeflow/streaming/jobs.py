@@ -141,7 +141,7 @@ def combine(updates: DataFrame) -> DataFrame:
 
 
 def decision_state_job(spark: SparkSession, updates: DataFrame, gamma: float,
-                       n_files: int = 4, order: str = "tick") -> DataFrame:
+                       n_files: int = 6, order: str = "tick") -> DataFrame:
     """T1 end to end: stage the updates as an ordered file stream, run the
     stateful fold, return the latest emitted state per (group, decision)."""
     from qoeflow.streaming.state import decision_stream, latest_state
@@ -158,7 +158,7 @@ def decision_state_job(spark: SparkSession, updates: DataFrame, gamma: float,
 
 
 def ingest_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me: str,
-               labels: list[str], keep: list[str], n_files: int = 3, return_path: bool = False):
+               labels: list[str], keep: list[str], n_files: int = 4, return_path: bool = False):
     """M4: spool folder -> upload topic (raw update) + processing topic
     (reduced update, cluster, internal/external) -> file topic sink; messages
     that cannot be read go to the ``rejects`` topic as they came."""
@@ -190,7 +190,7 @@ def ingest_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me:
 
 
 def topic_roundtrip_job(spark: SparkSession, messages: DataFrame, assign: DataFrame, me: str,
-                        n_files: int = 3) -> DataFrame:
+                        n_files: int = 4) -> DataFrame:
     """S1 -> S6: a file topic read as a stream, each row routed to the
     topic named in its row (stream-static lookup), written by the topic
     sink, read back."""

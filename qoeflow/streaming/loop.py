@@ -6,16 +6,16 @@ reference (a record counts in the batch it arrives in).  Per batch, in
 
 1. parse the messages (P1, rejects kept apart), sum and count per
    (group, decision) -- the tick's stats (A2);
-2. ``policy.advance`` them into the newest state version below this batch's
-   (discounted sums: J4; a sliding window: the rows of its ticks) and write
-   state version ``v=<batch_id>``;
+2. ``policy.advance`` gives the rows of the state that change (discounted
+   sums of the groups in the batch: J4, idle groups decay when they are read; a
+   sliding window: the batch's sums as its newest tick).  They are merged into
+   the state table, ``tables.MergeTable`` in buckets by group: only the buckets
+   of the batch's groups are read for it, and what is written follows the batch;
 3. ``policy.decide`` for every group (T8) and write ``policy.message`` (P12,
    or the epsilon-greedy form) under ``batch_id=<n>``.
 
-Both outputs are overwritten per batch id and a batch never reads its own
-version, so a batch that runs again gives the same state and decisions.  Two
-state versions are kept.  The state is rewritten each tick; for millions of
-groups prefer ``streaming.state.decision_stream`` (state store, lazy decay).
+Both outputs are overwritten per batch id and a batch reads the state below its
+own id only, so a batch that runs again gives the same state and decisions.
 """
 
 from __future__ import annotations
@@ -27,10 +27,16 @@ from qoeflow.operators.policy import Policy
 from qoeflow.operators.records import parse_updates
 from qoeflow.session import scratch_path
 from qoeflow.streaming.jobs import run_available_now, run_slices, start_stream
-from qoeflow.streaming.tables import latest_version, write_version
+from qoeflow.streaming.tables import MergeTable
 from qoeflow.streaming.topics import spool_source
 
 
+def state_table(spark: SparkSession, base: str, policy: Policy) -> MergeTable:
+    """The loop's kept state below ``base``."""
+    return MergeTable(spark, f"{base}/state", policy.state_schema, policy.state_keys, by=["group_id"],
+                      alive=policy.alive if policy.window_ticks else None)
+
+
 def decision_loop_sink(base: str, labels: list[str], policy: Policy, origin: str,
                        topic: tuple[str, str, dict] | None = None):
     """``topic`` = (name, format, options) also publishes the decision
@@ -44,11 +50,12 @@ def decision_loop_sink(base: str, labels: list[str], policy: Policy, origin: str
             bad.select("value").write.mode("overwrite").parquet(f"{base}/rejects/batch_id={batch_id}")
             new = good.groupBy("group_id", "decision").agg(F.sum("score").alias("score_sum"),
                                                            F.count(F.lit(1)).alias("n"))
-            old = latest_version(spark, f"{base}/state", before=batch_id)
-            state = write_version(policy.advance(new, old, batch_id), f"{base}/state", batch_id)
+            table = state_table(spark, base, policy)
+            table.merge(policy.advance(new, table.read(before=batch_id, of=new), batch_id), batch_id)
         finally:
             df.unpersist()
-        dec = policy.message(policy.decide(policy.current(state)), origin)
+        state = table.read(before=batch_id + 1)
+        dec = policy.message(policy.decide(policy.current(state, batch_id)), origin)
         dec = dec.withColumn("tick", F.lit(batch_id).cast("bigint"))
         dec.write.mode("overwrite").parquet(f"{base}/decisions/batch_id={batch_id}")
         if topic:
