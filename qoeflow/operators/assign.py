@@ -37,10 +37,14 @@ def _finish(df: DataFrame, picked: Column, seed: str, key: str) -> DataFrame:
 
 def assign_slots(requests: DataFrame, latest: DataFrame, seed: str, key: str = "req_id") -> DataFrame:
     """K5 + K8: uniform pick from the group's slot string 'd1:...:dk:'."""
-    d = latest.select("group_id", F.split(strip_chars(F.col("slots")), ":").alias("_slots"))
-    j = requests.join(d, "group_id", "left")
-    choice = pick("_slots", hash_u32(F.lit(seed), F.lit("slot"), F.col(key)))
-    return _finish(j, choice, seed, key).drop("_slots")
+    return draw_slots(requests.join(latest.select("group_id", "slots"), "group_id", "left"), seed, key).drop("slots")
+
+
+def draw_slots(joined: DataFrame, seed: str, key: str = "req_id") -> DataFrame:
+    """The draw of ``assign_slots`` for requests that have their decision
+    (``slots``, null without one) beside them."""
+    slots = F.split(strip_chars(F.col("slots")), ":")
+    return _finish(joined, pick(slots, hash_u32(F.lit(seed), F.lit("slot"), F.col(key))), seed, key)
 
 
 def assign_epsilon(requests: DataFrame, eg: DataFrame, seed: str, key: str = "req_id") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from qoeflow.functions import hash_u32, round4
 from qoeflow.operators import stats as S
 from qoeflow.operators.assign import (
-    assign_epsilon, assign_slots, assign_weighted, format_weights, parse_weights,
+    assign_epsilon, assign_slots, assign_weighted, draw_slots, format_weights, parse_weights,
 )
 from qoeflow.operators.exchange import (
     auto_subscribe, fan_out, feature_histogram, heartbeats, parse_subscriptions,
@@ -430,7 +430,7 @@ def q_trace_parse(spark, sf_dir):
 
 @query("trace_sort")
 def q_trace_sort(spark, sf_dir):
-    return sort_traces(_trace_lines(spark, sf_dir), keep=False).select("line_no", "sort_pos")
+    return sort_traces(_trace_lines(spark, sf_dir)).select("line_no", "sort_pos", "value")
 
 
 def _buckets(spark, sf_dir):
@@ -771,6 +771,34 @@ def q_stream_state_lazy(spark, sf_dir):
                      round4("n").alias("n"), round4(S.mean_col()).alias("mean"), "last_tick")
 
 
+def _state_columns(st):
+    return st.select("group_id", "decision", round4("score_sum").alias("score_sum"),
+                     round4("n").alias("n"), round4(S.mean_col()).alias("mean"), "last_tick")
+
+
+@query("stream_state_chained")
+def q_stream_state_chained(spark, sf_dir):
+    """T2 -> T1: event-time ticks closed by the watermark feed the state; the
+    updates arrive up to three ticks out of order, the result is the closed form."""
+    from qoeflow.streaming.jobs import chained_state_job
+    from qoeflow.streaming.keyed_state import read_state
+    delay = F.pmod(hash_u32(F.lit("arrive"), F.col("event_id")), F.lit(3 * P.TICK_S))
+    u = V.updates(spark, sf_dir).withColumn("arrival", F.unix_timestamp("ts") + delay)
+    rows = chained_state_job(spark, u, P.GAMMA, P.TICK_S, 4, "arrival")
+    return _state_columns(read_state(rows, P.GAMMA, rows.select(F.max("group_tick")).scalar()))
+
+
+@query("stream_state_bootstrap")
+def q_stream_state_bootstrap(spark, sf_dir):
+    """The first half of the ticks as a batch, the second streamed from
+    its state, all groups read from the state store; equals the closed form."""
+    from qoeflow.functions import tick_of
+    from qoeflow.streaming.jobs import bootstrapped_state_job
+    ts = V.table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    lo, hi = ts.select(tick_of("lo", P.TICK_S), tick_of("hi", P.TICK_S)).first()
+    return _state_columns(bootstrapped_state_job(spark, V.updates(spark, sf_dir), P.GAMMA, (lo + hi) // 2, hi))
+
+
 @query("assign_stream")
 def q_assign_stream(spark, sf_dir):
     """M1 online: requests as a stream, served per micro-batch against the
@@ -781,6 +809,38 @@ def q_assign_stream(spark, sf_dir):
     return out.select("req_id", "group_id", "decision", "source")
 
 
+def _timed_decisions(spark, sf_dir):
+    """Slot decisions of the snapshot ticks, valid from the end of their tick."""
+    d = ucb_decisions(spark, sf_dir)
+    return d.select("group_id", "tick", F.concat(F.array_join("slots", ":"), F.lit(":")).alias("slots"),
+                    ((F.col("tick") + 1) * P.TICK_S).alias("from_s"))
+
+
+def _timed_requests(spark, sf_dir):
+    """The grouped requests, spread over the time before and between the snapshots."""
+    span = P.REQUEST_TICKS * P.TICK_S
+    start = (_last_tick(spark, sf_dir) - P.REQUEST_BACK) * P.TICK_S
+    return _grouped_requests(spark, sf_dir, "asn").withColumn(
+        "at", start + F.pmod(F.col("req_id") * F.lit(7919 * 37), F.lit(span)))
+
+
+@query("assign_asof_stream")
+def q_assign_asof_stream(spark, sf_dir):
+    """M1/J6 online: requests between decisions that change, each served by the
+    decision valid at its own time, though requests come up to three ticks late."""
+    from qoeflow.streaming.serving import decision_events, request_events, serve_asof_job
+    dec = write_once(_timed_decisions(spark, sf_dir), "timed-decisions")
+    events = (decision_events(dec, "tick", "slots", F.col("from_s"))
+              .withColumn("arrival", F.unix_timestamp("valid_from")))
+    late = F.pmod(hash_u32(F.lit("delay"), F.col("req_id")), F.lit(3 * P.TICK_S))
+    req = request_events(_timed_requests(spark, sf_dir), F.col("at"), F.array_join("candidates", "\t"))
+    out = serve_asof_job(spark, events, req.withColumn("arrival", F.col("at") + late), P.TICK_S,
+                         n_files=4, salts=4)
+    served = draw_slots(out.withColumn("candidates", F.split("body", "\t")).withColumnRenamed("payload", "slots"), P.SEED)
+    return served.select("req_id", "group_id", F.coalesce("version", F.lit(-1)).cast("bigint").alias("tick"), "decision",
+                         "source")
+
+
 @query("ingest_decide_stream")
 def q_ingest_decide_stream(spark, sf_dir):
     """M4 -> T1: spool -> topic routing -> decision loop on this cluster's

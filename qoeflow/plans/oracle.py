@@ -350,9 +350,14 @@ SELECT event_id AS line_no, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, event_type
        CAST(3 AS BIGINT) AS n_thresholds, 4.0::DOUBLE AS top_factor
 FROM events"""
 
-SQL["trace_sort"] = """
+_COSTS = ", ".join(f"'{d},' || CAST(CAST(value AS DECIMAL(12,2)) * CAST(1.{i} AS DECIMAL(2,1)) AS DECIMAL(12,3))::VARCHAR"
+                   for i, d in enumerate(P.DECISION_TYPES))
+_LOADS = ", ".join(f"'{d},0.1;1.5;0.2;2.0;0.3;4.0'" for d in P.DECISION_TYPES)
+SQL["trace_sort"] = f"""
 SELECT event_id AS line_no,
-       row_number() OVER (ORDER BY CAST(CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS VARCHAR), event_id) AS sort_pos
+       row_number() OVER (ORDER BY CAST(CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS VARCHAR), event_id) AS sort_pos,
+       concat_ws(chr(9), CAST(floor(epoch(ts)) AS BIGINT) * 1000, event_id, user_id, event_type, 'DecisionMap', {_COSTS},
+                 'LoadMap', {_LOADS}) AS value
 FROM events"""
 
 SESS = f"""sess AS (
@@ -588,6 +593,15 @@ FROM ucb"""
 
 SQL["stream_state_lazy"] = SQL["discounted_state"]
 SQL["assign_stream"] = SQL["assign_slots"]
+SQL["assign_asof_stream"] = with_(UPDATES, STATS, *snapshots(), RULE_GROUP, recursive=True) + f""",
+timed AS (SELECT group_id, CAST(snap AS BIGINT) AS tick, slots, (snap + 1) * {P.TICK_S} AS from_s FROM ucbs),
+req AS (SELECT req_id, candidates, asn AS group_id,
+               ({LAST_T} - {P.REQUEST_BACK}) * {P.TICK_S} + (req_id * {7919 * 37}) % {P.REQUEST_TICKS * P.TICK_S} AS at
+        FROM grouped)
+SELECT req_id, group_id, coalesce(tick, -1) AS tick, {_finish('pick')}
+FROM (SELECT r.*, d.tick, CASE WHEN d.slots IS NOT NULL THEN
+                    string_split(d.slots, ':')[{_h('slot')} % len(string_split(d.slots, ':')) + 1] END AS pick
+      FROM req r ASOF LEFT JOIN timed d ON r.group_id = d.group_id AND r.at >= d.from_s) x"""
 
 SQL["ingest_decide_stream"] = with_(ROUTED, """updates AS (
   SELECT r.group_id, e.event_type AS decision, CAST(CAST(e.value AS DECIMAL(12,2)) AS DOUBLE) AS cost,
@@ -597,6 +611,8 @@ SQL["ingest_decide_stream"] = with_(ROUTED, """updates AS (
 SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS message FROM ucb"""
 SQL["stream_slots"] = SQL["ucb_slots"]
 SQL["stream_state_timed"] = SQL["discounted_state"]
+SQL["stream_state_chained"] = SQL["discounted_state"]
+SQL["stream_state_bootstrap"] = SQL["discounted_state"]
 
 # ------------------------------------------------------ rejects, late updates
 BROKEN = f"""broken AS (SELECT event_id % 7 = 0 AS bad, user_id % 40 AS g FROM events),

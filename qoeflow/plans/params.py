@@ -23,4 +23,6 @@ N_FRONTENDS = 2
 DECISION_TYPES = ["click", "error", "purchase", "signup", "view"]
 SNAPSHOT_BACK = [8, 4, 0]   # V.decisions: ticks before the last one
 ORIGIN = "From: c0"
+REQUEST_BACK = 10     # first tick of the timed requests, before the last tick
+REQUEST_TICKS = 14    # ticks over which they are spread
 LATE_SLICES = 3       # micro-batches of the out-of-order stream

@@ -281,6 +281,54 @@ def late_rows_job(spark: SparkSession, updates: DataFrame, width: str, lateness:
     return spark.read.parquet(f"{base}/out")
 
 
+def chained_state_job(spark: SparkSession, updates: DataFrame, gamma: float, tick_s: int, lateness_ticks: int,
+                      arrival: str, n_files: int = 6) -> DataFrame:
+    """T2 -> T1 end to end: updates (.., ts, ``arrival``) come in the order of
+    ``arrival``; a last row far in the future closes all ticks.  Returns the
+    emitted rows."""
+    from qoeflow.streaming.keyed_state import ROCKSDB, decision_stream_chained
+    base = scratch_path(spark, "chained-state")
+    cols = ["group_id", "decision", "cost", "ts"]
+    # the instant of a TIMESTAMP_NTZ read as UTC, whatever the session time zone
+    src = updates.select("group_id", "decision", "cost", F.timestamp_seconds(F.unix_timestamp("ts")).alias("ts"),
+                         F.col(arrival).cast("bigint").alias("_arrival"))
+    last = src.agg(F.unix_timestamp(F.max("ts")).alias("t"), F.max("_arrival").alias("a"))
+    closing = last.select(F.lit("").alias("group_id"), F.lit("").alias("decision"), F.lit(0.0).alias("cost"),
+                          F.timestamp_seconds(F.col("t") + (lateness_ticks + 2) * tick_s).alias("ts"),
+                          (F.col("a") + 1).alias("_arrival"))
+    src = src.unionByName(closing)
+
+    def run():
+        stream = spark.readStream.schema(src.select(*cols).schema).parquet(f"{base}/in/*")
+        run_available_now(decision_stream_chained(stream, gamma, tick_s, lateness_ticks), batch_sink(f"{base}/out"),
+                          f"{base}/ckpt", confs={"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
+
+    run_slices(src, base, "_arrival", n_files, run, cols=cols)
+    return spark.read.parquet(f"{base}/out")
+
+
+def bootstrapped_state_job(spark: SparkSession, updates: DataFrame, gamma: float, at_tick: int, last_tick: int,
+                           n_files: int = 4) -> DataFrame:
+    """The updates up to ``at_tick`` as a batch (closed form), those
+    behind it streamed from that state; returns the state at ``last_tick`` from
+    the state store."""
+    from qoeflow.operators import stats as S
+    from qoeflow.streaming.keyed_state import ROCKSDB, decision_stream_lazy, initial_state, read_store
+    base = scratch_path(spark, "bootstrapped-state")
+    first = S.tick_stats(updates.where(F.col("tick") <= at_tick))
+    initial_state(S.discounted_state(first, gamma, at_tick=at_tick), at_tick).write.parquet(f"{base}/initial")
+    src = updates.where(F.col("tick") > at_tick).select("group_id", "decision", "cost", "tick")
+
+    def run():
+        stream = spark.readStream.schema(src.schema).parquet(f"{base}/in/*")
+        op = decision_stream_lazy(stream, gamma, spark.read.parquet(f"{base}/initial"))
+        run_available_now(op, batch_sink(f"{base}/out"), f"{base}/ckpt", mode="update",
+                          confs={"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
+
+    run_slices(src, base, "tick", n_files, run)
+    return read_store(spark, f"{base}/ckpt", gamma, last_tick)
+
+
 def decision_state_lazy_job(spark: SparkSession, updates: DataFrame, gamma: float, n_files: int = 4,
                             timed_tick_s: int | None = None, lateness_ticks: int = 4) -> DataFrame:
     """T1 with ``transformWithStateInPandas`` (RocksDB state store): stage

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,6 +39,16 @@ class LazyDecayProcessor(StatefulProcessor):
         self.dec = handle.getMapState("dec", "decision string",
                                       "s double, n double, d_last bigint, idle_at bigint")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """A group's rows of ``initial_state``: its state as of a tick counts as
+        the state after that tick, with no idle ticks yet."""
+        at = None
+        for d, s, n, last, at in zip(initialState["decision"], initialState["score_sum"], initialState["n"],
+                                     initialState["last_tick"], initialState["at_tick"]):
+            self.dec.updateValue((d,), (float(s), float(n), int(last), 0))
+        if at is not None:
+            self.grp.update((int(at), 0, 0))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         g = self.gamma
         g_last, idle, late = self.grp.get() if self.grp.exists() else (None, 0, 0)
@@ -130,11 +140,57 @@ def decision_stream_timed(updates: DataFrame, gamma: float, tick_s: int, latenes
         TimedDecayProcessor(gamma, tick_s), OUT_SCHEMA, "Update", "EventTime")
 
 
-def decision_stream_lazy(updates: DataFrame, gamma: float) -> DataFrame:
+def decision_stream_lazy(updates: DataFrame, gamma: float, initial: DataFrame | None = None) -> DataFrame:
     """Updates stream (group_id, decision, cost, tick) -> the decisions
-    each micro-batch wrote, with the group's tick and idle count."""
+    each micro-batch wrote, with the group's tick and idle count.  ``initial``
+    (see ``initial_state``): the state to start from, of a stream that begins
+    behind its tick."""
+    start = None if initial is None else initial.groupBy("group_id")
     return (combine(updates).groupBy("group_id")
-            .transformWithStateInPandas(LazyDecayProcessor(gamma), OUT_SCHEMA, "Update", "None"))
+            .transformWithStateInPandas(LazyDecayProcessor(gamma), OUT_SCHEMA, "Update", "None", initialState=start))
+
+
+def initial_state(state: DataFrame, at_tick: int) -> DataFrame:
+    """A batch state (``stats.discounted_state`` at ``at_tick``) as the state
+    that a stream starts from."""
+    return state.select("group_id", "decision", F.col("score_sum").cast("double").alias("score_sum"),
+                        F.col("n").cast("double").alias("n"), F.col("last_tick").cast("bigint").alias("last_tick"),
+                        F.lit(at_tick).cast("bigint").alias("at_tick"))
+
+
+def decision_stream_chained(updates: DataFrame, gamma: float, tick_s: int, lateness_ticks: int) -> DataFrame:
+    """T2 -> T1: updates stream (group_id, decision, cost, ts) -> tumbling ticks
+    by event time -> the decision state, two stateful operators in one query.
+
+    The first closes a tick when the watermark, ``lateness_ticks`` behind the
+    newest update, has passed its end, and passes the sums of closed ticks on;
+    the second folds them.  Closed ticks come in order and whole, so the result
+    does not depend on the order in which updates arrive within the lateness
+    (the other streams count a late update in its group's current tick).  What
+    comes later than that is dropped (``metrics`` counts it)."""
+    ticks = (updates.where("cost is not null and ts is not null")
+             .withWatermark("ts", f"{lateness_ticks * tick_s} seconds")
+             .groupBy(F.window("ts", f"{tick_s} seconds").alias("w"), "group_id", "decision")
+             .agg(F.sum(-F.col("cost").cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("c")))
+    closed = ticks.select("w", "group_id", "decision",
+                          F.floor(F.unix_timestamp("w.start") / tick_s).cast("bigint").alias("tick"), "s", "c")
+    return closed.groupBy("group_id").transformWithStateInPandas(
+        LazyDecayProcessor(gamma), OUT_SCHEMA, "Append", "None")
+
+
+def read_store(spark: SparkSession, checkpoint: str, gamma: float, at_tick: int) -> DataFrame:
+    """State of every (group, decision) at tick T as the state store of a
+    query on ``checkpoint`` has it (``statestore`` data source): idle groups are
+    in it like any other, and no emitted row is read."""
+    def var(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    d = var("dec").select(F.col("key.group_id").alias("group_id"), F.col("user_map_key.decision").alias("decision"),
+                          F.col("user_map_value.*"))
+    g = var("grp").select(F.col("key.group_id").alias("group_id"), F.col("value.g_last").alias("group_tick"),
+                          F.col("value.idle").alias("group_idle"))
+    f = F.pow(F.lit(gamma), (F.col("group_idle") - F.col("idle_at")) + (F.lit(at_tick) - F.col("group_tick")))
+    return d.join(g, "group_id").select("group_id", "decision", (F.col("s") * f).alias("score_sum"),
+                                        (F.col("n") * f).alias("n"), F.col("d_last").alias("last_tick"), "group_tick")
 
 
 def read_state(rows: DataFrame, gamma: float, at_tick: Column, batch: str = "batch_id") -> DataFrame:
@@ -155,5 +211,5 @@ def read_state(rows: DataFrame, gamma: float, at_tick: Column, batch: str = "bat
                     (F.col("n") * f).alias("n"), "last_tick", "group_tick")
 
 
-__all__ = ["LazyDecayProcessor", "TimedDecayProcessor", "decision_stream_lazy",
-           "decision_stream_timed", "read_state", "ROCKSDB"]
+__all__ = ["LazyDecayProcessor", "TimedDecayProcessor", "decision_stream_chained", "decision_stream_lazy",
+           "decision_stream_timed", "initial_state", "read_state", "read_store", "ROCKSDB"]
