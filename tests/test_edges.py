@@ -131,6 +131,44 @@ def test_rules_last_wins_and_default(spark):
     assert out[5] == ("d5", False)          # string equality, not numeric ("01" != "1")
 
 
+def _plain_rules(node, features):
+    """The group the compiled document assigns last."""
+    found = None
+    if "GroupName" in node:
+        return node["GroupName"]
+    for e in node.get("Table", []):
+        f = int(node["Field"])
+        if f < len(features) and features[f] is not None and features[f] == e["Key"]:
+            found = _plain_rules(e["Rule"], features) or found
+    return found
+
+
+def test_deep_and_wide_rules_take_one_join_a_level(spark):
+    """500 condition-field signatures; equal prefixes that go on with other fields."""
+    import json
+    import random
+    r = random.Random(11)
+    fields = list(range(1, 12))
+
+    def node(left, name):
+        if not left:
+            return {"GroupName": name}
+        return {"Field": str(left[0]), "Table": [
+            {"Key": k, "Rule": node(left[1:], f"{name}-{k}")} for k in r.choices("pqr", k=2)]}
+    sets = set()
+    while len(sets) < 500:
+        sets.add(tuple(sorted(r.sample(fields, r.randint(1, 4)))))
+    doc = {"Field": "0", "Table": [{"Key": r.choice("uvw"), "Rule": node(list(x), f"g{i}")} for i, x in enumerate(sorted(sets))]}
+    leaves = flatten_rules(spark.createDataFrame([(1, json.dumps(doc))], "doc_id long, rules string"))
+    req = [(i, [r.choice("uvwx"), *(r.choice(["p", "q", "r", "s", None]) for _ in range(r.randint(3, 11)))]) for i in range(60)]
+    out = match_groups(spark.createDataFrame(req, "req_id long, features array<string>"), leaves, F.lit("dflt"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 12                      # two for each of the five levels, where a signature a join gave 500
+    got = {x.req_id: x.group_id for x in out.collect()}
+    assert got == {i: _plain_rules(doc, f) or "dflt" for i, f in req}
+    assert len(set(got.values())) > 20
+
+
 def test_root_leaf_matches_everything(spark):
     leaves = flatten_rules(spark.createDataFrame([(1, '{"GroupName":"all"}')], "doc_id long, rules string"))
     req = spark.createDataFrame([(1, ["a"])], "req_id long, features array<string>")
