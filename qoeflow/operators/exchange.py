@@ -17,12 +17,12 @@ from qoeflow.functions import hash_u32
 from qoeflow.operators.records import drop_managed
 
 
-def parse_subscriptions(df: DataFrame, value: str = "value") -> DataFrame:
-    """P7: 'group;cluster' -> (group_id, cluster_id); ``subscription_rejects``
-    has the other messages."""
+def parse_subscriptions(df: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """P7: 'group;cluster' -> (group_id, cluster_id and the columns ``keep``);
+    ``subscription_rejects`` has the other messages."""
     parts = F.split(F.col(value), ";")
     return (df.where(F.size(parts) > 1)
-              .select(F.get(parts, 0).alias("group_id"), F.get(parts, 1).alias("cluster_id")))
+              .select(F.get(parts, 0).alias("group_id"), F.get(parts, 1).alias("cluster_id"), *(keep or [])))
 
 
 def subscription_rejects(df: DataFrame, value: str = "value") -> DataFrame:

@@ -841,6 +841,37 @@ def q_assign_asof_stream(spark, sf_dir):
                          "source")
 
 
+@query("expiring_fanout_stream")
+def q_expiring_fanout_stream(spark, sf_dir):
+    """Decisions to the clusters whose subscription is still alive at the
+    decision's time; messages come up to a tick out of order."""
+    from qoeflow.streaming.subscriptions import expiring_fanout_job
+    span = P.REQUEST_TICKS * P.TICK_S
+    start = (_last_tick(spark, sf_dir) - P.REQUEST_BACK) * P.TICK_S
+    subs = V.subs(spark, sf_dir).withColumn("at", start + F.pmod(F.col("seq") * F.lit(7919 * 37), F.lit(span)))
+    delay = F.pmod(hash_u32(F.lit("sub"), F.col("seq")), F.lit(P.TICK_S))
+    subs = parse_subscriptions(subs.withColumn("arrival", F.col("at") + delay), keep=["at", "arrival"])
+    dec = write_once(_timed_decisions(spark, sf_dir), "timed-decisions")
+    dec = dec.select("group_id", F.col("from_s").alias("at"), F.col("slots").alias("message"), F.col("from_s").alias("arrival"))
+    return expiring_fanout_job(spark, subs, dec, P.ME, P.SUB_TTL_S, P.TICK_S)
+
+
+@query("run_metrics")
+def q_run_metrics(spark, sf_dir):
+    """The run's own counts: rows read, rows by sink, rows that the
+    watermark dropped; all that was read is accounted for."""
+    from qoeflow.streaming.metrics import deduplicated_job
+    m = V.messages(spark, sf_dir).withColumn("at", F.unix_timestamp("ts"))
+    m = m.withColumn("arrival", F.col("at") + F.pmod(hash_u32(F.lit("metric"), F.col("seq")), F.lit(8 * P.TICK_S)))
+    ours = F.get_json_object("value", "$.group_id").cast("int") < 25
+    t = deduplicated_job(spark, m, P.METRIC_LATENESS_S, {"assigned": ours, "other": ~ours}, "qoe_run_metrics", "arrival")
+    n = F.sum("n").alias("n")
+    read = t.where("measure = 'in'").agg(n).select(F.lit("read").alias("measure"), "n")
+    met = t.where("measure in ('assigned', 'other', 'dropped')").agg(n).select(F.lit("accounted").alias("measure"), "n")
+    lost = t.where("measure = 'dropped'").agg((F.sum("n") > 0).cast("bigint").alias("n"))
+    return read.unionByName(met).unionByName(lost.select(F.lit("some_dropped").alias("measure"), "n"))
+
+
 @query("ingest_decide_stream")
 def q_ingest_decide_stream(spark, sf_dir):
     """M4 -> T1: spool -> topic routing -> decision loop on this cluster's

@@ -592,6 +592,18 @@ SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS
 FROM ucb"""
 
 SQL["stream_state_lazy"] = SQL["discounted_state"]
+SQL["run_metrics"] = """
+SELECT 'read' AS measure, count(*) AS n FROM events UNION ALL SELECT 'accounted', count(*) FROM events
+UNION ALL SELECT 'some_dropped', 1"""
+SQL["expiring_fanout_stream"] = with_(UPDATES, STATS, *snapshots(), recursive=True) + f""",
+timed AS (SELECT group_id, (snap + 1) * {P.TICK_S} AS at, slots || ':' AS message FROM ucbs),
+sub AS (SELECT CAST(o_custkey % 150 AS VARCHAR) AS group_id,
+               'c' || CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 5 AS VARCHAR) AS cluster_id,
+               ({LAST_T} - {P.REQUEST_BACK}) * {P.TICK_S} + (o_orderkey * {7919 * 37}) % {P.REQUEST_TICKS * P.TICK_S} AS at
+        FROM orders)
+SELECT DISTINCT t.group_id, s.cluster_id, CAST(t.at AS BIGINT) AS at, t.message
+FROM timed t JOIN sub s ON s.group_id = t.group_id AND s.at <= t.at AND s.at > t.at - {P.SUB_TTL_S}
+WHERE s.cluster_id <> '{P.ME}'"""
 SQL["assign_stream"] = SQL["assign_slots"]
 SQL["assign_asof_stream"] = with_(UPDATES, STATS, *snapshots(), RULE_GROUP, recursive=True) + f""",
 timed AS (SELECT group_id, CAST(snap AS BIGINT) AS tick, slots, (snap + 1) * {P.TICK_S} AS from_s FROM ucbs),
