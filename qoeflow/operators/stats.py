@@ -24,6 +24,13 @@ def tick_stats(updates: DataFrame, tick: str = "tick") -> DataFrame:
                  F.count(F.lit(1)).alias("n")))
 
 
+def score_lists(updates: DataFrame, tick: str = "tick") -> DataFrame:
+    """A1, list form: the scores of each (group, decision) of a tick, ascending.
+    For inspection: a list is as long as the key has updates in the tick;
+    everything else works on ``tick_stats``."""
+    return updates.groupBy(G, D, tick).agg(F.array_sort(F.collect_list(-F.col("cost"))).alias("scores"))
+
+
 def decision_map(stats: DataFrame) -> DataFrame:
     """A1/A3: one row per group with a map decision -> (score_sum, n)."""
     per_d = stats.groupBy(G, D).agg(F.sum("score_sum").alias("score_sum"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from qoeflow.operators.exchange import (
 from qoeflow.operators.failover import (
     block_gap, block_means, block_zip, cost_by_mode, round_robin, two_series,
 )
-from qoeflow.operators.policy import DiscountedUCB, EpsilonGreedy, Policy
+from qoeflow.operators.policy import DiscountedUCB, EpsilonGreedy, Policy, StatePolicy
 from qoeflow.operators.records import (
     available, decode_decision, drop_managed, format_decision, format_epsilon, forward,
     parse_epsilon, parse_messages, parse_updates, project_labels, read_label_config, route, split_request,
@@ -41,7 +42,7 @@ from qoeflow.sources.feed import group_assignment, latest_rules
 from qoeflow.sources.lines import read_lines
 from qoeflow.sources.result_log import parse_result_log, read_result_log
 from qoeflow.sources.sinks import export_epsilon, latest_decision, write_series
-from qoeflow.sources.traces import read_traces, sort_traces, trace_text
+from qoeflow.sources.traces import read_trace_files, read_traces, sort_traces, trace_text
 from qoeflow.streaming.exchange import (
     epsilon_lines_job, exchange_job, forward_job, group_table_job, latest_decision_job, newest_update_job, window_ring_job,
 )
@@ -106,6 +107,13 @@ def q_tick_stats(spark, sf_dir):
     return s.select("group_id", "decision", "tick", round4("score_sum").alias("score_sum"), "n")
 
 
+@query("score_lists")
+def q_score_lists(spark, sf_dir):
+    s = S.score_lists(V.updates(spark, sf_dir))
+    return s.select("group_id", "decision", "tick", F.array_join(F.transform("scores", lambda x: F.round(x * 100).cast(
+        "bigint").cast("string")), ",").alias("cents"))
+
+
 @query("discounted_state")
 def q_discounted_state(spark, sf_dir):
     st = _dstate(spark, sf_dir)
@@ -193,7 +201,6 @@ class GreedyMean(Policy):
     decision_schema = "group_id string, decision string"
 
     def decide_batch(self, pdf):
-        import numpy as np
         best = []
         for names, sums, ns in zip(pdf["decisions"], pdf["score_sums"], pdf["ns"]):
             ns = np.asarray(ns)
@@ -207,6 +214,57 @@ def q_custom_policy(spark, sf_dir):
     return pol.decide(pol.state(_stats(spark, sf_dir), at_tick=_last_tick(spark, sf_dir)))
 
 
+class BetaCounts(StatePolicy):
+    """A user policy with a state of its own: faded counts of updates in good
+    and in bad ticks of a decision (mean cost at most ``limit`` or above); the
+    decision with the best share of good ones, by the posterior mean."""
+    fields = "good double, bad double"
+
+    def __init__(self, gamma: float, limit: float):
+        super().__init__(gamma)
+        self.limit = limit
+
+    def merge(self, old, score_sum, n, idle):
+        fine = score_sum >= -self.limit * n
+        fade = self.gamma ** idle
+        kept = {c: np.nan_to_num(x) * fade for c, x in old.items()}
+        return {"good": kept["good"] + np.where(fine, n, 0.0), "bad": kept["bad"] + np.where(fine, 0.0, n)}
+
+    def read(self, state, idle):
+        return {c: x * self.gamma ** idle for c, x in state.items()}
+
+    def decide(self, state, keys=None):
+        share = (F.col("good") + 1) / (F.col("good") + F.col("bad") + 2)
+        return (state.groupBy(*(keys or ["group_id"]))
+                .agg(F.min_by("decision", F.struct(-F.round(share, 9), F.col("decision"))).alias("decision")))
+
+
+def _beta_columns(state):
+    best = BetaCounts(P.GAMMA, P.BETA_LIMIT).decide(state).withColumnRenamed("decision", "best")
+    return state.join(best, "group_id").select("group_id", "decision", round4("good").alias("good"),
+                                               round4("bad").alias("bad"), "best")
+
+
+@query("state_policy")
+def q_state_policy(spark, sf_dir):
+    """A policy with its own state, merge and choice, over all ticks."""
+    from qoeflow.functions import tick_of
+    top = V.table(spark, sf_dir, "events").agg(F.max("ts").alias("m")).select(tick_of("m", P.TICK_S)).first()[0]
+    return _beta_columns(BetaCounts(P.GAMMA, P.BETA_LIMIT).state(_stats(spark, sf_dir), top))
+
+
+@query("state_policy_stream")
+def q_state_policy_stream(spark, sf_dir):
+    """The same policy in the state store, fed by closed event-time ticks."""
+    from qoeflow.streaming.jobs import chained_state_job
+    policy = BetaCounts(P.GAMMA, P.BETA_LIMIT)
+    u = V.updates(spark, sf_dir).withColumn("arrival", F.unix_timestamp("ts"))
+    rows = chained_state_job(spark, u, policy, P.TICK_S, 1, "arrival")
+    newest = F.max_by(F.struct(*policy.names, "tick"), "tick")
+    state = rows.groupBy("group_id", "decision").agg(newest.alias("x")).select("group_id", "decision", "x.*")
+    return _beta_columns(policy.current(state, rows.agg(F.max("tick")).first()[0]))
+
+
 def ucb_decisions(spark, sf_dir) -> DataFrame:
     """V.decisions: UCB slot lists at a few snapshot ticks before the last,
     in one pass: the snapshot ticks are exploded onto the tick rows and
@@ -428,6 +486,20 @@ def q_trace_parse(spark, sf_dir):
                     F.array_max(F.transform(thr, lambda x: x["factor"])).alias("top_factor"))
 
 
+@query("trace_files")
+def q_trace_files(spark, sf_dir):
+    """S3 from files: the trace written as text, read back with line numbers."""
+    path = scratch_path(spark, "traces")
+    _trace_lines(spark, sf_dir).select("value").write.text(path)
+    t = read_trace_files(spark, path)
+    d = F.get("features", 3)
+    return t.select(F.get("features", 1).cast("bigint").alias("line_no"), "ts_s", d.alias("decision"),
+                    F.size("decision_map").cast("bigint").alias("n_decisions"),
+                    round4(F.element_at("decision_map", d)).alias("cost"),
+                    F.size(F.element_at("load_map", d)).cast("bigint").alias("n_thresholds"),
+                    F.array_max(F.transform(F.element_at("load_map", d), lambda x: x["factor"])).alias("top_factor"))
+
+
 @query("trace_sort")
 def q_trace_sort(spark, sf_dir):
     return sort_traces(_trace_lines(spark, sf_dir)).select("line_no", "sort_pos", "value")

@@ -350,6 +350,10 @@ SELECT event_id AS line_no, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, event_type
        CAST(3 AS BIGINT) AS n_thresholds, 4.0::DOUBLE AS top_factor
 FROM events"""
 
+SQL["trace_files"] = SQL["trace_parse"]
+SQL["score_lists"] = with_(UPDATES) + """
+SELECT group_id, decision, tick, string_agg(CAST(CAST(round(-cost * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY -cost) AS cents
+FROM updates GROUP BY ALL"""
 _COSTS = ", ".join(f"'{d},' || CAST(CAST(value AS DECIMAL(12,2)) * CAST(1.{i} AS DECIMAL(2,1)) AS DECIMAL(12,3))::VARCHAR"
                    for i, d in enumerate(P.DECISION_TYPES))
 _LOADS = ", ".join(f"'{d},0.1;1.5;0.2;2.0;0.3;4.0'" for d in P.DECISION_TYPES)
@@ -592,6 +596,18 @@ SELECT group_id, slots, concat(group_id, ';', slots, ':', ';', '{P.ORIGIN}') AS
 FROM ucb"""
 
 SQL["stream_state_lazy"] = SQL["discounted_state"]
+SQL["state_policy"] = with_(UPDATES, STATS, f"""ticks AS (
+  SELECT *, (SELECT max(tick) FROM stats) - tick - (max(rg) OVER (PARTITION BY group_id) - rg) AS idle
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY group_id ORDER BY tick) AS rg FROM stats) a)""", f"""beta AS (
+  SELECT group_id, decision, sum(pow({G}, idle) * CASE WHEN -score_sum <= {P.BETA_LIMIT} * n THEN n ELSE 0 END) AS good,
+         sum(pow({G}, idle) * CASE WHEN -score_sum <= {P.BETA_LIMIT} * n THEN 0 ELSE n END) AS bad
+  FROM ticks GROUP BY group_id, decision)""") + """
+SELECT group_id, decision, CAST(round(CAST(good AS DECIMAL(38,12)), 4) AS DOUBLE) AS good,
+       CAST(round(CAST(bad AS DECIMAL(38,12)), 4) AS DOUBLE) AS bad,
+       first_value(decision) OVER (PARTITION BY group_id
+                                   ORDER BY round((good + 1) / (good + bad + 2), 9) DESC, decision) AS best
+FROM beta"""
+SQL["state_policy_stream"] = SQL["state_policy"]
 SQL["run_metrics"] = """
 SELECT 'read' AS measure, count(*) AS n FROM events UNION ALL SELECT 'accounted', count(*) FROM events
 UNION ALL SELECT 'some_dropped', 1"""

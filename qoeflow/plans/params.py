@@ -25,6 +25,7 @@ SNAPSHOT_BACK = [8, 4, 0]   # V.decisions: ticks before the last one
 ORIGIN = "From: c0"
 REQUEST_BACK = 10     # first tick of the timed requests, before the last tick
 REQUEST_TICKS = 14    # ticks over which they are spread
+BETA_LIMIT = 50.0     # mean cost up to which a tick counts as good
 SUB_TTL_S = 10800     # seconds a subscription lasts without renewal
 METRIC_LATENESS_S = 43200   # lateness of the measured stream
 LATE_SLICES = 3       # micro-batches of the out-of-order stream

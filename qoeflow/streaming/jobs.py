@@ -281,12 +281,12 @@ def late_rows_job(spark: SparkSession, updates: DataFrame, width: str, lateness:
     return spark.read.parquet(f"{base}/out")
 
 
-def chained_state_job(spark: SparkSession, updates: DataFrame, gamma: float, tick_s: int, lateness_ticks: int,
+def chained_state_job(spark: SparkSession, updates: DataFrame, policy, tick_s: int, lateness_ticks: int,
                       arrival: str, n_files: int = 6) -> DataFrame:
     """T2 -> T1 end to end: updates (.., ts, ``arrival``) come in the order of
-    ``arrival``; a last row far in the future closes all ticks.  Returns the
-    emitted rows."""
-    from qoeflow.streaming.keyed_state import ROCKSDB, decision_stream_chained
+    ``arrival``; a last row far in the future closes all ticks.  ``policy``: a
+    discount, or a ``StatePolicy``.  Returns the emitted rows."""
+    from qoeflow.streaming.keyed_state import ROCKSDB, decision_stream_chained, decision_stream_policy
     base = scratch_path(spark, "chained-state")
     cols = ["group_id", "decision", "cost", "ts"]
     # the instant of a TIMESTAMP_NTZ read as UTC, whatever the session time zone
@@ -300,8 +300,9 @@ def chained_state_job(spark: SparkSession, updates: DataFrame, gamma: float, tic
 
     def run():
         stream = spark.readStream.schema(src.select(*cols).schema).parquet(f"{base}/in/*")
-        run_available_now(decision_stream_chained(stream, gamma, tick_s, lateness_ticks), batch_sink(f"{base}/out"),
-                          f"{base}/ckpt", confs={"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
+        op = decision_stream_chained if isinstance(policy, float) else decision_stream_policy
+        run_available_now(op(stream, policy, tick_s, lateness_ticks), batch_sink(f"{base}/out"), f"{base}/ckpt",
+                          confs={"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
 
     run_slices(src, base, "_arrival", n_files, run, cols=cols)
     return spark.read.parquet(f"{base}/out")

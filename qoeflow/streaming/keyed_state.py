@@ -150,6 +150,53 @@ def decision_stream_lazy(updates: DataFrame, gamma: float, initial: DataFrame |
             .transformWithStateInPandas(LazyDecayProcessor(gamma), OUT_SCHEMA, "Update", "None", initialState=start))
 
 
+class StatePolicyProcessor(StatefulProcessor):
+    """A user's ``StatePolicy`` in the state store: its fields by decision,
+    and the tick of the group's last data."""
+
+    def __init__(self, policy):
+        self.policy = policy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.grp = handle.getValueState("grp", "g_last bigint")
+        self.dec = handle.getMapState("dec", "decision string", self.policy.fields)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.grp.get()[0] if self.grp.exists() else None
+        acc, _ = tick_sums(rows, last)
+        known = {k[0]: tuple(v) for k, v in self.dec.iterator()}
+        if last is not None and any(t == last for t, _ in acc):
+            raise ValueError("a tick was split: feed whole ticks (decision_stream_policy closes them)")
+        known, last = self.policy.fold(known, last, acc)
+        for d, values in known.items():
+            self.dec.updateValue((d,), values)
+        self.grp.update((last,))
+        out = pd.DataFrame(list(known.values()), columns=self.policy.names)
+        yield out.assign(group_id=key[0], decision=list(known), tick=last)[
+            ["group_id", "decision", *self.policy.names, "tick"]]
+
+    def close(self) -> None:
+        pass
+
+
+def closed_ticks(updates: DataFrame, tick_s: int, lateness_ticks: int) -> DataFrame:
+    """Updates stream (group_id, decision, cost, ts) -> sums (s, c) per
+    (group, decision, tick) of every tick that the watermark has closed."""
+    ticks = (updates.where("cost is not null and ts is not null")
+             .withWatermark("ts", f"{lateness_ticks * tick_s} seconds")
+             .groupBy(F.window("ts", f"{tick_s} seconds").alias("w"), "group_id", "decision")
+             .agg(F.sum(-F.col("cost").cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("c")))
+    return ticks.select("w", "group_id", "decision",
+                        F.floor(F.unix_timestamp("w.start") / tick_s).cast("bigint").alias("tick"), "s", "c")
+
+
+def decision_stream_policy(updates: DataFrame, policy, tick_s: int, lateness_ticks: int) -> DataFrame:
+    """U1 streamed: closed ticks folded by a ``StatePolicy``; emits the state of
+    every group that a closed tick touched (``policy.current`` reads it)."""
+    return closed_ticks(updates, tick_s, lateness_ticks).groupBy("group_id").transformWithStateInPandas(
+        StatePolicyProcessor(policy), policy.state_schema, "Append", "None")
+
+
 def initial_state(state: DataFrame, at_tick: int) -> DataFrame:
     """A batch state (``stats.discounted_state`` at ``at_tick``) as the state
     that a stream starts from."""
@@ -168,13 +215,7 @@ def decision_stream_chained(updates: DataFrame, gamma: float, tick_s: int, laten
     does not depend on the order in which updates arrive within the lateness
     (the other streams count a late update in its group's current tick).  What
     comes later than that is dropped (``metrics`` counts it)."""
-    ticks = (updates.where("cost is not null and ts is not null")
-             .withWatermark("ts", f"{lateness_ticks * tick_s} seconds")
-             .groupBy(F.window("ts", f"{tick_s} seconds").alias("w"), "group_id", "decision")
-             .agg(F.sum(-F.col("cost").cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("c")))
-    closed = ticks.select("w", "group_id", "decision",
-                          F.floor(F.unix_timestamp("w.start") / tick_s).cast("bigint").alias("tick"), "s", "c")
-    return closed.groupBy("group_id").transformWithStateInPandas(
+    return closed_ticks(updates, tick_s, lateness_ticks).groupBy("group_id").transformWithStateInPandas(
         LazyDecayProcessor(gamma), OUT_SCHEMA, "Append", "None")
 
 
@@ -212,4 +253,4 @@ def read_state(rows: DataFrame, gamma: float, at_tick: Column, batch: str = "bat
 
 
 __all__ = ["LazyDecayProcessor", "TimedDecayProcessor", "decision_stream_chained", "decision_stream_lazy",
-           "decision_stream_timed", "initial_state", "read_state", "read_store", "ROCKSDB"]
+           "decision_stream_policy", "decision_stream_timed", "initial_state", "read_state", "read_store", "ROCKSDB"]

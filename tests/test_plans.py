@@ -16,7 +16,9 @@ STREAMING = {"stream_state", "stream_state_lazy", "stream_state_timed", "stream_
              "topic_roundtrip", "multi_sink_counts", "late_rows", "exchange_fanout_stream",
              "group_table_stream", "latest_decision_stream", "sliding_stream", "decision_loop_stream",
              "assign_stream", "ingest_decide_stream", "decision_loop_eg_stream", "decision_loop_custom_stream",
-             "exchange_forward_stream", "epsilon_lines_stream", "stream_rejects"}
+             "exchange_forward_stream", "epsilon_lines_stream", "stream_rejects", "newest_update_stream",
+             "assign_asof_stream", "stream_state_chained", "stream_state_bootstrap", "expiring_fanout_stream",
+             "run_metrics", "state_policy_stream"}
 BATCH = sorted(set(REGISTRY) - STREAMING)
 
 
