@@ -137,17 +137,46 @@ def test_co_training_on_held_out_documents(spark):
 
 
 def test_views_teach_each_other():
-    """Only a rare mark is labelled; the other view shares it with more rows."""
+    """Few labels, which hardly show the text's words; the metadata shares the
+    class with all rows and teaches the text view words it has no label for."""
     r = np.random.default_rng(0)
-    n = 600
+    n = 4000
     y = r.random(n) < 0.5
-    a = quality.Sparse(np.arange(n), np.where(y, 0, 1) + 2 * r.integers(0, 20, n), np.ones(n), n, 42)
+    # a word of the class out of 200 each, and one that says nothing
+    word = np.where(y, 0, 200) + r.integers(0, 200, n)
+    a = quality.Sparse(np.repeat(np.arange(n), 2), np.stack([word, 400 + r.integers(0, 20, n)]).T.ravel(), np.ones(2 * n), n, 420)
     b = quality.Sparse(np.arange(n), np.where(y, 0, 1), np.ones(n), n, 2)
-    lab = np.where(np.arange(n) < 40, y.astype(float), np.nan)
-    pool = np.where(np.arange(n) < 40, -1, np.arange(n) % quality.ROUNDS)
-    head = quality.co_train(a, b, lab, pool, 1.0)
-    text, meta, both = head.score(a, b)
-    assert ((both[40:] > 0.5) == y[40:]).mean() > 0.97 and ((text[40:] > 0.5) == y[40:]).mean() > 0.9
+    lab = np.where(np.arange(n) < 60, y.astype(float), np.nan)
+    learner = quality.Learner(a, b, lab, 1.0)
+    before = ((learner.head.score(a, b)[0][60:] > 0.5) == y[60:]).mean()
+    rest = np.arange(60, n)
+    for _ in range(quality.ROUNDS):
+        learner.learn(learner.head.lessons(a.take(rest), b.take(rest)))
+    text, meta, both = learner.head.score(a, b)
+    assert ((both[60:] > 0.5) == y[60:]).mean() > 0.97
+    assert ((text[60:] > 0.5) == y[60:]).mean() > 0.9 > before
+
+
+def test_every_unlabelled_document_counts_however_rows_are_dealt(spark, monkeypatch):
+    docs, labels, _ = corpus()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality._all_sums
+
+    def counted(free, heads):
+        seen.append((free.count(), real(free, heads)))
+        return seen[-1][1]
+    monkeypatch.setattr(quality, "_all_sums", counted)
+    monkeypatch.setattr(quality, "FAN", 2)                   # the tree has several levels
+    got = []
+    for parts in (1, 9):
+        heads = quality.train(C.frame(spark, docs).repartition(parts), lab)
+        got.append(heads)
+    ids = {i for i, *_ in labels}
+    assert {n for n, _ in seen} == {sum(d[0] not in ids for d in docs)} and len(seen) == 2 * quality.ROUNDS
+    for x, y in zip(seen[0][1].values(), seen[quality.ROUNDS][1].values()):
+        assert all((p == q).all() for p, q in zip(x, y))
+    assert all(np.array_equal(got[0][k].both, got[1][k].both) for k in got[0] if got[0][k].both is not None)
 
 
 def test_quality_of_odd_rows_and_labels(spark):
