@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qoeflow.llm import decontaminate, hnsw, quality, secret_scan, warc
-from qoeflow.llm.common import scratch, table
+from qoeflow.llm.common import materialise, scratch, table
 from qoeflow.llm.fim import fill_in_middle
 from qoeflow.llm.language_id import language_id
 from qoeflow.llm.lexical import search as lexical_search
@@ -196,18 +196,37 @@ def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-def _sql_text(html: str) -> str:
-    def lit(x: str) -> str:
-        return "chr(10)" if x == "\n" else "'" + x.replace("'", "''") + "'"
+#: The named references that the tables hold, and some common others; the SQL's own list.
+_SQL_NAMES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", "\""), ("apos", "'"), ("nbsp", "\u00a0"),
+              ("copy", "\u00a9"), ("reg", "\u00ae"), ("trade", "\u2122"), ("middot", "\u00b7"), ("bull", "\u2022"),
+              ("hellip", "\u2026"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("lsquo", "\u2018"),
+              ("rsquo", "\u2019"), ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("euro", "\u20ac"), ("pound", "\u00a3"),
+              ("deg", "\u00b0"), ("eacute", "\u00e9"), ("egrave", "\u00e8"), ("agrave", "\u00e0"))
+
+
+def _sql_unescape(x: str) -> str:
+    ref = "regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);', 1)"
+    named = " ".join(f"WHEN '{name}' THEN {_sql_quoted(to)}" for name, to in _SQL_NAMES)
+    char = (f"CASE WHEN {ref} = '' THEN NULL WHEN starts_with(lower({ref}), '#x') "
+            f"THEN chr(('0x' || substr({ref}, 3))::INTEGER) WHEN starts_with({ref}, '#') "
+            f"THEN chr(substr({ref}, 2)::INTEGER) ELSE CASE {ref} {named} END END")
+    return (f"(string_split({x}, '&')[1] || coalesce(array_to_string(list_transform(string_split({x}, '&')[2:], "
+            f"lambda p: coalesce({char} || substr(p, length({ref}) + 2), '&' || p)), ''), ''))")
+
 
+def _sql_attribute(x: str) -> str:
+    inner = f"CASE WHEN substr({x}, 1, 1) IN (chr(34), chr(39)) THEN substr({x}, 2, length({x}) - 2) ELSE {x} END"
+    return f"trim(regexp_replace({_sql_unescape(inner)}, '[\\x09-\\x0D]', '', 'g'), ' ')"
+
+
+def _sql_text(html: str) -> str:
     def sub(pattern: str, to: str) -> str:
         p = pattern.replace("'", "''").replace("\n", "\\n")
-        return f"regexp_replace({html}, '{p}', {lit(to)}, 'g')"
+        return f"regexp_replace({html}, '{p}', {'chr(10)' if to == chr(10) else _sql_quoted(to)}, 'g')"
 
     for pattern, to in warc.TAG_STEPS:
         html = sub(pattern, to)
-    for name, to in warc.ENTITIES:
-        html = f"replace({html}, {lit(name)}, {lit(to)})"
+    html = _sql_unescape(html)
     for pattern, to in warc.SPACE_STEPS:
         html = sub(pattern, to)
     return f"trim({html}, ' ' || chr(10))"
@@ -220,7 +239,7 @@ def _sql_urn(*parts: str) -> str:
 
 
 @_query(f"""
-WITH r AS (SELECT page_id, url, coalesce(html, '') AS p,
+WITH r AS (SELECT page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url, coalesce(html, '') AS p,
                   {_sql_urn("'response'", "coalesce(page_id::VARCHAR, '')", "coalesce(url, '')",
                             "sha256(coalesce(html, ''))")} AS rid FROM pages),
 t AS (SELECT *, {_sql_text("p")} AS txt FROM r),
@@ -228,19 +247,29 @@ b AS (SELECT page_id, url, p, rid, 'conversion' AS record_type, 'text/plain; cha
              txt AS block FROM t
       UNION ALL
       SELECT page_id, url, p, rid, 'metadata', 'application/warc-fields', array_to_string(list_concat(
-          ['title: ' || regexp_replace(regexp_extract(p, '{warc.TITLE}', 1), '[\x20\x09-\x0D]+', ' ', 'g'),
-           'language: ' || regexp_extract(p, '{warc.LANG}', 1), 'text-length: ' || strlen(txt),
+          ['title: ' || trim(regexp_replace({_sql_unescape(f"regexp_extract(p, '{warc.TITLE}', 1)")},
+                                             '[\\x20\\x09-\\x0D\\xA0]+', ' ', 'g'), ' '),
+           'language: ' || {_sql_attribute(f"regexp_extract(p, {_sql_quoted(warc.LANG)}, 1)")}, 'text-length: ' || strlen(txt),
            'text-digest: sha256:' || sha256(txt), 'conversion-record: ' || {_sql_urn("'conversion'", "rid")},
            'source-header: Content-Type: text/html; charset=utf-8', 'source-header: Content-Length: ' || strlen(p)],
-          list_transform(regexp_extract_all(p, '{warc.LINK}', 1), lambda u: 'outlink: ' || u)),
+          list_transform(regexp_extract_all(p, {_sql_quoted(warc.LINK)}, 1),
+                         lambda u: 'outlink: ' || {_sql_attribute("u")})),
           chr(13) || chr(10)) || chr(13) || chr(10) FROM t)
 SELECT page_id, record_type, {_sql_urn("record_type", "rid")} AS record_id, rid AS refers_to, url AS target_uri,
        '{warc.EPOCH}' AS date, 'sha256:' || sha256(p) AS source_digest, content_type,
        strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, block
 FROM b""")
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # written as WARC files and read back; what the query returns is from the files
+    folder = scratch(spark, "warc")
     records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
-    return records.withColumnRenamed("source_id", "page_id")
+    files = materialise(warc.write_warc(records, folder), "warc-files")
+    h = F.col("headers")
+    return warc.read_warc(spark, files, folder).select(
+        h["Source-Id"].cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri",
+        h["WARC-Date"].alias("date"), h["WARC-Source-Payload-Digest"].alias("source_digest"),
+        h["Content-Type"].alias("content_type"), h["Content-Length"].cast("long").alias("content_length"),
+        h["WARC-Block-Digest"].alias("block_digest"), "block")
 
 
 @_query()

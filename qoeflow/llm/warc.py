@@ -10,8 +10,13 @@ Building is column work only.  ``write_warc`` writes one gzip member a record
 to files that a task names after its partition and renames when complete;
 ``read_warc`` reads them back record by record.
 
+Texts, titles, languages and links have all their named and numeric character
+references decoded where these end in ``;`` (no-break spaces of texts and titles
+become spaces); attributes may be in double, single or no quotes.
+
 Defined results: null html is an empty payload, a null url gives records
-without a target URI, a null page_id is kept; repeated rows give repeated
+without a target URI (line ends of a url are written %0D and %0A), a null
+page_id is kept; repeated rows give repeated
 records; an empty table gives no records and no files; other columns are
 ignored.
 """
@@ -19,7 +24,9 @@ ignored.
 from __future__ import annotations
 
 import gzip
+import json
 import zlib
+from html.entities import html5
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -27,13 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Compression of files, and bytes of blocks that are read back as one batch.
+LEVEL = 6
+BATCH = 1 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
 #: Bytes taken from a file at once when reading back.
 CHUNK = 1 << 20
 
 #: What turns HTML into text, in this order: patterns that mean the same to
-#: Java's and RE2's regular expressions, and literal entities.
+#: Java's and RE2's regular expressions (then character references are decoded).
 TAG_STEPS = (
     ("(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|"
      "<noscript[^>]*>.*?</noscript[^>]*>", ""),
@@ -41,19 +51,66 @@ TAG_STEPS = (
      "body|html|blockquote|pre|td|th|form|figure)([\\x20\\x09-\\x0D/][^>]*)?>", "\n"),
     ("<[A-Za-z/!?][^>]*>", ""),
 )
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;", "'"), ("&apos;", "'"),
-            ("&amp;", "&"))
-SPACE_STEPS = (("[\\x20\\x09\\x0B-\\x0D]+", " "), (" ?\n[\\x20\n]*", "\n"))
+#: A character reference after its ``&``.
+REFERENCE = "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+SPACE_STEPS = (("[\\x20\\x09\\x0B-\\x0D\\xA0]+", " "), (" ?\n[\\x20\n]*", "\n"))
+_WS = "\\x20\\x09-\\x0D"
+_VALUE = f"[{_WS}]*=[{_WS}]*(\"[^\"]*\"|'[^']*'|[^{_WS}>\"']+)"
 TITLE = "(?is)<title[^>]*>(.*?)</title"
-LANG = "(?i)<html[^>]*[\\x20\\x09-\\x0D]lang=\"([^\"]*)\""
-LINK = "(?i)<a[\\x20\\x09-\\x0D][^>]*href=\"([^\"]*)\""
+LANG = f"(?i)<html[{_WS}](?:[^>]*?[{_WS}/\"'])??lang{_VALUE}"
+LINK = f"(?i)<a[{_WS}](?:[^>]*?[{_WS}/\"'])??href{_VALUE}"
+
+
+def _names() -> str:
+    """The named references of HTML that end in ``;``, by first letter, as JSON."""
+    out: dict[str, dict[str, str]] = {}
+    for name, to in html5.items():
+        if name.endswith(";"):
+            out.setdefault(name[0], {})[name[:-1]] = to
+    return json.dumps(out)
+
+
+def _number(digits: Column, base: int, most: int) -> Column:
+    """The character of a numeric reference, as HTML defines it: numbers that
+    name no character give U+FFFD, 128 to 159 mean Windows-1252."""
+    digits = F.ltrim(digits, F.lit("0"))
+    code = F.conv(F.when((digits != "") & (F.length(digits) <= most), digits).otherwise("0"), base, 10).cast("int")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    old = [bytes([c]).decode("cp1252", "ignore") or None for c in range(128, 160)]
+    old = F.from_json(F.lit(json.dumps(old)), "array<string>")
+    return (F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+            .when(code.between(128, 159), F.coalesce(F.get(old, code - 128), char))
+            .when(code == 0xFEFF, "\ufeff").otherwise(char))
+
+
+def unescape(text: Column) -> Column:
+    """``text`` with all character references that end in ``;`` decoded once;
+    unknown names stay as they are."""
+    names = F.from_json(F.lit(_names()), "map<string,map<string,string>>")
+
+    def char(ref: Column) -> Column:
+        return (F.when(ref == "", None)
+                .when(ref.rlike("^#[xX]"), _number(F.substring(ref, 3, 1 << 30), 16, 6))
+                .when(ref.startswith("#"), _number(F.substring(ref, 2, 1 << 30), 10, 7))
+                .otherwise(F.try_element_at(F.try_element_at(names, F.substring(ref, 1, 1)), ref)))
+    # the reference at the beginning of what follows each "&"
+    parts = F.transform(F.split(text, "&"), lambda p, i: F.struct(
+        p.alias("p"), F.when(i > 0, F.regexp_extract(p, REFERENCE, 1)).alias("ref")))
+    return F.array_join(F.transform(parts, lambda x: F.when(x["ref"].isNull(), x["p"]).otherwise(F.coalesce(
+        F.concat(char(x["ref"]), F.substr(x["p"], F.length(x["ref"]) + 2)), F.concat(F.lit("&"), x["p"])))), "")
+
+
+def _attribute(value: Column) -> Column:
+    """An attribute's value: quotes taken off, references decoded, line ends and
+    tabs taken out and outer blanks trimmed (as of a URL)."""
+    inner = F.regexp_replace(value, "(?s)^([\"'])(.*)\\1$", "$2")
+    return F.btrim(F.regexp_replace(unescape(inner), "[\\x09-\\x0D]", ""))
 
 
 def html_text(html: Column) -> Column:
     for pattern, to in TAG_STEPS:
         html = F.regexp_replace(html, pattern, to)
-    for name, to in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(to))
+    html = unescape(html)
     for pattern, to in SPACE_STEPS:
         html = F.regexp_replace(html, pattern, to)
     return F.btrim(html, F.lit(" \n"))
@@ -80,7 +137,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return pages.select(F.col(id_col).alias("source_id"),
                         urn(F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
                             F.coalesce(F.col(url_col), F.lit("")), F.sha2(html, 256)).alias("record_id"),
-                        F.col(url_col).alias("target_uri"), F.lit(EPOCH).alias("date"),
+                        F.replace(F.replace(F.col(url_col), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+                        .alias("target_uri"), F.lit(EPOCH).alias("date"),
                         F.array(*header).alias("headers"), html.alias("payload"))
 
 
@@ -89,15 +147,15 @@ def derive(source: DataFrame) -> DataFrame:
     target_uri, date, source_digest, content_type, content_length,
     block_digest, block."""
     links = F.regexp_extract_all("payload", F.lit(LINK), 1)
-    title = F.regexp_replace(F.regexp_extract("payload", TITLE, 1), "[\\x20\\x09-\\x0D]+", " ")
+    title = F.btrim(F.regexp_replace(unescape(F.regexp_extract("payload", TITLE, 1)), "[\\x20\\x09-\\x0D\\xA0]+", " "))
     fields = F.concat(
         F.array(F.concat(F.lit("title: "), title),
-                F.concat(F.lit("language: "), F.regexp_extract("payload", LANG, 1)),
+                F.concat(F.lit("language: "), _attribute(F.regexp_extract("payload", LANG, 1))),
                 F.concat(F.lit("text-length: "), F.octet_length("text").cast("string")),
                 F.concat(F.lit("text-digest: "), digest(F.col("text"))),
                 F.concat(F.lit("conversion-record: "), urn(F.lit("conversion"), F.col("record_id")))),
         F.transform("headers", lambda h: F.concat(F.lit("source-header: "), h["name"], F.lit(": "), h["value"])),
-        F.transform(links, lambda u: F.concat(F.lit("outlink: "), u)))
+        F.transform(links, lambda u: F.concat(F.lit("outlink: "), _attribute(u))))
     meta = F.concat(F.array_join(fields, CRLF), F.lit(CRLF))
     rows = source.withColumn("text", html_text(F.col("payload")))
     rows = rows.withColumn("x", F.explode(F.array(
@@ -115,9 +173,10 @@ def derive(source: DataFrame) -> DataFrame:
 def serialised(records: DataFrame) -> Column:
     """A derived record as WARC/1.1 text."""
     uri = F.when(F.col("target_uri").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")))
+    source = F.when(F.col("source_id").isNotNull(), F.concat(F.lit("Source-Id: "), F.col("source_id").cast("string")))
     lines = F.concat_ws(CRLF, F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("record_type")),
                         F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
-                        F.concat(F.lit("WARC-Date: "), F.col("date")), uri,
+                        F.concat(F.lit("WARC-Date: "), F.col("date")), uri, source,
                         F.concat(F.lit("WARC-Refers-To: "), F.col("refers_to")),
                         F.concat(F.lit("WARC-Source-Payload-Digest: "), F.col("source_digest")),
                         F.concat(F.lit("WARC-Block-Digest: "), F.col("block_digest")),
@@ -138,7 +197,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{name}.tmp-{ctx.taskAttemptId()}", compression=None)
-                out.write(gzip.compress(r.as_py(), mtime=0))
+                out.write(gzip.compress(r.as_py(), LEVEL, mtime=0))
                 n += 1
         if out is not None:
             out.close()
@@ -161,20 +220,31 @@ def _members(stream):
 def read_warc(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """record_type, record_id, refers_to, target_uri, headers and block of
     every record of the files in ``files`` (path)."""
+    def batch(rows: list[tuple[dict[str, str], str]]) -> pa.RecordBatch:
+        def column(name: str) -> pa.Array:
+            return pa.array([h.get(name) for h, _ in rows], pa.string())
+        return pa.record_batch({
+            "record_type": column("WARC-Type"), "record_id": column("WARC-Record-ID"),
+            "refers_to": column("WARC-Refers-To"), "target_uri": column("WARC-Target-URI"),
+            "headers": pa.array([list(h.items()) for h, _ in rows], pa.map_(pa.string(), pa.string())),
+            "block": pa.array([x for _, x in rows], pa.string())})
+
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
         for b in batches:
             for path in b.column("path").to_pylist():
+                rows, size = [], 0
                 with fs.open_input_stream(f"{base}/{path.rsplit('/', 1)[1]}", compression=None) as f:
                     for member in _members(f):
                         head, _, rest = member.partition(b"\r\n\r\n")
                         h = dict(x.split(": ", 1) for x in head.decode().split(CRLF)[1:])
-                        yield pa.record_batch({
-                            "record_type": [h["WARC-Type"]], "record_id": [h["WARC-Record-ID"]],
-                            "refers_to": [h.get("WARC-Refers-To")],
-                            "target_uri": pa.array([h.get("WARC-Target-URI")], pa.string()),
-                            "headers": pa.array([list(h.items())], pa.map_(pa.string(), pa.string())),
-                            "block": [rest[:int(h["Content-Length"])].decode()]})
+                        rows.append((h, rest[:int(h["Content-Length"])].decode()))
+                        size += len(rest)
+                        if size >= BATCH:
+                            yield batch(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield batch(rows)
     # a range for each file: a given number of partitions is not coalesced, and no two hash alike
     return files.select("path").repartitionByRange(max(1, files.count()), "path").mapInArrow(
         run, "record_type string, record_id string, refers_to string, target_uri string, headers map<string,string>, "
