@@ -227,7 +227,7 @@ def _sql_text(html: str) -> str:
     for pattern, to in warc.TAG_STEPS:
         html = sub(pattern, to)
     html = _sql_unescape(html)
-    for pattern, to in warc.SPACE_STEPS:
+    for pattern, to in (("[\\x20\\x09\\x0B-\\x0D\\xA0]+", " "), (" ?\n[\\x20\n]*", "\n")):
         html = sub(pattern, to)
     return f"trim({html}, ' ' || chr(10))"
 

@@ -45,15 +45,16 @@ CHUNK = 1 << 20
 #: What turns HTML into text, in this order: patterns that mean the same to
 #: Java's and RE2's regular expressions (then character references are decoded).
 TAG_STEPS = (
-    ("(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|"
-     "<noscript[^>]*>.*?</noscript[^>]*>", ""),
+    ("(?is)<(?:!--.*?-->|script[^>]*>.*?</script[^>]*>|style[^>]*>.*?</style[^>]*>|"
+     "noscript[^>]*>.*?</noscript[^>]*>)", ""),
     ("(?i)</?(p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|title|head|"
      "body|html|blockquote|pre|td|th|form|figure)([\\x20\\x09-\\x0D/][^>]*)?>", "\n"),
     ("<[A-Za-z/!?][^>]*>", ""),
 )
-#: A character reference after its ``&``.
-REFERENCE = "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
-SPACE_STEPS = (("[\\x20\\x09\\x0B-\\x0D\\xA0]+", " "), (" ?\n[\\x20\n]*", "\n"))
+#: Runs of blanks (one blank alone stays as it is, so that most words cost no
+#: replacement), and of line ends once no blank is before one.
+BLANKS = "\\x20[\\x20\\x09\\x0B-\\x0D\\xA0]+|[\\x09\\x0B-\\x0D\\xA0][\\x20\\x09\\x0B-\\x0D\\xA0]*"
+LINE_ENDS = "\n[\\x20\n]+"
 _WS = "\\x20\\x09-\\x0D"
 _VALUE = f"[{_WS}]*=[{_WS}]*(\"[^\"]*\"|'[^']*'|[^{_WS}>\"']+)"
 TITLE = "(?is)<title[^>]*>(.*?)</title"
@@ -89,14 +90,13 @@ def unescape(text: Column) -> Column:
     names = F.from_json(F.lit(_names()), "map<string,map<string,string>>")
 
     def char(ref: Column) -> Column:
-        return (F.when(ref == "", None)
-                .when(ref.rlike("^#[xX]"), _number(F.substring(ref, 3, 1 << 30), 16, 6))
-                .when(ref.startswith("#"), _number(F.substring(ref, 2, 1 << 30), 10, 7))
-                .otherwise(F.try_element_at(F.try_element_at(names, F.substring(ref, 1, 1)), ref)))
-    # the reference at the beginning of what follows each "&"
-    parts = F.transform(F.split(text, "&"), lambda p, i: F.struct(
-        p.alias("p"), F.when(i > 0, F.regexp_extract(p, REFERENCE, 1)).alias("ref")))
-    return F.array_join(F.transform(parts, lambda x: F.when(x["ref"].isNull(), x["p"]).otherwise(F.coalesce(
+        return (F.when(~ref.startswith("#"), F.try_element_at(F.try_element_at(names, F.substring(ref, 1, 1)), ref))
+                .when(ref.rlike("^#[0-9]+\\z"), _number(F.substring(ref, 2, 1 << 30), 10, 7))
+                .when(ref.rlike("^#[xX][0-9a-fA-F]+\\z"), _number(F.substring(ref, 3, 1 << 30), 16, 6)))
+    # what follows each "&", and what there is of it before a ";"
+    parts = F.transform(F.split(text, "&"), lambda p, i: F.struct(p.alias("p"), i.alias("i"), F.when(
+        (i > 0) & F.contains(p, F.lit(";")), F.substring_index(p, ";", 1)).alias("ref")))
+    return F.array_join(F.transform(parts, lambda x: F.when(x["i"] == 0, x["p"]).otherwise(F.coalesce(
         F.concat(char(x["ref"]), F.substr(x["p"], F.length(x["ref"]) + 2)), F.concat(F.lit("&"), x["p"])))), "")
 
 
@@ -104,15 +104,15 @@ def _attribute(value: Column) -> Column:
     """An attribute's value: quotes taken off, references decoded, line ends and
     tabs taken out and outer blanks trimmed (as of a URL)."""
     inner = F.regexp_replace(value, "(?s)^([\"'])(.*)\\1$", "$2")
-    return F.btrim(F.regexp_replace(unescape(inner), "[\\x09-\\x0D]", ""))
+    inner = F.when(F.contains(value, F.lit("&")), unescape(inner)).otherwise(inner)
+    return F.btrim(F.regexp_replace(inner, "[\\x09-\\x0D]", ""))
 
 
 def html_text(html: Column) -> Column:
     for pattern, to in TAG_STEPS:
         html = F.regexp_replace(html, pattern, to)
-    html = unescape(html)
-    for pattern, to in SPACE_STEPS:
-        html = F.regexp_replace(html, pattern, to)
+    html = F.replace(F.regexp_replace(unescape(html), BLANKS, " "), F.lit(" \n"), F.lit("\n"))
+    html = F.regexp_replace(html, LINE_ENDS, "\n")
     return F.btrim(html, F.lit(" \n"))
 
 
@@ -130,16 +130,20 @@ def digest(text: Column) -> Column:
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Response records of pages kept without their HTTP exchange: source_id,
-    record_id, target_uri, date, headers (names and values), payload."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
+    record_id, target_uri, date, headers (names and values), payload, payload_digest."""
+    pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
+                         F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    pages = pages.withColumn("sha", F.sha2("html", 256))       # once a page
+    html = F.col("html")
     header = [F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (
         ("Content-Type", F.lit("text/html; charset=utf-8")), ("Content-Length", F.octet_length(html).cast("string")))]
-    return pages.select(F.col(id_col).alias("source_id"),
-                        urn(F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-                            F.coalesce(F.col(url_col), F.lit("")), F.sha2(html, 256)).alias("record_id"),
-                        F.replace(F.replace(F.col(url_col), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return pages.select(F.col("id").alias("source_id"),
+                        urn(F.lit("response"), F.coalesce(F.col("id").cast("string"), F.lit("")),
+                            F.coalesce(F.col("url"), F.lit("")), F.col("sha")).alias("record_id"),
+                        F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
                         .alias("target_uri"), F.lit(EPOCH).alias("date"),
-                        F.array(*header).alias("headers"), html.alias("payload"))
+                        F.array(*header).alias("headers"), html.alias("payload"),
+                        F.concat(F.lit("sha256:"), F.col("sha")).alias("payload_digest"))
 
 
 def derive(source: DataFrame) -> DataFrame:
@@ -152,22 +156,23 @@ def derive(source: DataFrame) -> DataFrame:
         F.array(F.concat(F.lit("title: "), title),
                 F.concat(F.lit("language: "), _attribute(F.regexp_extract("payload", LANG, 1))),
                 F.concat(F.lit("text-length: "), F.octet_length("text").cast("string")),
-                F.concat(F.lit("text-digest: "), digest(F.col("text"))),
+                F.concat(F.lit("text-digest: "), F.col("text_digest")),
                 F.concat(F.lit("conversion-record: "), urn(F.lit("conversion"), F.col("record_id")))),
         F.transform("headers", lambda h: F.concat(F.lit("source-header: "), h["name"], F.lit(": "), h["value"])),
         F.transform(links, lambda u: F.concat(F.lit("outlink: "), _attribute(u))))
     meta = F.concat(F.array_join(fields, CRLF), F.lit(CRLF))
-    rows = source.withColumn("text", html_text(F.col("payload")))
+    rows = source.withColumn("text", html_text(F.col("payload"))).withColumn("text_digest", digest(F.col("text")))
+    rows = rows.withColumn("meta", meta).withColumn("meta_digest", digest(F.col("meta")))
     rows = rows.withColumn("x", F.explode(F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"),
-                 meta.alias("block")),
+                 F.col("meta").alias("block"), F.col("meta_digest").alias("digest")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"),
-                 F.col("text").alias("block")))))
+                 F.col("text").alias("block"), F.col("text_digest").alias("digest")))))
     return rows.select("source_id", "x.record_type", urn(F.col("x.record_type"), F.col("record_id")).alias("record_id"),
                        F.col("record_id").alias("refers_to"), "target_uri", "date",
-                       digest(F.col("payload")).alias("source_digest"), "x.content_type",
+                       F.col("payload_digest").alias("source_digest"), "x.content_type",
                        F.octet_length("x.block").cast("long").alias("content_length"),
-                       digest(F.col("x.block")).alias("block_digest"), "x.block")
+                       F.col("x.digest").alias("block_digest"), "x.block")
 
 
 def serialised(records: DataFrame) -> Column:
