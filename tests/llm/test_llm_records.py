@@ -121,9 +121,8 @@ def test_warc_references_and_attributes(spark):
     texts = ["&copy; 2024 &middot; a&amp;copy; &nbsp;b &#233;&#xE9;&#X1F600; &unknown; &amp &#0; &#x110000; &#xD800; "
              "&#128; &#129; &#65279; &#99999999999999999999; &#x00000000041; &NotEqualTilde; & ;&&amp;&", "no reference", ""]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(warc.unescape(F.col("t"))).collect()]
-    # the standard library also decodes names without a semicolon and drops what is no character
-    want = [std.unescape(t.replace("&amp ", "&amp;amp ")).replace("AND", "") for t in texts]
-    assert got[1:] == want[1:] and got[0].replace("\ufeff", "").replace("\x81", "") == want[0].replace("\ufeff", "").replace("\x81", "")
+    # the standard library also decodes names without a semicolon
+    assert got == [std.unescape(t.replace("&amp ", "&amp;amp ")) for t in texts]
     page = ("<HTML class=x lang='fr'><title> B&eacute;b&eacute;&nbsp;&copy;\n </title><a  data-href='/no' href='/a?x=1&amp;y=2'>1"
             "</a><a\nid=k href = /b>2</a><a title=\"it's\" href=\"/c'&#x64;\">3</a><a href=\"/e\nf\" href='/no'>4</a><abbr href='/no'>")
     rows = warc.derive(warc.responses(pages(spark, [(1, "http://a/\r\nX: y", page)]))).collect()
@@ -136,9 +135,8 @@ def test_warc_references_and_attributes(spark):
 def test_warc_query_equals_sql_and_reads_files(spark, tmp_path):
     import oracle_check
     data = [p for p in PAGES if p[0] is not None] + [(6, "http://f/", "&copy;&#38;&#xe9;&hellip;&none; <a href='/q'>x</a>")]
-    for t in ("pages",):
-        spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "w"))
     import pyarrow.parquet as pq
+    spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "w"))
     pq.write_table(pq.read_table(tmp_path / "w"), tmp_path / "pages.parquet")
     res = oracle_check.compare(spark, str(tmp_path), ["op8_warc_derivatives"])
     assert res["op8_warc_derivatives"] == f"ok {2 * len(data)}"
