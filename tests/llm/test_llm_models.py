@@ -82,6 +82,47 @@ def test_recall_beside_one_long_vector(spark):
     assert len(got) == 75 and hit / total >= 0.97
 
 
+def test_routed_recall_with_bands_cells_and_hot_shards(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(12, 16)) * 4
+    x = centres[np.where(np.arange(3000) % 3 == 0, 0, r.integers(0, 12, 3000))] + r.normal(size=(3000, 16))
+    x[:400] /= 50                                                             # shorter ones: other bands
+    x = x.astype(np.float32).astype(float)                                     # as the table holds them
+    monkeypatch.setattr(hnsw, "TASK_QUERIES", 20)                              # a shard is read by several tasks
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    largest = float(np.linalg.norm(x, axis=1).max())
+    band = np.minimum(np.floor(np.log2(largest / np.linalg.norm(x, axis=1))), hnsw.BANDS - 1).astype(int)
+    nodes = spark.createDataFrame([(i, 16, int(b), v.tolist()) for i, (b, v) in enumerate(zip(band, x))],
+                                  "vec_id long, size int, band int, v array<double>")
+    groups = hnsw._groups(nodes, largest, 20, 150)
+    assert len(groups) > 3 and any(len(g["first"]) > 1 for g in groups.values())
+    assert any(g["probes"] < len(g["first"]) for g in groups.values())         # not all cells are visited
+    assert any(g["parts"].max() > 1 for g in groups.values())                  # a large cell is several shards
+    numbers = np.concatenate([np.arange(f, f + p) for g in groups.values() for f, p in zip(g["first"], g["parts"])])
+    assert sorted(numbers) == list(range(len(numbers)))
+    hit = total = 0
+    got = {}
+    for row in hnsw.search(df, shard_rows=150).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
+    for q, found in got.items():
+        s = x @ x[q]
+        assert np.allclose([f[2] for f in found], s[[f[1] for f in found]], rtol=1e-12)
+        s[q] = -np.inf
+        hit += len({f[1] for f in found} & set(np.argsort(-s)[:20].tolist()))
+        total += 20
+    assert len(got) == 150 and all(len(f) == 20 for f in got.values()) and hit / total >= 0.95
+
+
+def test_vectors_of_extreme_length(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(60, 4)) * 10.0 ** r.integers(-120, 120, 60)[:, None]
+    got = {}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for row in hnsw.search(df).collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    assert set(got) == {0, 20, 40} and all(len(set(g)) == 20 for g in got.values())
+
+
 def test_graph_levels_and_arrays():
     r = np.random.default_rng(0)
     x = r.normal(size=(900, 8)).astype(np.float32)
