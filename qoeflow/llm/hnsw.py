@@ -408,10 +408,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     top = Window.partitionBy("v").orderBy("vec_id")
     members = (rows.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + 1)
                .withColumn("rep", F.min("vec_id").over(Window.partitionBy("v"))))
-    members = materialise(members.select("rep", "vec_id", "v", "n"), "vector-members")
-    longest = F.array_max(F.transform("v", F.abs))
-    norm = longest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + F.pow(c / F.col("longest"), 2)))
-    nodes = members.filter("n = 1").withColumn("longest", longest).withColumn("norm", norm)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    longest = F.array_max(F.transform("v", F.abs))       # only where squares leave the range of doubles
+    scaled = longest * F.sqrt(F.aggregate(F.transform("v", lambda c: c / longest), F.lit(0.0), lambda a, c: a + c * c))
+    norm = F.when((norm > 1e-140) & (norm < 1e140), norm).otherwise(scaled)
+    members = materialise(members.select("rep", "vec_id", "v", "n", F.when(F.col("n") == 1, norm).alias("norm")),
+                          "vector-members")
+    nodes = members.filter("n = 1")
     largest = nodes.agg(F.max("norm")).first()[0]
     if largest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
