@@ -28,8 +28,13 @@ that alone, and the united words otherwise.
 Only template windows with at least ``literals`` words that are no
 placeholders are searched.  Literal windows have no such limit, so that items of
 numbers and names are found word for word; an item of fewer than ``n`` words is
-searched by one literal window of its whole length.  An item without words has
-no copies.
+searched by one literal window of its whole length.  An item without a searched
+template window behind its first word (short questions, arithmetic) has a weak
+one: its template window with most literal words, of its whole length where it
+is shorter than ``n``, if that has at least ``weak_literals`` of them.  What a weak
+window finds counts only where the whole item is there, every word and slot.  As
+a capitalised first word is a name inside another sentence, a weak window that
+begins with it is searched in both forms.  An item without words has no copies.
 
 Defined results: null text has no words; a null doc_id or item_id is reported
 as null; rows equal in id and text give one pair; empty tables give no pairs;
@@ -45,6 +50,7 @@ from qoeflow.llm.common import fresh, materialise
 
 N = 8
 LITERALS = 5
+WEAK_LITERALS = 3
 COVERAGE = 0.5
 LONG_RUN = 24
 
@@ -56,8 +62,8 @@ UNITS = ("km", "m", "cm", "mm", "mi", "mile", "miles", "meter", "meters", "metre
          "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros",
          "percent", "degree", "degrees", "kmh", "mph", "km/h", "m/s", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb",
          "tb", "w", "kw", "v", "volt", "volts", "j", "joule", "joules", "n", "newton", "newtons", "pa", "mol")
-#: Kinds of windows; those of the last kind hold a run taken as one.
-TEMPLATE, LITERAL, WIDE = 0, 1, 2
+#: Kinds of windows: wide ones hold a run taken as one, weak ones (of items only) few literal words.
+TEMPLATE, LITERAL, WIDE, WEAK = 0, 1, 2, 3
 HOLDERS = ("<num>", "<qty>", "<unit>", "<name>")
 RUNS = ("<num>", "<name>")
 _WINS = "array<struct<win:bigint,pos:int,len:int,kind:int>>"
@@ -103,11 +109,12 @@ def _joined(t: Column, i: Column) -> Column:
     return (i > 0) & (F.get(t, i) == F.get(t, i - 1)) & F.get(t, i).isin(*RUNS)
 
 
-def _windows(df: DataFrame, n: int, short: list[int]) -> DataFrame:
+def _windows(df: DataFrame, n: int, short: list[int], short_weak: list[int]) -> DataFrame:
     """Adds ``wins``: hash, position, words and kind of each window of ``n``
     template words, of each that is another one of ``n`` literal words or of
-    ``n`` template words with runs of names or numbers taken as one, and of
-    each window of literal words as long as one of ``short``."""
+    ``n`` template words with runs of names or numbers taken as one, of each
+    window of literal words as long as one of ``short``, and of template words
+    as long as one of ``short_weak``."""
     df = (df.withColumn("h", F.transform("tpl", lambda t: F.xxhash64(t)))
           .withColumn("g", F.transform("low", lambda t: F.xxhash64(t)))
           .withColumn("held", F.zip_with("h", "g", lambda a, b: a != b))
@@ -134,8 +141,33 @@ def _windows(df: DataFrame, n: int, short: list[int]) -> DataFrame:
     return df.withColumn("wins", F.concat(
         F.when(F.size("h") >= n, F.concat(hashed("h", every, TEMPLATE), hashed("g", literal, LITERAL)))
         .otherwise(F.array().cast(_WINS)), F.when(F.size("c") >= n, wide).otherwise(F.array().cast(_WINS)),
-        *[F.when(F.size("g") >= m, hashed("g", F.sequence(F.lit(0), F.size("g") - m), LITERAL, m))
-          .otherwise(F.array().cast(_WINS)) for m in short]))
+        *[F.when(F.size("g") >= m, hashed(of, F.sequence(F.lit(0), F.size("g") - m), kind, m))
+          .otherwise(F.array().cast(_WINS))
+          for of, kind, lengths in (("g", LITERAL, short), ("h", TEMPLATE, short_weak)) for m in lengths]))
+
+
+def _literal_words(at: Column, length: Column) -> Column:
+    """Words of the window of ``tpl`` that are no placeholders."""
+    return F.size(F.filter(F.slice("tpl", at + 1, length), lambda t: ~t.isin(*HOLDERS)))
+
+
+def _weak(items: DataFrame, n: int, literals: int, weak_literals: int) -> DataFrame:
+    """win, item_key, at, item_len, item_kind of the weak windows: of each item
+    without a searched template window behind its first word."""
+    length = F.least(F.lit(n), F.size("tpl"))
+    at = F.when(F.size("tpl") > 0, F.sequence(F.lit(0), F.size("tpl") - length)).otherwise(F.array().cast("array<int>"))
+    best = F.array_max(F.transform(at, lambda i: F.struct(_literal_words(i, length).alias("literals"), i.alias("at"))))
+    strong = F.exists(at, lambda i: (i > 0) & (_literal_words(i, F.lit(n)) >= literals))
+    found = (items.filter(~strong).select("item_key", "tpl", "bodies", length.alias("item_len"), best.alias("best"))
+             .filter(F.col("best.literals") >= weak_literals)
+             .select("item_key", "item_len", "best.at", F.slice("tpl", F.col("best.at") + 1, F.col("item_len")).alias("t"),
+                     F.substring(F.get("bodies", F.col("best.at")), 1, 1).alias("first")))
+    capital = (F.col("at") == 0) & (F.upper("first") == F.col("first")) & (F.lower("first") != F.col("first"))
+    named = F.concat(F.array(F.lit("<name>")), F.slice("t", 2, F.greatest(F.col("item_len") - 1, F.lit(0))))
+    forms = F.array_distinct(F.when(capital, F.array(F.col("t"), named)).otherwise(F.array(F.col("t"))))
+    return (found.withColumn("form", F.explode(forms))
+            .select(F.xxhash64(F.transform("form", lambda t: F.xxhash64(t))).alias("win"), "item_key", "at", "item_len",
+                    F.lit(WEAK).alias("item_kind")))
 
 
 def _tokens(t: Column, w: Column) -> Column:
@@ -173,7 +205,7 @@ def _united(pieces: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", n: int = N, literals: int = LITERALS,
-          coverage: float = COVERAGE, long_run: int = LONG_RUN) -> DataFrame:
+          coverage: float = COVERAGE, long_run: int = LONG_RUN, weak_literals: int = WEAK_LITERALS) -> DataFrame:
     """row_key (a hash of id and text), doc_id, item_id, item_words, covered,
     coverage, kind ('exact' or 'reparameterised') of each leaked item."""
     items = _templates(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t"))
@@ -182,24 +214,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # items too short for a window have one of their whole length
     size = F.size("words")
     short = sorted(r[0] for r in items.filter((size > 0) & (size < n)).select(size).distinct().collect())
-    searched = (_windows(items, n, short).select("item_key", "tpl", F.explode_outer("wins").alias("x"))
-                .filter((F.col("x.kind") == LITERAL) | (F.size(F.filter(
-                    F.slice("tpl", F.col("x.pos") + 1, F.col("x.len")), lambda t: ~t.isin(*HOLDERS))) >= literals))
+    weak = _weak(items, n, literals, weak_literals)
+    short_weak = sorted(r[0] for r in weak.filter(F.col("item_len") < n).select("item_len").distinct().collect())
+    searched = (_windows(items, n, short, []).select("item_key", "tpl", F.explode_outer("wins").alias("x"))
+                .filter((F.col("x.kind") == LITERAL) | (_literal_words(F.col("x.pos"), F.col("x.len")) >= literals))
                 .filter((F.col("x.len") >= n) | (F.col("x.len") == F.size("tpl")))
                 .select("x.win", "item_key", F.col("x.pos").alias("at"), F.col("x.len").alias("item_len"),
-                        F.col("x.kind").alias("item_kind")))
+                        F.col("x.kind").alias("item_kind")).unionByName(weak))
     # the outer explode keeps the optimiser from copying the window expression
     # into a filter on its size, where it would run once per word
     key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")
     rows = docs.select(key, words(F.col(text_col)).alias("words"))
-    seen = (_windows(_templates(rows), n, short).select("row_key", F.explode_outer("wins").alias("x"))
+    seen = (_windows(_templates(rows), n, short, short_weak).select("row_key", F.explode_outer("wins").alias("x"))
             .select("row_key", "x.*"))
     kind = F.greatest("kind", "item_kind")
     met = (seen.join(searched, "win")
            .groupBy("row_key", "item_key", (F.col("pos") - F.col("at")).alias("shift"))
            .agg(F.collect_set(F.when(kind == TEMPLATE, F.col("at"))).alias("by_template"),
-                F.collect_set(F.when(kind != WIDE, F.col("at"))).alias("by_all"),
-                F.collect_set(F.when(kind == WIDE, F.struct("at", "item_len", "len"))).alias("wide")))
+                F.collect_set(F.when(kind < WIDE, F.col("at"))).alias("by_all"),
+                F.collect_set(F.when(kind == WIDE, F.struct("at", "item_len", "len"))).alias("wide"),
+                F.max(kind == WEAK).alias("weak")))
     met = materialise(met, "template-windows")       # read twice below, costly to compute
     # the words of candidates only, compared one by one
     texts = (docs.select(key, F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
@@ -210,7 +244,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             .join(texts.select("row_key", "doc_id", F.col("low").alias("dw"), F.col("tpl").alias("dt")), "row_key"))
 
     def by_shift(at: str) -> Column:
-        p = F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + F.least(F.lit(n), F.size("iw")) - 1))))
+        if at == "weak":                                # nothing less than the whole item
+            p = F.when(F.col("weak"), F.sequence(F.lit(0), F.size("iw") - 1)).otherwise(F.array().cast("array<int>"))
+        else:
+            p = F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(
+                a, a + F.least(F.lit(n), F.size("iw")) - 1))))
         slots = F.transform(p, lambda p: F.struct(
             F.get("it", p).alias("it"), F.get("dt", p + F.col("shift")).alias("dt"),
             F.get("iw", p).alias("iv"), F.get("dw", p + F.col("shift")).alias("dv")))
@@ -223,7 +261,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                                                        b["v"].alias("dv")))
         return F.struct(F.lit(False).alias("template"), F.lit(True).alias("run"),
                         F.sequence(x["at"], x["at"] + x["item_len"] - 1).alias("p"), slots.alias("slots"))
-    piece = pair.withColumn("x", F.explode(F.concat(F.array(by_shift("by_template"), by_shift("by_all")),
+    piece = pair.withColumn("x", F.explode(F.concat(F.array(by_shift("by_template"), by_shift("by_all"), by_shift("weak")),
                                                     F.transform("wide", by_run))))
     same = F.forall("x.slots", lambda s: F.coalesce((s["it"] == s["dt"]) | (s["iv"] == s["dv"]), F.lit(False)))
     holders = F.filter("x.slots", lambda s: s["it"].isin(*HOLDERS))

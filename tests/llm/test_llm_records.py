@@ -72,10 +72,25 @@ def test_short_items_and_items_of_placeholders(spark):
             (4, "who else wrote Hamlet"), (5, sums.replace("12", "13").replace("42", "43").replace("38", "39")),
             (6, "Seven words are one less than eight"), (7, "so Zed 9 Yan 8 Xi 7 Wu 6 Vi 5")]
     got = leak_pairs(spark, docs, items)
-    assert set(got) == {(1, 1), (2, 2), (3, 3), (6, 5)}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (6, 5), (5, 2)}       # 5: the same sums with other numbers
+    assert got.pop((5, 2)) == (len(sums.split()), "reparameterised")
     assert {kind for _, kind in got.values()} == {"exact"} and got[1, 1][0] == 3 and got[6, 5][0] == 7
 
 
+def test_reparameterised_items_of_few_literal_words(spark):
+    times = "What is 12 times 30 plus 4 minus 38 over 7 then"
+    items = [(1, times), (2, "What is 12 plus 30 ?"), (3, "Who wrote Hamlet?"), (4, "What is 5 km in 3 miles and 5 km"),
+             (5, "3 and 4"), (6, "Add 3 apples to 4 pears")]
+    docs = [(1, "He asked: What is 99 times 3 plus 1 minus 2 over 6 then"), (2, "so what is 1 plus 2 ?"), (3, "Who wrote Macbeth?"),
+            (4, "well, what is 7 km in 9 miles and 7 km"), (5, "what is 7 km in 9 miles and 8 km"),     # one slot, two values
+            (6, "1 and 2"), (7, "What is 99 times 3 plus 1 minus 2 over nothing"),                      # two thirds of it
+            (8, "Then Add 1 apples to 2 pears ."), (9, "add 7 apples to 7 pears"), (10, "add 7 apples to pears")]
+    got = leak_pairs(spark, docs, items)
+    assert set(got) == {(1, 1), (7, 1), (2, 2), (4, 4), (8, 6), (9, 6)}
+    assert {kind for _, kind in got.values()} == {"reparameterised"}
+    assert got[1, 1] == (len(times.split()), "reparameterised") and got[2, 2][0] == 6
+
+
 def test_leaks_equal_plain_search(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
