@@ -109,6 +109,28 @@ def _joined(t: Column, i: Column) -> Column:
     return (i > 0) & (F.get(t, i) == F.get(t, i - 1)) & F.get(t, i).isin(*RUNS)
 
 
+def _rolled(df: DataFrame, of: str, n: int, out: str) -> DataFrame:
+    """Adds ``out``: a hash of each ``n`` consecutive entries of the hashes ``of``,
+    from hashes of 1, 2, 4... entries (entries behind the last window have no
+    meaning).  A slice copies its whole array, so that one a window would cost the
+    square of a text's words."""
+    def followed(a: str, b: str, at: int) -> Column:
+        return F.zip_with(a, F.slice(b, at + 1, F.greatest(F.size(b) - at, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    power, width, have, length = of, 1, None, 0
+    while width <= n:
+        if n & width:
+            if have is None:
+                have, length = power, width
+            else:
+                df = df.withColumn(f"{out}_{length + width}", followed(have, power, length))
+                have, length = f"{out}_{length + width}", length + width
+        width *= 2
+        if width <= n:
+            df = df.withColumn(f"{of}_of_{width}", followed(power, power, width // 2))
+            power = f"{of}_of_{width}"
+    return df.withColumn(out, F.col(have))
+
+
 def _windows(df: DataFrame, n: int, short: list[int], short_weak: list[int]) -> DataFrame:
     """Adds ``wins``: hash, position, words and kind of each window of ``n``
     template words, of each that is another one of ``n`` literal words or of
@@ -116,26 +138,30 @@ def _windows(df: DataFrame, n: int, short: list[int], short_weak: list[int]) ->
     window of literal words as long as one of ``short``, and of template words
     as long as one of ``short_weak``."""
     df = (df.withColumn("h", F.transform("tpl", lambda t: F.xxhash64(t)))
-          .withColumn("g", F.transform("low", lambda t: F.xxhash64(t)))
-          .withColumn("held", F.zip_with("h", "g", lambda a, b: a != b))
-          .withColumn("runs", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (F.size("h") > 0) & _joined(
-              F.col("tpl"), i))))
+          .withColumn("g", F.transform("low", lambda t: F.xxhash64(t))))
+    # hashes are compared first: few neighbours are equal
+    df = df.withColumn("runs", F.when(F.size("h") > 1, F.filter(
+        F.sequence(F.lit(1), F.size("h") - 1), lambda i: (F.get("h", i) == F.get("h", i - 1)) & _joined(F.col("tpl"), i)))
+        .otherwise(F.array().cast("array<int>")))
     df = df.withColumn("starts", F.when(F.size("runs") > 0, F.array_except(
         F.sequence(F.lit(0), F.size("h") - 1), "runs")).otherwise(F.array().cast("array<int>")))
     df = (df.withColumn("ends", F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))),
                                          F.array(F.size("h"))))
           .withColumn("c", F.transform("starts", lambda i: F.get("h", i))))
+    wanted = {("h", n), ("g", n), ("c", n), *(("g", m) for m in short), *(("h", m) for m in short_weak)}
+    for of, m in sorted(wanted):
+        df = _rolled(df, of, m, f"{of}_{m}")
     every = F.sequence(F.lit(0), F.size("h") - n)
 
     def hashed(of: str, at: Column, kind: int, n: int = n) -> Column:
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(F.col(of), i + 1, F.lit(n))).alias("win"),
+        return F.transform(at, lambda i: F.struct(F.get(f"{of}_{n}", i).alias("win"),
                                                   i.alias("pos"), F.lit(n).alias("len"), F.lit(kind).alias("kind")))
 
     def span(i: Column) -> Column:
         return F.get("ends", i + (n - 1)) - F.get("starts", i)
-    literal = F.filter(every, lambda i: F.exists(F.slice(F.col("held"), i + 1, F.lit(n)), lambda x: x))
+    literal = F.filter(every, lambda i: F.get(f"h_{n}", i) != F.get(f"g_{n}", i))
     wide = F.filter(F.sequence(F.lit(0), F.size("c") - n), lambda i: span(i) > n)
-    wide = F.transform(wide, lambda i: F.struct(F.xxhash64(F.slice(F.col("c"), i + 1, F.lit(n))).alias("win"),
+    wide = F.transform(wide, lambda i: F.struct(F.get(f"c_{n}", i).alias("win"),
                                                 F.get("starts", i).alias("pos"), span(i).alias("len"),
                                                 F.lit(WIDE).alias("kind")))
     return df.withColumn("wins", F.concat(
@@ -165,9 +191,11 @@ def _weak(items: DataFrame, n: int, literals: int, weak_literals: int) -> DataFr
     capital = (F.col("at") == 0) & (F.upper("first") == F.col("first")) & (F.lower("first") != F.col("first"))
     named = F.concat(F.array(F.lit("<name>")), F.slice("t", 2, F.greatest(F.col("item_len") - 1, F.lit(0))))
     forms = F.array_distinct(F.when(capital, F.array(F.col("t"), named)).otherwise(F.array(F.col("t"))))
-    return (found.withColumn("form", F.explode(forms))
-            .select(F.xxhash64(F.transform("form", lambda t: F.xxhash64(t))).alias("win"), "item_key", "at", "item_len",
-                    F.lit(WEAK).alias("item_kind")))
+    found = found.withColumn("form", F.explode(forms)).withColumn("f", F.transform("form", lambda t: F.xxhash64(t)))
+    for m in range(weak_literals, n + 1):                # a window's length is one of these
+        found = _rolled(found, "f", m, f"f_{m}")
+    win = F.get(F.array(*[F.get(f"f_{m}", F.lit(0)) for m in range(weak_literals, n + 1)]), F.col("item_len") - weak_literals)
+    return found.select(win.alias("win"), "item_key", "at", "item_len", F.lit(WEAK).alias("item_kind"))
 
 
 def _tokens(t: Column, w: Column) -> Column:
