@@ -109,26 +109,24 @@ def _joined(t: Column, i: Column) -> Column:
     return (i > 0) & (F.get(t, i) == F.get(t, i - 1)) & F.get(t, i).isin(*RUNS)
 
 
-def _rolled(df: DataFrame, of: str, n: int, out: str) -> DataFrame:
-    """Adds ``out``: a hash of each ``n`` consecutive entries of the hashes ``of``,
-    from hashes of 1, 2, 4... entries (entries behind the last window have no
-    meaning).  A slice copies its whole array, so that one a window would cost the
-    square of a text's words."""
-    def followed(a: str, b: str, at: int) -> Column:
+def _rolled(of: Column, n: int) -> Column:
+    """A hash of each ``n`` consecutive entries of the hashes ``of``, from hashes
+    of 1, 2, 4... entries (entries behind the last window have no meaning).  A
+    slice copies its whole array, so that one a window would cost the square of a
+    text's words; all is one expression, as generated code for each step is large."""
+    def followed(a: Column, b: Column, at: int) -> Column:
         return F.zip_with(a, F.slice(b, at + 1, F.greatest(F.size(b) - at, F.lit(0))), lambda x, y: F.xxhash64(x, y))
-    power, width, have, length = of, 1, None, 0
-    while width <= n:
+
+    def bound(value: Column, f) -> Column:               # f of a value that is computed once
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def step(power: Column, width: int, have: Column | None, length: int) -> Column:
         if n & width:
-            if have is None:
-                have, length = power, width
-            else:
-                df = df.withColumn(f"{out}_{length + width}", followed(have, power, length))
-                have, length = f"{out}_{length + width}", length + width
-        width *= 2
-        if width <= n:
-            df = df.withColumn(f"{of}_of_{width}", followed(power, power, width // 2))
-            power = f"{of}_of_{width}"
-    return df.withColumn(out, F.col(have))
+            have, length = (power, width) if have is None else (followed(have, power, length), length + width)
+        if 2 * width > n:
+            return have
+        return bound(followed(power, power, width), lambda p: step(p, 2 * width, have, length))
+    return bound(of, lambda p: step(p, 1, None, 0))
 
 
 def _windows(df: DataFrame, n: int, short: list[int], short_weak: list[int]) -> DataFrame:
@@ -149,8 +147,7 @@ def _windows(df: DataFrame, n: int, short: list[int], short_weak: list[int]) ->
                                          F.array(F.size("h"))))
           .withColumn("c", F.transform("starts", lambda i: F.get("h", i))))
     wanted = {("h", n), ("g", n), ("c", n), *(("g", m) for m in short), *(("h", m) for m in short_weak)}
-    for of, m in sorted(wanted):
-        df = _rolled(df, of, m, f"{of}_{m}")
+    df = df.withColumns({f"{of}_{m}": _rolled(F.col(of), m) for of, m in sorted(wanted)})
     every = F.sequence(F.lit(0), F.size("h") - n)
 
     def hashed(of: str, at: Column, kind: int, n: int = n) -> Column:
@@ -192,9 +189,9 @@ def _weak(items: DataFrame, n: int, literals: int, weak_literals: int) -> DataFr
     named = F.concat(F.array(F.lit("<name>")), F.slice("t", 2, F.greatest(F.col("item_len") - 1, F.lit(0))))
     forms = F.array_distinct(F.when(capital, F.array(F.col("t"), named)).otherwise(F.array(F.col("t"))))
     found = found.withColumn("form", F.explode(forms)).withColumn("f", F.transform("form", lambda t: F.xxhash64(t)))
-    for m in range(weak_literals, n + 1):                # a window's length is one of these
-        found = _rolled(found, "f", m, f"f_{m}")
-    win = F.get(F.array(*[F.get(f"f_{m}", F.lit(0)) for m in range(weak_literals, n + 1)]), F.col("item_len") - weak_literals)
+    # a window's length is one of these
+    win = F.coalesce(*[F.when(F.col("item_len") == m, F.get(_rolled(F.col("f"), m), F.lit(0)))
+                       for m in range(max(weak_literals, 1), n + 1)])
     return found.select(win.alias("win"), "item_key", "at", "item_len", F.lit(WEAK).alias("item_kind"))
 
 
