@@ -230,7 +230,7 @@ def test_query_against_its_sql(spark, name):
 
 def test_pipeline_is_registered(spark):
     import __spark_entry__ as E
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.REGISTRY}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.REGISTRY}
     assert "pipeline" in E.queries() and [n for n, _ in corpus_pipeline.STAGES] == [
         "quality", "near_dedup", "decontaminate", "secrets", "pack"]
     assert E.queries()["pipeline"](spark, SF).count() > 0
