@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,40 +29,54 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this must name a shared store (HDFS/S3/...): an unset value,
-    one without a scheme and a ``file:`` one are errors.  A ``local-cluster``
-    master, whose executors share one machine, may use ``file:``.  Only for a
-    ``local`` or ``local[...]`` master (tests, local runs) do we fall back to
-    a fresh local folder and register it, so ``DataFrame.checkpoint()`` works
-    too.
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Unset, it is the one of ``setCheckpointDir``; if there is none either, a
+    fresh local folder for a ``local`` or ``local[...]`` master (one process)
+    and one below the warehouse for others.  It is registered, so that
+    ``DataFrame.checkpoint()`` works too.
+
+    The name of a folder of the local file system (``file:``, or no scheme
+    where that is the default) does not tell whether all machines mount it.  On
+    a cluster it is tried once a session (``all_see``), and one that loses what
+    tasks write is an error.  A ``local-cluster`` master is one machine.
     """
-    master = spark.sparkContext.master
-    one_process = master == "local" or master.startswith("local[")
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    one_process = sc.master == "local" or sc.master.startswith("local[")
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not one_process:
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
-                               "(HDFS/S3/...); a machine-local folder is not safe on a cluster")
-        d = tempfile.mkdtemp(prefix="qoeflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not master.startswith("local") and (":" not in d or d.startswith("file:")):
-        raise RuntimeError(f"spark.checkpoint.dir = {d} names a folder of one machine; "
-                           "name one that every executor reaches (HDFS/S3/...)")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        d = (tempfile.mkdtemp(prefix="qoeflow-ckpt-") if one_process
+             else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_qoeflow")
+    fs, p = file_system(spark, d)
+    if fs.getUri().getScheme() != "file":
+        d = fs.makeQualified(p).toString()       # for readers that do not know Spark's default file system
+    elif not sc.master.startswith("local") and not all_see(spark, d):
+        raise RuntimeError(f"{d} is a folder of one machine: rows that tasks wrote there were lost; set "
+                           "spark.checkpoint.dir to one that driver and executors share (HDFS/S3/a shared mount)")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
+_seen: set[tuple[str, str]] = set()              # (application, folder) that passed
+
+
+def all_see(spark: SparkSession, folder: str) -> bool:
+    """Whether a table that tasks on all cores write below ``folder`` is read
+    back whole."""
+    sc = spark.sparkContext
+    if (sc.applicationId, folder) not in _seen:
+        n, path = max(2, sc.defaultParallelism), f"{folder.rstrip('/')}/qoeflow/seen-{uuid.uuid4().hex[:12]}"
+        spark.range(0, n, 1, n).write.parquet(path)
+        if spark.read.schema("id long").parquet(path).count() != n:
+            return False
+        _seen.add((sc.applicationId, folder))
+    return True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique sub-path of the shared folder for one run."""
-    base = shared_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "qoeflow", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_dir(spark).rstrip('/')}/qoeflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def file_system(spark: SparkSession, path: str):
