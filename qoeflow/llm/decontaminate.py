@@ -66,7 +66,6 @@ UNITS = ("km", "m", "cm", "mm", "mi", "mile", "miles", "meter", "meters", "metre
 TEMPLATE, LITERAL, WIDE, WEAK = 0, 1, 2, 3
 HOLDERS = ("<num>", "<qty>", "<unit>", "<name>")
 RUNS = ("<num>", "<name>")
-_WINS = "array<struct<win:bigint,pos:int,len:int,kind:int>>"
 _OUTER = ".,;:!?\"'()[]{}<>*#&|~`…“”„«»‘’–—"
 _NUMBER = "^[-+$€£]?\\d[\\d.,:/]*%?$"
 _QUANTITY = "^[-+$€£]?\\d[\\d.,]*\\p{L}+[\\p{L}/]*$"
@@ -74,34 +73,56 @@ _QUANTITY = "^[-+$€£]?\\d[\\d.,]*\\p{L}+[\\p{L}/]*$"
 
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-
-
-def _template(body: Column, w: Column, i: Column) -> Column:
-    """Template word of word ``w`` at position ``i`` (from 0) of ``words``;
-    ``body`` is the word without outer punctuation."""
-    low = F.lower(body)
-    plain = F.when(low.isin(*UNITS), F.when((i > 0) & F.get("bodies", i - 1).rlike(_NUMBER), "<unit>")
-                   .otherwise(low)).otherwise(low)
-    first = F.substring(body, 1, 1)
-    capital = (F.upper(first) == first) & (F.lower(first) != first)
-    inside = (i > 0) & ~F.get("words", i - 1).rlike("[.!?][\"'”’)]*$")
-    other = (F.when(body == "", w)
-             .when(body.rlike(_NUMBER), "<num>")
-             .when(body.rlike(_QUANTITY), "<qty>")
-             .when(capital & inside, "<name>")
-             .otherwise(plain))
-    # most words start with a-z and need none of the other tests
-    return F.when((body >= "a") & (body < "{"), plain).otherwise(other)
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+
+
+def _if(condition: Column, a, b=None) -> Column:
+    """``a`` or ``b``; for conditions met at every word, as a ``when`` counts its branches at each."""
+    return F.call_function("if", condition, *[x if isinstance(x, Column) else F.lit(x) for x in (a, b)])
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once (``transform`` of an array of it would copy the result)."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, f)
+
+
+def _bodies(w: Column) -> Column:
+    """The words ``w`` without outer punctuation."""
+    def within(x: Column) -> Column:
+        return (x >= "a") & (x < "{")
+    # most words start and end with a-z
+    return F.transform(w, lambda x: _if(within(x) & within(F.substring(x, -1, 1)), x, F.btrim(x, F.lit(_OUTER))))
+
+
+def _low(w: Column, bodies: Column) -> Column:
+    """The literal words without case."""
+    return F.transform(bodies, lambda b, i: _if(b == "", F.get(w, i), F.lower(b)))
+
+
+def _tpl(w: Column, bodies: Column, low: Column) -> Column:
+    """The template words."""
+    def other(i: Column) -> Column:
+        body, word, lower = F.get(bodies, i), F.get(w, i), F.get(low, i)
+        plain = F.when(lower.isin(*UNITS) & (i > 0) & F.get(bodies, i - 1).rlike(_NUMBER), "<unit>").otherwise(lower)
+        first = F.substring(body, 1, 1)
+        capital = (F.upper(first) == first) & (F.lower(first) != first)
+        inside = (i > 0) & ~F.get(w, i - 1).rlike("[.!?][\"'”’)]*$")
+        return (F.when((body >= "a") & (body < "{"), plain)
+                .when(body == "", word)
+                .when(body.rlike(_NUMBER), "<num>")
+                .when(body.rlike(_QUANTITY), "<qty>")
+                .when(capital & inside, "<name>")
+                .otherwise(plain))
+    # most words start with a-z, are no units and need none of the other tests
+    usual = F.zip_with(bodies, low, lambda b, x: _if((b >= "a") & (b < "{") & ~x.isin(*UNITS), x))
+    return F.transform(usual, lambda x, i: F.coalesce(x, other(i)))
 
 
 def _templates(df: DataFrame) -> DataFrame:
     """Adds ``bodies``, ``tpl``, the template words, and ``low``, the literal
     words without case, to the array ``words``."""
-    return (df.withColumn("bodies", F.transform("words", lambda w: F.btrim(w, F.lit(_OUTER))))
-            .withColumn("tpl", F.transform("bodies", lambda b, i: _template(b, F.get("words", i), i)))
-            .withColumn("low", F.transform("bodies", lambda b, i: F.when(b == "", F.get("words", i))
-                                           .otherwise(F.lower(b)))))
+    w, b, x = F.col("words"), F.col("bodies"), F.col("low")
+    return df.withColumn("bodies", _bodies(w)).withColumn("low", _low(w, b)).withColumn("tpl", _tpl(w, b, x))
 
 
 def _joined(t: Column, i: Column) -> Column:
@@ -117,56 +138,76 @@ def _rolled(of: Column, n: int) -> Column:
     def followed(a: Column, b: Column, at: int) -> Column:
         return F.zip_with(a, F.slice(b, at + 1, F.greatest(F.size(b) - at, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
-    def bound(value: Column, f) -> Column:               # f of a value that is computed once
-        return F.get(F.transform(F.array(value), f), F.lit(0))
-
     def step(power: Column, width: int, have: Column | None, length: int) -> Column:
         if n & width:
             have, length = (power, width) if have is None else (followed(have, power, length), length + width)
         if 2 * width > n:
             return have
-        return bound(followed(power, power, width), lambda p: step(p, 2 * width, have, length))
-    return bound(of, lambda p: step(p, 1, None, 0))
-
-
-def _windows(df: DataFrame, n: int, short: list[int], short_weak: list[int]) -> DataFrame:
-    """Adds ``wins``: hash, position, words and kind of each window of ``n``
-    template words, of each that is another one of ``n`` literal words or of
+        return _bound(followed(power, power, width), lambda p: step(p, 2 * width, have, length))
+    return _bound(of, lambda p: step(p, 1, None, 0))
+
+
+def _count(size: Column, n: int) -> Column:
+    """Number of windows of ``n`` among ``size`` entries."""
+    return F.greatest(size - (n - 1), F.lit(0))
+
+
+def _hashes(tpl: Column, low: Column, n: int, short: list[int], short_weak: list[int]) -> Column:
+    """size (of ``tpl``), starts and ends (of the words and runs, if there is a
+    run) and wins: hashes of the windows that ``_windows`` lists, kind by kind in
+    order of position, null for a window that is left out."""
+    def rolled(of: Column, m: int) -> Column:
+        return F.slice(_rolled(of, m), F.lit(1), _count(F.size(of), m))
+
+    def of_hashes(h: Column, g: Column) -> Column:
+        # hashes are compared first: few neighbours are equal
+        runs = F.array_compact(F.transform(h, lambda x, i: _if((x == F.get(h, i - 1)) & _joined(tpl, i), i)))
+        starts = _bound(runs, lambda r: F.when(F.size(r) > 0, F.array_except(F.sequence(F.lit(0), F.size(h) - 1), r))
+                        .otherwise(F.array().cast("array<int>")))
+        return _bound(starts, lambda s: _bound(
+            F.concat(F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), F.array(F.size(h))),
+            lambda e: F.struct(F.size(h).alias("size"), s.alias("starts"), e.alias("ends"),
+                               of_starts(h, g, s, e).alias("wins"))))
+
+    def of_starts(h: Column, g: Column, s: Column, e: Column) -> Column:
+        wide = F.transform(rolled(F.transform(s, lambda i: F.get(h, i)), n), lambda x, k: _if(
+            F.get(e, k + (n - 1)) - F.get(s, k) > n, x))
+        return _bound(rolled(h, n), lambda hn: F.concat(
+            hn, F.zip_with(hn, rolled(g, n), lambda x, y: F.nullif(y, x)), wide,
+            *[rolled(g, m) for m in short], *[rolled(h, m) for m in short_weak]))
+    return _bound(F.transform(tpl, lambda t: F.xxhash64(t)), lambda h: _bound(
+        F.transform(low, lambda t: F.xxhash64(t)), lambda g: of_hashes(h, g)))
+
+
+def _text_hashes(w: Column, n: int, short: list[int], short_weak: list[int]) -> Column:
+    """``_hashes`` of words in one expression: no array between is copied into a row."""
+    return _bound(w, lambda w: _bound(_bodies(w), lambda b: _bound(_low(w, b), lambda x: _bound(
+        _tpl(w, b, x), lambda t: _hashes(t, x, n, short, short_weak)))))
+
+
+def _windows(df: DataFrame, keep: list[str], hashes: Column, n: int, short: list[int],
+             short_weak: list[int]) -> DataFrame:
+    """The columns ``keep`` of ``df`` with hash, position, words and kind of each window of
+    ``n`` template words, of each that is another one of ``n`` literal words or of
     ``n`` template words with runs of names or numbers taken as one, of each
     window of literal words as long as one of ``short``, and of template words
-    as long as one of ``short_weak``."""
-    df = (df.withColumn("h", F.transform("tpl", lambda t: F.xxhash64(t)))
-          .withColumn("g", F.transform("low", lambda t: F.xxhash64(t))))
-    # hashes are compared first: few neighbours are equal
-    df = df.withColumn("runs", F.when(F.size("h") > 1, F.filter(
-        F.sequence(F.lit(1), F.size("h") - 1), lambda i: (F.get("h", i) == F.get("h", i - 1)) & _joined(F.col("tpl"), i)))
-        .otherwise(F.array().cast("array<int>")))
-    df = df.withColumn("starts", F.when(F.size("runs") > 0, F.array_except(
-        F.sequence(F.lit(0), F.size("h") - 1), "runs")).otherwise(F.array().cast("array<int>")))
-    df = (df.withColumn("ends", F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))),
-                                         F.array(F.size("h"))))
-          .withColumn("c", F.transform("starts", lambda i: F.get("h", i))))
-    wanted = {("h", n), ("g", n), ("c", n), *(("g", m) for m in short), *(("h", m) for m in short_weak)}
-    df = df.withColumns({f"{of}_{m}": _rolled(F.col(of), m) for of, m in sorted(wanted)})
-    every = F.sequence(F.lit(0), F.size("h") - n)
-
-    def hashed(of: str, at: Column, kind: int, n: int = n) -> Column:
-        return F.transform(at, lambda i: F.struct(F.get(f"{of}_{n}", i).alias("win"),
-                                                  i.alias("pos"), F.lit(n).alias("len"), F.lit(kind).alias("kind")))
-
-    def span(i: Column) -> Column:
-        return F.get("ends", i + (n - 1)) - F.get("starts", i)
-    literal = F.filter(every, lambda i: F.get(f"h_{n}", i) != F.get(f"g_{n}", i))
-    wide = F.filter(F.sequence(F.lit(0), F.size("c") - n), lambda i: span(i) > n)
-    wide = F.transform(wide, lambda i: F.struct(F.get(f"c_{n}", i).alias("win"),
-                                                F.get("starts", i).alias("pos"), span(i).alias("len"),
-                                                F.lit(WIDE).alias("kind")))
-    return df.withColumn("wins", F.concat(
-        F.when(F.size("h") >= n, F.concat(hashed("h", every, TEMPLATE), hashed("g", literal, LITERAL)))
-        .otherwise(F.array().cast(_WINS)), F.when(F.size("c") >= n, wide).otherwise(F.array().cast(_WINS)),
-        *[F.when(F.size("g") >= m, hashed(of, F.sequence(F.lit(0), F.size("g") - m), kind, m))
-          .otherwise(F.array().cast(_WINS))
-          for of, kind, lengths in (("g", LITERAL, short), ("h", TEMPLATE, short_weak)) for m in lengths]))
+    as long as one of ``short_weak``; ``hashes`` are ``_hashes`` of the row."""
+    # the outer explode keeps the optimiser from copying the window expression
+    # into a filter on its size, where it would run once per word
+    rows = (df.select(*keep, hashes.alias("x"))
+            .select(*keep, "x.size", "x.starts", "x.ends", F.posexplode_outer("x.wins").alias("slot", "win"))
+            .filter(F.col("win").isNotNull()))
+    # what a window is follows from its place; it is worked out for those that are met
+    size, before, found = F.col("size"), F.lit(0), None
+    for kind, m in ((TEMPLATE, n), (LITERAL, n), (WIDE, n), *((LITERAL, m) for m in short),
+                    *((TEMPLATE, m) for m in short_weak)):
+        k = F.col("slot") - before
+        start = F.get("starts", k) if kind == WIDE else k
+        long = F.get("ends", k + (n - 1)) - F.get("starts", k) if kind == WIDE else F.lit(m)
+        before = before + _count(F.size("starts") if kind == WIDE else size, m)
+        here = F.struct(start.alias("pos"), long.alias("len"), F.lit(kind).alias("kind"))
+        found = F.when(F.col("slot") < before, here) if found is None else found.when(F.col("slot") < before, here)
+    return rows.select(*keep, "win", found.alias("w")).select(*keep, "win", "w.pos", "w.len", "w.kind")
 
 
 def _literal_words(at: Column, length: Column) -> Column:
@@ -241,17 +282,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     short = sorted(r[0] for r in items.filter((size > 0) & (size < n)).select(size).distinct().collect())
     weak = _weak(items, n, literals, weak_literals)
     short_weak = sorted(r[0] for r in weak.filter(F.col("item_len") < n).select("item_len").distinct().collect())
-    searched = (_windows(items, n, short, []).select("item_key", "tpl", F.explode_outer("wins").alias("x"))
-                .filter((F.col("x.kind") == LITERAL) | (_literal_words(F.col("x.pos"), F.col("x.len")) >= literals))
-                .filter((F.col("x.len") >= n) | (F.col("x.len") == F.size("tpl")))
-                .select("x.win", "item_key", F.col("x.pos").alias("at"), F.col("x.len").alias("item_len"),
-                        F.col("x.kind").alias("item_kind")).unionByName(weak))
-    # the outer explode keeps the optimiser from copying the window expression
-    # into a filter on its size, where it would run once per word
+    searched = (_windows(items, ["item_key", "tpl"], _hashes(F.col("tpl"), F.col("low"), n, short, []), n, short, [])
+                .filter((F.col("kind") == LITERAL) | (_literal_words(F.col("pos"), F.col("len")) >= literals))
+                .filter((F.col("len") >= n) | (F.col("len") == F.size("tpl")))
+                .select("win", "item_key", F.col("pos").alias("at"), F.col("len").alias("item_len"),
+                        F.col("kind").alias("item_kind")).unionByName(weak))
     key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")
     rows = docs.select(key, words(F.col(text_col)).alias("words"))
-    seen = (_windows(_templates(rows), n, short, short_weak).select("row_key", F.explode_outer("wins").alias("x"))
-            .select("row_key", "x.*"))
+    seen = _windows(rows, ["row_key"], _text_hashes(F.col("words"), n, short, short_weak), n, short, short_weak)
     kind = F.greatest("kind", "item_kind")
     met = (seen.join(searched, "win")
            .groupBy("row_key", "item_key", (F.col("pos") - F.col("at")).alias("shift"))

@@ -105,6 +105,45 @@ def test_leaks_equal_plain_search(spark):
     assert kept == {d for d, _ in texts} - {d for d, _ in want}
 
 
+def test_windows_equal_plain_ones_and_no_array_between_is_a_row(spark):
+    n, words = 4, decontaminate.words(F.col("text"))
+    texts = ["", "one", "he met Ann Lee Poe, 3 km up 4 5 roads; (Next) we saw Bob", "a b c d e f g h", "so 1 2 3 4 5 6 \u2014 7 8"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", words.alias("words"))
+    t = decontaminate._templates(rows)
+    hashes = decontaminate._hashes(F.col("tpl"), F.col("low"), n, [2], [3])
+    got = decontaminate._windows(t, ["id"], hashes, n, [2], [3])
+    lists = {r.id: (r.tpl, r.low) for r in t.collect()}
+    want, forms = [], {}
+    for i, (tpl, low) in lists.items():
+        def add(pos, length, kind, form):
+            want.append((i, pos, length, kind))
+            forms[i, pos, length, kind] = tuple(form)
+        for m, k, source in ((n, 0, tpl), (2, 1, low), (3, 0, tpl)):
+            for p in range(len(tpl) - m + 1):
+                add(p, m, k, source[p:p + m])
+        for p in range(len(tpl) - n + 1):
+            if tpl[p:p + n] != low[p:p + n]:
+                add(p, n, 1, low[p:p + n])
+        first = [p for p, x in enumerate(tpl) if not (p and x == tpl[p - 1] and x in decontaminate.RUNS)]
+        for k in range(len(first) - n + 1):
+            end = [*first, len(tpl)][k + n]
+            if end - first[k] > n:
+                add(first[k], end - first[k], 2, [tpl[p] for p in first[k:k + n]])
+    rows_got = got.collect()
+    assert sorted((r.id, r.pos, r.len, r.kind) for r in rows_got) == sorted(want)
+    assert {3, 4, 2} < {x[2] for x in want} and {x[3] for x in want} == {0, 1, 2}
+    # equal forms have equal hashes, others have others (words alike hash alike, whatever the kind)
+    by_form = {}
+    for r in rows_got:
+        by_form.setdefault(forms[r.id, r.pos, r.len, r.kind], set()).add(r.win)
+    assert all(len(x) == 1 for x in by_form.values()) and len({min(x) for x in by_form.values()}) == len(by_form)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", decontaminate.words(F.col("text")).alias("words"))
+    whole = decontaminate._windows(docs, ["doc_id"], decontaminate._text_hashes(F.col("words"), 8, [], []), 8, [], [])
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("Generate ")[1]
+    assert len(re.findall(r"\bProject \[", plan)) == 1 and plan.count("trim(") == 1
+
+
 def test_leaks_in_empty_tables(spark):
     assert leak_pairs(spark, [], [(1, QUESTION)]) == {}
     assert leak_pairs(spark, [(1, QUESTION)], []) == {}
