@@ -39,8 +39,10 @@ LEVEL = 6
 BATCH = 1 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
-#: Bytes taken from a file at once when reading back.
+#: Bytes taken from a file at once when reading back, and handed to a member:
+#: what it leaves of them is copied.
 CHUNK = 1 << 20
+PIECE = 4 << 10
 
 #: What turns HTML into text, in this order: patterns that mean the same to
 #: Java's and RE2's regular expressions (then character references are decoded).
@@ -51,10 +53,13 @@ TAG_STEPS = (
      "body|html|blockquote|pre|td|th|form|figure)([\\x20\\x09-\\x0D/][^>]*)?>", "\n"),
     ("<[A-Za-z/!?][^>]*>", ""),
 )
-#: Runs of blanks (one blank alone stays as it is, so that most words cost no
-#: replacement), and of line ends once no blank is before one.
-BLANKS = "\\x20[\\x20\\x09\\x0B-\\x0D\\xA0]+|[\\x09\\x0B-\\x0D\\xA0][\\x20\\x09\\x0B-\\x0D\\xA0]*"
-LINE_ENDS = "\n[\\x20\n]+"
+#: Runs of blanks (one x20 alone stays as it is, so that most words cost no
+#: replacement; a class in front, no alternatives, is the quickest test of a
+#: character); and of line ends once no blank is before one, those at the end of
+#: the text without the first (``btrim`` would list every character of a text).
+BLANKS = ("[\\x20\\x09\\x0B-\\x0D\\xA0](?:(?<=[\\x09\\x0B-\\x0D\\xA0])|[\\x20\\x09\\x0B-\\x0D\\xA0])"
+          "[\\x20\\x09\\x0B-\\x0D\\xA0]*")
+LINE_ENDS = "(?=\n)(?:\n[\\x20\n]*\\z|(\n)[\\x20\n]+)"
 _WS = "\\x20\\x09-\\x0D"
 _VALUE = f"[{_WS}]*=[{_WS}]*(\"[^\"]*\"|'[^']*'|[^{_WS}>\"']+)"
 TITLE = "(?is)<title[^>]*>(.*?)</title"
@@ -112,8 +117,8 @@ def html_text(html: Column) -> Column:
     for pattern, to in TAG_STEPS:
         html = F.regexp_replace(html, pattern, to)
     html = F.replace(F.regexp_replace(unescape(html), BLANKS, " "), F.lit(" \n"), F.lit("\n"))
-    html = F.regexp_replace(html, LINE_ENDS, "\n")
-    return F.btrim(html, F.lit(" \n"))
+    html = F.regexp_replace(html, LINE_ENDS, "$1")
+    return F.ltrim(F.rtrim(html), F.lit(" \n"))
 
 
 def urn(*parts: Column) -> Column:
@@ -213,13 +218,16 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
 def _members(stream):
     """Decompressed gzip members of a stream, one after another."""
-    d, out, data = zlib.decompressobj(31), [], b""
-    while data or (data := stream.read(CHUNK)):
-        out.append(d.decompress(data))
-        data = d.unused_data
-        if d.eof:
-            yield b"".join(out)
-            d, out = zlib.decompressobj(31), []
+    d, out = zlib.decompressobj(31), []
+    while data := stream.read(CHUNK):
+        at = 0
+        while at < len(data):
+            piece = data[at:at + PIECE]
+            out.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)
+            if d.eof:
+                yield b"".join(out)
+                d, out = zlib.decompressobj(31), []
 
 
 def read_warc(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:

@@ -186,6 +186,47 @@ def test_warc_references_and_attributes(spark):
     assert {r.target_uri for r in rows} == {"http://a/%0D%0AX: y"}
 
 
+def test_warc_members_are_handed_few_bytes_twice(monkeypatch):
+    import gzip
+    import io
+    import zlib
+    from types import SimpleNamespace
+    blocks = [f"{i} ".encode() * (1 + 1000 * (i % 50 == 0)) + bytes([i % 256]) for i in range(3000)]
+    data, handed = b"".join(gzip.compress(x, mtime=0) for x in blocks), []
+
+    class Counting:
+        def __init__(self, wbits):
+            self.d = zlib.decompressobj(wbits)
+
+        def decompress(self, x):
+            handed.append(len(x) - len(self.d.unused_data))
+            out = self.d.decompress(x)
+            handed.append(len(self.d.unused_data))
+            return out
+
+        unused_data = property(lambda self: self.d.unused_data)
+        eof = property(lambda self: self.d.eof)
+    monkeypatch.setattr(warc, "zlib", SimpleNamespace(decompressobj=Counting))
+    assert list(warc._members(io.BytesIO(data))) == blocks
+    # a member's rest of what was read is copied: all of it would be the square of the members in a chunk
+    assert sum(handed) < (8 << 10) * len(blocks) + len(data)
+
+
+def test_warc_blanks_and_line_ends(spark):
+    import random
+    import re
+    rng = random.Random(3)
+    parts = [" ", " ", "\n", "\n", "\t", "\x0b", "\r", "\xa0", "a", "b", "\u00e9", "\U0001f600", "$1", "\\", "\x85"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    texts += [" " * 50_000, "x" + " \n" * 50_000, "\xa0" * 50_000 + "\nx"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(warc.html_text(F.col("t"))).collect()]
+
+    def want(t):
+        t = re.sub("[\x20\x09\x0b-\x0d\xa0]+", " ", t)
+        return re.sub(" ?\n[ \n]*", "\n", t).strip(" \n")
+    assert got == [want(t) for t in texts]
+
+
 def test_warc_query_equals_sql_and_reads_files(spark, tmp_path):
     import oracle_check
     data = [p for p in PAGES if p[0] is not None] + [(6, "http://f/", "&copy;&#38;&#xe9;&hellip;&none; <a href='/q'>x</a>")]
