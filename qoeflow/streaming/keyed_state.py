@@ -16,12 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from qoeflow.streaming.jobs import combine
+from qoeflow.streaming.pages import PageTicks, joined, pack, page_of, unpack
 from qoeflow.streaming.state import tick_sums
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -89,40 +91,97 @@ class LazyDecayProcessor(StatefulProcessor):
         pass
 
 
-class TimedDecayProcessor(LazyDecayProcessor):
-    """T8 with event-time timers: after its input, a group arms one timer at
-    the start of the tick after its last active tick.  When the watermark
-    passes it the group is idle: every decision is emitted decayed to the
-    watermark's tick, and the timer is re-armed for the next tick -- so idle
-    groups keep publishing fresh (decayed) state as event time advances."""
+class TimedDecayProcessor(StatefulProcessor):
+    """T8 with event-time timers: after its input, a group is due at the start
+    of the tick after its last active tick.  When the watermark passes it the
+    group is idle: every decision is emitted decayed to the watermark's tick,
+    and the group is due again at the next tick -- so idle groups keep
+    publishing fresh (decayed) state as event time advances.
+
+    The fold is that of ``LazyDecayProcessor``, on the groups of a page at once
+    (``pages``).  State of a page: a row per group (``armed``: the tick it is due
+    after), a row per decision, and its one timer, at the first time a group is due."""
 
     def __init__(self, gamma: float, tick_s: int):
-        super().__init__(gamma)
-        self.tick_ms = tick_s * 1000
+        self.gamma, self.tick_ms = gamma, tick_s * 1000
 
-    def _arm(self, tick: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer((tick + 1) * self.tick_ms)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.page = handle.getValueState("page", "groups binary, decisions binary, timer bigint")
+
+    def _load(self) -> tuple[dict, dict, int | None]:
+        held = self.page.get()
+        if held is not None:
+            return unpack(held[0]), unpack(held[1]), held[2]
+        names, whole, real = np.empty(0, object), np.empty(0, np.int64), np.empty(0)
+        return (dict(group_id=names, g_last=whole, idle=whole, late=whole, armed=whole),
+                dict(g=whole, decision=names, s=real, n=real, d_last=whole, idle_at=whole), None)
+
+    def _store(self, groups: dict, decs: dict, timer: int | None) -> None:
+        at = (int(groups["armed"].min()) + 1) * self.tick_ms
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+        self.page.update((pack(groups), pack(decs), at))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield from super().handleInputRows(key, rows, timerValues)
-        if self.grp.exists():
-            self._arm(self.grp.get()[0])
+        groups, decs, timer = self._load()
+        x = PageTicks(groups["group_id"], groups["g_last"], pd.concat(list(rows)))
+        none = np.zeros(len(x.groups) - len(groups["group_id"]), np.int64)
+        idle, late, armed = (np.concatenate([groups[c], none]) for c in ("idle", "late", "armed"))
+        late, last = late + x.late, x.last
+        # idle ticks of the group up to each of its ticks
+        passed = np.cumsum(x.step_idle)
+        n_steps = np.diff([*x.group_at, len(passed)])
+        upto = passed + np.repeat(idle[x.touched] - passed[x.group_at] + x.step_idle[x.group_at], n_steps)
+        idle[x.touched] = upto[x.group_at + n_steps - 1]
+        last[x.touched] = armed[x.touched] = x.now
+        groups = dict(group_id=x.groups, g_last=last, idle=idle, late=late, armed=armed)
+        # a row is worth gamma^(active ticks of its decision + idle ticks of its group since)
+        first, at_tick = x.pair_at, upto[x.step]
+        end = np.append(first[1:], len(x.pair)) - 1
+        place = np.arange(len(x.pair)) + at_tick
+        worth = self.gamma ** (place[end][x.pair] - place).astype(np.float64)
+        s, n = np.add.reduceat(x.s * worth, first), np.add.reduceat(x.c * worth, first)
+        own = x.pairs_in(decs["g"], decs["decision"])
+        met = np.flatnonzero(own >= 0)
+        p = own[met]
+        same = x.tick[first[p]] == decs["d_last"][met]      # the tick goes on
+        since = place[end[p]] - place[first[p]] + at_tick[first[p]] - decs["idle_at"][met] + ~same
+        worth = self.gamma ** since.astype(np.float64)
+        s[p] += decs["s"][met] * worth
+        n[p] += decs["n"][met] * worth
+        new = dict(g=x.pair_g, decision=x.pair_d, s=s, n=n, d_last=x.tick[end], idle_at=at_tick[end])
+        decs = joined({c: v[own < 0] for c, v in decs.items()}, new)
+        self._store(groups, decs, timer)
+        yield self._rows(groups, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        g_last, idle, late = self.grp.get()
+        groups, decs, timer = self._load()
+        passed = max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
         T = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // self.tick_ms
-        v_idle = idle + (T - g_last)          # every tick after g_last up to T was idle
-        rows = [(d[0], s_ * self.gamma ** (v_idle - ia), n_ * self.gamma ** (v_idle - ia), dl)
-                for d, (s_, n_, dl, ia) in self.dec.iterator()]
-        self._arm(T)
-        if rows:
-            d, s_, n_, dl = zip(*rows)
-            # values already decayed to T: idle_at = group_idle = v_idle, group_tick = T
-            yield pd.DataFrame({"group_id": key[0], "decision": d, "score_sum": s_, "n": n_,
-                                "last_tick": dl, "idle_at": v_idle, "group_tick": T,
-                                "group_idle": v_idle, "late": late})
+        due = (groups["armed"] + 1) * self.tick_ms <= passed
+        # every tick after g_last up to T was idle: values as of T
+        v_idle = groups["idle"] + (T - groups["g_last"])
+        asked = due[decs["g"]]
+        rows = {c: v[asked] for c, v in decs.items()}
+        f = self.gamma ** (v_idle[rows["g"]] - rows["idle_at"]).astype(np.float64)
+        rows |= dict(s=rows["s"] * f, n=rows["n"] * f, idle_at=v_idle[rows["g"]])
+        groups["armed"] = np.where(due, T, groups["armed"])
+        self._store(groups, decs, timer)
+        if len(rows["g"]):
+            yield self._rows({**groups, "g_last": np.where(due, T, groups["g_last"]), "idle": v_idle}, rows)
+
+    @staticmethod
+    def _rows(groups: dict, decs: dict) -> pd.DataFrame:
+        g = decs["g"]
+        return pd.DataFrame({"group_id": groups["group_id"][g], "decision": decs["decision"], "score_sum": decs["s"],
+                             "n": decs["n"], "last_tick": decs["d_last"], "idle_at": decs["idle_at"],
+                             "group_tick": groups["g_last"][g], "group_idle": groups["idle"][g], "late": groups["late"][g]})
+
+    def close(self) -> None:
+        pass
 
 
 def decision_stream_timed(updates: DataFrame, gamma: float, tick_s: int, lateness_ticks: int = 4) -> DataFrame:
@@ -136,7 +195,7 @@ def decision_stream_timed(updates: DataFrame, gamma: float, tick_s: int, latenes
         raise ValueError("a tick may span several micro-batches: lateness_ticks must be at least 1")
     src = (combine(updates).withColumn("ts_tick", F.timestamp_seconds(F.col("tick") * tick_s))
            .withWatermark("ts_tick", f"{lateness_ticks * tick_s} seconds"))
-    return src.groupBy("group_id").transformWithStateInPandas(
+    return src.withColumn("page", page_of("group_id")).groupBy("page").transformWithStateInPandas(
         TimedDecayProcessor(gamma, tick_s), OUT_SCHEMA, "Update", "EventTime")
 
 
