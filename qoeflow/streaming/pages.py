@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 PAGES = 1024
 
 
-def page_of(*cols: str, pages: int = PAGES) -> Column:
+def page_of(*cols: Column | str, pages: int = PAGES) -> Column:
     """The page of a key; null is a key like others."""
     return F.pmod(F.xxhash64(*cols), F.lit(pages)).cast("int").alias("page")
 

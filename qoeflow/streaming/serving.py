@@ -11,13 +11,15 @@ version of another time.
 
 A group's requests are dealt to ``salts`` keys by a hash of the request, each
 of which holds the group's decisions (a few rows), so a group with a third of
-all requests is many keys.
+all requests is many keys.  These keys share pages of state (``pages``): decisions
+of many small groups, and requests of a busy one, are written and joined as arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from qoeflow.session import scratch_path
 from qoeflow.streaming.jobs import batch_sink, run_available_now, run_slices
+from qoeflow.streaming.pages import codes_of, pack, page_of, starts_of, unpack
 
 #: One schema for both kinds of rows: ``valid_from`` (event time) and ``payload``
 #: of a decision; ``req_id``, ``at`` and ``body`` of a request.  Times are seconds.
@@ -48,73 +51,130 @@ def request_events(requests: DataFrame, at_s, body) -> DataFrame:
         at_s.cast("bigint").alias("at"), body.alias("body"))
 
 
+#: Waiting requests in one state value.
+CHUNK = 16384
+
+
+def newest(versions: dict) -> dict:
+    """One row per (group, since), the last one given, in the order of both."""
+    (g,), _ = codes_of(versions["group_id"])
+    order = np.lexsort((versions["since"], g))
+    end = np.append(starts_of(g[order], versions["since"][order])[1:], len(g)) - 1
+    return {c: v[order[end]] for c, v in versions.items()}
+
+
 class AsofServer(StatefulProcessor):
-    """State of a (group, salt): its decisions by the second they are valid
-    from, kept for ``keep_s`` behind the watermark (and the newest before that),
-    and the requests that wait."""
+    """State of a page of (group, salt) keys (``pages``): the groups' decisions
+    by the second they are valid from, kept for ``keep_s`` behind the watermark
+    (and the newest before that); the requests that wait, in chunks ordered by
+    time (``held``: each chunk's first and last second, so that a timer reads only
+    those with requests that are due); and the page's one timer, at the first of them."""
 
     def __init__(self, keep_s: int):
         self.keep_s = keep_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.versions = handle.getMapState("versions", "since bigint", "version bigint, payload string")
-        self.waiting = handle.getListState("waiting", "req_id bigint, at bigint, body string")
-
-    def _known(self) -> list[tuple]:
-        return sorted((k[0], *v) for k, v in self.versions.iterator())
+        self.page = handle.getValueState("page", "versions binary, held binary, timer bigint")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", "rows binary")
+
+    def _load(self) -> tuple[bytes, dict, int | None]:
+        known = self.page.get()
+        if known is not None:
+            return known[0], unpack(known[1]), known[2]
+        names, whole = np.empty(0, object), np.empty(0, np.int64)
+        return pack(dict(group_id=names, since=whole, version=whole, payload=names)), dict(chunk=whole, first=whole, last=whole), None
+
+    def _store(self, versions: bytes, held: dict, timer: int | None) -> None:
+        at = int(held["first"].min()) * 1000 if len(held["first"]) else None
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        self.page.update((versions, pack(held), at))
+
+    def _keep(self, held: dict, parts: list[dict]) -> dict:
+        """Writes requests as further chunks."""
+        rows = {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+        order = np.argsort(rows["at"], kind="stable")
+        for i in range(0, len(order), CHUNK):
+            chunk = {c: v[order[i:i + CHUNK]] for c, v in rows.items()}
+            new = int(held["chunk"].max()) + 1 if len(held["chunk"]) else 0
+            self.waiting.updateValue((new,), (pack(chunk),))
+            held = {c: np.append(held[c], v) for c, v in
+                    dict(chunk=new, first=chunk["at"][0], last=chunk["at"][-1]).items()}
+        return held
 
     @staticmethod
-    def _answer(group, known: list[tuple], asked: list[tuple], late: list[bool]) -> pd.DataFrame:
-        from bisect import bisect_right
-        since = [k[0] for k in known]
-        hit = [bisect_right(since, at) - 1 for _, at, _ in asked]
-        return pd.DataFrame({
-            "group_id": group, "req_id": [r for r, _, _ in asked], "at": [a for _, a, _ in asked],
-            "body": [b for _, _, b in asked],
-            "version": pd.array([known[i][1] if i >= 0 else None for i in hit], "Int64"),
-            "payload": [known[i][2] if i >= 0 else None for i in hit], "late": late})
-
-    def _arm(self, at: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(at * 1000)
+    def _answer(known: dict, asked: dict, late: bool) -> pd.DataFrame:
+        (mine, theirs), _ = codes_of(known["group_id"], asked["group_id"])
+        times = np.unique(known["since"])
+        # versions are in the order of these numbers: a group's, then its times from 1
+        n = len(times) + 1
+        have = mine * n + np.searchsorted(times, known["since"]) + 1
+        i = np.searchsorted(have, theirs * n + np.searchsorted(times, asked["at"], side="right"), side="right") - 1
+        hit = i >= 0
+        hit[hit] = mine[i[hit]] == theirs[hit]
+        version, payload = np.zeros(len(i), np.int64), np.full(len(i), None, object)
+        version[hit], payload[hit] = known["version"][i[hit]], known["payload"][i[hit]]
+        return pd.DataFrame({"group_id": asked["group_id"], "req_id": asked["req_id"], "at": asked["at"], "body": asked["body"],
+                             "version": pd.arrays.IntegerArray(version, ~hit), "payload": payload, "late": late})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000
-        asked: list[tuple] = []
+        versions, held, timer = self._load()
+        decided, due, wait, n = [], [], [], 0
         for p in rows:
-            dec = p[p["req_id"].isna()]
-            for t, v, x in zip(dec["valid_from"], dec["version"], dec["payload"]):
-                self.versions.updateValue((int(t.timestamp()),), (int(v), x))
-            req = p[p["req_id"].notna()]
-            asked += zip(req["req_id"].astype("int64"), req["at"].astype("int64"), req["body"])
-        asked = [(int(r), int(a), b) for r, a, b in asked]
-        due = sorted((x for x in asked if x[1] <= passed), key=lambda x: x[:2])
-        wait = [x for x in asked if x[1] > passed]
+            asked, at = p["asked"].to_numpy(bool), p["at"].to_numpy(np.int64)
+            dec = p[~asked]
+            if len(dec):
+                decided.append(dict(group_id=dec["group_id"].to_numpy(object), since=dec["since"].to_numpy(np.int64),
+                                    version=dec["version"].to_numpy(np.int64), payload=dec["payload"].to_numpy(object)))
+            for to, which in ((due, asked & (at <= passed)), (wait, asked & (at > passed))):
+                if which.any():
+                    req = p[which]
+                    to.append(dict(group_id=req["group_id"].to_numpy(object), req_id=req["req_id"].to_numpy(np.int64),
+                                   at=at[which], body=req["body"].to_numpy(object)))
+            n = sum(len(x["at"]) for x in wait)
+            if n >= 8 * CHUNK:
+                held, wait = self._keep(held, wait), []
         if wait:
-            held = list(self.waiting.get()) if self.waiting.exists() else []
-            self.waiting.appendList(wait)
-            self._arm(min(x[1] for x in [*held, *wait]))
-        if due:
-            yield self._answer(key[0], self._known(), due, [True] * len(due))
+            held = self._keep(held, wait)
+        if decided or due:
+            known = unpack(versions)
+            if decided:
+                known = newest({c: np.concatenate([known[c], *(x[c] for x in decided)]) for c in known})
+                versions = pack(known)
+        self._store(versions, held, timer)
+        for x in due:
+            yield self._answer(known, x, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // 1000
-        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        due = [x for x in held if x[1] <= passed]
-        rest = [x for x in held if x[1] > passed]
-        known = self._known()
-        if rest:
-            self.waiting.put(rest)
-            self._arm(min(x[1] for x in rest))
-        else:
-            self.waiting.clear()
-        old = [k[0] for k in known if k[0] <= passed - self.keep_s]
-        for since in old[:-1]:                      # the last of them is still valid
-            self.versions.removeKey((since,))
-        if due:
-            yield self._answer(key[0], known, due, [False] * len(due))
+        versions, held, timer = self._load()
+        known = unpack(versions)
+        keep = np.ones(len(held["chunk"]), bool)
+        for k in np.flatnonzero(held["first"] <= passed):
+            chunk = (int(held["chunk"][k]),)
+            x = unpack(self.waiting.getValue(chunk)[0])
+            n = int(np.searchsorted(x["at"], passed, side="right"))
+            if n < len(x["at"]):
+                self.waiting.updateValue(chunk, (pack({c: v[n:] for c, v in x.items()}),))
+                held["first"] = np.where(np.arange(len(keep)) == k, x["at"][n], held["first"])
+            else:
+                self.waiting.removeKey(chunk)
+                keep[k] = False
+            yield self._answer(known, {c: v[:n] for c, v in x.items()}, False)
+        (g,), _ = codes_of(known["group_id"])
+        old = known["since"] <= passed - self.keep_s
+        gone = old[:-1] & old[1:] & (g[:-1] == g[1:])      # the last of them is still valid
+        if gone.any():
+            versions = pack({c: v[np.append(~gone, True)] for c, v in known.items()})
+        self._store(versions, {c: v[keep] for c, v in held.items()}, timer)
+
+    def close(self) -> None:
+        pass
 
 
 def serve_asof(events: DataFrame, lateness_s: int, keep_s: int = 10**9, salts: int = 8) -> DataFrame:
@@ -122,11 +182,17 @@ def serve_asof(events: DataFrame, lateness_s: int, keep_s: int = 10**9, salts: i
     valid at its time (null: none).  Decisions may come up to ``lateness_s``
     out of order; requests may come at any time, and are answered from the
     versions of the last ``keep_s`` seconds."""
-    own = F.pmod(F.xxhash64("req_id"), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    asked = F.col("req_id").isNotNull()
+    # numbers without nulls, which pandas would turn into doubles; times do not depend on the session's zone
+    own = lambda yes, c: F.when(asked == F.lit(yes), c).otherwise(F.lit(0).cast("bigint"))
+    page = lambda salt: page_of("group_id", salt)
+    every = F.array_distinct(F.array(*[page(F.lit(i)) for i in range(salts)]))
+    mine = F.array(page(F.pmod(F.xxhash64("req_id"), F.lit(salts)).cast("int")))
     dealt = (events.withWatermark("valid_from", f"{lateness_s} seconds")
-             .withColumn("salt", F.explode(F.when(F.col("req_id").isNull(), every).otherwise(F.array(own)))))
-    return dealt.groupBy("group_id", "salt").transformWithStateInPandas(AsofServer(keep_s), ANSWER, "Append", "EventTime")
+             .select("group_id", "valid_from", asked.alias("asked"), own(False, F.unix_timestamp("valid_from")).alias("since"),
+                     own(False, F.col("version")).alias("version"), "payload", own(True, F.col("req_id")).alias("req_id"),
+                     own(True, F.col("at")).alias("at"), "body", F.explode(F.when(asked, mine).otherwise(every)).alias("page")))
+    return dealt.groupBy("page").transformWithStateInPandas(AsofServer(keep_s), ANSWER, "Append", "EventTime")
 
 
 def serve_asof_job(spark: SparkSession, decisions: DataFrame, requests: DataFrame, lateness_s: int, n_files: int = 6,

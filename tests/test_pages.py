@@ -141,3 +141,55 @@ def test_a_page_of_groups_costs_a_few_state_calls():
         out = batch(page, store, [sums(r, [f"g{i}" for i in range(500)], [1000 + k], 3000)])
         assert len({x[0] for x in out}) > 400
     assert store.calls <= 3 * 4
+
+
+def frame(rows):
+    """Rows (group, since, version, payload) and (group, None, req_id, at) as ``serve_asof`` sends them."""
+    return pd.DataFrame([(g, s is None, 0 if s is None else s, 0 if s is None else a, None if s is None else b,
+                          a if s is None else 0, b if s is None else 0, f"body {a}" if s is None else None)
+                         for g, s, a, b in rows],
+                        columns=["group_id", "asked", "since", "version", "payload", "req_id", "at", "body"])
+
+
+@pytest.mark.parametrize("chunk", [7, 16384])
+def test_a_page_of_groups_serves_as_of_each_request(chunk, monkeypatch):
+    from qoeflow.streaming import serving
+    monkeypatch.setattr(serving, "CHUNK", chunk)
+    r, groups = random.Random(6), [f"g{i}" for i in range(30)] + [None]
+    page, store = opened(serving.AsofServer(10**9))
+    known, waiting, n_req, calls = {}, [], 0, []
+    for k in range(10):
+        wm = 1000 + 50 * k
+        dec = [(g, s, 10 * k + s, f"{g}/{k}/{s}") for g in r.sample(groups, 20) for s in r.sample(range(wm + 1, wm + 90), 2)]
+        req = [(r.choice([*groups, "nobody"]), None, n_req + i, wm + r.randint(-200, 150)) for i in range(200)]
+        n_req += 200
+        for g, s, v, p in dec:
+            known[g, s] = (v, p)
+
+        def answer(g, q, at, late):
+            since = max((s for x, s in known if x == g and s <= at), default=None)
+            return (g, q, at, f"body {q}", *(known[g, since] if since is not None else (None, None)), late)
+
+        now = [x for x in req if x[3] <= wm]
+        waiting += [x for x in req if x[3] > wm]
+        want = [answer(g, q, at, True) for g, _, q, at in now]
+        if any(x[3] < wm for x in waiting):
+            want += [answer(g, q, at, False) for g, _, q, at in waiting if at <= wm]
+            waiting = [x for x in waiting if x[3] > wm]
+        rows = dec + req
+        order = sorted(range(len(rows)), key=lambda i: (rows[i][1] is None) * r.random())
+        before = store.calls
+        got = batch(page, store, [frame([rows[i] for i in order[:90]]), frame([rows[i] for i in order[90:]])], wm * 1000)
+        calls.append(store.calls - before)
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        assert store.timers == {min(x[3] for x in waiting) * 1000}
+    assert chunk == 7 or max(calls) < 30
+
+
+def test_versions_behind_the_kept_time_go_but_the_valid_one():
+    from qoeflow.streaming.serving import AsofServer
+    page, store = opened(AsofServer(100))
+    batch(page, store, [frame([("g", 10, 1, "a"), ("g", 20, 2, "b"), ("g", 950, 3, "c"), ("h", 15, 4, "d"), ("g", None, 1, 990)])])
+    batch(page, store, [], 1000 * 1000)
+    got = batch(page, store, [frame([("g", None, 2, 15), ("g", None, 3, 30), ("g", None, 4, 960), ("h", None, 5, 40)])], 1000 * 1000)
+    assert [x[4:6] for x in sorted(got, key=lambda x: x[1])] == [(None, None), (2, "b"), (3, "c"), (4, "d")]
