@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGES = 1024
+#: Rows of a task that are dealt to pages at once.
+DEAL_ROWS = 1 << 18
 
 
 def page_of(*cols: Column | str, pages: int = PAGES) -> Column:
@@ -69,6 +71,59 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def parcels(rows: DataFrame, cols: list[str], when: str | None = None, keep: str = "") -> DataFrame:
+    """A page's rows as values: ``cols`` of the rows of a page, among the
+    ``DEAL_ROWS`` that a task has read, become one ``parcel`` (``unpack``), since the
+    operator takes its input row by row.  Rows that are not ``when`` (a boolean
+    column) stay as they are; ``keep`` names their further columns as DDL.
+    Stateless: it may stand before a stateful operator."""
+    names = [c.split()[0] for c in keep.split(",") if c]
+
+    def blank(n, kind):
+        import pyarrow as pa
+        # whole numbers without nulls, which pandas would turn into doubles
+        return pa.array(np.zeros(n, np.int64), kind) if pa.types.is_integer(kind) else pa.nulls(n, kind)
+
+    def cut(held):
+        import pyarrow as pa
+        from pyarrow import compute
+        t = pa.Table.from_batches(held)
+        out = pa.schema([("page", pa.int32()), *((c, t.schema.field(c).type) for c in names), ("parcel", pa.binary())])
+        if when is not None:
+            other = t.filter(compute.invert(t[when]))
+            plain = [other["page"], *(other[c] for c in names), pa.nulls(len(other), pa.binary())]
+            yield from pa.Table.from_arrays(plain, schema=out).to_batches()
+            t = t.filter(t[when])
+        page = t["page"].to_numpy()
+        order = np.argsort(page, kind="stable")
+        at = starts_of(page[order])
+        t = t.select(cols).take(pa.array(order)).combine_chunks()
+        ends = np.append(at[1:], len(page))
+        for some in range(0, len(at), 4096):
+            values = []
+            for i, j in zip(at[some:some + 4096].tolist(), ends[some:some + 4096].tolist(), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(t.slice(i, j - i))
+                values.append(sink.getvalue().to_pybytes())
+            whole = [pa.array(page[order][at[some:some + 4096]], pa.int32()), *(blank(len(values), out.field(c).type) for c in names)]
+            yield pa.RecordBatch.from_arrays([*whole, pa.array(values, pa.binary())], schema=out)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= DEAL_ROWS:
+                yield from cut(held)
+                held, n = [], 0
+        if n:
+            yield from cut(held)
+
+    given = rows.select("page", *cols, *[c for c in names if c not in cols], *([] if when is None else [when]))
+    return given.mapInArrow(run, ", ".join(["page int", *([keep] if keep else []), "parcel binary"]))
+
+
 class PageTicks:
     """The partial sums (group_id, decision, tick, s, c) that a micro-batch has
     for a page, whose groups so far are ``known`` and were last active at

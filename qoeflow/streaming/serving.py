@@ -27,7 +27,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from qoeflow.session import scratch_path
 from qoeflow.streaming.jobs import batch_sink, run_available_now, run_slices
-from qoeflow.streaming.pages import codes_of, pack, page_of, starts_of, unpack
+from qoeflow.streaming.pages import codes_of, pack, page_of, parcels, starts_of, unpack
 
 #: One schema for both kinds of rows: ``valid_from`` (event time) and ``payload``
 #: of a decision; ``req_id``, ``at`` and ``body`` of a request.  Times are seconds.
@@ -124,21 +124,18 @@ class AsofServer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000
         versions, held, timer = self._load()
-        decided, due, wait, n = [], [], [], 0
+        decided, due, wait = [], [], []
         for p in rows:
-            asked, at = p["asked"].to_numpy(bool), p["at"].to_numpy(np.int64)
-            dec = p[~asked]
+            dec = p[p["parcel"].isna()]
             if len(dec):
                 decided.append(dict(group_id=dec["group_id"].to_numpy(object), since=dec["since"].to_numpy(np.int64),
                                     version=dec["version"].to_numpy(np.int64), payload=dec["payload"].to_numpy(object)))
-            for to, which in ((due, asked & (at <= passed)), (wait, asked & (at > passed))):
-                if which.any():
-                    req = p[which]
-                    to.append(dict(group_id=req["group_id"].to_numpy(object), req_id=req["req_id"].to_numpy(np.int64),
-                                   at=at[which], body=req["body"].to_numpy(object)))
-            n = sum(len(x["at"]) for x in wait)
-            if n >= 8 * CHUNK:
-                held, wait = self._keep(held, wait), []
+            for req in map(unpack, p["parcel"].dropna()):
+                for to, which in ((due, req["at"] <= passed), (wait, req["at"] > passed)):
+                    if which.any():
+                        to.append({c: v[which] for c, v in req.items()})
+                if sum(len(x["at"]) for x in wait) >= 8 * CHUNK:
+                    held, wait = self._keep(held, wait), []
         if wait:
             held = self._keep(held, wait)
         if decided or due:
@@ -188,10 +185,12 @@ def serve_asof(events: DataFrame, lateness_s: int, keep_s: int = 10**9, salts: i
     page = lambda salt: page_of("group_id", salt)
     every = F.array_distinct(F.array(*[page(F.lit(i)) for i in range(salts)]))
     mine = F.array(page(F.pmod(F.xxhash64("req_id"), F.lit(salts)).cast("int")))
-    dealt = (events.withWatermark("valid_from", f"{lateness_s} seconds")
-             .select("group_id", "valid_from", asked.alias("asked"), own(False, F.unix_timestamp("valid_from")).alias("since"),
-                     own(False, F.col("version")).alias("version"), "payload", own(True, F.col("req_id")).alias("req_id"),
-                     own(True, F.col("at")).alias("at"), "body", F.explode(F.when(asked, mine).otherwise(every)).alias("page")))
+    dealt = events.select("group_id", "valid_from", asked.alias("asked"), own(False, F.unix_timestamp("valid_from")).alias("since"),
+                          own(False, F.col("version")).alias("version"), "payload", "req_id", own(True, F.col("at")).alias("at"),
+                          "body", F.explode(F.when(asked, mine).otherwise(every)).alias("page"))
+    dealt = parcels(dealt, ["group_id", "req_id", "at", "body"], "asked",
+                    "group_id string, valid_from timestamp, since bigint, version bigint, payload string")
+    dealt = dealt.withWatermark("valid_from", f"{lateness_s} seconds")
     return dealt.groupBy("page").transformWithStateInPandas(AsofServer(keep_s), ANSWER, "Append", "EventTime")
 
 

@@ -3,6 +3,7 @@ group by group; a state store in memory counts the calls."""
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -145,10 +146,15 @@ def test_a_page_of_groups_costs_a_few_state_calls():
 
 def frame(rows):
     """Rows (group, since, version, payload) and (group, None, req_id, at) as ``serve_asof`` sends them."""
-    return pd.DataFrame([(g, s is None, 0 if s is None else s, 0 if s is None else a, None if s is None else b,
-                          a if s is None else 0, b if s is None else 0, f"body {a}" if s is None else None)
-                         for g, s, a, b in rows],
-                        columns=["group_id", "asked", "since", "version", "payload", "req_id", "at", "body"])
+    from qoeflow.streaming.pages import pack
+    out = [(g, s, v, p, None) for g, s, v, p in rows if s is not None]
+    req = [x for x in rows if x[1] is None]
+    for part in (req[:len(req) // 2], req[len(req) // 2:]):
+        if part:
+            names, _, ids, at = zip(*part)
+            out.append((None, 0, 0, None, pack(dict(group_id=np.array(names, object), req_id=np.array(ids), at=np.array(at),
+                                                    body=np.array([f"body {i}" for i in ids], object)))))
+    return pd.DataFrame(out, columns=["group_id", "since", "version", "payload", "parcel"])
 
 
 @pytest.mark.parametrize("chunk", [7, 16384])
@@ -193,3 +199,20 @@ def test_versions_behind_the_kept_time_go_but_the_valid_one():
     batch(page, store, [], 1000 * 1000)
     got = batch(page, store, [frame([("g", None, 2, 15), ("g", None, 3, 30), ("g", None, 4, 960), ("h", None, 5, 40)])], 1000 * 1000)
     assert [x[4:6] for x in sorted(got, key=lambda x: x[1])] == [(None, None), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_parcels_hold_the_rows_of_a_page(spark):
+    from pyspark.sql import functions as F
+
+    from qoeflow.streaming.pages import parcels, unpack
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.col("id") % 9)).alias("g"), (F.col("id") % 5).cast("int").alias("page"),
+        (F.col("id") * 2**53 + 1).alias("n"), (F.col("id") % 3 > 0).alias("asked"), F.timestamp_seconds("id").alias("t"))
+    rows = parcels(df, ["g", "n"], "asked", "t timestamp, n bigint").collect()
+    plain = [x for x in rows if x.parcel is None]
+    held = [(x.page, g, n) for x in rows if x.parcel is not None
+            for g, n in zip(*(c.tolist() for c in unpack(x.parcel).values()), strict=True)]
+    assert all(x.n == 0 and x.t is None for x in rows if x.parcel is not None)
+    assert sorted((x.page, x.n, x.t) for x in plain) == sorted((x.page, x.n, x.t) for x in df.where("not asked").collect())
+    assert sorted(held, key=repr) == sorted(((x.page, x.g, x.n) for x in df.where("asked").collect()), key=repr)
+    assert len(rows) - len(plain) <= 5 * df.rdd.getNumPartitions()
