@@ -67,6 +67,26 @@ class StatePolicy(Policy):
             last = t
         return known, last
 
+    def fold_groups(self, old: Rows, born: np.ndarray, group: np.ndarray, idle: list[np.ndarray],
+                    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Rows:
+        """``fold`` for many groups at once, one ``merge`` for all groups' k-th
+        ticks.  Rows are (group, decision), ordered so that groups with more
+        ticks come first: ``old`` their fields (nan: none yet), ``born`` the k they
+        appear in (-1: known before), ``group`` their group's number in this
+        order.  ``idle[k]``: the idle ticks before the k-th tick, of the groups that
+        have one; ``rows[k]``: row, score_sum and n of the decisions active in it."""
+        state = {c: np.array(old[c], np.float64) for c in self.names}
+        for k, (at, s, c) in enumerate(rows):
+            n = int(np.searchsorted(group, len(idle[k])))
+            here = np.flatnonzero(born[:n] <= k)
+            sums = np.zeros((2, n))
+            sums[0, at], sums[1, at] = s, c
+            new = self.merge({f: state[f][here] for f in self.names}, sums[0, here], sums[1, here],
+                             idle[k][group[here]].astype(np.float64))
+            for f in self.names:
+                state[f][here] = new[f]
+        return state
+
     def state(self, stats: DataFrame, at_tick=None) -> DataFrame:
         """Batch: the state of every (group, decision) at a tick (default: the
         last one); a group's ticks are folded in one task, as sums."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from qoeflow.streaming.jobs import combine
-from qoeflow.streaming.pages import PageTicks, joined, pack, page_of, unpack
+from qoeflow.streaming.pages import PageTicks, joined, pack, page_of, parcels, unpack
 from qoeflow.streaming.state import tick_sums
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -210,29 +210,63 @@ def decision_stream_lazy(updates: DataFrame, gamma: float, initial: DataFrame |
 
 
 class StatePolicyProcessor(StatefulProcessor):
-    """A user's ``StatePolicy`` in the state store: its fields by decision,
-    and the tick of the group's last data."""
+    """A user's ``StatePolicy`` in the state store: for the groups of a page
+    (``pages``) the tick of their last data, and the policy's fields by decision.
+    Input: parcels of (group_id, decision, tick, s, c)."""
 
     def __init__(self, policy):
         self.policy = policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.grp = handle.getValueState("grp", "g_last bigint")
-        self.dec = handle.getMapState("dec", "decision string", self.policy.fields)
+        self.page = handle.getValueState("page", "groups binary, decisions binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.grp.get()[0] if self.grp.exists() else None
-        acc, _ = tick_sums(rows, last)
-        known = {k[0]: tuple(v) for k, v in self.dec.iterator()}
-        if last is not None and any(t == last for t, _ in acc):
+        names, whole, fields = np.empty(0, object), np.empty(0, np.int64), self.policy.names
+        held = self.page.get()
+        groups, decs = (unpack(x) for x in held) if held is not None else (
+            dict(group_id=names, g_last=whole),
+            dict(g=whole, decision=names, **{f"_{c}": np.empty(0) for c in fields}))
+        values = np.stack([decs.pop(f"_{c}") for c in fields])
+        new = pd.concat([pd.DataFrame(unpack(v)) for p in rows for v in p["parcel"]], ignore_index=True)
+        x = PageTicks(groups["group_id"], groups["g_last"], new)
+        if x.split:
             raise ValueError("a tick was split: feed whole ticks (decision_stream_policy closes them)")
-        known, last = self.policy.fold(known, last, acc)
-        for d, values in known.items():
-            self.dec.updateValue((d,), values)
-        self.grp.update((last,))
-        out = pd.DataFrame(list(known.values()), columns=self.policy.names)
-        yield out.assign(group_id=key[0], decision=list(known), tick=last)[
-            ["group_id", "decision", *self.policy.names, "tick"]]
+        # the rows of the groups with new ticks: decisions known before, then those that appear
+        own = x.pairs_in(decs["g"], decs["decision"])
+        n_steps = np.zeros(len(x.groups), np.int64)
+        n_steps[x.touched] = np.diff([*x.group_at, len(x.step_g)])
+        mine = np.flatnonzero(n_steps[decs["g"]] > 0)
+        fresh = np.ones(len(x.pair_g), bool)
+        fresh[own[own >= 0]] = False
+        g = np.concatenate([decs["g"][mine], x.pair_g[fresh]])
+        d = np.concatenate([decs["decision"][mine], x.pair_d[fresh]])
+        row_of = np.full(len(x.pair_g), -1)
+        row_of[own[mine][own[mine] >= 0]] = np.flatnonzero(own[mine] >= 0)
+        row_of[fresh] = len(mine) + np.arange(fresh.sum())
+        rank = x.step_rank[x.step]
+        born = np.concatenate([np.full(len(mine), -1), rank[x.pair_at[fresh]]])
+        old = np.concatenate([values[:, mine], np.full((len(fields), int(fresh.sum())), np.nan)], axis=1)
+        # groups with more ticks first
+        place = np.empty(len(x.groups), np.int64)
+        place[np.argsort(-n_steps, kind="stable")] = np.arange(len(x.groups))
+        order = np.argsort(place[g], kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        g, d = g[order], d[order]
+        by_rank = np.lexsort((place[x.step_g], x.step_rank))
+        cut = np.flatnonzero(np.diff(x.step_rank[by_rank])) + 1
+        idle = np.split(x.step_idle[by_rank], cut)
+        entry = np.argsort(rank, kind="stable")
+        ends = np.searchsorted(rank[entry], np.arange(1, len(idle)))
+        active = [(back[row_of[x.pair[e]]], x.s[e], x.c[e]) for e in np.split(entry, ends)]
+        state = self.policy.fold_groups(dict(zip(fields, old[:, order])), born[order], place[g], idle, active)
+        last = x.last
+        last[x.touched] = x.now
+        rest = n_steps[decs["g"]] == 0
+        decs = dict(g=decs["g"], decision=decs["decision"], **{f"_{c}": v for c, v in zip(fields, values)})
+        decs = joined({c: v[rest] for c, v in decs.items()}, dict(g=g, decision=d, **{f"_{c}": state[c] for c in fields}))
+        self.page.update((pack(dict(group_id=x.groups, g_last=last)), pack(decs)))
+        yield pd.DataFrame({"group_id": x.groups[g], "decision": d, **{c: state[c] for c in fields}, "tick": last[g]})
 
     def close(self) -> None:
         pass
@@ -252,8 +286,9 @@ def closed_ticks(updates: DataFrame, tick_s: int, lateness_ticks: int) -> DataFr
 def decision_stream_policy(updates: DataFrame, policy, tick_s: int, lateness_ticks: int) -> DataFrame:
     """U1 streamed: closed ticks folded by a ``StatePolicy``; emits the state of
     every group that a closed tick touched (``policy.current`` reads it)."""
-    return closed_ticks(updates, tick_s, lateness_ticks).groupBy("group_id").transformWithStateInPandas(
-        StatePolicyProcessor(policy), policy.state_schema, "Append", "None")
+    closed = closed_ticks(updates, tick_s, lateness_ticks).withColumn("page", page_of("group_id"))
+    return (parcels(closed, ["group_id", "decision", "tick", "s", "c"]).groupBy("page")
+            .transformWithStateInPandas(StatePolicyProcessor(policy), policy.state_schema, "Append", "None"))
 
 
 def initial_state(state: DataFrame, at_tick: int) -> DataFrame:

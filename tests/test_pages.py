@@ -201,6 +201,41 @@ def test_versions_behind_the_kept_time_go_but_the_valid_one():
     assert [x[4:6] for x in sorted(got, key=lambda x: x[1])] == [(None, None), (2, "b"), (3, "c"), (4, "d")]
 
 
+def test_a_page_of_groups_folds_a_user_state_like_each_group():
+    from qoeflow.operators.policy import StatePolicy
+    from qoeflow.streaming.keyed_state import StatePolicyProcessor
+    from qoeflow.streaming.pages import pack
+
+    class Fade(StatePolicy):
+        fields = "total double, ticks double"
+
+        def merge(self, old, score_sum, n, idle):
+            return {"total": np.nan_to_num(old["total"]) * 0.5 ** idle * 0.9 + score_sum,
+                    "ticks": np.nan_to_num(old["ticks"]) + (n > 0) + 10 * np.isnan(old["total"])}
+
+    policy, r, groups = Fade(), random.Random(7), [f"g{i}" for i in range(60)] + [None]
+    page, store = opened(StatePolicyProcessor(policy))
+    alone = {g: ({}, None) for g in groups}
+    for k in range(5):
+        x = sums(r, r.sample(groups, 30), range(1000 + 20 * k, 1010 + 20 * k), 400)
+        want = []
+        for g in x["group_id"].unique():
+            mine = x[x["group_id"].isna() if g is None else x["group_id"] == g]
+            ticks = {}
+            for t, d, s, c in zip(mine["tick"], mine["decision"], mine["s"], mine["c"]):
+                old = ticks.setdefault((t, d), [0.0, 0.0])
+                ticks[t, d] = [old[0] + s, old[1] + c]
+            alone[g] = policy.fold(*alone[g], ticks)
+            want += [(g, d, *v, alone[g][1]) for d, v in alone[g][0].items()]
+        frames = [pd.DataFrame({"parcel": [pack({c: part[c].to_numpy() for c in x}) for part in parts]})
+                  for parts in ([x[:50], x[50:130]], [x[130:]])]
+        near(batch(page, store, frames), want)
+    assert store.calls <= 5 * 2
+    again = pd.DataFrame({"parcel": [pack({c: x[:1][c].to_numpy() for c in x})]})
+    with pytest.raises(ValueError, match="split"):
+        batch(page, store, [again])
+
+
 def test_parcels_hold_the_rows_of_a_page(spark):
     from pyspark.sql import functions as F
 
